@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, mixing, pii, url_filter
+from . import chat, decontam, gru_lm, jaccard, mixing, pii, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,25 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"))
+    score = F.col(toxicity.RESULT)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.annotated(docs, table(spark, sf_dir, "benchmark"), result="r")
@@ -44,4 +59,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.expr("try_cast(tree as long)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_url_filter, op4_mixing, op6_jaccard, op9_decontamination, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_url_filter, op4_mixing, op5_language_model, op6_jaccard, op7_warc, op8_toxicity, op9_decontamination, op10_chat)}
