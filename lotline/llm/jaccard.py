@@ -330,3 +330,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     named = written(placed.join(least, "root").select(F.col("high").alias("h"), F.col("low").alias("l"), "component_id"), "jaccard-named")
     out = facts.join(named, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("n") > 0), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one of each group: that with the least key, null keys last."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
+    placed = groups(rows, "__row", text).select("__row", "component_id").join(rows.select("__row", F.col(key).alias("__key")), "__row")
+    kept = placed.groupBy("component_id").agg(F.min_by("__row", F.struct(F.col("__key").isNull(), "__key", "__row")).alias("__row")).select("__row")
+    return rows.join(written(kept, "jaccard-kept"), "__row", "left_semi").drop("__row")

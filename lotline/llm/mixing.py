@@ -39,20 +39,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """Copies of each document so that sources come near their target words.
+def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """What each source gives, from a written table of (source, size, h): src, source_size, target, whole, limit.
 
-    Returns (key, size, source_size, target, copies). Whole passes over a source
-    come first; what is left of the target is a budget that the documents with
-    the lowest hashes fill. The threshold is found by nested histograms: words by
-    (source, hash bucket), then only the bucket in which the budget ends, split
-    finer; no documents are sorted. The documents of the last boundary (same 36
-    bits) are taken if that comes nearer to the budget.
-
-    Null texts have size 0, a null source is a source, rows with equal keys fall
-    together, no rows give no rows.
+    whole passes over a source come first; what is left of the target is a
+    budget that the documents with the lowest hashes fill, up to limit. It is
+    found by nested histograms: words by (source, hash bucket), then only the
+    bucket in which the budget ends, split finer; no documents are sorted. The
+    documents of the last boundary (same 36 bits) are taken if that comes nearer
+    to the budget.
     """
-    sized = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), spread(F.col(key)).alias("h")), "mix-sizes")
     per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     per = written(per.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-sources")
@@ -72,5 +68,28 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     fits = (F.col("budget") - F.col("base")) * 2 >= F.col("words")
     limit = at.select(F.col("source").alias("s"), (F.col("bucket") - F.when(fits, 0).otherwise(1)).alias("limit"))
     per = written(per.join(limit, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("src"), "source_size", "target", "whole", F.coalesce("limit", F.lit(-1).cast("long")).alias("limit")), "mix-limits")
-    out = sized.join(per, F.col("source").eqNullSafe(F.col("src")))
+    return per
+
+
+def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    return written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), spread(F.col(key)).alias("h")), "mix-sizes")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """Copies of each document so that sources come near their target words.
+
+    Returns (key, size, source_size, target, copies). Null texts have size 0, a
+    null source is a source, rows with equal keys fall together, no rows give no
+    rows.
+    """
+    sized = _sized(docs, key, text, source)
+    out = sized.join(plan(sized, weights, most), F.col("source").eqNullSafe(F.col("src")))
     return out.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("whole") + (F.col("h") <= F.col("limit")).cast("long")).alias("copies"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, copies: str = "copies") -> DataFrame:
+    """The documents that the mix takes, with all columns and how many times each is taken."""
+    per = plan(_sized(docs, key, text, source), weights, most)
+    limits = per.select(*(F.col(c).alias(f"__{c}") for c in ("src", "whole", "limit")))
+    taken = docs.join(limits, docs[source].eqNullSafe(F.col("__src"))).withColumn("__copies", F.col("__whole") + (spread(docs[key]) <= F.col("__limit")).cast("long"))
+    return taken.where("__copies > 0").select(*(docs[c] for c in docs.columns), F.col("__copies").alias(copies))

@@ -12,12 +12,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Labelled rows that the classifier is fitted on at most (those of the lowest hashes).
 FIT_ROWS = 20_000
 #: Words that are features, the toxic documents each must be in, and the weight of the ridge.
 FEATURES, SUPPORT, RIDGE = 300, 3, 1.0
 #: Letters before a letter that the character model looks at, and the n-grams that it keeps.
-ORDER, GRAMS = 3, 150_000
+ORDER, GRAMS = 4, 250_000
+#: Lengths of word beginnings (stems) that may be typical, the share of a document's words that makes one frequent in it, and the most that are kept.
+STEMS, FREQUENT, MOST_STEMS = range(4, 9), 0.004, 200
+#: Shares of typical stems in a text's words, and numbers of them, that are features.
+SHARES, NUMBERS = (0.001, 0.0025, 0.005, 0.0075, 0.01, 0.0125, 0.015, 0.02, 0.03, 0.05), (1, 2, 3, 5)
 
 #: Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s"}
@@ -97,18 +103,23 @@ def restore(seen: str, model: Model) -> str:
 
 
 class Reader:
-    """The features of texts: which of the words they hold, plain or disguised."""
+    """The features of texts: which of the words they hold, plain or disguised, and how many typical stems."""
 
-    def __init__(self, words: list[str], model: Model):
+    def __init__(self, words: list[str], stems: list[str], model: Model):
         self.index = {w: i for i, w in enumerate(words)}
+        self.stems = set(stems)
+        self.width = len(words) + len(SHARES) + len(NUMBERS)
         self.skeletons = {skeleton(w) for w in words}
         self.model, self.known = model, {}
 
-    def token(self, token: str) -> tuple[int, ...]:
-        found = {self.index[w] for w in _LETTERS.findall(token) if w in self.index}
+    def token(self, token: str) -> tuple[tuple[int, ...], bool]:
+        """The features of a token, and whether it begins with a typical stem."""
+        parts = _LETTERS.findall(token)
+        found = {self.index[w] for w in parts if w in self.index}
+        typical = any(w[:n] in self.stems for w in parts for n in STEMS if len(w) >= n)
         if not _PLAIN.match(token) or _DOUBLE.search(token) or not token.isascii():
             found |= self.hidden(token)
-        return tuple(found)
+        return tuple(found), typical
 
     def hidden(self, token: str) -> set[int]:
         """Features of a token or spaced word that is a disguise, tried with and without marks at its ends."""
@@ -142,11 +153,18 @@ class Reader:
         low, known = (text or "").lower(), self.known
         if len(known) > 500_000:
             known.clear()
-        for t in set(low.split()):
+        total = typical = 0
+        for t, n in Counter(low.split()).items():
             hit = known.get(t)
             if hit is None:
                 known[t] = hit = self.token(t)
-            found.update(hit)
+            if hit[0]:
+                found.update(hit[0])
+            typical += n * hit[1]
+            total += n
+        base = len(self.index)
+        found.update(base + i for i, x in enumerate(SHARES) if typical > x * total)
+        found.update(base + len(SHARES) + i for i, x in enumerate(NUMBERS) if typical >= x)
         for m in _SPACED.finditer(low):
             found |= self.spaced(m[0])
         return sorted(found)
@@ -178,13 +196,21 @@ def grams(docs: DataFrame, text: str) -> dict[str, int]:
 
 
 def _words(rows: DataFrame) -> DataFrame:
-    """(word, n1, n0): toxic and other documents of (text, toxic) that hold each word."""
+    """(word, n1, n0): toxic and other documents of (text, toxic) that hold each word, and "^" + each stem frequent in them."""
 
     def count(batches):
         for batch in batches:
             sums = (Counter(), Counter())
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[y].update(set(_LETTERS.findall((x or "").lower())))
+                words = Counter(_LETTERS.findall((x or "").lower()))
+                sums[y].update(words.keys())
+                stems: Counter = Counter()
+                for w, n in words.items():
+                    for k in STEMS:
+                        if len(w) >= k:
+                            stems["^" + w[:k]] += n
+                least = max(2, FREQUENT * words.total())
+                sums[y].update(k for k, n in stems.items() if n >= least)
             for y in (0, 1):
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums[y]), pa.string()), pa.array(list(sums[y].values()), pa.int64()), pa.array([y] * len(sums[y]), pa.int32())], names=["word", "n", "y"])
 
@@ -217,19 +243,23 @@ def held_out(key: Column) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Reader, np.ndarray]:
     """The reader and weights from labelled rows outside the held-out fifth.
 
-    Words are features by how far the log-odds of toxic documents that hold them
-    are above the others', in standard errors. Without both labels, or without
+    Words, and stems that are frequent in documents, are features by how far the
+    log-odds of toxic documents with them are above the others', in standard
+    errors. Without both labels, or without
     documents, the score is a constant.
     """
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
     told = told.orderBy(F.md5(F.col(key).cast("string")), key).limit(FIT_ROWS)
-    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(told), key).select("text", "toxic")
+    rows = written(docs.select(key, F.col(text).alias("text")).join(F.broadcast(told), key).select("text", "toxic"), "toxicity-rows")
     n1, n0 = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     model = Model(grams(docs, text))
     z = F.expr(f"(ln((n1 + 0.5) / ({n1} - n1 + 0.5)) - ln((n0 + 0.5) / ({n0} - n0 + 0.5))) / sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))")
-    best = _words(rows).where(F.col("n1") >= SUPPORT).withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "word").limit(FEATURES) if n1 and n0 else None
-    words = [r["word"] for r in best.select("word").collect()] if best else []
-    reader = Reader(words, model)
+    words, stems = [], []
+    if n1 and n0:
+        marked = written(_words(rows).where(F.col("n1") >= SUPPORT).withColumn("z", z).where("z > 3"), "toxicity-words")
+        best = lambda stem, most: [r["word"] for r in marked.where(F.startswith("word", F.lit("^")) == stem).orderBy(F.desc("z"), "word").limit(most).select("word").collect()]
+        words, stems = best(False, FEATURES), [w[1:] for w in best(True, MOST_STEMS)]
+    reader = Reader(words, stems, model)
 
     def features(batches):
         for batch in batches:
@@ -237,7 +267,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     seen = rows.mapInArrow(features, "f array<int>, toxic int").collect()
     y = np.array([r["toxic"] for r in seen], dtype=float)
-    return reader, logistic([r["f"] for r in seen], y, len(words)) if len(seen) else np.zeros(1)
+    return reader, logistic([r["f"] for r in seen], y, reader.width) if len(seen) else np.zeros(reader.width + 1)
 
 
 RESULT = "toxicity_score"
