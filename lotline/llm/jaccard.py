@@ -21,8 +21,10 @@ N = 5
 PERCENT = 80
 #: A shingle in this share of all documents is common; common shingles come last in prefixes.
 COMMON = 0.0005
-#: Parts into which the postings of a common shingle are dealt.
-SALTS = 64
+#: Share of its shingles, beside the first, that a set's prefix has beyond what a meeting needs: as many must be shared.
+EXTRA = 0.05
+#: Longest list whose pairs are counted.
+LIST = 24
 #: Shingles that one task searches at once; larger groups are searched in pairs of blocks.
 GROUP_SHINGLES = 3_000_000
 #: Leading documents that each document is compared with before the search, and DivideSkip's weight of a probe.
@@ -60,9 +62,14 @@ class Shingler:
         return np.unique(out.view(np.int64))
 
 
+def required(n: int) -> int:
+    """Shingles that a set's prefix shares with that of any set it links with (the less of both counts)."""
+    return 1 + int(EXTRA * n)
+
+
 def prefix_size(n: int) -> int:
-    """Of two linked sets, the first so many of the larger and of the smaller one meet, in any common order."""
-    return n - -(-PERCENT * n // 100) + 1
+    """Of two linked sets, prefixes of this size share required() shingles, in any common order."""
+    return min(n, n - -(-PERCENT * n // 100) + required(n)) if n else 0
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -84,7 +91,8 @@ def _common(docs: DataFrame, text: str) -> np.ndarray:
         shingle = Shingler()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            sets = [shingle(x) for x in texts]
+            # prefixes take the lowest hashes: what is common above them plays no part
+            sets = [s[: 2 * prefix_size(len(s))] for s in map(shingle, texts)]
             keys, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64),) * 2
             often = n >= max(2, int(COMMON * len(texts)))
             yield pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(n[often])], names=["shingle", "n"])
@@ -109,7 +117,7 @@ def _signed(docs: DataFrame, key: str, text: str, common) -> DataFrame:
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
                 is_common = often[at] == s if len(often) else np.zeros(len(s), dtype=bool)
-                order = np.concatenate([s[~is_common], s[is_common]])[: prefix_size(len(s)) if len(s) else 0]
+                order = np.concatenate([s[~is_common], s[is_common]])[: prefix_size(len(s))]
                 n.append(len(s))
                 high.append(int.from_bytes(digest[:8], "little", signed=True))
                 low.append(int.from_bytes(digest[8:], "little", signed=True))
@@ -125,40 +133,55 @@ def _signed(docs: DataFrame, key: str, text: str, common) -> DataFrame:
 
 
 def _loose(signed: DataFrame) -> DataFrame:
-    """Edges (a, b) that join all rows of each prefix shingle to one of them.
+    """Edges (a, b) such that rows of linked sets are connected.
 
-    Postings are dealt by shingle and sorted; a pass then ties each row to the
-    first of its list. Lists of common shingles are dealt in SALTS parts, whose
-    first rows are tied in a second, small step.
+    Linked sets share required() shingles of their prefixes. The pairs of each
+    list of at most LIST rows are counted. A longer list, or that of a common
+    shingle, only tells how many such each row has: a pair must share in short
+    lists what is required less those (the T - L of DivideSkip). Only rows whose
+    long lists alone could do are tied, to the first row of each such list.
     """
-    postings = signed.select("row", F.posexplode("prefix").alias("at", "shingle"), "rare").select("shingle", F.when(F.col("at") < F.col("rare"), 0).otherwise(1 + F.pmod(F.xxhash64("row"), F.lit(SALTS))).cast("short").alias("salt"), "row")
+    p = signed.select("row", F.posexplode("prefix").alias("at", "shingle"), "rare", (1 + F.floor(F.lit(EXTRA) * F.col("n"))).cast("int").alias("need"))
+
+    def count(batches):
+        held = [np.zeros(0, np.int64)] * 3
+
+        def told(shingle, row, need):
+            edge = np.append(np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])), len(shingle)) if len(shingle) else np.zeros(1, np.int64)
+            size = np.diff(edge)
+            a, b, n = [], [], []
+            for k in range(2, LIST + 1):
+                at = edge[:-1][size == k][:, None] + np.arange(k)
+                i, j = np.triu_indices(k, 1)
+                a.append(row[at[:, i]].ravel())
+                b.append(row[at[:, j]].ravel())
+                n.append(np.minimum(need[at[:, i]], need[at[:, j]]).ravel())
+            long = np.repeat(size > LIST, size)
+            kind = np.repeat([False, True], [sum(map(len, a)), int(long.sum())])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, row[long]])), pa.array(np.concatenate([*b, shingle[long]])), pa.array(np.concatenate([*n, need[long]]).astype(np.int32)), pa.array(kind)], names=["a", "b", "need", "long"])
 
-    def tie(batches):
-        last = None
         for batch in batches:
-            shingle, salt, row = (batch.column(i).to_numpy() for i in range(3))
-            if not len(row):
-                continue
-            new = np.ones(len(row), dtype=bool)
-            new[1:] = (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])
-            if last and last[:2] == (shingle[0], salt[0]):
-                new[0] = False
-            first = np.flatnonzero(new)
-            head = np.empty(len(row), dtype=np.int64)
-            begun = first[0] if len(first) else len(row)
-            head[:begun] = last[2] if last else 0
-            if len(first):
-                head[begun:] = np.repeat(row[first], np.diff(np.append(first, len(row))))
-            edges = np.unique(np.stack([row[head != row], head[head != row]], axis=1), axis=0)
-            heads = first[salt[first] > 0]
-            a, b = np.concatenate([edges[:, 0], row[heads]]), np.concatenate([edges[:, 1], shingle[heads]])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(edges))], names=["a", "b", "head"])
-            last = (shingle[-1], salt[-1], head[-1])
-
-    tied = written(postings.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "row").mapInArrow(tie, "a long, b long, head boolean"), "jaccard-ties")
-    heads = tied.where("head").select(F.col("b").alias("shingle"), "a")
-    first = heads.groupBy("shingle").agg(F.min("a").alias("b"))
-    return tied.where("not head").select("a", "b").unionByName(heads.join(first, "shingle").where("a <> b").select("a", "b"))
+            new = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            cut = np.searchsorted(new[0], new[0][-1]) if len(new[0]) else 0
+            if cut:
+                yield told(*(x[:cut] for x in new))
+            held = [x[cut:] for x in new]
+        yield told(*held)
+
+    short = p.where(F.col("at") < F.col("rare")).select("shingle", "row", F.col("need").cast("long"))
+    counted = written(short.repartition("shingle").sortWithinPartitions("shingle", "row").mapInArrow(count, "a long, b long, need int, long boolean"), "jaccard-counted")
+    common = p.where(F.col("at") >= F.col("rare")).select("row", "shingle", "need")
+    long = counted.where("long").select(F.col("a").alias("row"), F.col("b").alias("shingle"), "need").unionByName(common)
+    heavy = written(long.groupBy("row").agg(F.count("*").alias("lists"), F.min("need").alias("need")), "jaccard-heavy")
+    pairs = written(counted.where("not long").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")), "jaccard-pairs")
+    of = lambda end: heavy.select(F.col("row").alias(end), F.col("lists").alias(f"of_{end}"))
+    fewer = F.least(F.coalesce("of_a", F.lit(0)), F.coalesce("of_b", F.lit(0)))
+    kept = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("shared") >= F.col("need") - fewer).select("a", "b")
+    # sizes of linked sets differ by a fifth at most, so the larger requirement by little more
+    able = written(heavy.where(F.col("lists") >= 0.79 * F.col("need") - 1).select("row"), "jaccard-able")
+    tied = written(long.join(able, "row").select("row", "shingle"), "jaccard-tied")
+    first = written(tied.groupBy("shingle").agg(F.min("row").alias("b")), "jaccard-first")
+    return kept.unionByName(tied.join(first, "shingle").where("row <> b").select(F.col("row").alias("a"), "b"))
 
 
 class Groups:
@@ -305,9 +328,9 @@ def _links(docs: DataFrame, text: str, key: str, members: DataFrame) -> DataFram
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Groups of documents that are connected by links: (key, n_shingles, component_id).
 
-    Equal sets are one class. Linked sets share a shingle of their prefixes, so
-    classes that share one form loose groups (connected components of lists), and
-    only documents of loose groups are searched with their whole sets. The links
+    Equal sets are one class. Classes whose prefixes share enough form loose
+    groups, and only documents of loose groups are searched with their whole
+    sets. The links
     found there give the groups; component_id is the least key in each.
 
     Texts without words have no shingles and link with nothing, with fewer than
