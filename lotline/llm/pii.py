@@ -20,8 +20,8 @@ REGEX = {
 }
 #: What a text must contain for its pattern to be tried.
 HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Words that may be identifiers: with a digit or "@".
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Words that may be identifiers, with a digit or "@", one or several with a blank between.
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
 #: Characters before a candidate in which its context is looked for.
 CONTEXT = 48
 #: Rounds of scoring; the score and the distinct seeds that make a pattern trusted.
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[s
 def possible(word: Column) -> Column:
     """The kinds (as numbers) that a word outside base spans may be, by its form."""
     digits = F.length(_digits(word))
-    plain = F.rlike(word, F.lit(r"^[0-9().+/-]+$"))
+    plain = F.rlike(word, F.lit(r"^[0-9().+/\x20-]+$"))
     return F.filter(
         F.array(
             F.when(F.rlike(word, F.lit(r"^[^@\s]+@[^@\s]+$")), 0),
