@@ -10,7 +10,6 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,36 +29,71 @@ GROUP_SHINGLES = 3_000_000
 #: Leading documents that each document is compared with before the search, and DivideSkip's weight of a probe.
 LEADERS, MU = 12, 0.01
 
+#: Bytes of text that are hashed together.
+CHUNK_BYTES = 4 << 20
+
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_STEP = 0xD6E8FEB86659FD93
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUE = np.random.default_rng(41).integers(0, 2**64, 256, dtype=np.uint64)
+_VALUE[65:91] = _VALUE[97:123]
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word n-grams."""
+    """Sorted distinct 64-bit hashes of the word n-grams of texts.
+
+    Words are hashed as polynomials of their bytes (A-Z as a-z), read off the
+    running sums of a whole chunk of texts, so no step is made a word or a byte.
+    """
 
     def __init__(self, n: int = N):
-        self.n, self.known = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").encode().lower().split()
-        if not tokens:
-            return np.zeros(0, dtype=np.int64)
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        for w in set(tokens):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in tokens], dtype=np.uint64)
-        size = min(self.n, len(h))
-        out = np.full(len(h) - size + 1, size, dtype=np.uint64)
+        self.n = n
+        self._powers(1 << 16)
+
+    def _powers(self, size: int) -> None:
+        with np.errstate(over="ignore"):
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, r, np.uint64)])) for r in (_STEP, pow(_STEP, -1, 2**64)))
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        out, held, size = [], [], 0
+        for x in texts:
+            held.append((x or "").encode())
+            size += len(held[-1])
+            if size > CHUNK_BYTES:
+                out += self._chunk(held)
+                held, size = [], 0
+        return out + self._chunk(held) if held else out
+
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each word, and how many words each text has."""
+        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        if len(data) >= len(self.up):
+            self._powers(2 * len(data))
+        blank = _BLANK[data]
+        edge = np.flatnonzero(np.diff(blank, prepend=True))
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_VALUE[data] * self.up[: len(data)], out=sums[1:])
+        words = (sums[end] - sums[start]) * self.down[start]
+        words = (words ^ (words >> np.uint64(32))) * _MIX[0]
+        stops = np.cumsum([len(t) + 1 for t in texts])
+        return words ^ (words >> np.uint64(29)), np.diff(np.searchsorted(start, stops), prepend=0)
+
+    def _fold(self, words: np.ndarray, size: int) -> np.ndarray:
+        out = np.full(max(len(words) - size + 1, 0), size, dtype=np.uint64)
+        for i in range(size):
+            out = (out ^ words[i : i + len(out)]) * _MIX[0]
+            out ^= out >> np.uint64(29)
+        out = (out ^ (out >> np.uint64(30))) * _MIX[1]
+        out = (out ^ (out >> np.uint64(27))) * _MIX[2]
+        return (out ^ (out >> np.uint64(31))).view(np.int64)
+
+    def _chunk(self, texts: list[bytes]) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
-            for i in range(size):
-                out = (out ^ h[i : i + len(out)]) * _MIX[0]
-                out ^= out >> np.uint64(29)
-            out = (out ^ (out >> np.uint64(30))) * _MIX[1]
-            out = (out ^ (out >> np.uint64(27))) * _MIX[2]
-            out ^= out >> np.uint64(31)
-        return np.unique(out.view(np.int64))
+            words, count = self._words(texts)
+            every = self._fold(words, self.n)
+            at = np.concatenate([[0], np.cumsum(count)])
+            return [np.unique(every[a : b - self.n + 1]) if b - a >= self.n else self._fold(words[a:b], b - a) if b > a else np.zeros(0, np.int64) for a, b in zip(at, at[1:])]
 
 
 def required(n: int) -> int:
@@ -92,7 +126,7 @@ def _common(docs: DataFrame, text: str) -> np.ndarray:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             # prefixes take the lowest hashes: what is common above them plays no part
-            sets = [s[: 2 * prefix_size(len(s))] for s in map(shingle, texts)]
+            sets = [s[: 2 * prefix_size(len(s))] for s in shingle(texts)]
             keys, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64),) * 2
             often = n >= max(2, int(COMMON * len(texts)))
             yield pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(n[often])], names=["shingle", "n"])
@@ -112,8 +146,7 @@ def _signed(docs: DataFrame, key: str, text: str, common) -> DataFrame:
         shingle, often = Shingler(), common.value
         for batch in batches:
             n, high, low, prefixes, salted = [], [], [], [], []
-            for x in batch.column(3).to_pylist():
-                s = shingle(x)
+            for s in shingle(batch.column(3).to_pylist()):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
                 is_common = often[at] == s if len(often) else np.zeros(len(s), dtype=bool)
@@ -305,8 +338,8 @@ def _links(docs: DataFrame, text: str, key: str, members: DataFrame) -> DataFram
 
         def closed():
             ids = list(rows)
-            two = now[1] != now[2]
-            found = search([rows[r][0] for r in ids], [rows[r][1] for r in ids] if two else None) if len(ids) > 1 else []
+            sets = shingle([rows[r][0] for r in ids])
+            found = search(sets, [rows[r][1] for r in ids] if now[1] != now[2] else None) if len(ids) > 1 else []
             a, b = ([ids[p[x]] for p in found] for x in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -316,8 +349,7 @@ def _links(docs: DataFrame, text: str, key: str, members: DataFrame) -> DataFram
                     if now:
                         yield closed()
                     now, rows = (root, i, j), {}
-                if row not in rows:
-                    rows[row] = (shingle(x), own)
+                rows.setdefault(row, (x, own))
         if now:
             yield closed()
 
