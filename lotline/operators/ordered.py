@@ -60,7 +60,7 @@ def pooled(cells: DataFrame, x: str = "x", n: str = "n", total: str = "total") -
     Cells are first merged by x in Spark; the rows after that (distinct scores)
     are pooled in order in one pass. Round scores if there are very many.
     """
-    merged = cells.groupBy(x).agg(F.sum(n).alias("n"), F.sum(total).alias("total"))
+    merged = cells.groupBy(x).agg(F.sum(n).alias("n"), F.sum(total).alias("total")).withColumn("one", F.lit(1))
 
     def pav(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list[float]] = []
@@ -71,7 +71,7 @@ def pooled(cells: DataFrame, x: str = "x", n: str = "n", total: str = "total") -
                 out[-1] = [last[0], out[-1][1] + last[1], out[-1][2] + last[2]]
         return pd.DataFrame([(b, k, t, t / k) for b, k, t in out], columns=["boundary", "n", "total", "mean"])
 
-    return merged.groupBy(F.lit(0)).applyInPandas(pav, "boundary double, n double, total double, mean double")
+    return merged.groupBy("one").applyInPandas(pav, "boundary double, n double, total double, mean double")
 
 
 def calibrated(scores: DataFrame, score: str, cells: DataFrame) -> DataFrame:
