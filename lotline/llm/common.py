@@ -61,31 +61,37 @@ def pandas_safe(value) -> object:
     return None if value is None or value != value else value
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows_a_task: int = 500_000) -> DataFrame:
     """Connected components: (node, root) with the least node of each component.
 
     Alternates large-star and small-star steps, each of them a grouped minimum
     (combined before its shuffle) and a join, until no edge changes. Nodes that
     appear in no edge are not returned. The number of rounds grows with the
-    logarithm of the longest path, and no list of neighbours is gathered.
+    logarithm of the longest path, and no list of neighbours is gathered. As the
+    edges are counted anyway, few edges are handled by few tasks.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    def large(e: DataFrame, parts: int) -> DataFrame:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that both sides of the join are plain exchanges, whose hot keys Spark can split
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
-        joined = both.join(low, "u")
-        if large:
-            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-
-    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "cc")
-    while True:
-        step = star(star(now, True), False).where("u <> v").distinct()
-        new = written(step, "cc")
-        same = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007)).first() == new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007)).first()
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts), "cc-low")
+        return both.where("v > u").join(low, "u").coalesce(parts).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+    def small(e: DataFrame, parts: int) -> DataFrame:
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        joined = e.join(low, "u").coalesce(parts)
+        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+
+    def told(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007)).first())
+
+    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
+    known = told(now)
+    while known[0]:
+        parts = max(8, -(-known[0] // rows_a_task))
+        new = written(small(large(now, parts), parts).where("u <> v").distinct().coalesce(parts), "cc")
         forget(now)
-        now = new
-        if same:
+        now, before, known = new, known, told(new)
+        if known == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

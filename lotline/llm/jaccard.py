@@ -28,6 +28,10 @@ LIST = 24
 GROUP_SHINGLES = 3_000_000
 #: Leading documents that each document is compared with before the search, and DivideSkip's weight of a probe.
 LEADERS, MU = 12, 0.01
+#: Entries of short lists from which on they are merged by a sort instead of a heap.
+HEAP = 400
+#: Bits for each member in the filter before the join that fetches members' texts, and its most bits.
+FILTER_BITS, MOST_BITS = 16, 1 << 28
 
 #: Bytes of text that are hashed together.
 CHUNK_BYTES = 4 << 20
@@ -234,12 +238,13 @@ class Groups:
             self.up[max(i, j)] = min(i, j)
 
 
-def divide_skip(lists: list[list[int]], t: int) -> list[int]:
+def divide_skip(lists: list[np.ndarray], t: int) -> list[int]:
     """Numbers that are in at least t of the sorted lists.
 
-    The longest lists are left for probing; the short ones are merged by a heap
+    The longest lists are left for probing. The short ones are merged: by a heap
     that skips ahead past numbers which cannot reach t minus the number of long
-    lists, and each survivor is looked up in the long lists by binary search.
+    lists, or, where they hold much, by one sort. Survivors are looked up in the
+    long lists by binary search.
     """
     if len(lists) < t:
         return []
@@ -247,35 +252,46 @@ def divide_skip(lists: list[list[int]], t: int) -> list[int]:
     long = min(t - 1, int(t / (MU * log2(max(len(lists[-1]), 2)) + 1)))
     short, probed = lists[: len(lists) - long], lists[len(lists) - long :][::-1]
     need = t - long
-    heap = [(x[0], i, 0) for i, x in enumerate(short) if x]
+    if sum(map(len, short)) > HEAP:
+        found, n = np.unique(np.concatenate(short), return_counts=True)
+        found, n = found[n >= need], n[n >= need]
+    else:
+        found, n = merge_skip([x.tolist() for x in short], need)
+    for k, x in enumerate(probed):
+        able = n + len(probed) - k >= t
+        found, n = found[able], n[able]
+        if not len(found):
+            break
+        at = np.minimum(np.searchsorted(x, found), len(x) - 1)
+        n = n + (x[at] == found)
+    return found[n >= t].tolist()
+
+
+def merge_skip(lists: list[list[int]], need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are in at least need of the sorted lists, and in how many, by a heap of the lists' heads."""
+    heap = [(x[0], i, 0) for i, x in enumerate(lists) if x]
     heapq.heapify(heap)
-    found = []
+    found, counts = [], []
     while len(heap) >= need:
         top, popped = heap[0][0], []
         while heap and heap[0][0] == top:
             popped.append(heapq.heappop(heap))
+        to = top + 1
         if len(popped) >= need:
-            n = len(popped)
-            for k, x in enumerate(probed):
-                if n >= t or n + len(probed) - k < t:
-                    break
-                i = bisect_left(x, top)
-                n += i < len(x) and x[i] == top
-            if n >= t:
-                found.append(top)
-            to = top + 1
+            found.append(top)
+            counts.append(len(popped))
         else:
             while heap and len(popped) < need - 1:
                 popped.append(heapq.heappop(heap))
             if not heap:
                 break
-            to = max(heap[0][0], top + 1)
+            to = max(heap[0][0], to)
         for _, i, at in popped:
-            x = short[i]
+            x = lists[i]
             at = bisect_left(x, to, at)
             if at < len(x):
                 heapq.heappush(heap, (x[at], i, at))
-    return found
+    return np.array(found, dtype=np.int64), np.array(counts, dtype=np.int64)
 
 
 def search(sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[int, int]]:
@@ -313,8 +329,10 @@ def search(sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[
         every, doc = every[by], doc[by]
         edge = np.append(np.flatnonzero(np.append(True, every[1:] != every[:-1])), len(every))
         shared = np.flatnonzero(np.diff(edge) > 1)
-        index = {k: doc[edge[j] : edge[j + 1]].tolist() for k, j in zip(every[edge[shared]].tolist(), shared)}
+        index = {k: doc[edge[j] : edge[j + 1]] for k, j in zip(every[edge[shared]].tolist(), shared)}
         for i in queries:
+            if groups.of(i) == groups.of(main):
+                continue  # what it links with outside the largest group finds it
             n = len(sets[i])
             for j in divide_skip([index[x] for x in sets[i].tolist() if x in index], -(-PERCENT * n // 100)):
                 if groups.of(i) != groups.of(j) and (side is None or side[order[i]] != side[order[j]]) and linked(sets[i], sets[j]):
@@ -322,13 +340,32 @@ def search(sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[
     return links
 
 
+def _filtered(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose value may be among the keys, so that few others are shuffled to a join with them.
+
+    The filter is a bitmap of key hashes with FILTER_BITS bits a key, at most
+    MOST_BITS in all (32 MB), in rows of 4 KB; this bound is why it may be broadcast.
+    """
+    bits = 1 << 15
+    while bits < min(MOST_BITS, FILTER_BITS * keys.count()):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(bits)) + 1
+    key = F.col(keys.columns[0])
+    maps = keys.groupBy(F.bitmap_bucket_number(place(key)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("__map"))
+    at = F.bitmap_bit_position(place(F.col(column)))
+    hit = F.expr("(conv(hex(substring(__map, cast(floor(__at / 8) as int) + 1, 1)), 16, 10) div cast(power(2, __at % 8) as bigint)) % 2 = 1")
+    joined = df.withColumn("__bucket", F.bitmap_bucket_number(place(F.col(column)))).withColumn("__at", at).join(F.broadcast(maps), "__bucket")
+    return joined.where(hit).select(*df.columns)
+
+
 def _links(docs: DataFrame, text: str, key: str, members: DataFrame) -> DataFrame:
     """Edges (a, b) between rows that link, from the members (row, key, told, root, parts) of loose groups.
 
     A group within GROUP_SHINGLES is one task's work. A larger one is split in
     parts by hash, and each pair of parts is searched by itself.
     """
-    sets = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).join(members, F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("told"))).select("root", "row", "parts", "text")
+    some = _filtered(docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")), "t", members.select("told"))
+    sets = some.join(members.hint("merge"), F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("told"))).select("root", "row", "parts", "text")
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     dealt = sets.withColumn("part", part).withColumn("pair", F.explode(pairs)).select("root", "pair.i", "pair.j", "row", "part", "text")

@@ -9,13 +9,14 @@ from lotline.llm.common import components
 from . import data
 
 
-def test_divide_skip_equals_counting():
+def test_divide_skip_equals_counting(monkeypatch):
     r = random.Random(5)
     for trial in range(300):
-        lists = [sorted(r.sample(range(40), r.randint(0, 30))) for _ in range(r.randint(1, 25))]
+        lists = [sorted(r.sample(range(40), r.randint(1, 30))) for _ in range(r.randint(1, 25))]
         t = r.randint(1, 12)
         counts = Counter(x for a in lists for x in a)
-        assert jaccard.divide_skip(lists, t) == sorted(x for x, n in counts.items() if n >= t), (lists, t)
+        monkeypatch.setattr(jaccard, "HEAP", (10**9, 0)[trial % 2])
+        assert jaccard.divide_skip([np.array(a, dtype=np.int64) for a in lists], t) == sorted(x for x, n in counts.items() if n >= t), (lists, t)
 
 
 def test_local_search_finds_all_components():
@@ -81,3 +82,9 @@ def test_common_passages_and_large_groups(spark, monkeypatch):
         text = " ".join(w) if i < 90 else passage + " " + data.words(r.choice([3, 8, 12, 60]), i % 40)
         rows.append((i, text, "en", "s", 0, 0, "", 0))
     check(spark, spark.createDataFrame(rows, data.KIND), rows)
+
+
+def test_filter_keeps_all_keys(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    kept = {r["k"] for r in jaccard._filtered(df, "k", df.where("k % 7 = 0").withColumnRenamed("k", "told")).collect()}
+    assert {k for k in range(5000) if k % 7 == 0} <= kept and len(kept) < 1500
