@@ -36,6 +36,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t\xa0]\S){2,}(?!\S)")
 _PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?\Z")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00a3\u00a7\u20ac"
 _BETWEEN = re.compile(r"[\s.,\-_*~'`^/\\:;#%&=\"]+")
 
 
@@ -46,26 +47,25 @@ def fold(text: str) -> str:
     return "".join(ALIKE.get(c, c) for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
+_SHAPE = str.maketrans({c: x[0] for c, x in SIGNS.items()} | {"l": "i"})
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
 def skeleton(text: str) -> str:
     """One letter for all that a sign can stand for, each run once: equal for a word and its disguises."""
-    out = []
-    for c in text:
-        k = SIGNS[c][0] if c in SIGNS else "i" if c == "l" else c
-        k = "g" if k == "b" and c == "6" else k
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+    return _RUN.sub(r"\1", text.translate(_SHAPE))
 
 
 class Model:
     """A back-off character model: log P(letter | letters before) from counts of n-grams."""
 
     def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-        context: Counter = Counter()
+        """counts: of n-grams of ORDER + 1 letters."""
+        self.counts, self.context = Counter(), Counter()
         for gram, n in counts.items():
-            context[gram[:-1]] += n
-        self.context = context
+            for k in range(ORDER + 1):
+                self.counts[gram[k:]] += n
+                self.context[gram[k:-1]] += n
 
     def __call__(self, before: str, letter: str) -> float:
         p, weight = 0.0, 1.0
@@ -85,7 +85,7 @@ def restore(seen: str, model: Model) -> str:
     last ORDER letters, and Viterbi keeps the best path into each.
     """
     runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", _BETWEEN.sub("", seen), re.DOTALL)]
-    best = {"^": (0.0, "")}
+    best = {"^" * ORDER: (0.0, "")}
     for c, n in runs:
         after: dict[str, tuple[float, str]] = {}
         arcs = [(x, (KEPT if x == c else SIGNED) + REPEATED * (n != k)) for x in {*SIGNS.get(c, ""), *(c if c.isalpha() else "")} for k in {1, min(n, 2)} for x in [x * k]]
@@ -107,7 +107,7 @@ class Reader:
 
     def __init__(self, words: list[str], stems: list[str], model: Model):
         self.index = {w: i for i, w in enumerate(words)}
-        self.stems = set(stems)
+        self.stems, self.lengths = set(stems), sorted({len(x) for x in stems})
         self.width = len(words) + len(SHARES) + len(NUMBERS)
         self.skeletons = {skeleton(w) for w in words}
         self.model, self.known = model, {}
@@ -116,21 +116,26 @@ class Reader:
         """The features of a token, and whether it begins with a typical stem."""
         parts = _LETTERS.findall(token)
         found = {self.index[w] for w in parts if w in self.index}
-        typical = any(w[:n] in self.stems for w in parts for n in STEMS if len(w) >= n)
-        if not _PLAIN.match(token) or _DOUBLE.search(token) or not token.isascii():
+        typical = any(w[:n] in self.stems for w in parts for n in self.lengths)
+        if not _PLAIN.match(token):
             found |= self.hidden(token)
+        elif not token.isascii() or _DOUBLE.search(token):
+            found |= self.known_as(fold(token).rstrip(".,;:!?"))
         return tuple(found), typical
 
     def hidden(self, token: str) -> set[int]:
         """Features of a token or spaced word that is a disguise, tried with and without marks at its ends."""
         token = fold(token)
-        bare = re.sub(r"^\W+", "", token), re.sub(r"\W+$", "", token)
-        found = set()
-        for form in {token, *bare, re.sub(r"^\W+", "", bare[1])}:
-            if skeleton(_BETWEEN.sub("", form)) in self.skeletons:
-                word = restore(form, self.model)
-                found |= {self.index[word]} if word in self.index else set()
-        return found
+        left = token.lstrip(_MARKS)
+        found = self.known_as(token) | self.known_as(token.rstrip(_MARKS))
+        return found if left == token else found | self.known_as(left) | self.known_as(left.rstrip(_MARKS))
+
+    def known_as(self, form: str) -> set[int]:
+        """The feature of the word behind a form, if its skeleton is that of one."""
+        if skeleton(form if form.isalnum() else _BETWEEN.sub("", form)) not in self.skeletons:
+            return set()
+        word = restore(form, self.model)
+        return {self.index[word]} if word in self.index else set()
 
     def spaced(self, run: str) -> set[int]:
         """Features of single characters with blanks between; each stretch that may be a word is tried."""
@@ -144,8 +149,7 @@ class Reader:
                 if len(short) > most:
                     break
                 if j - i >= 2 and short in self.skeletons:
-                    word = restore(text, self.model)
-                    found |= {self.index[word]} if word in self.index else set()
+                    found |= self.known_as(text)
         return found
 
     def __call__(self, text: str | None) -> list[int]:
@@ -154,7 +158,8 @@ class Reader:
         if len(known) > 500_000:
             known.clear()
         total = typical = 0
-        for t, n in Counter(low.split()).items():
+        tokens = low.split()
+        for t, n in Counter(tokens).items():
             hit = known.get(t)
             if hit is None:
                 known[t] = hit = self.token(t)
@@ -165,8 +170,10 @@ class Reader:
         base = len(self.index)
         found.update(base + i for i, x in enumerate(SHARES) if typical > x * total)
         found.update(base + len(SHARES) + i for i, x in enumerate(NUMBERS) if typical >= x)
-        for m in _SPACED.finditer(low):
-            found |= self.spaced(m[0])
+        single = np.fromiter(map(len, tokens), np.int32, len(tokens)) == 1
+        if len(single) > 2 and (single[:-2] & single[1:-1] & single[2:]).any():
+            for m in _SPACED.finditer(low):
+                found |= self.spaced(m[0])
         return sorted(found)
 
 
@@ -174,21 +181,23 @@ def grams(docs: DataFrame, text: str) -> dict[str, int]:
     """Counts of character n-grams in the words of all documents, the GRAMS most frequent.
 
     Each task counts its words, then the n-grams of distinct words; the sums are
-    Spark's. Words are folded, of letters only, between "^" and "$".
+    Spark's. Words are folded, of letters only, between "^" and "$". Only the
+    longest n-grams are counted; the shorter ones are sums of them.
     """
+    pad = "^" * ORDER
 
     def count(batches):
         for batch in batches:
             words: Counter = Counter()
             for x in batch.column(0).to_pylist():
                 words.update((x or "").lower().split())
-            out: Counter = Counter()
+            out: dict[str, int] = {}
             for token, n in words.items():
                 for w in _LETTERS.findall(fold(token)):
-                    w = f"^{w}$"
-                    for i in range(1, len(w)):
-                        for k in range(max(0, i - ORDER), i + 1):
-                            out[w[k : i + 1]] += n
+                    w = pad + w + "$"
+                    for i in range(len(w) - ORDER):
+                        g = w[i : i + ORDER + 1]
+                        out[g] = out.get(g, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["gram", "n"])
 
     sums = docs.select(text).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
