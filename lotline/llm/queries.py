@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, gru_lm, jaccard, mixing, pii, toxicity, url_filter, warc
+from . import chat, decontam, gru_lm, jaccard, media, mixing, pii, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extract(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings played as recordings; queries are those whose id is divisible by 100."""
+    prints = media.fingerprints(media.played(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id")
+    return media.aligned(prints, lambda key: key % 100 == 0).withColumnRenamed("key", "vec_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -59,4 +65,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.expr("try_cast(tree as long)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_url_filter, op4_mixing, op5_language_model, op6_jaccard, op7_warc, op8_toxicity, op9_decontamination, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_media, op3_url_filter, op4_mixing, op5_language_model, op6_jaccard, op7_warc, op8_toxicity, op9_decontamination, op10_chat)}

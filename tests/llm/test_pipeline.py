@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == [1, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert numbers == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
     assert "pipeline" in entry.queries() and set(queries.QUERIES) <= set(entry.queries())
 
 
