@@ -63,3 +63,43 @@ FROM shown GROUP BY conv_id
 """
 
 SQL = {"op3_url_filter": OP3, "op4_mixing": OP4, "op10_chat": OP10}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6 = rf"""
+WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT r, s FROM (
+    SELECT r, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END AS l FROM words WHERE len(w) > 0) x, unnest(l) t(s)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+links AS (
+  SELECT x, y FROM (SELECT a.r AS x, b.r AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r) p
+  JOIN sizes u ON u.r = x JOIN sizes v ON v.r = y WHERE 100 * k >= 80 * (u.n + v.n - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r AS x, r AS y FROM words UNION SELECT p.x, e.y FROM reach p JOIN ways e ON p.y = e.x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id
+FROM words w LEFT JOIN sizes s ON w.r = s.r JOIN (SELECT p.x, min(o.doc_id) AS c FROM reach p JOIN words o ON p.y = o.r GROUP BY p.x) m ON w.r = m.x
+"""
+
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h)) AS b, sha1(h) AS d, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, CAST(b AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform([3, 2, 1, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(d, CAST(g * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(5 * k AS INT)) & 31 AS INT) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM q
+"""
+
+OP9 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+tests AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(w[j:j+n-1], ' ') AS k FROM b, unnest(range(1, len(w) - n + 2)) t(j)),
+places AS (SELECT r, i, n, array_to_string(w[i:i+n-1], ' ') AS k FROM d, (SELECT DISTINCT n FROM tests) m, unnest(range(1, len(w) - n + 2)) t(i)),
+hits AS (SELECT r, i, p.n, item FROM places p JOIN tests t ON p.k = t.k AND p.n = t.n),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
+marks AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN items i ON d.r = i.r LEFT JOIN marks m ON d.r = m.r
+"""
+
+SQL |= {"op6_jaccard": OP6, "op7_warc": OP7, "op9_decontamination": OP9}

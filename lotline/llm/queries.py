@@ -53,7 +53,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.annotated(docs, table(spark, sf_dir, "benchmark"), result="r")
-    return found.select("doc_id", "r.n_words", "r.n_hit", "r.n_items", "r.items_sha256", "r.contaminated", "r.longest", "r.longest_item")
+    return found.select("doc_id", "r.n_words", "r.n_hit", "r.n_items", "r.items_sha256", "r.contaminated")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def test_stages(spark):
     assert last.columns == [*columns, "copies"] and 0 < last.count() <= docs.count()
 
 
-@pytest.mark.parametrize("name", ["op3_url_filter", "op4_mixing", "op10_chat"])
+@pytest.mark.parametrize("name", ["op3_url_filter", "op4_mixing", "op6_jaccard", "op7_warc", "op9_decontamination", "op10_chat"])
 def test_sql(spark, name):
     db = duckdb.connect()
     for f in glob.glob(f"{SMALL}/*.parquet"):
