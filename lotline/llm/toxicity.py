@@ -16,8 +16,8 @@ from .common import written
 
 #: Labelled rows that the classifier is fitted on at most (those of the lowest hashes).
 FIT_ROWS = 20_000
-#: Words that are features, the toxic documents each must be in, and the weight of the ridge.
-FEATURES, SUPPORT, RIDGE = 300, 3, 1.0
+#: Words that are features, the toxic documents each must be in, its least chi-square, and the weight of the ridge.
+FEATURES, SUPPORT, TYPICAL, RIDGE = 300, 3, 15.0, 1.0
 #: Letters before a letter that the character model looks at, and the n-grams that it keeps.
 ORDER, GRAMS = 4, 250_000
 #: Lengths of word beginnings (stems) that may be typical, the share of a document's words that makes one frequent in it, and the most that are kept.
@@ -252,9 +252,9 @@ def held_out(key: Column) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Reader, np.ndarray]:
     """The reader and weights from labelled rows outside the held-out fifth.
 
-    Words, and stems that are frequent in documents, are features by how far the
-    log-odds of toxic documents with them are above the others', in standard
-    errors. Without both labels, or without
+    Words, and stems that are frequent in documents, are features by the
+    chi-square of how many more toxic documents than their share hold them.
+    Without both labels, or without
     documents, the score is a constant.
     """
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
@@ -262,11 +262,12 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rows = written(docs.select(key, F.col(text).alias("text")).join(F.broadcast(told), key).select("text", "toxic"), "toxicity-rows")
     n1, n0 = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     model = Model(grams(docs, text))
-    z = F.expr(f"(ln((n1 + 0.5) / ({n1} - n1 + 0.5)) - ln((n0 + 0.5) / ({n0} - n0 + 0.5))) / sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))")
+    share = n1 / max(n1 + n0, 1)
+    chi2 = F.expr(f"pow(n1 - (n1 + n0) * {share}, 2) / ((n1 + n0) * {share} * {1 - share})")
     words, stems = [], []
     if n1 and n0:
-        marked = written(_words(rows).where(F.col("n1") >= SUPPORT).withColumn("z", z).where("z > 3"), "toxicity-words")
-        best = lambda stem, most: [r["word"] for r in marked.where(F.startswith("word", F.lit("^")) == stem).orderBy(F.desc("z"), "word").limit(most).select("word").collect()]
+        marked = written(_words(rows).where(F.col("n1") >= SUPPORT).where(F.col("n1") > (F.col("n1") + F.col("n0")) * share).withColumn("chi2", chi2).where(F.col("chi2") > TYPICAL), "toxicity-words")
+        best = lambda stem, most: [r["word"] for r in marked.where(F.startswith("word", F.lit("^")) == stem).orderBy(F.desc("chi2"), "word").limit(most).select("word").collect()]
         words, stems = best(False, FEATURES), [w[1:] for w in best(True, MOST_STEMS)]
     reader = Reader(words, stems, model)
 
