@@ -40,7 +40,7 @@ def test_predicates_and_columns(spark):
     some = read.where("warc_type = 'response' and target_uri like 'http://b/%'")
     assert [r["target_uri"] for r in some.collect()] == ["http://b/3"]
     assert [r["target_uri"] for r in read.where("refers_to is not null").collect()] == ["http://b/2"]
-    assert "warc_type" not in some._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]
+    assert "Filter" not in some._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]
 
 
 def test_plain_and_foreign_files():
