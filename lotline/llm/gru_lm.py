@@ -15,10 +15,10 @@ from .common import written
 HOT = 200_000
 #: Words of the recurrent model (the end among them), its classes of words, its units.
 WORDS, CLASSES, UNITS = 1024, 32, 24
-#: Words in a segment, of which one in RATE is learned from; words that a gradient goes back; segments learned from at once.
-SEGMENT, RATE, BACK, BATCH = 128, 8, 32, 64
-#: Times that the trainers' models are averaged, their learning rate, and the training words to a trainer.
-ROUNDS, STEP, PER_TRAINER, TRAINERS = 2, 0.01, 30_000_000, 64
+#: Words in a segment; words that a gradient goes back; segments learned from at once, at first and at most.
+SEGMENT, BACK, FIRST, BATCH = 128, 32, 16, 256
+#: Times that the trainers' models are averaged (each segment is learned from in one of them), their learning rate, and the training words to a trainer.
+ROUNDS, STEP, PER_TRAINER = 2, 0.01, 30_000_000
 #: Documents and words that are scored side by side.
 SIDE, WINDOW, HELD_WORDS = 512, 64, 3_000_000
 
@@ -116,8 +116,8 @@ def output(p: dict, shape: Shape, h: np.ndarray, y: np.ndarray, grad: dict | Non
 def train(p: dict, shape: Shape, segments, rate: float) -> tuple[dict, int]:
     """Truncated backpropagation over an iterator of segments, with Adam; returns the parameters and the words seen.
 
-    Segments come in batches of BATCH rows of SEGMENT words (-1: none). Gradients
-    go back over BACK words; the state is carried from window to window.
+    Segments come in batches of rows of SEGMENT words (-1: none). Gradients go
+    back over BACK words; the state is carried from window to window.
     """
     p = {k: v.copy() for k, v in p.items()}
     m, v, t, seen = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0, 0
@@ -139,7 +139,7 @@ def train(p: dict, shape: Shape, segments, rate: float) -> tuple[dict, int]:
             dh_out = np.zeros_like(hs)
             dh_out[real] = flow
             dh = np.zeros_like(h)
-            inputs = []
+            inputs, back = [], []
             for j in reversed(range(x.shape[1])):
                 xj, was, z, r, n, mm = kept[j]
                 dh = dh + dh_out[:, j]
@@ -149,14 +149,16 @@ def train(p: dict, shape: Shape, segments, rate: float) -> tuple[dict, int]:
                 da = np.concatenate([dz, dr, dn], axis=1)
                 db = np.concatenate([dz, dr, dn * r], axis=1)
                 inputs.append((xj, da))
-                grad["u"] += was.T @ db
+                back.append((was, db))
                 dh = dh * z + db @ p["u"].T
             word, da = (np.concatenate(c) for c in zip(*inputs))
+            was, db = (np.concatenate(c) for c in zip(*back))
+            grad["u"] = was.T @ db
             order = np.argsort(word, kind="stable")
             edge = np.flatnonzero(np.diff(word[order], prepend=-1))
             grad["x"][word[order][edge]] = np.add.reduceat(da[order], edge, axis=0)
             t, seen = t + 1, seen + int(real.sum())
-            scale = 1 / real.sum()
+            scale = 1 / int(real.sum())
             for k in p:
                 g = np.clip(grad[k] * scale, -1, 1)
                 m[k] += 0.1 * (g - m[k])
@@ -214,41 +216,47 @@ def counted(docs: DataFrame, text: str) -> DataFrame:
     return written(docs.select(text).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def _hot(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent tokens, at most HOT: those from the least count on that so few tokens reach."""
+def _hot(counts: DataFrame) -> tuple[list[tuple[bytes, int]], DataFrame]:
+    """The most frequent tokens, at most HOT: those from the least count on that so few tokens reach (else the end alone); and the others' counts."""
     by_count = counts.groupBy("n").agg(F.count("*").alias("types"))
     reach = by_count.withColumn("reach", F.sum("types").over(Window.orderBy(F.desc("n")))).where(F.col("reach") <= HOT)
     least = reach.agg(F.min("n")).first()[0]
-    if least is None:
-        return []
-    rows = counts.where(F.col("n") >= least).toPandas()
-    return [(bytes(w), int(n)) for w, n in zip(rows["token"], rows["n"])]
+    is_hot = F.col("token") == F.lit(END) if least is None else F.col("n") >= least
+    rows = counts.where(is_hot).toPandas()
+    return [(bytes(w), int(n)) for w, n in zip(rows["token"], rows["n"])], counts.where(~is_hot)
 
 
-def learned(docs: DataFrame, text: str, hot: list[tuple[bytes, int]], total: int, types: int) -> tuple[Shape, dict]:
-    """The model from one in RATE segments of all documents.
+def segments(docs: DataFrame, key: str, text: str, shape: Shape) -> DataFrame:
+    """(told, seq): every segment of all documents as the model's word numbers, and the number it is dealt by, written."""
+    shared = docs.sparkSession.sparkContext.broadcast(shape)
 
-    Segments are dealt to trainers, as many as the words need; each trains from
-    the same parameters, the mean goes to the next round.
-    """
-    shape = Shape(hot, total, types)
-    sc = docs.sparkSession.sparkContext
-    trainers = int(min(max(6, -(-total // PER_TRAINER)), TRAINERS))
-    shared = sc.broadcast(shape)
-
-    def segments(batches):
-        shape = shared.value
-        number, other = shape.words, shape.size
+    def cut(batches):
+        number, other = shared.value.words, shared.value.size
         for batch in batches:
             rows, keys = [], []
             for x, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = tokens(x)
-                for i in range((-told) % RATE, -(-len(words) // SEGMENT), RATE):
-                    rows.append([number.get(w, other) for w in words[i * SEGMENT : (i + 1) * SEGMENT]])
-                    keys.append(told // RATE + i)
+                seq = [number.get(w, other) for w in tokens(x)]
+                for i in range(0, len(seq), SEGMENT):
+                    rows.append(seq[i : i + SEGMENT])
+                    keys.append(told + i // SEGMENT)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.list_(pa.int16()))], names=["told", "seq"])
 
-    parts = written(docs.select(text, F.abs(F.hash(text)).cast("long").alias("told")).mapInArrow(segments, "told long, seq array<smallint>"), "lm-segments")
+    # the key is part of it, so that copies of a text are dealt to several trainers
+    return written(docs.select(text, F.pmod(F.xxhash64(key, text), F.lit(1 << 40)).alias("told")).mapInArrow(cut, "told long, seq array<smallint>"), "lm-segments")
+
+
+def learned(docs: DataFrame, key: str, text: str, hot: list[tuple[bytes, int]], total: int, types: int) -> tuple[Shape, dict]:
+    """The model from every segment of all documents.
+
+    Each segment is learned from once, in one of the ROUNDS. A round deals its
+    segments to trainers, as many as the words need; each trains from the same
+    parameters, their mean (summed in one task) goes to the next round.
+    """
+    shape = Shape(hot, total, types)
+    sc = docs.sparkSession.sparkContext
+    trainers = int(max(6, -(-total // PER_TRAINER)))
+    parts = segments(docs, key, text, shape)
+    shared = sc.broadcast(shape)
     p = shape.start()
     for r in range(ROUNDS):
         now = sc.broadcast(p)
@@ -256,12 +264,13 @@ def learned(docs: DataFrame, text: str, hot: list[tuple[bytes, int]], total: int
         def fit(batches, now=now, rate=STEP / (r + 1)):
             def rows():
                 held: list = []
+                size = FIRST
                 for batch in batches:
                     for s in batch.column("seq").to_pylist():
                         held.append(s)
-                        if len(held) == BATCH:
+                        if len(held) == size:
                             yield filled(held)
-                            held = []
+                            held, size = [], min(size + 4, BATCH)
                 if held:
                     yield filled(held)
 
@@ -275,13 +284,22 @@ def learned(docs: DataFrame, text: str, hot: list[tuple[bytes, int]], total: int
             flat = np.concatenate([q[k].ravel() for k in sorted(q)])
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([flat.tobytes()], pa.binary())], names=["seen", "flat"])
 
-        got = parts.repartition(trainers, "told").sortWithinPartitions("told", F.xxhash64("seq")).mapInArrow(fit, "seen long, flat binary").where("seen > 0").collect()
+        def mean(batches):
+            total, flat = 0, 0.0
+            for batch in batches:
+                for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    total, flat = total + n, flat + np.frombuffer(x, np.float32).astype(float) * n
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(flat / total).astype(np.float32).tobytes()], pa.binary())], names=["seen", "flat"])
+
+        mine = parts.where(F.pmod(F.xxhash64("told"), F.lit(ROUNDS)) == r)
+        models = mine.repartition(trainers, "told").sortWithinPartitions("told", F.xxhash64("seq")).mapInArrow(fit, "seen long, flat binary").where("seen > 0")
+        got = models.repartition(1).mapInArrow(mean, "seen long, flat binary").collect()
         if got:
-            share = np.array([g["seen"] for g in got], dtype=float)
-            flat = sum(np.frombuffer(g["flat"], np.float32).astype(float) * s for g, s in zip(got, share)) / share.sum()
+            flat = np.frombuffer(got[0]["flat"], np.float32)
             out, at = {}, 0
             for k in sorted(p):
-                out[k] = flat[at : at + p[k].size].reshape(p[k].shape).astype(np.float32)
+                out[k] = flat[at : at + p[k].size].reshape(p[k].shape).copy()
                 at += p[k].size
             p = out
     return shape, p
@@ -304,9 +322,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     train_docs = docs.where(~held)
     counts = counted(train_docs, text)
     total, types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    hot = _hot(counts)
-    shape, p = learned(train_docs, text, hot, total, types)
-    least = min((n for _, n in hot), default=0)
+    hot, cold = _hot(counts)
+    shape, p = learned(train_docs, key, text, hot, total, types)
     shared = docs.sparkSession.sparkContext.broadcast((shape, p, hot))
 
     def run(batches):
@@ -351,7 +368,6 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     first = source.mapInArrow(run, f"key {kind}, held_out boolean, n_tokens long, known long, base double, inside double, n_rest long, rare array<struct<token: binary, k: long>>, lm double")
     rows = written(first.withColumn("row", F.monotonically_increasing_id()), "lm-first")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.k")
-    cold = counts.where(F.col("n") < least)
     more = rare.join(cold, "token").groupBy("row").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"))
     all_rows = rows.drop("rare").join(more, "row", "left")
     extra = F.coalesce("more", F.lit(0.0))

@@ -91,3 +91,23 @@ def test_better_than_the_base_on_held_out_text(spark):
     got = gru_lm.scored(spark.createDataFrame(texts, "doc_id long, text string")).where("held_out").collect()
     assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got) and len(got) > 20
     assert gru_lm.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_segment_is_learned_from(spark):
+    texts = [(i, f"w1 w2 x{i}") for i in range(50)] + [(50, "w3 " * 300), (None, None), (7, "w1 w2 x7")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    shape = small_shape()
+    rows = [r["seq"] for r in gru_lm.segments(df, "doc_id", "text", shape).collect()]
+    want = Counter(shape.words.get(w, shape.size) for _, t in texts for w in gru_lm.tokens(t))
+    assert Counter(w for s in rows for w in s) == want
+    assert Counter(map(len, rows)) == {4: 51, 128: 2, 45: 1, 1: 1}
+
+
+def test_counts_where_no_class_of_counts_is_hot(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "HOT", 40)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(30)]
+    rows = [(held.index(False), " ".join(f"v{i}" for i in range(60))), (held.index(True), "v1 v2 new")]
+    got = {r["doc_id"]: r for r in gru_lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, n_tokens, n_known, base in brute(rows)[1]:
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (n_tokens, n_known) and isclose(got[i]["base_score"], base, rel_tol=1e-9)
+        assert np.isfinite(got[i]["score"]) and got[i]["score"] < 0
