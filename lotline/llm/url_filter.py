@@ -43,15 +43,17 @@ def pattern(name: str, regex: str, literals: tuple[str, ...], verdict: str = "bl
 #: The rules on places that the query applies.
 PLACES = (place("org/", "allow"), place("example.org/es/", "block"), place("example.org/en/1", "block"), place("com/fr/", "allow"), place("com/de/", "block"))
 
-#: Patterns for unwanted pages where no place rule fits.
+#: Patterns for unwanted pages where no place rule fits. Words that may be joined are a rule each, as they are one token.
 PATTERNS = (
     pattern("casino", r"://[^/?#]*\bcasino\b", ("casino",)),
-    pattern("pills", r"://[^/?#]*\b(?:cheap|buy|discount)[-_.]?pills?\b", ("pills",)),
+    pattern("pills", r"://[^/?#]*\b(?:cheap|buy|discount)[-_.]pills?\b", ("pills",)),
+    *(pattern("pills", rf"://[^/?#]*\b{x}\b", (x,)) for x in ("cheappills", "cheappill", "buypills", "buypill", "discountpills", "discountpill")),
     pattern("pill", r"://[^/?#]*\b(?:cheap|buy|discount)[-_.]pill\b", ("pill",)),
     pattern("bets", r"://[^/?#]*\b(?:free|best|live)[-_.]bets?\b", ("bets",)),
     pattern("bet", r"://[^/?#]*\b(?:free|best|live)[-_.]bet\b", ("bet",)),
     pattern("adult", r"://[^/?#]*\b(?:xxx|porn|adult)\b", ()),
-    pattern("replica", r"\breplica[-_.]?(?:watch|watches|bags)\b", ("replica",)),
+    pattern("replica", r"\breplica[-_.](?:watch|watches|bags)\b", ("replica",)),
+    *(pattern("replica", rf"\b{x}\b", (x,)) for x in ("replicawatch", "replicawatches", "replicabags")),
     pattern("loan", r"\b(?:payday|quick|instant)[-_.]loans?\b", ()),
     pattern("download", r"\b(?:crack|keygen|warez)\b.*\bdownload\b", ("download",)),
 )

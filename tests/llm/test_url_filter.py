@@ -1,4 +1,6 @@
-from lotline.llm import url_filter
+import re
+
+from lotline.llm import oracle, url_filter
 
 PLACES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 URLS = ["http://a.example.org/es/1", "http://EXAMPLE.org/en/17?x", "http://org", "http://org/", "http://xorg/", "http://a.com/fr/", "http://a.com/FR/", "http://a.com/de", "http://a.com/de/x#y", "no scheme", "", None, "http://m.casino-win.example.net/x", "x://y://z/org/", "http://a.com?/fr/", "http://casinos.net/", "http://buy-pills.net/a", "http://a.com:80/fr/", "http://e.org/" + "a/" * 5000, "http://b.net/payday-loan", "HTTP://A.ORG/Path", "http://net/\u00e9"]
@@ -36,3 +38,14 @@ def test_only_candidates_run(spark):
     tried = {r["page_id"]: r["rules_tried"] for r in got.collect()}
     assert tried[2] == tried[1] + 1
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_patterns_equal_a_scan_of_the_sql_ones(spark):
+    scan = re.findall(r"regexp_matches\(low, '(.*?)'\)", oracle.OP3)
+    assert len(scan) == 8
+    firsts, seconds = ["cheap", "buy", "discount", "free", "best", "live", "replica", "payday", "quick", "instant"], ["pills", "pill", "bets", "bet", "watch", "watches", "bags", "loans", "loan"]
+    texts = [a + s + b for a in firsts for s in ("", "-", "_", ".", "--") for b in seconds] + ["casino", "xxx", "porn", "adult", "crack-download", "warez/a/download", "keygendownload"]
+    urls = [u for t in texts for u in (f"http://{t}.net/", f"http://{t.upper()}s.net/", f"http://a.{t}-x.net/", f"http://a.net/{t}", f"http://x{t}.net/?{t}", f"http://a.net/{t}_")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    want = {i: "block" if any(re.search(x, u.lower()) for x in scan) else "allow" for i, u in enumerate(urls)}
+    assert got == want and want[urls.index("http://cheappills.net/")] == want[urls.index("http://a.net/replicawatches")] == "block"
