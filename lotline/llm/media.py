@@ -104,13 +104,15 @@ def fingerprints(media: DataFrame, key: str = "id", column: str = "media") -> Da
 
 
 def aligned(prints: DataFrame, is_query) -> DataFrame:
-    """A row a recording: class_id, n_codes, and the best query it matches, with offset and bit errors.
+    """A row for each recording and query that it matches, with offset and bit errors; one row, without a query, for others.
+
+    All rows have class_id, n_codes and n_links, the number of queries matched.
 
     Recordings of equal codes are one class, of which the least key stands for
     all. Codes of query classes fetch the classes that have them; the offsets of
     these hits are counted (a grouped sum, combined before its shuffle), and the
     pair's best offset is judged by the share of wrong bits where the two
-    overlap. Ties go to the smaller offset, then to the least query.
+    overlap. Ties go to the smaller offset.
     """
     rows = written(prints.withColumn("print", F.sha2(F.array_join("codes", ","), 256)), "media-prints")
     classes = written(rows.where("size(codes) > 0").groupBy("print").agg(F.min("key").alias("class_id"), F.max(F.coalesce(is_query(F.col("key")), F.lit(False))).alias("query"), F.min_by("codes", "key").alias("codes")), "media-classes")
@@ -122,10 +124,11 @@ def aligned(prints: DataFrame, is_query) -> DataFrame:
     pairs = best.select("query_id", "class_id", "b.shared", "b.offset").join(classes.select(F.col("class_id").alias("query_id"), F.col("codes").alias("x")), "query_id").join(classes.select("class_id", F.col("codes").alias("y")), "class_id")
     wrong = F.transform(F.sequence(F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("x"), F.size("y") - F.col("offset")) - 1), lambda i: F.bit_count(F.get("x", i).bitwiseXOR(F.get("y", (i + F.col("offset")).cast("int")))))
     judged = pairs.select("query_id", "class_id", "shared", "offset", (F.aggregate(wrong, F.lit(0), lambda a, b: a + b) / (32.0 * F.size(wrong))).alias("bit_error")).where(F.col("bit_error") <= MOST_ERRORS)
-    match = written(judged.groupBy("class_id").agg(F.min(F.struct("bit_error", "query_id", "offset", "shared")).alias("m")), "media-match")
-    named = written(classes.join(match, "class_id", "left").select(F.col("print").alias("p"), "class_id", "m"), "media-named")
+    links = written(judged, "media-links")
+    number = links.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    named = written(classes.select(F.col("print").alias("p"), "class_id").join(number, "class_id", "left").join(links, "class_id", "left"), "media-named")
     out = rows.join(named, F.col("print") == F.col("p"), "left")
-    return out.select("key", F.coalesce("class_id", "key").alias("class_id"), F.size("codes").cast("long").alias("n_codes"), F.col("m.query_id"), F.col("m.offset").cast("long").alias("offset"), F.col("m.shared"), F.col("m.bit_error"))
+    return out.select("key", F.coalesce("class_id", "key").alias("class_id"), F.size("codes").cast("long").alias("n_codes"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "query_id", F.col("offset").cast("long").alias("offset"), "shared", "bit_error")
 
 
 def played(vectors: DataFrame, key: str, vector: str) -> DataFrame:

@@ -17,7 +17,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings played as recordings; queries are those whose id is divisible by 100."""
+    """The embeddings played as recordings, a row for each query they match; queries are those whose id is divisible by 100."""
     prints = media.fingerprints(media.played(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id")
     return media.aligned(prints, lambda key: key % 100 == 0).withColumnRenamed("key", "vec_id")
 

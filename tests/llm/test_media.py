@@ -38,3 +38,14 @@ def test_alignment(spark):
     assert got[7]["query_id"] == 0 and got[7]["offset"] == -40
     assert [got[i]["n_codes"] for i in (4, 5, 6)] == [0, 0, 0]
     assert media.aligned(media.fingerprints(df.limit(0)), lambda k: k == 0).count() == 0
+
+
+def test_all_queries_that_match(spark):
+    r = np.random.default_rng(3)
+    song = r.integers(0, 24, 60)
+    rows = [(0, wav(song)), (1, wav(song[20:])), (2, wav(song[20:])), (3, wav(r.integers(0, 24, 60))), (10, wav(np.concatenate([r.integers(0, 24, 10), song])))]
+    got = media.aligned(media.fingerprints(spark.createDataFrame(rows, "id long, media binary")), lambda k: k % 10 == 0).collect()
+    links = {(x["key"], x["query_id"]): x["offset"] for x in got}
+    assert len(got) == len(links)
+    assert links == {(0, 10): -20, (10, 0): 20, (1, 0): -40, (1, 10): -60, (2, 0): -40, (2, 10): -60, (3, None): None}
+    assert {(x["key"], x["n_links"]) for x in got} == {(0, 1), (10, 1), (1, 2), (2, 2), (3, 0)}
