@@ -29,12 +29,13 @@ SHARES, NUMBERS = (0.001, 0.0025, 0.005, 0.0075, 0.01, 0.0125, 0.015, 0.02, 0.03
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s"}
 #: Cyrillic and Greek letters that look like Latin ones.
 ALIKE = dict(zip("аеорсухіјѕкмнтвαοερντικ", "aeopcyxijskmhtbaoepvtik"))
+#: Characters of a piece of a word with blanks in it, at most.
+PIECE = 2
 #: Log-probabilities of the channel: a letter as it is, by a sign, written more than once, a mark left out.
 KEPT, SIGNED, REPEATED, DROPPED = log(0.9), log(0.04), log(0.03), log(0.03)
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t\xa0]\S){2,}(?!\S)")
-_PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?\Z")
+_PLAIN = re.compile(r"[^\W\d_]+[.,;:?]?\Z")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00a3\u00a7\u20ac"
 _BETWEEN = re.compile(r"[\s.,\-_*~'`^/\\:;#%&=\"]+")
@@ -47,12 +48,23 @@ def fold(text: str) -> str:
     return "".join(ALIKE.get(c, c) for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
-_SHAPE = str.maketrans({c: x[0] for c, x in SIGNS.items()} | {"l": "i"})
+def _classes() -> dict[str, str]:
+    """The least letter of those that signs connect, for each such letter and sign."""
+    out: dict[str, str] = {}
+    for sign, letters in SIGNS.items():
+        joined = {out.get(x, x) for x in (sign, *letters)}
+        least = min(x for x in joined if x.isalpha())
+        out |= {x: least for x, y in out.items() if y in joined} | {x: least for x in (sign, *letters)}
+    return out
+
+
+_CLASS = _classes()
+_SHAPE = str.maketrans(_CLASS)
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 
 def skeleton(text: str) -> str:
-    """One letter for all that a sign can stand for, each run once: equal for a word and its disguises."""
+    """One letter for all letters and signs that are connected, each run once: equal for a word and its disguises without left-out signs."""
     return _RUN.sub(r"\1", text.translate(_SHAPE))
 
 
@@ -110,6 +122,7 @@ class Reader:
         self.stems, self.lengths = set(stems), sorted({len(x) for x in stems})
         self.width = len(words) + len(SHARES) + len(NUMBERS)
         self.skeletons = {skeleton(w) for w in words}
+        self.begun = {x[:n] for x in self.skeletons for n in range(len(x) + 1)}
         self.model, self.known = model, {}
 
     def token(self, token: str) -> tuple[tuple[int, ...], bool]:
@@ -130,26 +143,42 @@ class Reader:
         found = self.known_as(token) | self.known_as(token.rstrip(_MARKS))
         return found if left == token else found | self.known_as(left) | self.known_as(left.rstrip(_MARKS))
 
+    def after(self, begun: set[str], text: str) -> set[str]:
+        """The beginnings of skeletons that the lattice of restore() can be at after more text: letters and signs go on or repeat, all but letters may be left out."""
+        for c in text:
+            letter = c.isalpha()
+            now = set() if letter else set(begun)
+            if letter or c in SIGNS:
+                x = _CLASS.get(c, c)
+                for s in begun:
+                    if s[-1:] == x:
+                        now.add(s)
+                    if s + x in self.begun:
+                        now.add(s + x)
+            if not now:
+                return now
+            begun = now
+        return begun
+
     def known_as(self, form: str) -> set[int]:
-        """The feature of the word behind a form, if its skeleton is that of one."""
-        if skeleton(form if form.isalnum() else _BETWEEN.sub("", form)) not in self.skeletons:
+        """The feature of the word behind a form, if the form may be a disguise of one."""
+        if self.after({""}, form).isdisjoint(self.skeletons):
             return set()
         word = restore(form, self.model)
         return {self.index[word]} if word in self.index else set()
 
-    def spaced(self, run: str) -> set[int]:
-        """Features of single characters with blanks between; each stretch that may be a word is tried."""
-        chars = fold(run).split()
-        found, most = set(), max(map(len, self.skeletons), default=0)
-        for i in range(len(chars)):
-            text = ""
-            for j in range(i, len(chars)):
-                text += chars[j]
-                short = skeleton(_BETWEEN.sub("", text))
-                if len(short) > most:
+    def spaced(self, pieces: list[str]) -> set[int]:
+        """Features of short pieces with blanks between; each stretch that may be a word is tried."""
+        pieces = [fold(x) for x in pieces]
+        found: set[int] = set()
+        for i in range(len(pieces) - 1):
+            begun = self.after({""}, pieces[i])
+            for j in range(i + 1, len(pieces)):
+                begun = self.after(begun, pieces[j])
+                if not begun - {""}:
                     break
-                if j - i >= 2 and short in self.skeletons:
-                    found |= self.known_as(text)
+                if not begun.isdisjoint(self.skeletons):
+                    found |= self.known_as("".join(pieces[i : j + 1]))
         return found
 
     def __call__(self, text: str | None) -> list[int]:
@@ -170,10 +199,11 @@ class Reader:
         base = len(self.index)
         found.update(base + i for i, x in enumerate(SHARES) if typical > x * total)
         found.update(base + len(SHARES) + i for i, x in enumerate(NUMBERS) if typical >= x)
-        single = np.fromiter(map(len, tokens), np.int32, len(tokens)) == 1
-        if len(single) > 2 and (single[:-2] & single[1:-1] & single[2:]).any():
-            for m in _SPACED.finditer(low):
-                found |= self.spaced(m[0])
+        short = np.fromiter(map(len, tokens), np.int32, len(tokens)) <= PIECE
+        edge = np.flatnonzero(np.diff(short, prepend=False, append=False))
+        for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if j - i > 1:
+                found |= self.spaced(tokens[i:j])
         return sorted(found)
 
 

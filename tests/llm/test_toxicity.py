@@ -50,3 +50,27 @@ def test_awkward_rows(spark, tables):
     odd = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (3, 0)], "doc_id long, toxic int")
     assert toxicity.scored(df, odd).count() == len(rows)
     assert toxicity.clean(df.limit(0), tables[1]).count() == 0
+
+
+def reader(words):
+    grams = {}
+    for w in words:
+        w = "^" * toxicity.ORDER + w + "$"
+        for i in range(len(w) - toxicity.ORDER):
+            g = w[i : i + toxicity.ORDER + 1]
+            grams[g] = grams.get(g, 0) + 1000
+    return toxicity.Reader(words, [], toxicity.Model(grams))
+
+
+@pytest.mark.parametrize("sign", toxicity.SIGNS)
+def test_each_sign_stands_for_each_of_its_letters_and_may_be_left_out(sign):
+    for letter in toxicity.SIGNS[sign]:
+        word = f"qu{letter}nk"
+        assert reader([word])(f"so qu{sign}nk here") == [0], letter
+    assert reader(["vohum"])(f"v{sign}o{sign}h{sign}u{sign}m") == [0]
+
+
+def test_look_up_is_as_wide_as_the_lattice():
+    r = reader(["bad", "hello", "evil"])
+    assert [r(x) for x in ("6ad", "b|a|d", "b!a!d", "[b]a{d}", "b>a?d", "he££o", "evi!", "ba d", "b a d", "b\na\n\nd", "b  a   d")] == [[0]] * 5 + [[1], [2]] + [[0]] * 4
+    assert r("a d b calm ba") == [] and r("no evi or hel") == []
