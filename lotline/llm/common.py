@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none (a local test) a temporary folder is used.
+    Only where the session names none and has no other machines (a local test) a
+    temporary folder is used; on a cluster that would lose rows, so it raises.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(spark, "_lotline_dir", None):
         spark._lotline_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
     return spark._lotline_dir
@@ -39,11 +43,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a written() table that nothing reads any more."""
-    sc = df.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(df._lotline_path)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of written() tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._lotline_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits for each key in a filter, and its most bits.
+FILTER_BITS, MOST_BITS = 16, 1 << 28
+
+
+def maybe_among(df: DataFrame, value: Column, keys: DataFrame) -> DataFrame:
+    """df with a column __hit: false where the value is surely not in the one column of keys.
+
+    So most rows that have no partner are told before a join, and their other
+    columns aren't shuffled. The filter is a bitmap of key hashes with FILTER_BITS
+    bits a key, at most MOST_BITS in all (32 MB), in rows of 4 KB; this bound is
+    why it may be broadcast. Nulls don't hit.
+    """
+    bits = 1 << 15
+    while bits < min(MOST_BITS, FILTER_BITS * keys.count()):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(bits)) + 1
+    key = F.col(keys.columns[0])
+    maps = keys.groupBy(F.bitmap_bucket_number(place(key)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("__map"))
+    hit = F.expr("(conv(hex(substring(__map, cast(floor(__at / 8) as int) + 1, 1)), 16, 10) div cast(power(2, __at % 8) as bigint)) % 2 = 1")
+    rows = df.withColumn("__bucket", F.bitmap_bucket_number(place(value))).withColumn("__at", F.bitmap_bit_position(place(value)))
+    return rows.join(F.broadcast(maps), "__bucket", "left").select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(value.isNotNull() & hit, F.lit(False)).alias("__hit"))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -71,10 +99,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rows_a_task: int =
     edges are counted anyway, few edges are handled by few tasks.
     """
 
+    lows: list[DataFrame] = []
+
     def large(e: DataFrame, parts: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that both sides of the join are plain exchanges, whose hot keys Spark can split
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts), "cc-low")
+        lows.append(low)
         return both.where("v > u").join(low, "u").coalesce(parts).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
     def small(e: DataFrame, parts: int) -> DataFrame:
@@ -90,8 +121,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rows_a_task: int =
     while known[0]:
         parts = max(8, -(-known[0] // rows_a_task))
         new = written(small(large(now, parts), parts).where("u <> v").distinct().coalesce(parts), "cc")
-        forget(now)
+        forget(now, lows.pop())
         now, before, known = new, known, told(new)
         if known == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "cc-roots")
+    forget(now)
+    return out

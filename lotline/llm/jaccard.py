@@ -10,10 +10,10 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, written
+from .common import components, forget, maybe_among, written
 
 N = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -30,9 +30,6 @@ GROUP_SHINGLES = 3_000_000
 LEADERS, MU = 12, 0.01
 #: Entries of short lists from which on they are merged by a sort instead of a heap.
 HEAP = 400
-#: Bits for each member in the filter before the join that fetches members' texts, and its most bits.
-FILTER_BITS, MOST_BITS = 16, 1 << 28
-
 #: Bytes of text that are hashed together.
 CHUNK_BYTES = 4 << 20
 
@@ -217,8 +214,11 @@ def _loose(signed: DataFrame) -> DataFrame:
     # sizes of linked sets differ by a fifth at most, so the larger requirement by little more
     able = written(heavy.where(F.col("lists") >= 0.79 * F.col("need") - 1).select("row"), "jaccard-able")
     tied = written(long.join(able, "row").select("row", "shingle"), "jaccard-tied")
+    forget(counted, able)
     first = written(tied.groupBy("shingle").agg(F.min("row").alias("b")), "jaccard-first")
-    return kept.unionByName(tied.join(first, "shingle").where("row <> b").select(F.col("row").alias("a"), "b"))
+    out = written(kept.unionByName(tied.join(first, "shingle").where("row <> b").select(F.col("row").alias("a"), "b")), "jaccard-loose")
+    forget(heavy, pairs, tied, first)
+    return out
 
 
 class Groups:
@@ -340,31 +340,13 @@ def search(sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[
     return links
 
 
-def _filtered(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows whose value may be among the keys, so that few others are shuffled to a join with them.
-
-    The filter is a bitmap of key hashes with FILTER_BITS bits a key, at most
-    MOST_BITS in all (32 MB), in rows of 4 KB; this bound is why it may be broadcast.
-    """
-    bits = 1 << 15
-    while bits < min(MOST_BITS, FILTER_BITS * keys.count()):
-        bits *= 2
-    place = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(bits)) + 1
-    key = F.col(keys.columns[0])
-    maps = keys.groupBy(F.bitmap_bucket_number(place(key)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("__map"))
-    at = F.bitmap_bit_position(place(F.col(column)))
-    hit = F.expr("(conv(hex(substring(__map, cast(floor(__at / 8) as int) + 1, 1)), 16, 10) div cast(power(2, __at % 8) as bigint)) % 2 = 1")
-    joined = df.withColumn("__bucket", F.bitmap_bucket_number(place(F.col(column)))).withColumn("__at", at).join(F.broadcast(maps), "__bucket")
-    return joined.where(hit).select(*df.columns)
-
-
 def _links(docs: DataFrame, text: str, key: str, members: DataFrame) -> DataFrame:
     """Edges (a, b) between rows that link, from the members (row, key, told, root, parts) of loose groups.
 
     A group within GROUP_SHINGLES is one task's work. A larger one is split in
     parts by hash, and each pair of parts is searched by itself.
     """
-    some = _filtered(docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")), "t", members.select("told"))
+    some = maybe_among(docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")), F.col("t"), members.select("told")).where("__hit")
     sets = some.join(members.hint("merge"), F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("told"))).select("root", "row", "parts", "text")
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
@@ -394,39 +376,74 @@ def _links(docs: DataFrame, text: str, key: str, members: DataFrame) -> DataFram
     return grouped.mapInArrow(run, "a long, b long")
 
 
+def _placed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: facts (row, key, told, n, high, low) of all documents, and classes of equal sets (high, low, n, first, least, root).
+
+    first is the class's document with the least key, null keys last. All other
+    tables are deleted again.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, text))
+    signed = _signed(docs, key, text, common)
+    tied = _loose(signed)
+    loose = components(tied)
+    forget(tied)
+    facts = written(signed.select("row", "key", "told", "n", "high", "low"), "jaccard-facts")
+    forget(signed)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "told", "row")).alias("first")
+    classes = written(facts.where("n > 0").groupBy("high", "low", "n").agg(first, F.min("key").alias("least")), "jaccard-classes")
+    able = classes.join(loose, F.col("first.row") == F.col("node")).select("first.row", "first.key", "first.told", "n", "root")
+    size = able.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    members = written(able.join(size, "root").select("row", "key", "told", "root", F.ceil(F.col("shingles") / GROUP_SHINGLES).cast("int").alias("parts")), "jaccard-members")
+    edges = written(_links(docs, text, key, members), "jaccard-links")
+    links = components(edges)
+    placed = written(classes.join(links, F.col("first.row") == F.col("node"), "left").select("high", "low", "n", "first", "least", F.coalesce("root", "first.row").alias("root")), "jaccard-placed")
+    forget(loose, classes, members, edges, links)
+    return facts, placed
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Groups of documents that are connected by links: (key, n_shingles, component_id).
 
     Equal sets are one class. Classes whose prefixes share enough form loose
     groups, and only documents of loose groups are searched with their whole
-    sets. The links
-    found there give the groups; component_id is the least key in each.
+    sets. The links found there give the groups; component_id is the least key
+    in each.
 
     Texts without words have no shingles and link with nothing, with fewer than
     five words the whole sequence is the one shingle. Keys may repeat or be null
     (the least key of a group is then the least that is not null). Rows: as many
-    as documents. docs is read three times and must give the same rows each time,
-    which tables in files do.
+    as documents. docs is read several times and must give the same rows each
+    time, which tables in files do.
     """
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, text))
-    signed = _signed(docs, key, text, common)
-    loose = components(_loose(signed))
-    facts = signed.select("row", "key", "told", "n", "high", "low")
-    classes = written(facts.where("n > 0").groupBy("high", "low", "n").agg(F.min("row").alias("row"), F.min(F.struct("row", "key", "told")).alias("first"), F.min("key").alias("least")), "jaccard-classes")
-    able = classes.join(loose, F.col("row") == F.col("node")).select("row", "first.key", "first.told", "n", "root")
-    size = able.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
-    members = written(able.join(size, "root").select("row", "key", "told", "root", F.ceil(F.col("shingles") / GROUP_SHINGLES).cast("int").alias("parts")), "jaccard-members")
-    links = components(written(_links(docs, text, key, members), "jaccard-links"))
-    placed = written(classes.join(links, F.col("row") == F.col("node"), "left").select("high", "low", "n", "least", F.coalesce("root", "row").alias("root")), "jaccard-placed")
+    facts, placed = _placed(docs, key, text)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(placed.join(least, "root").select(F.col("high").alias("h"), F.col("low").alias("l"), "component_id"), "jaccard-named")
+    forget(placed)
     out = facts.join(named, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("n") > 0), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one of each group: that with the least key, null keys last."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
-    placed = groups(rows, "__row", text).select("__row", "component_id").join(rows.select("__row", F.col(key).alias("__key")), "__row")
-    kept = placed.groupBy("component_id").agg(F.min_by("__row", F.struct(F.col("__key").isNull(), "__key", "__row")).alias("__row")).select("__row")
-    return rows.join(written(kept, "jaccard-kept"), "__row", "left_semi").drop("__row")
+    """The documents with one of each group: that with the least key, null keys last; documents without words all stay.
+
+    What goes is told by key and text. Rows whose key and text are surely not
+    among those pass as they are; only the others are shuffled, to a join that
+    drops them. Of rows equal in both, one stays where their group's document is
+    one of them. All columns stay, whatever their names.
+    """
+    facts, placed = _placed(docs, key, text)
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.row", "first.key", "first.told")
+    kept = written(kept, "jaccard-kept")
+    gone = facts.where("n > 0").join(kept.select("row"), "row", "left_anti").select("key", "told").distinct()
+    stays = kept.select(F.col("key").alias("k"), F.col("told").alias("t"), F.lit(True).alias("one"))
+    odd = written(gone.join(stays, F.col("key").eqNullSafe(F.col("k")) & (F.col("told") == F.col("t")), "left").select(F.col("key").alias("odd_key"), F.col("told").alias("odd_told"), F.coalesce("one", F.lit(False)).alias("one")), "jaccard-odd")
+    forget(facts, placed, kept)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    of = lambda name: F.col(f"c{docs.columns.index(name)}")
+    told = maybe_among(rows.withColumn("told", F.xxhash64(of(text))), F.col("told"), odd.select("odd_told").distinct())
+    same = of(key).eqNullSafe(F.col("odd_key")) & (F.col("told") == F.col("odd_told"))
+    met = told.where("__hit").join(odd, same, "left")
+    nth = F.row_number().over(Window.partitionBy("odd_key", "odd_told").orderBy("odd_told"))
+    one = met.where("one").withColumn("nth", nth).where("nth = 1")
+    columns = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return told.where("not __hit").select(*columns).unionByName(met.where("one is null").select(*columns)).unionByName(one.select(*columns))

@@ -2,9 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lotline.llm import jaccard
-from lotline.llm.common import components
+from lotline.llm.common import components, maybe_among
 
 from . import data
 
@@ -68,6 +69,8 @@ def test_awkward_rows(spark):
     of, sets = data.groups([r[1] for r in rows])
     assert kept.columns == df.columns
     assert kept.count() == len({g for g, s in zip(of, sets) if s}) + sum(not s for s in sets)
+    renamed = jaccard.deduplicated(df.withColumnRenamed("key", "__row").withColumnRenamed("row", "__hit"))
+    assert renamed.columns == [*df.columns[:-2], "__row", "__hit"] and data.rows_of(renamed) == data.rows_of(kept)
 
 
 def test_common_passages_and_large_groups(spark, monkeypatch):
@@ -86,5 +89,5 @@ def test_common_passages_and_large_groups(spark, monkeypatch):
 
 def test_filter_keeps_all_keys(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
-    kept = {r["k"] for r in jaccard._filtered(df, "k", df.where("k % 7 = 0").withColumnRenamed("k", "told")).collect()}
+    kept = {r["k"] for r in maybe_among(df, F.col("k"), df.where("k % 7 = 0").withColumnRenamed("k", "told")).where("__hit").collect()}
     assert {k for k in range(5000) if k % 7 == 0} <= kept and len(kept) < 1500
