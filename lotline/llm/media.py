@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 #: Samples a second that recordings are brought to, samples of a window and between windows.
 RATE, WINDOW, HOP = 4000, 512, 128
@@ -18,8 +18,12 @@ RATE, WINDOW, HOP = 4000, 512, 128
 LOW, HIGH, TONE = 110.0, 1760.0, 220.0
 #: Frames that the widest filter covers; filters, of two bits each.
 SPAN, FILTERS = 16, 16
+#: Stands for a place without sound; such places are compared with nothing.
+SILENT = -1
 #: Edges of the four values of a filter's log-ratio.
 EDGES = (-0.2, 0.0, 0.2)
+#: Bytes of recordings that are made in one batch.
+BATCH_BYTES = 8 << 20
 #: Shared codes at the best offset and share of wrong bits that make a match.
 LEAST_CODES, MOST_ERRORS = 4, 0.25
 
@@ -61,7 +65,7 @@ def codes(frames: np.ndarray) -> np.ndarray:
     frames: side by side in time or in pitch, in thirds of time, or crosswise by
     i mod 4; where it lies in pitch and how wide it is follow from i. Areas are
     differences of the integral image; the log of the areas' ratio gives two Gray
-    coded bits.
+    coded bits. Places where all frames are silent have SILENT instead.
     """
     n = len(frames) - SPAN + 1
     if n < 1:
@@ -88,45 +92,67 @@ def codes(frames: np.ndarray) -> np.ndarray:
             a, b = area(0, half, p, mid) + area(half, w, mid, q), area(0, half, mid, q) + area(half, w, p, mid)
         level = np.searchsorted(EDGES, np.log((a + 0.1) / (b + 0.1)))
         out = (out << 2) | (level ^ (level >> 1))
-    return out
+    return np.where(area(0, SPAN, 0, 12) > 0, out, SILENT)
 
 
 def fingerprints(media: DataFrame, key: str = "id", column: str = "media") -> DataFrame:
-    """(key, frames, codes) of each recording; bytes that are no 16-bit PCM WAV file, null and short ones have no codes."""
+    """(key, codes) of each recording; bytes that are no 16-bit PCM WAV file, null and short ones have no codes.
+
+    One recording at a time is decoded; Spark bounds what a batch holds in bytes.
+    """
 
     def run(batches):
         for batch in batches:
-            found = [codes(chroma(samples(x))) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], names=["key", "codes"])
+            found = (codes(chroma(samples(x.as_py()))) for x in batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "codes"])
 
     kind = dict(media.dtypes)[key]
     return media.select(F.col(key).alias("key"), F.col(column).alias("media")).mapInArrow(run, f"key {kind}, codes array<long>")
 
 
+def _runs(classes: DataFrame) -> DataFrame:
+    """(c, query, at, length, code): stretches of one code, without silence."""
+    n = F.size("codes")
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("codes", i) != F.get("codes", i - 1)))
+    runs = F.transform("starts", lambda s, k: F.struct(s.alias("at"), (F.coalesce(F.get("starts", k + 1), n) - s).alias("length"), F.get("codes", s).alias("code")))
+    return classes.withColumn("starts", starts).select("c", "query", F.inline(runs)).where(F.col("code") != SILENT)
+
+
 def aligned(prints: DataFrame, is_query) -> DataFrame:
     """A row for each recording and query that it matches, with offset and bit errors; one row, without a query, for others.
 
     All rows have class_id, n_codes and n_links, the number of queries matched.
 
     Recordings of equal codes are one class, of which the least key stands for
-    all. Codes of query classes fetch the classes that have them; the offsets of
-    these hits are counted (a grouped sum, combined before its shuffle), and the
-    pair's best offset is judged by the share of wrong bits where the two
-    overlap. Ties go to the smaller offset.
+    all; it is a query if any of its recordings is. Codes of query classes fetch
+    the classes that have them; the offsets of these hits are counted (a grouped
+    sum, combined before its shuffle), and the pair's best offset is judged by the
+    share of wrong bits where both sound. Ties go to the smaller offset.
+    Stretches of one code, as in a held tone, are joined as one row each and
+    silence is left out, so a constant recording costs a row and its offsets, not
+    the square of its length; the rows of a code that very many recordings have
+    are split by Spark's skewed join.
+
+    Repeated keys are recordings of their own and are returned as often as they
+    come; a null key is never a query.
     """
     rows = written(prints.withColumn("print", F.sha2(F.array_join("codes", ","), 256)), "media-prints")
-    classes = written(rows.where("size(codes) > 0").groupBy("print").agg(F.min("key").alias("class_id"), F.max(F.coalesce(is_query(F.col("key")), F.lit(False))).alias("query"), F.min_by("codes", "key").alias("codes")), "media-classes")
-    postings = classes.select("class_id", "query", F.posexplode("codes").alias("at", "code"))
-    # a code once a class and place; those of the queries are the small side
-    asked = postings.where("query").select(F.col("class_id").alias("query_id"), F.col("at").alias("query_at"), "code")
-    hits = postings.join(asked, "code").where("class_id <> query_id").groupBy("query_id", "class_id", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("shared"))
-    best = hits.groupBy("query_id", "class_id").agg(F.max(F.struct("shared", (-F.abs("offset")).alias("near"), "offset")).alias("b")).where(F.col("b.shared") >= LEAST_CODES)
-    pairs = best.select("query_id", "class_id", "b.shared", "b.offset").join(classes.select(F.col("class_id").alias("query_id"), F.col("codes").alias("x")), "query_id").join(classes.select("class_id", F.col("codes").alias("y")), "class_id")
-    wrong = F.transform(F.sequence(F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("x"), F.size("y") - F.col("offset")) - 1), lambda i: F.bit_count(F.get("x", i).bitwiseXOR(F.get("y", (i + F.col("offset")).cast("int")))))
-    judged = pairs.select("query_id", "class_id", "shared", "offset", (F.aggregate(wrong, F.lit(0), lambda a, b: a + b) / (32.0 * F.size(wrong))).alias("bit_error")).where(F.col("bit_error") <= MOST_ERRORS)
+    classes = written(rows.where("size(codes) > 0").groupBy("print").agg(F.min("key").alias("class_id"), F.max(F.coalesce(is_query(F.col("key")), F.lit(False))).alias("query"), F.first("codes").alias("codes")).withColumn("c", F.monotonically_increasing_id()), "media-classes")
+    runs = written(_runs(classes), "media-runs")
+    asked = runs.where("query").select(F.col("c").alias("q"), F.col("at").alias("query_at"), F.col("length").alias("query_length"), "code")
+    met = runs.join(asked, "code").where("c <> q").withColumn("offset", F.explode(F.sequence(F.expr("at - query_at - query_length + 1"), F.expr("at - query_at + length - 1"))))
+    both = F.expr("least(at + length, query_at + offset + query_length) - greatest(at, query_at + offset)")
+    hits = met.groupBy("q", "c", "offset").agg(F.sum(both).alias("shared"))
+    best = hits.groupBy("q", "c").agg(F.max(F.struct("shared", (-F.abs("offset")).alias("near"), "offset")).alias("b")).where(F.col("b.shared") >= LEAST_CODES)
+    pairs = best.select("q", "c", "b.shared", "b.offset").join(classes.select(F.col("c").alias("q"), F.col("class_id").alias("query_id"), F.col("codes").alias("x")), "q").join(classes.select("c", F.col("codes").alias("y")), "c")
+    places = F.filter(F.sequence(F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("x"), F.size("y") - F.col("offset")) - 1), lambda i: (F.get("x", i) != SILENT) & (F.get("y", (i + F.col("offset")).cast("int")) != SILENT))
+    wrong = F.aggregate("places", F.lit(0), lambda a, i: a + F.bit_count(F.get("x", i).bitwiseXOR(F.get("y", (i + F.col("offset")).cast("int")))))
+    judged = pairs.withColumn("places", places).select("query_id", "c", "shared", "offset", (wrong / (32.0 * F.size("places"))).alias("bit_error")).where(F.col("bit_error") <= MOST_ERRORS)
     links = written(judged, "media-links")
-    number = links.groupBy("class_id").agg(F.count("*").alias("n_links"))
-    named = written(classes.select(F.col("print").alias("p"), "class_id").join(number, "class_id", "left").join(links, "class_id", "left"), "media-named")
+    forget(runs)
+    number = links.groupBy("c").agg(F.count("*").alias("n_links"))
+    named = written(classes.select(F.col("print").alias("p"), "class_id", "c").join(number, "c", "left").join(links, "c", "left"), "media-named")
+    forget(classes, links)
     out = rows.join(named, F.col("print") == F.col("p"), "left")
     return out.select("key", F.coalesce("class_id", "key").alias("class_id"), F.size("codes").cast("long").alias("n_codes"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "query_id", F.col("offset").cast("long").alias("offset"), "shared", "bit_error")
 
@@ -138,9 +164,9 @@ def played(vectors: DataFrame, key: str, vector: str) -> DataFrame:
         t = np.arange(2 * HOP) / RATE
         tones = np.sin(2 * np.pi * TONE * 2 ** (np.arange(24) / 12)[:, None] * t[None]) * 12000
         for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                x = np.array([c if c is not None else 0.0 for c in v or ()], dtype=float)
+            vectors, keys, out, size = batch.column(1), [], [], 0
+            for i in range(len(vectors)):
+                x = np.array([c if c is not None else 0.0 for c in vectors[i].as_py() or ()], dtype=float)
                 note = np.clip(np.floor(12 + 8 * x / (np.std(x) or 1.0)), 0, 23).astype(int)
                 raw = io.BytesIO()
                 with wave.open(raw, "wb") as w:
@@ -149,6 +175,10 @@ def played(vectors: DataFrame, key: str, vector: str) -> DataFrame:
                     w.setframerate(RATE)
                     w.writeframes(tones[note].astype("<i2").tobytes())
                 out.append(raw.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "media"])
+                keys.append(i)
+                size += len(out[-1])
+                if size > BATCH_BYTES or i == len(vectors) - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), pa.array(out, pa.binary())], names=[key, "media"])
+                    keys, out, size = [], [], 0
 
     return vectors.select(key, vector).mapInArrow(run, f"`{key}` {dict(vectors.dtypes)[key]}, media binary")

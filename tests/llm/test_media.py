@@ -49,3 +49,66 @@ def test_all_queries_that_match(spark):
     assert len(got) == len(links)
     assert links == {(0, 10): -20, (10, 0): 20, (1, 0): -40, (1, 10): -60, (2, 0): -40, (2, 10): -60, (3, None): None}
     assert {(x["key"], x["n_links"]) for x in got} == {(0, 1), (10, 1), (1, 2), (2, 2), (3, 0)}
+
+
+def noisy(raw, level, seed):
+    with wave.open(io.BytesIO(raw)) as w:
+        x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(float)
+    x = x + np.random.default_rng(seed).normal(0, level, len(x))
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(media.RATE)
+        w.writeframes(np.clip(x, -32000, 32000).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def silent(seconds):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(media.RATE)
+        w.writeframes(bytes(2 * int(seconds * media.RATE)))
+    return out.getvalue()
+
+
+def brute(codes, query, other):
+    """(shared, offset, share of wrong bits) of the best offset, over all pairs of places."""
+    x, y = codes[query], codes[other]
+    count = {}
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            if a == b != media.SILENT:
+                count[j - i] = count.get(j - i, 0) + 1
+    best = max(((n, -abs(o), o) for o, n in count.items()), default=None)
+    if best is None or best[0] < media.LEAST_CODES:
+        return None
+    o = best[2]
+    bits = [int(x[i] ^ y[i + o]).bit_count() for i in range(len(x)) if 0 <= i + o < len(y) and media.SILENT not in (x[i], y[i + o])]
+    error = sum(bits) / (32 * len(bits))
+    return (best[0], o, round(error, 9)) if error <= media.MOST_ERRORS else None
+
+
+def test_alignment_equals_brute_force(spark):
+    """All pairs of recordings: noisy ones, parts, held tones of several lengths, silence, repeated and null keys."""
+    r = np.random.default_rng(7)
+    song = r.integers(0, 24, 50)
+    rows = [(0, wav(song)), (10, wav(song[5:40])), (20, wav([3] * 30)), (30, silent(2)), (1, noisy(wav(song), 300, 1)), (2, wav([3] * 45)), (3, wav([5] * 40)), (4, silent(3)), (5, wav([*song[:20], *[3] * 20])), (6, wav(np.tile(song[:12], 4))), (6, wav(song[10:])), (None, wav(song[:30]))]
+    df = spark.createDataFrame(rows, "id long, media binary")
+    codes = [media.codes(media.chroma(media.samples(m))).tolist() for _, m in rows]
+    want = {(rows[q][0], rows[i][0], i): b for q in range(4) for i in range(len(rows)) if codes[i] != codes[q] and (b := brute(codes, q, i))}
+    got = media.aligned(media.fingerprints(df), lambda k: k % 10 == 0).where("query_id is not null").collect()
+    assert sorted((x["query_id"], x["key"] or -1, x["shared"], x["offset"], round(x["bit_error"], 9)) for x in got) == sorted((q, k or -1, *b) for (q, k, _), b in want.items())
+    assert any(k == 2 and q == 20 for q, k, _ in want)
+
+
+def test_recall_of_noisy_parts(spark):
+    """Of 40 noisy and cut copies of queries nine in ten at least are found."""
+    r = np.random.default_rng(11)
+    songs = {10 * i: r.integers(0, 24, 60) for i in range(40)}
+    rows = [(k, wav(s)) for k, s in songs.items()]
+    rows += [(k + 1, noisy(wav(s[15:50]), 400, k)) for k, s in songs.items()]
+    got = {(x["key"], x["query_id"]) for x in media.aligned(media.fingerprints(spark.createDataFrame(rows, "id long, media binary")), lambda k: k % 10 == 0).collect()}
+    assert sum((k + 1, k) in got for k in songs) >= 36
