@@ -9,16 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 #: Words whose counts the tasks hold; the others' counts are joined.
 HOT = 200_000
 #: Words of the recurrent model (the end among them), its classes of words, its units.
-WORDS, CLASSES, UNITS = 1024, 32, 24
+WORDS, CLASSES, UNITS = 2048, 48, 16
 #: Words in a segment; words that a gradient goes back; segments learned from at once, at first and at most.
 SEGMENT, BACK, FIRST, BATCH = 128, 32, 16, 256
-#: Times that the trainers' models are averaged (each segment is learned from in one of them), their learning rate, and the training words to a trainer.
-ROUNDS, STEP, PER_TRAINER = 2, 0.01, 30_000_000
+#: Times that the trainers' models are averaged (each segment is learned from in one of them), their learning rate, the training words to a trainer, and the models that one task averages.
+ROUNDS, STEP, PER_TRAINER, MEAN = 2, 0.01, 30_000_000, 64
 #: Documents and words that are scored side by side.
 SIDE, WINDOW, HELD_WORDS = 512, 64, 3_000_000
 
@@ -31,10 +31,10 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Shape:
-    """The model's words in classes: frequent words in small classes, and a last class for all others."""
+    """The model's words (the first of counts, by falling count) in classes: frequent words in small classes, and a last class for all others."""
 
     def __init__(self, counts: list[tuple[bytes, int]], total: int, types: int):
-        ordered = sorted(counts, key=lambda x: (-x[1], x[0]))[:WORDS]
+        ordered = counts[:WORDS]
         if all(w != END for w, _ in ordered):
             ordered = [*ordered[: WORDS - 1], (END, 1)]
         root = np.sqrt([n for _, n in ordered])
@@ -60,57 +60,109 @@ class Shape:
         return {"x": f(self.size + 2, 3 * UNITS), "u": f(UNITS, 3 * UNITS), "c": f(UNITS, self.classes + 1) * 0, "cb": self.class_bias.astype(np.float32), "w": f(UNITS, self.size) * 0, "wb": self.word_bias.astype(np.float32)}
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * a))
+def step(p: dict, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One step of the gated unit from inputs a and states h: new states, gates (update, reset), candidates and their recurrent part.
 
-
-def step(p: dict, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """One step of the gated unit for words x and states h."""
-    a, b = p["x"][x], h @ p["u"]
-    zr = _sigmoid(a[:, : 2 * UNITS] + b[:, : 2 * UNITS])
-    z, r = zr[:, :UNITS], zr[:, UNITS:]
+    A gate is (1 + tanh(s)) / 2, a logistic function of 2s.
+    """
+    b = h @ p["u"]
+    zr = a[:, : 2 * UNITS] + b[:, : 2 * UNITS]
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
     m = b[:, 2 * UNITS :]
-    n = np.tanh(a[:, 2 * UNITS :] + r * m)
-    if keep is not None:
-        keep.append((x, h, z, r, n, m))
-    return n + z * (h - n)
+    n = zr[:, UNITS:] * m
+    n += a[:, 2 * UNITS :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= zr[:, :UNITS]
+    new += n
+    return new, zr, n, m
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+def _exp(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of these by row, in a range that floats can hold."""
+    if a.size and a.max() > 60:
+        a = a - a.max(axis=1, keepdims=True)
+    e = np.exp(a)
+    return a, e, e @ np.ones(e.shape[1], dtype=e.dtype)
 
 
 def output(p: dict, shape: Shape, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """log P of the words y (the class of others: of the class) after states h; with grad also what flows back to h."""
-    rows = np.arange(len(y))
-    owner = shape.owner[y]
-    lc = _log_softmax(h @ p["c"] + p["cb"])
-    out = lc[rows, owner].astype(np.float64)
+    order = np.argsort(shape.owner[y], kind="stable")
+    h, y = h[order], y[order]
+    owner, rows = shape.owner[y], np.arange(len(y))
+    a, e, total = _exp(h @ p["c"] + p["cb"])
+    out = a[rows, owner] - np.log(total)
     if grad is not None:
-        d = -np.exp(lc)
-        d[rows, owner] += 1
-        grad["c"] += h.T @ d
-        grad["cb"] += d.sum(0)
-        dh = d @ p["c"].T
-    order = np.argsort(owner, kind="stable")
-    edge = np.searchsorted(owner[order], np.arange(shape.classes + 1))
+        e *= (-1 / total)[:, None]
+        e[rows, owner] += 1
+        grad["c"] += h.T @ e
+        grad["cb"] += np.ones(len(e), dtype=e.dtype) @ e
+        dh = e @ p["c"].T
+    edge = np.searchsorted(owner, np.arange(shape.classes + 1))
     for k in range(shape.classes):
-        mine = order[edge[k] : edge[k + 1]]
+        mine = slice(edge[k], edge[k + 1])
         lo, hi = shape.first[k], shape.first[k + 1]
-        if not len(mine) or hi - lo < 2:
+        if edge[k] == edge[k + 1] or hi - lo < 2:
             continue
-        hk = h[mine]
-        lw = _log_softmax(hk @ p["w"][:, lo:hi] + p["wb"][lo:hi])
-        at = np.arange(len(mine)), y[mine] - lo
-        out[mine] += lw[at]
+        a, e, total = _exp(h[mine] @ p["w"][:, lo:hi] + p["wb"][lo:hi])
+        at = rows[: len(a)], y[mine] - lo
+        out[mine] += a[at] - np.log(total)
         if grad is not None:
-            d = -np.exp(lw)
-            d[at] += 1
-            grad["w"][:, lo:hi] += hk.T @ d
-            grad["wb"][lo:hi] += d.sum(0)
-            dh[mine] += d @ p["w"][:, lo:hi].T
-    return out if grad is None else (out, dh)
+            e *= (-1 / total)[:, None]
+            e[at] += 1
+            grad["w"][:, lo:hi] += h[mine].T @ e
+            grad["wb"][lo:hi] += np.ones(len(e), dtype=e.dtype) @ e
+            dh[mine] += e @ p["w"][:, lo:hi].T
+    told = np.empty(len(y))
+    told[order] = out
+    if grad is None:
+        return told
+    flow = np.empty_like(dh)
+    flow[order] = dh
+    return told, flow
+
+
+def _window(p: dict, shape: Shape, before: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, int]:
+    """Gradients of one window (words before and words told, by time and row; -1: none) after states h, the states after it, and its words."""
+    t, rows = y.shape
+    real = y >= 0
+    a = p["x"][np.maximum(before, 0)]
+    hs = np.empty((t + 1, rows, UNITS), dtype=np.float32)
+    zr = np.empty((t, rows, 2 * UNITS), dtype=np.float32)
+    n, m = np.empty((t, rows, UNITS), dtype=np.float32), np.empty((t, rows, UNITS), dtype=np.float32)
+    hs[0] = h
+    for j in range(t):
+        hs[j + 1], zr[j], n[j], m[j] = step(p, a[j], hs[j])
+    grad = {k: np.zeros_like(q) for k, q in p.items()}
+    _, flow = output(p, shape, hs[1:][real], y[real], grad)
+    from_word = np.zeros((t, rows, UNITS), dtype=np.float32)
+    from_word[real] = flow
+    z, r = zr[:, :, :UNITS], zr[:, :, UNITS:]
+    to_n = (1 - z) * (1 - n * n)
+    to_z = (hs[:-1] - n) * z * (2 - 2 * z)
+    to_r = m * r * (2 - 2 * r)
+    back, candidate = np.empty((t, rows, 3 * UNITS), dtype=np.float32), np.empty((t, rows, UNITS), dtype=np.float32)
+    dh, turned = np.zeros_like(h), p["u"].T.copy()
+    for j in reversed(range(t)):
+        dh += from_word[j]
+        dn = np.multiply(dh, to_n[j], out=candidate[j])
+        b = back[j]
+        np.multiply(dh, to_z[j], out=b[:, :UNITS])
+        np.multiply(dn, to_r[j], out=b[:, UNITS : 2 * UNITS])
+        np.multiply(dn, r[j], out=b[:, 2 * UNITS :])
+        dh *= z[j]
+        dh += b @ turned
+    back = back.reshape(-1, 3 * UNITS)
+    grad["u"] = hs[:-1].reshape(-1, UNITS).T @ back
+    back[:, 2 * UNITS :] = candidate.reshape(-1, UNITS)
+    word = np.maximum(before, 0).ravel()
+    order = np.argsort(word, kind="stable")
+    edge = np.flatnonzero(np.diff(word[order], prepend=-1))
+    grad["x"][word[order][edge]] = np.add.reduceat(back[order], edge, axis=0)
+    return grad, hs[-1], int(real.sum())
 
 
 def train(p: dict, shape: Shape, segments, rate: float) -> tuple[dict, int]:
@@ -122,45 +174,19 @@ def train(p: dict, shape: Shape, segments, rate: float) -> tuple[dict, int]:
     p = {k: v.copy() for k, v in p.items()}
     m, v, t, seen = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0, 0
     for rows in segments:
+        length = (rows >= 0).sum(1)
+        order = np.argsort(-length, kind="stable")
+        told, length = np.ascontiguousarray(rows[order].T), length[order]
         h = np.zeros((len(rows), UNITS), dtype=np.float32)
-        before = np.concatenate([np.full((len(rows), 1), shape.size + 1), rows[:, :-1]], axis=1)
-        for a in range(0, rows.shape[1], BACK):
-            x, y = before[:, a : a + BACK], rows[:, a : a + BACK]
-            real = y >= 0
-            if not real.any():
+        before = np.concatenate([np.full((1, len(rows)), shape.size + 1), told[:-1]])
+        for a in range(0, len(told), BACK):
+            live = int((length > a).sum())
+            if not live:
                 break
-            kept, states = [], []
-            for j in range(x.shape[1]):
-                h = step(p, np.maximum(x[:, j], 0), h, kept)
-                states.append(h)
-            hs = np.stack(states, axis=1)
-            grad = {k: np.zeros_like(q) for k, q in p.items()}
-            _, flow = output(p, shape, hs[real], y[real], grad)
-            dh_out = np.zeros_like(hs)
-            dh_out[real] = flow
-            dh = np.zeros_like(h)
-            inputs, back = [], []
-            for j in reversed(range(x.shape[1])):
-                xj, was, z, r, n, mm = kept[j]
-                dh = dh + dh_out[:, j]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (was - n) * z * (1 - z)
-                dr = dn * mm * r * (1 - r)
-                da = np.concatenate([dz, dr, dn], axis=1)
-                db = np.concatenate([dz, dr, dn * r], axis=1)
-                inputs.append((xj, da))
-                back.append((was, db))
-                dh = dh * z + db @ p["u"].T
-            word, da = (np.concatenate(c) for c in zip(*inputs))
-            was, db = (np.concatenate(c) for c in zip(*back))
-            grad["u"] = was.T @ db
-            order = np.argsort(word, kind="stable")
-            edge = np.flatnonzero(np.diff(word[order], prepend=-1))
-            grad["x"][word[order][edge]] = np.add.reduceat(da[order], edge, axis=0)
-            t, seen = t + 1, seen + int(real.sum())
-            scale = 1 / int(real.sum())
+            grad, h, n = _window(p, shape, before[a : a + BACK, :live], told[a : a + BACK, :live], h[:live])
+            t, seen = t + 1, seen + n
             for k in p:
-                g = np.clip(grad[k] * scale, -1, 1)
+                g = np.clip(grad[k] / n, -1, 1)
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
                 p[k] += (rate / (1 + t / 2000)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
@@ -182,18 +208,17 @@ def score(p: dict, shape: Shape, docs: list[np.ndarray]) -> np.ndarray:
             for k in range(n):
                 part = docs[mine[k]][t : t + WINDOW]
                 rows[k, : len(part)] = part
+            rows = np.ascontiguousarray(rows.T)
             hs = np.empty((WINDOW, n, UNITS), dtype=np.float32)
             h, last = h[:n], last[:n]
-            live = (rows >= 0).sum(0)
-            for j in range(WINDOW):
-                k = int(live[j])
-                if not k:
-                    break
-                h[:k] = step(p, last[:k], h[:k])
-                hs[j, :k] = h[:k]
-                last = rows[:, j]
-            at, doc = np.nonzero(rows.T >= 0)
-            out[mine[:n]] += np.bincount(doc, output(p, shape, hs[at, doc], rows[doc, at]), minlength=n)
+            live = np.minimum(size[:n] - t, WINDOW)
+            for j in range(live[0]):
+                k = int(np.searchsorted(-live, -j))
+                h[:k] = hs[j, :k] = step(p, p["x"][last[:k]], h[:k])[0]
+                last = rows[j]
+            real = rows >= 0
+            doc = np.broadcast_to(np.arange(n), rows.shape)[real]
+            out[mine[:n]] += np.bincount(doc, output(p, shape, hs[real], rows[real]), minlength=n)
     return out
 
 
@@ -216,14 +241,15 @@ def counted(docs: DataFrame, text: str) -> DataFrame:
     return written(docs.select(text).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def _hot(counts: DataFrame) -> tuple[list[tuple[bytes, int]], DataFrame]:
-    """The most frequent tokens, at most HOT: those from the least count on that so few tokens reach (else the end alone); and the others' counts."""
-    by_count = counts.groupBy("n").agg(F.count("*").alias("types"))
+def _hot(counts: DataFrame) -> tuple[pa.Array, np.ndarray, DataFrame]:
+    """The most frequent tokens, at most HOT, with their counts: those from the least count on that so few tokens reach (else the end alone); and the others' counts."""
+    by_count = written(counts.groupBy("n").agg(F.count("*").alias("types")), "lm-spread")
     reach = by_count.withColumn("reach", F.sum("types").over(Window.orderBy(F.desc("n")))).where(F.col("reach") <= HOT)
     least = reach.agg(F.min("n")).first()[0]
+    forget(by_count)
     is_hot = F.col("token") == F.lit(END) if least is None else F.col("n") >= least
-    rows = counts.where(is_hot).toPandas()
-    return [(bytes(w), int(n)) for w, n in zip(rows["token"], rows["n"])], counts.where(~is_hot)
+    rows = counts.where(is_hot).orderBy(F.desc("n"), "token").toArrow()
+    return rows["token"].combine_chunks(), rows["n"].to_numpy(), counts.where(~is_hot)
 
 
 def segments(docs: DataFrame, key: str, text: str, shape: Shape) -> DataFrame:
@@ -245,14 +271,15 @@ def segments(docs: DataFrame, key: str, text: str, shape: Shape) -> DataFrame:
     return written(docs.select(text, F.pmod(F.xxhash64(key, text), F.lit(1 << 40)).alias("told")).mapInArrow(cut, "told long, seq array<smallint>"), "lm-segments")
 
 
-def learned(docs: DataFrame, key: str, text: str, hot: list[tuple[bytes, int]], total: int, types: int) -> tuple[Shape, dict]:
+def learned(docs: DataFrame, key: str, text: str, top: list[tuple[bytes, int]], total: int, types: int) -> tuple[Shape, dict]:
     """The model from every segment of all documents.
 
     Each segment is learned from once, in one of the ROUNDS. A round deals its
     segments to trainers, as many as the words need; each trains from the same
-    parameters, their mean (summed in one task) goes to the next round.
+    parameters, and their mean, taken MEAN models a task until one is left, goes
+    to the next round.
     """
-    shape = Shape(hot, total, types)
+    shape = Shape(top, total, types)
     sc = docs.sparkSession.sparkContext
     trainers = int(max(6, -(-total // PER_TRAINER)))
     parts = segments(docs, key, text, shape)
@@ -294,7 +321,12 @@ def learned(docs: DataFrame, key: str, text: str, hot: list[tuple[bytes, int]],
 
         mine = parts.where(F.pmod(F.xxhash64("told"), F.lit(ROUNDS)) == r)
         models = mine.repartition(trainers, "told").sortWithinPartitions("told", F.xxhash64("seq")).mapInArrow(fit, "seen long, flat binary").where("seen > 0")
-        got = models.repartition(1).mapInArrow(mean, "seen long, flat binary").collect()
+        left = trainers
+        while left > 1:
+            left = -(-left // MEAN)
+            models = models.repartition(left).mapInArrow(mean, "seen long, flat binary")
+        got = models.collect()
+        now.destroy()
         if got:
             flat = np.frombuffer(got[0]["flat"], np.float32)
             out, at = {}, 0
@@ -302,6 +334,8 @@ def learned(docs: DataFrame, key: str, text: str, hot: list[tuple[bytes, int]],
                 out[k] = flat[at : at + p[k].size].reshape(p[k].shape).copy()
                 at += p[k].size
             p = out
+    forget(parts)
+    shared.destroy()
     return shape, p
 
 
@@ -322,32 +356,34 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     train_docs = docs.where(~held)
     counts = counted(train_docs, text)
     total, types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    hot, cold = _hot(counts)
-    shape, p = learned(train_docs, key, text, hot, total, types)
-    shared = docs.sparkSession.sparkContext.broadcast((shape, p, hot))
+    words, often, cold = _hot(counts)
+    top = list(zip(words[:WORDS].to_pylist(), often[:WORDS].tolist()))
+    shape, p = learned(train_docs, key, text, top, total, types)
+    shared = docs.sparkSession.sparkContext.broadcast((shape, p, words, often))
 
     def run(batches):
-        shape, p, hot = shared.value
-        number = {w: (i, shape.words.get(w, shape.size)) for i, (w, _) in enumerate(hot)}
-        logs = np.log10(np.array([n for _, n in hot], dtype=float) + 1)
-        model = np.array([shape.words.get(w, shape.size) for w, _ in hot] or [0])
-        model = np.append(model, shape.size)
-        inside = np.where(model[:-1] == shape.size, np.append(logs, 0)[: len(hot)], 0) if len(hot) else np.zeros(0)
-        logs, inside, size = np.append(logs, 0.0), np.append(inside, 0.0), len(hot)
-        number = {w: i for w, (i, _) in number.items()}
+        shape, p, words, often = shared.value
+        number = {w: i for i, w in enumerate(words.to_pylist())}
+        size = len(number)
+        logs = np.append(np.log10(often.astype(float) + 1), 0.0)
+        model = np.full(size + 1, shape.size)
+        for w, i in shape.words.items():
+            if w in number:
+                model[number[w]] = i
+        inside = np.where(model == shape.size, logs, 0.0)
         slots = {w: i for w, i in shape.words.items() if w not in number}  # the end, where no row was trained on
         for batch in batches:
             todo, rows = [], []
             held_words = 0
             for x in batch.column(1).to_pylist():
-                words = tokens(x)
-                at = np.array([number.get(w, size) for w in words], dtype=np.int64)
-                rare = Counter(words[i] for i in np.flatnonzero(at == size).tolist())
+                seen = tokens(x)
+                at = np.array([number.get(w, size) for w in seen], dtype=np.int64)
+                rare = Counter(seen[i] for i in np.flatnonzero(at == size).tolist())
                 seq = model[at]
                 if slots:
                     seq[-1] = slots.get(END, seq[-1])
                 n_rest = int((seq == shape.size).sum())
-                rows.append((len(words), int((at < size).sum()), logs[at].sum(), inside[at].sum(), n_rest, [{"token": w, "k": k} for w, k in rare.items()]))
+                rows.append((len(seen), int((at < size).sum()), logs[at].sum(), inside[at].sum(), n_rest, rare))
                 todo.append(seq)
                 held_words += len(seq)
                 if held_words > HELD_WORDS:
@@ -357,11 +393,13 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
                 yield closed(batch, rows, todo, len(todo))
 
     def closed(batch, rows, todo, n):
-        shape, p, _ = shared.value
+        shape, p, *_ = shared.value
         lm = score(p, shape, todo) / np.log(10)
-        cols = list(zip(*rows))
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int64())]))]
-        return pa.RecordBatch.from_arrays([batch.column(0).slice(0, n), batch.column(2).slice(0, n), *(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(lm)], names=["key", "held_out", "n_tokens", "known", "base", "inside", "n_rest", "rare", "lm"])
+        *cols, rare = zip(*rows)
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+        size = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+        pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([k for r in rare for k in r.values()], pa.int64())], ["token", "k"])
+        return pa.RecordBatch.from_arrays([batch.column(0).slice(0, n), batch.column(2).slice(0, n), *(pa.array(c, k) for c, k in zip(cols, kinds)), pa.ListArray.from_arrays(size, pairs), pa.array(lm)], names=["key", "held_out", "n_tokens", "known", "base", "inside", "n_rest", "rare", "lm"])
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
     kind = source.schema["key"].dataType.simpleString()
