@@ -18,8 +18,8 @@ from .common import written
 FIT_ROWS = 20_000
 #: Words that are features, the toxic documents each must be in, its least chi-square, and the weight of the ridge.
 FEATURES, SUPPORT, TYPICAL, RIDGE = 300, 3, 15.0, 1.0
-#: Letters before a letter that the character model looks at, and the n-grams that it keeps.
-ORDER, GRAMS = 4, 250_000
+#: Letters before a letter that the character model looks at, and what stands before and after a word.
+ORDER, BEGIN, STOP = 4, "\x02", "\x03"
 #: Lengths of word beginnings (stems) that may be typical, the share of a document's words that makes one frequent in it, and the most that are kept.
 STEMS, FREQUENT, MOST_STEMS = range(4, 9), 0.004, 200
 #: Shares of typical stems in a text's words, and numbers of them, that are features.
@@ -38,6 +38,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[^\W\d_]+[.,;:?]?\Z")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00a3\u00a7\u20ac"
+_BLANK_MARKS = "".join(c for c in _MARKS if c not in SIGNS)
 _BETWEEN = re.compile(r"[\s.,\-_*~'`^/\\:;#%&=\"]+")
 
 
@@ -59,7 +60,7 @@ def _classes() -> dict[str, str]:
 
 
 _CLASS = _classes()
-_SHAPE = str.maketrans(_CLASS)
+_SHAPE, _FOR_SIGNS = str.maketrans(_CLASS), set("".join(SIGNS.values()))
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 
@@ -69,15 +70,10 @@ def skeleton(text: str) -> str:
 
 
 class Model:
-    """A back-off character model: log P(letter | letters before) from counts of n-grams."""
+    """A back-off character model: log P(letter | letters before) from counts of n-grams and of their contexts."""
 
-    def __init__(self, counts: dict[str, int]):
-        """counts: of n-grams of ORDER + 1 letters."""
-        self.counts, self.context = Counter(), Counter()
-        for gram, n in counts.items():
-            for k in range(ORDER + 1):
-                self.counts[gram[k:]] += n
-                self.context[gram[k:-1]] += n
+    def __init__(self, counts: dict[str, int], context: dict[str, int]):
+        self.counts, self.context = counts, context
 
     def __call__(self, before: str, letter: str) -> float:
         p, weight = 0.0, 1.0
@@ -89,62 +85,89 @@ class Model:
         return log(p + weight * 1e-3)
 
 
-def restore(seen: str, model: Model) -> str:
-    """The likeliest word behind a disguised one.
+def lattice(seen: str) -> list[list[tuple[str, float]]]:
+    """For each run of one character the letters that may be behind it, with the channel's log-probability.
 
-    The lattice has an arc for each letter that a sign may stand for, for a run
-    of one letter as one or two of it, and for a sign left out; states are the
-    last ORDER letters, and Viterbi keeps the best path into each.
+    A letter stands for itself, a sign for each letter of SIGNS, a run of one
+    letter for one or two of it; what is no letter may be left out.
     """
-    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", _BETWEEN.sub("", seen), re.DOTALL)]
-    best = {"^" * ORDER: (0.0, "")}
-    for c, n in runs:
+    out = []
+    for m in re.finditer(r"(.)\1*", _BETWEEN.sub("", seen), re.DOTALL):
+        c, n = m[1], len(m[0])
+        letters = {*SIGNS.get(c, ""), *(c if c.isalpha() else "")}
+        arcs = [(x * k, (KEPT if x == c else SIGNED) + REPEATED * (n != k)) for x in sorted(letters) for k in sorted({1, min(n, 2)})]
+        out.append(arcs if c.isalpha() else [*arcs, ("", DROPPED * n)])
+    return out
+
+
+def spelled(model: Model, before: str, letters: str) -> tuple[float, str]:
+    """log P of more letters after a state (the last ORDER letters), and the state then."""
+    total = 0.0
+    for x in letters:
+        total += model(before, x)
+        before = (before + x)[-ORDER:]
+    return total, before
+
+
+def restore(seen: str, model: Model) -> str:
+    """The likeliest word behind a disguised one: Viterbi keeps the best path through the lattice into each state, the last ORDER letters."""
+    best = {BEGIN * ORDER: (0.0, "")}
+    for arcs in lattice(seen):
         after: dict[str, tuple[float, str]] = {}
-        arcs = [(x, (KEPT if x == c else SIGNED) + REPEATED * (n != k)) for x in {*SIGNS.get(c, ""), *(c if c.isalpha() else "")} for k in {1, min(n, 2)} for x in [x * k]]
-        arcs += [("", DROPPED * n)] if not c.isalpha() else []
         for state, (score, word) in best.items():
             for add, cost in arcs:
-                s, now = score + cost, state
-                for x in add:
-                    s += model(now, x)
-                    now = (now + x)[-ORDER:]
+                s, now = spelled(model, state, add)
+                s += score + cost
                 if now not in after or s > after[now][0]:
                     after[now] = (s, word + add)
-        best = after or best
-    return max(((s + model(state, "$"), word) for state, (s, word) in best.items()), default=(0, ""))[1]
+        best = after
+    return max(((s + model(state, STOP), word) for state, (s, word) in best.items()), default=(0, ""))[1]
 
 
 class Reader:
-    """The features of texts: which of the words they hold, plain or disguised, and how many typical stems."""
+    """Restores texts, and tells the features of a restored text: which of the words it holds, and how many typical stems.
+
+    Every token that isn't plain letters is read through the lattice. As only
+    words and stems count, known_as() first asks whether any path of the lattice
+    leads to one (an exact test, without the model) and decodes only then;
+    restored() decodes all.
+    """
 
     def __init__(self, words: list[str], stems: list[str], model: Model):
         self.index = {w: i for i, w in enumerate(words)}
         self.stems, self.lengths = set(stems), sorted({len(x) for x in stems})
         self.width = len(words) + len(SHARES) + len(NUMBERS)
-        self.skeletons = {skeleton(w) for w in words}
-        self.begun = {x[:n] for x in self.skeletons for n in range(len(x) + 1)}
+        self.skeletons, self.starts = {skeleton(w) for w in words}, {skeleton(w) for w in stems}
+        self.begun = {x[:n] for x in self.skeletons | self.starts for n in range(len(x) + 1)}
         self.model, self.known = model, {}
 
+    def typical(self, word: str) -> bool:
+        return any(word[:n] in self.stems for n in self.lengths)
+
     def token(self, token: str) -> tuple[tuple[int, ...], bool]:
-        """The features of a token, and whether it begins with a typical stem."""
+        """The features of a token as it stands and restored, and whether it begins with a typical stem."""
         parts = _LETTERS.findall(token)
         found = {self.index[w] for w in parts if w in self.index}
-        typical = any(w[:n] in self.stems for w in parts for n in self.lengths)
+        typical = any(map(self.typical, parts))
         if not _PLAIN.match(token):
-            found |= self.hidden(token)
+            for form in self.forms(token):
+                word = self.known_as(form)
+                found |= {self.index[word]} if word in self.index else set()
+                typical = typical or self.typical(word)
         elif not token.isascii() or _DOUBLE.search(token):
-            found |= self.known_as(fold(token).rstrip(".,;:!?"))
-        return tuple(found), typical
+            word = self.known_as(fold(token).rstrip(".,;:!?"))
+            found |= {self.index[word]} if word in self.index else set()
+        return tuple(sorted(found)), typical
 
-    def hidden(self, token: str) -> set[int]:
-        """Features of a token or spaced word that is a disguise, tried with and without marks at its ends."""
-        token = fold(token)
+    def forms(self, token: str) -> list[str]:
+        """A token without marks at its ends, and with those that may stand for letters."""
+        token = fold(token).strip(_BLANK_MARKS)
         left = token.lstrip(_MARKS)
-        found = self.known_as(token) | self.known_as(token.rstrip(_MARKS))
-        return found if left == token else found | self.known_as(left) | self.known_as(left.rstrip(_MARKS))
+        return list(dict.fromkeys((token, token.rstrip(_MARKS), left, left.rstrip(_MARKS))))
 
-    def after(self, begun: set[str], text: str) -> set[str]:
-        """The beginnings of skeletons that the lattice of restore() can be at after more text: letters and signs go on or repeat, all but letters may be left out."""
+    def after(self, begun: set[str], text: str) -> tuple[set[str], bool]:
+        """The beginnings of skeletons that the lattice can be at after more text, and whether a stem was complete: letters and signs go on or repeat, all but letters may be left out."""
+        stem = False
         for c in text:
             letter = c.isalpha()
             now = set() if letter else set(begun)
@@ -155,32 +178,57 @@ class Reader:
                         now.add(s)
                     if s + x in self.begun:
                         now.add(s + x)
+                        stem = stem or s + x in self.starts
             if not now:
-                return now
+                return now, stem
             begun = now
-        return begun
+        return begun, stem
 
-    def known_as(self, form: str) -> set[int]:
-        """The feature of the word behind a form, if the form may be a disguise of one."""
-        if self.after({""}, form).isdisjoint(self.skeletons):
-            return set()
-        word = restore(form, self.model)
-        return {self.index[word]} if word in self.index else set()
+    def known_as(self, form: str) -> str:
+        """The word behind a form if some path of its lattice is a word or begins with a stem; else none."""
+        begun, stem = self.after({""}, form)
+        return restore(form, self.model) if stem or not begun.isdisjoint(self.skeletons) else ""
 
-    def spaced(self, pieces: list[str]) -> set[int]:
-        """Features of short pieces with blanks between; each stretch that may be a word is tried."""
+    def spaced(self, pieces: list[str]) -> dict[tuple[int, int], str]:
+        """The words behind stretches (from, to) of short pieces with blanks between; each stretch that may be a word is tried."""
         pieces = [fold(x) for x in pieces]
-        found: set[int] = set()
+        found: dict[tuple[int, int], str] = {}
         for i in range(len(pieces) - 1):
-            begun = self.after({""}, pieces[i])
+            begun, _ = self.after({""}, pieces[i])
             for j in range(i + 1, len(pieces)):
-                begun = self.after(begun, pieces[j])
+                begun, _ = self.after(begun, pieces[j])
                 if not begun - {""}:
                     break
-                if not begun.isdisjoint(self.skeletons):
-                    found |= self.known_as("".join(pieces[i : j + 1]))
+                if not begun.isdisjoint(self.skeletons) and (word := restore("".join(pieces[i : j + 1]), self.model)) in self.index:
+                    found[i, j + 1] = word
         return found
 
+    @staticmethod
+    def stretches(tokens: list[str]) -> list[tuple[int, int]]:
+        """Where two or more tokens of at most PIECE characters follow each other."""
+        short = np.fromiter(map(len, tokens), np.int32, len(tokens)) <= PIECE
+        edge = np.flatnonzero(np.diff(short, prepend=False, append=False)).tolist()
+        return [(i, j) for i, j in zip(edge[::2], edge[1::2]) if j - i > 1]
+
+    def restored(self, text: str | None) -> str:
+        """The lower-cased text with each token that isn't plain as the likeliest word, where one form of it is a known word as that, and spaced words joined."""
+        tokens = (text or "").lower().split()
+        out = []
+        for t in tokens:
+            if _PLAIN.match(t) and (t.isascii() and not _DOUBLE.search(t)):
+                out.append(t)
+                continue
+            words = [restore(f, self.model) for f in (self.forms(t) if not _PLAIN.match(t) else [fold(t).rstrip(".,;:!?")])]
+            known = [w for w in words if w in self.index] or [w for w in words if self.typical(w)]
+            out.append(known[0] if known else t if _PLAIN.match(t) else words[-1])
+        for a, b in self.stretches(tokens):
+            at = a
+            for (i, j), word in sorted(self.spaced(tokens[a:b]).items(), key=lambda x: (x[0][0], -x[0][1])):
+                if a + i >= at:
+                    out[a + i : a + j] = [word, *[""] * (j - i - 1)]
+                    at = a + j
+        return " ".join(filter(None, out))
+
     def __call__(self, text: str | None) -> list[int]:
         found: set[int] = set()
         low, known = (text or "").lower(), self.known
@@ -199,22 +247,37 @@ class Reader:
         base = len(self.index)
         found.update(base + i for i, x in enumerate(SHARES) if typical > x * total)
         found.update(base + len(SHARES) + i for i, x in enumerate(NUMBERS) if typical >= x)
-        short = np.fromiter(map(len, tokens), np.int32, len(tokens)) <= PIECE
-        edge = np.flatnonzero(np.diff(short, prepend=False, append=False))
-        for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if j - i > 1:
-                found |= self.spaced(tokens[i:j])
+        for i, j in self.stretches(tokens):
+            found.update(self.index[w] for w in self.spaced(tokens[i:j]).values())
         return sorted(found)
 
 
-def grams(docs: DataFrame, text: str) -> dict[str, int]:
-    """Counts of character n-grams in the words of all documents, the GRAMS most frequent.
+def pieces_of(words: list[str]) -> set[str]:
+    """All that the n-grams and contexts in lattices of words look like as skeletons."""
+    out = {""}
+    for w in words:
+        x = BEGIN + skeleton(w) + STOP
+        out |= {x[i:j] for i in range(len(x)) for j in range(i + 1, min(i + ORDER + 1, len(x)) + 1)}
+    return out
+
+
+def asked(gram: str, pieces: set[str]) -> bool:
+    """Whether a gram looks like a piece, or would without one letter that is read for a sign."""
+    return skeleton(gram) in pieces or any(c in _FOR_SIGNS and skeleton(gram[:i] + gram[i + 1 :]) in pieces for i, c in enumerate(gram))
+
+
+def grams(docs: DataFrame, text: str, words: list[str]) -> Model:
+    """The character model from the words of all documents, with every n-gram that lattices of the given words ask for.
 
     Each task counts its words, then the n-grams of distinct words; the sums are
-    Spark's. Words are folded, of letters only, between "^" and "$". Only the
-    longest n-grams are counted; the shorter ones are sums of them.
+    Spark's. Words are folded, of letters only, between BEGIN and STOP. The
+    longest n-grams are counted; the shorter ones are sums over all of them. What
+    reaches the driver is bounded by the given words and their spellings, not by
+    the documents: n-grams that look like no piece of theirs, even with a letter
+    for a sign that should be left out, count as unseen.
     """
-    pad = "^" * ORDER
+    pad = BEGIN * ORDER
+    wanted = docs.sparkSession.sparkContext.broadcast(pieces_of(words))
 
     def count(batches):
         for batch in batches:
@@ -224,14 +287,29 @@ def grams(docs: DataFrame, text: str) -> dict[str, int]:
             out: dict[str, int] = {}
             for token, n in words.items():
                 for w in _LETTERS.findall(fold(token)):
-                    w = pad + w + "$"
+                    w = pad + w + STOP
                     for i in range(len(w) - ORDER):
                         g = w[i : i + ORDER + 1]
                         out[g] = out.get(g, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["gram", "n"])
+            yield told(out, "gram")
+
+    def told(out, name):
+        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=[name, "n"])
+
+    def shorter(batches):
+        kept = wanted.value
+        for batch in batches:
+            out: dict[str, int] = {}
+            for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k in range(ORDER + 1):
+                    for x, kind in ((g[k:], "n"), (g[k:-1], "c")):
+                        if asked(x, kept):
+                            out[kind + x] = out.get(kind + x, 0) + n
+            yield told(out, "gram")
 
     sums = docs.select(text).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in sums.orderBy(F.desc("n"), "gram").limit(GRAMS).collect()}
+    rows = sums.mapInArrow(shorter, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    return Model(*({r["gram"][1:]: r["n"] for r in rows if r["gram"][0] == kind} for kind in "nc"))
 
 
 def _words(rows: DataFrame) -> DataFrame:
@@ -291,7 +369,6 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     told = told.orderBy(F.md5(F.col(key).cast("string")), key).limit(FIT_ROWS)
     rows = written(docs.select(key, F.col(text).alias("text")).join(F.broadcast(told), key).select("text", "toxic"), "toxicity-rows")
     n1, n0 = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
-    model = Model(grams(docs, text))
     share = n1 / max(n1 + n0, 1)
     chi2 = F.expr(f"pow(n1 - (n1 + n0) * {share}, 2) / ((n1 + n0) * {share} * {1 - share})")
     words, stems = [], []
@@ -299,7 +376,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         marked = written(_words(rows).where(F.col("n1") >= SUPPORT).where(F.col("n1") > (F.col("n1") + F.col("n0")) * share).withColumn("chi2", chi2).where(F.col("chi2") > TYPICAL), "toxicity-words")
         best = lambda stem, most: [r["word"] for r in marked.where(F.startswith("word", F.lit("^")) == stem).orderBy(F.desc("chi2"), "word").limit(most).select("word").collect()]
         words, stems = best(False, FEATURES), [w[1:] for w in best(True, MOST_STEMS)]
-    reader = Reader(words, stems, model)
+    reader = Reader(words, stems, grams(docs, text, words + stems))
 
     def features(batches):
         for batch in batches:
@@ -313,27 +390,33 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 RESULT = "toxicity_score"
 
 
-def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs and toxicity_score, 0 to 1.
+def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", restored: str | None = None) -> DataFrame:
+    """All columns of docs and toxicity_score, 0 to 1, of the restored text; that text too, if restored names a column for it.
 
     Whole texts are read in tasks that hold the model (bounded by FEATURES and
-    GRAMS); no documents are shuffled. Null and empty texts get the score of a
-    text without any of the words. docs must have no column toxicity_score.
+    MOST_STEMS); no documents are shuffled. Null and empty texts get the score of
+    a text without any of the words. Of a document with several labels the
+    largest counts. docs must have no column toxicity_score.
     """
-    if RESULT in docs.columns:
-        raise ValueError(f"{RESULT} is a column of the documents")
+    if RESULT in docs.columns or restored in docs.columns:
+        raise ValueError(f"{RESULT} or {restored} is a column of the documents")
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, key, text))
+    names = [RESULT, *([restored] if restored else [])]
 
     def run(batches):
         reader, w = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             score = [1 / (1 + np.exp(-np.clip(w[reader(x)].sum() + w[-1], -30, 30))) for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, RESULT])
+            more = [pa.array([reader.restored(x) for x in texts], pa.string())] if restored else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), *more], names=[*batch.schema.names, *names])
 
     from pyspark.sql.types import StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(RESULT, "double"))
+    kind = StructType([*docs.schema.fields])
+    for name, t in zip(names, ("double", "string")):
+        kind = kind.add(name, t)
+    return docs.mapInArrow(run, kind)
 
 
 def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,5 +1,8 @@
+import itertools
 import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -52,14 +55,70 @@ def test_awkward_rows(spark, tables):
     assert toxicity.clean(df.limit(0), tables[1]).count() == 0
 
 
-def reader(words):
-    grams = {}
+def model(words, n=1000):
+    counts, context = Counter(), Counter()
     for w in words:
-        w = "^" * toxicity.ORDER + w + "$"
+        w = toxicity.BEGIN * toxicity.ORDER + w + toxicity.STOP
         for i in range(len(w) - toxicity.ORDER):
-            g = w[i : i + toxicity.ORDER + 1]
-            grams[g] = grams.get(g, 0) + 1000
-    return toxicity.Reader(words, [], toxicity.Model(grams))
+            for k in range(toxicity.ORDER + 1):
+                counts[w[i + k : i + toxicity.ORDER + 1]] += n
+                context[w[i + k : i + toxicity.ORDER]] += n
+    return toxicity.Model(counts, context)
+
+
+def reader(words, stems=()):
+    return toxicity.Reader(words, list(stems), model(words))
+
+
+def test_viterbi_equals_enumeration():
+    """The restored word is the best of all paths through the lattice, each scored by itself."""
+    m, r = model(["bilge", "glass", "tool", "loose", "east", "oil"], 7), random.Random(3)
+    for _ in range(300):
+        seen = "".join(r.choice("bilgeasto013!|$@*855") * r.choice((1, 1, 1, 2, 3)) for _ in range(r.randint(1, 7)))
+        scores = {}
+        for path in itertools.product(*toxicity.lattice(seen)):
+            word = "".join(x for x, _ in path)
+            s = sum(c for _, c in path) + toxicity.spelled(m, toxicity.BEGIN * toxicity.ORDER, word + toxicity.STOP)[0]
+            scores[word] = max(s, scores.get(word, -1e9))
+        got = toxicity.restore(seen, m)
+        assert scores[got] >= max(scores.values()) - 1e-9, (seen, got)
+
+
+def test_features_are_those_of_the_restored_text():
+    """Decoding only what may lead to a word gives what decoding all does."""
+    words, stems = ["idiot", "hello", "blister", "sassy"], ["blis", "grum"]
+    full, plain = reader(words, stems), random.Random(5)
+    swap = {"i": "1!", "o": "0", "e": "3", "s": "5$", "l": "1|", "t": "7+", "a": "4@", "b": "8", "g": "6"}
+    for trial in range(200):
+        tokens = []
+        for _ in range(plain.randint(1, 12)):
+            w = plain.choice([*words, "grumble", "calm", "tone", "blis", "stab"])
+            w = "".join(plain.choice(swap.get(c, c)) if plain.random() < 0.3 else c * plain.choice((1, 1, 1, 3)) for c in w)
+            tokens.append(plain.choice(["", "**", "!!", "&"]) + w + plain.choice(["", "***", "!!", "."]))
+            if trial % 3 == 0:
+                tokens += list(plain.choice(["b a l l", "i d 1 o t", "he ll o"]).split())
+        text = " ".join(tokens)
+        seen = full.restored(text).split()
+        want = {full.index[w] for w in seen if w in full.index}
+        got = {i for i in full(text) if i < len(words)}
+        assert got >= want and got - want <= {full.index[w] for t in tokens for w in re.findall("[a-z]+", t) if w in full.index} | {full.index[w] for w in map(lambda f: full.known_as(f), (f for t in tokens for f in full.forms(t))) if w in full.index} | {full.index[w] for a, b in full.stretches(tokens) for w in full.spaced(tokens[a:b]).values()}
+
+
+def test_grams_of_wanted_words_are_those_of_all_texts(spark):
+    texts = ["bilge glass", "bilge oil", "b1lge tool", None, "", "stool glas"]
+    got = toxicity.grams(spark.createDataFrame([(t,) for t in texts], "text string"), "text", ["bilge", "tool"])
+    want = model(["bilge", "glass", "bilge", "oil", "b", "lge", "tool", "stool", "glas"], 1)
+    for w in ("bilge", "tool", "bblge"):
+        w = toxicity.BEGIN * toxicity.ORDER + w + toxicity.STOP
+        for i in range(len(w) - toxicity.ORDER):
+            assert got(w[i : i + toxicity.ORDER], w[i + toxicity.ORDER]) == want(w[i : i + toxicity.ORDER], w[i + toxicity.ORDER])
+
+
+def test_restored_text_is_a_column(spark, tables):
+    docs, labels = tables
+    new = spark.createDataFrame([(1000, "a sn0rk1e!! of ca1m", None)], docs.schema)
+    got = toxicity.scored(docs.unionByName(new), labels, restored="restored").where("doc_id = 1000").first()
+    assert got["restored"].split()[:3] == ["a", "snorkle", "of"] and got["toxicity_score"] >= 0.5
 
 
 @pytest.mark.parametrize("sign", toxicity.SIGNS)
