@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, written
+
 #: Words in a window.
 WINDOW = 10
 #: Words of training text that one suffix array covers (a longer document has its own).
@@ -25,22 +27,30 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Tests:
-    """The test items of one block: their words as numbers, and their windows, each distinct one once."""
+    """The test items of one block: their words as numbers, and their windows, each distinct one once.
+
+    at: (window, item, position) of every window of every item. The items of a
+    window are kept as the number of their set, so a passage that many items have
+    is one entry for all its windows.
+    """
 
     def __init__(self, items: list[tuple[list[str], str]]):
         self.number: dict[bytes, int] = {}
         self.ids: list[list[str]] = []
         rows: dict[tuple[int, ...], int] = {}
-        at: list[list[tuple[int, int]]] = []  # of each window: (item, position)
+        at: list[tuple[int, int, int]] = []
+        owners: list[list[int]] = []
         for names, text in items:
             seq = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
             if not seq:
                 continue
             for j in range(max(1, len(seq) - WINDOW + 1)):
-                k = rows.setdefault(tuple(seq[j : j + WINDOW]), len(at))
-                if k == len(at):
-                    at.append([])
-                at[k].append((len(self.ids), j))
+                k = rows.setdefault(tuple(seq[j : j + WINDOW]), len(owners))
+                if k == len(owners):
+                    owners.append([])
+                if owners[k][-1:] != [len(self.ids)]:
+                    owners[k].append(len(self.ids))
+                at.append((k, len(self.ids), j))
             self.ids.append(names)
         self.length = np.array([len(r) for r in rows], dtype=np.int64)
         low = np.zeros((len(rows), WINDOW), dtype=">u4")
@@ -48,9 +58,10 @@ class Tests:
         for k, r in enumerate(rows):
             low[k, : len(r)] = high[k, : len(r)] = r
         self.low, self.high = (_keys(x) for x in (low, high))
-        self.first = np.cumsum([0, *map(len, at)])
-        self.item = np.array([i for x in at for i, _ in x], dtype=np.int64)
-        self.position = np.array([j for x in at for _, j in x], dtype=np.int64)
+        self.at = np.array(at, dtype=np.int64).reshape(-1, 3)
+        sets: dict[tuple[int, ...], int] = {}
+        self.owners = np.array([sets.setdefault(tuple(x), len(sets)) for x in owners], dtype=np.int64)
+        self.sets = [sorted({name for i in x for name in self.ids[i]}) for x in sets]
         self.least = int(self.length.min()) if len(rows) else 0
 
 
@@ -84,18 +95,73 @@ def search(seq: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
     return start[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], window
 
 
-def longest(start: np.ndarray, window: np.ndarray, tests: Tests) -> np.ndarray:
-    """Maximal verbatim matches as rows (start, item, position, length): windows that follow each other are one."""
-    n = tests.first[window + 1] - tests.first[window]
-    slot = np.repeat(tests.first[window] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    at, item, pos, size = np.repeat(start, n), tests.item[slot], tests.position[slot], np.repeat(tests.length[window], n)
-    order = np.lexsort((at, at - pos, item))
-    at, item, pos, size = (x[order] for x in (at, item, pos, size))
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (item[1:] != item[:-1]) | (at[1:] - pos[1:] != at[:-1] - pos[:-1]) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return np.stack([at[first], item[first], pos[first], at[last] - at[first] + size[last]], axis=1) if len(at) else np.zeros((0, 4), dtype=np.int64)
+def doubled(letter: np.ndarray, after: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Ranks, steps and lengths of all suffixes of chains of letters, by prefix doubling.
+
+    after: the next place of each, -1 at an end. Level k orders suffixes by their
+    first 2^k letters, from the ranks of both halves; step is the place 2^k on
+    and length how many letters there are up to it.
+    """
+    ranks, steps, lengths = [np.unique(letter, return_inverse=True)[1] + 1], [after], [np.ones(len(letter), dtype=np.int64)]
+    while (steps[-1] >= 0).any():
+        rank, step, length = ranks[-1], steps[-1], lengths[-1]
+        on = step >= 0
+        second = np.where(on, rank[step], 0)
+        ranks.append(np.unique(rank * (len(letter) + 2) + second, return_inverse=True)[1] + 1)
+        lengths.append(length + np.where(on, length[step], 0))
+        steps.append(np.where(on, step[step], -1))
+    return ranks, steps, lengths
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray, levels) -> np.ndarray:
+    """Letters that the suffixes at places a and b have in common (-1: no place), from the largest level down."""
+    out, a, b = np.zeros(len(a), dtype=np.int64), a.copy(), b.copy()
+    for rank, step, length in zip(*(x[::-1] for x in levels)):
+        same = (a >= 0) & (b >= 0)
+        same[same] = rank[a[same]] == rank[b[same]]
+        out[same] += length[a[same]]
+        a[same], b[same] = step[a[same]], step[b[same]]
+    return out
+
+
+def longest(start: np.ndarray, window: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct matching start: the words of its longest match with any test suffix, that one's item and position.
+
+    Training and test suffixes that match at all are put in one suffix array, by
+    prefix doubling over their windows as letters; the longest match of a
+    training suffix is the longer common prefix with its two neighbours among
+    the test suffixes. Of equal test suffixes the first stands for all, so only
+    as many rows are made as there are matching places.
+    """
+    size = tests.length[window]
+    by = np.lexsort((-size, start))
+    first = by[np.flatnonzero(np.diff(start[by], prepend=-1))]  # the longest window that starts at each place
+    place, letter = start[first], window[first]
+    found = np.zeros(len(tests.length), dtype=bool)
+    found[window] = True
+    rows = tests.at[found[tests.at[:, 0]]]
+    n, m = len(place), len(rows)
+    follows = np.full(n + m, -1)
+    follows[: n - 1] = np.where((np.diff(place) == 1) & (tests.length[letter[1:]] == WINDOW) & (tests.length[letter[:-1]] == WINDOW), np.arange(1, n), -1)
+    if m > 1:
+        follows[n : n + m - 1] = np.where((np.diff(rows[:, 1]) == 0) & (np.diff(rows[:, 2]) == 1), np.arange(n + 1, n + m), -1)
+    levels = doubled(np.concatenate([letter, rows[:, 0]]), follows)
+    order = np.argsort(levels[0][-1], kind="stable")
+    is_test = order >= n
+    count = np.cumsum(is_test)
+    hit = np.flatnonzero(~is_test)
+    of_tests, own = order[is_test], order[hit]
+    # training places come before test ones of equal rank
+    before, behind = count[hit] - 1, count[hit]
+    ends = [np.where((x >= 0) & (x < m), of_tests[np.clip(x, 0, m - 1)], -1) for x in (before, behind)]
+    both = [common_prefix(own, x, levels) for x in ends]
+    second = both[1] >= both[0]
+    best, other = np.where(second, both[1], both[0]), np.where(second, ends[1], ends[0])
+    words = np.zeros(n, dtype=np.int64)
+    words[own] = tests.length[letter[own]] + best - 1
+    told = np.zeros((n, 2), dtype=np.int64)
+    told[own] = rows[other - n, 1:]
+    return place, words, told
 
 
 def _shard(docs: list[np.ndarray], tests: Tests) -> list[tuple[np.ndarray, list[str], tuple[int, str | None, int, int]]]:
@@ -105,21 +171,24 @@ def _shard(docs: list[np.ndarray], tests: Tests) -> list[tuple[np.ndarray, list[
     for d, o in zip(docs, offset):
         seq[o : o + len(d)] = d
     start, window = search(seq, tests) if tests.least else (np.zeros(0, np.int64),) * 2
+    if not len(start):
+        return [(np.zeros(len(d), dtype=bool), [], (0, None, -1, -1)) for d in docs]
     mark = np.zeros(len(seq) + 1, dtype=np.int64)
     np.add.at(mark, start, 1)
     np.add.at(mark, start + tests.length[window], -1)
     hit = np.cumsum(mark)[:-1] > 0
-    found = longest(start, window, tests)
-    doc = np.searchsorted(offset, found[:, 0], "right") - 1
-    order = np.lexsort((found[:, 0], found[:, 1], -found[:, 3], doc))
-    found, doc = found[order], doc[order]
-    edge = np.searchsorted(doc, np.arange(len(docs) + 1))
+    sets = np.unique(np.stack([np.searchsorted(offset, start, "right") - 1, tests.owners[window]]), axis=1)
+    place, size, told = longest(start, window, tests)
+    doc = np.searchsorted(offset, place, "right") - 1
+    order = np.lexsort((place, -size, doc))
+    best = dict(zip(*(x[::-1].tolist() for x in (doc[order], order))))  # of each document the first
+    edge = np.searchsorted(sets[0], np.arange(len(docs) + 1))
     out = []
     for k in range(len(docs)):
-        mine = found[edge[k] : edge[k + 1]]
-        ids = sorted({name for i in np.unique(mine[:, 1]) for name in tests.ids[i]})
-        best = (int(mine[0, 3]), min(tests.ids[mine[0, 1]], default=None), int(mine[0, 0] - offset[k]), int(mine[0, 2])) if len(mine) else (0, None, -1, -1)
-        out.append((hit[offset[k] : offset[k + 1] - 1], ids, best))
+        ids = sorted({name for x in sets[1, edge[k] : edge[k + 1]] for name in tests.sets[x]})
+        b = best.get(k)
+        most = (0, None, -1, -1) if b is None else (int(size[b]), min(tests.ids[told[b, 0]], default=None), int(place[b] - offset[k]), int(told[b, 1]))
+        out.append((hit[offset[k] : offset[k + 1] - 1], ids, most))
     return out
 
 
@@ -130,10 +199,13 @@ def annotated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     """All columns of docs and a struct that says what of the benchmark they contain.
 
     Each task numbers the words of its documents by the test words, builds a
-    suffix array over a shard of bounded size, and binary-searches every test
-    suffix in it. No documents are shuffled. The benchmark goes to the tasks in
-    blocks of BLOCK_CHARS characters; one after the other where it has more, with
-    the hit words carried on.
+    suffix array over a shard of bounded size, ordered by the WINDOW words that a
+    match needs, and binary-searches every test suffix in it. The suffixes that
+    match are put in full order together with the tests' by prefix doubling, and
+    common prefixes of neighbours give the longest matches and where they are. No
+    documents are shuffled. The benchmark goes to the tasks in blocks of
+    BLOCK_CHARS characters; where it has more, the documents are written after
+    each block with the words hit so far, so one block is held at a time.
 
     Null texts have no words. Items of equal text are one with several ids; an
     item without id is searched too but not counted among the items. Repeated
@@ -148,9 +220,14 @@ def annotated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     grouped = items.groupBy("text").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     out = docs
     for b in range(blocks):
-        rows = grouped.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
+        rows = grouped.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("text").collect()
         tests = spark.sparkContext.broadcast(Tests([(r["ids"], r["text"]) for r in rows]))
-        out = out.mapInArrow(_step(tests, text, result, bool(b)), _schema(docs, result))
+        before, out = out, out.mapInArrow(_step(tests, text, result, bool(b)), _schema(docs, result))
+        if b < blocks - 1:
+            out = written(out, "decontam-block")
+            tests.destroy()
+            if b:
+                forget(before)
     return out
 
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from lotline.llm import decontam
 
 from . import data
@@ -26,10 +28,25 @@ def brute(text, items):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)
 
 
+def brute_longest(text, items):
+    """(words, first place) of the longest match of at least a window."""
+    w, best = words(text), (0, 1)
+    for _, item in items:
+        v = words(item)
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n >= min(10, len(v)) and n:
+                    best = max(best, (n, -i))
+    return best[0], -best[1]
+
+
 ITEMS = [(1, data.words(60, 2)), (2, "One two!"), (10, data.words(25, 11)), (3, data.words(25, 11)), (None, data.words(15, 12)), (4, None), (5, "..."), (6, "éß"), (7, "a a a a a a a a a a a a"), (1, data.words(60, 2))]
 
 
-def check(spark, monkeypatch, rows, df):
+def check(spark, monkeypatch, rows, df, longest=True):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontam.annotated(df, bench).collect()
     assert len(got) == len(rows)
@@ -37,6 +54,8 @@ def check(spark, monkeypatch, rows, df):
     for r in got:
         x = r["decontamination"]
         assert (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) == want[(r["doc_id"], r["text"])], r["text"]
+        if longest and r["text"] and len(r["text"]) < 2000:
+            assert (x["longest"], x["longest_at"]) == brute_longest(r["text"], ITEMS), r["text"]
 
 
 def rows_with_hits(spark):
@@ -54,7 +73,39 @@ def test_equals_brute_force(spark, monkeypatch):
     check(spark, monkeypatch, rows, df)
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 150)
     monkeypatch.setattr(decontam, "SHARD_WORDS", 50)
-    check(spark, monkeypatch, rows, df)
+    check(spark, monkeypatch, rows, df, False)
+
+
+def test_common_prefixes_equal_plain_ones():
+    r = random.Random(8)
+    for _ in range(60):
+        n = r.randint(1, 40)
+        letter = np.array([r.randint(0, 2) for _ in range(n)])
+        after = np.array([i + 1 if i + 1 < n and r.random() < 0.9 else -1 for i in range(n)])
+
+        def spell(i):
+            out = []
+            while i >= 0:
+                out.append(letter[i])
+                i = after[i]
+            return out
+
+        levels = decontam.doubled(letter, after)
+        order = np.argsort(levels[0][-1], kind="stable").tolist()
+        assert [spell(i) for i in order] == sorted(map(spell, range(n)))
+        a, b = np.array([r.randrange(n) for _ in range(30)]), np.array([r.randrange(-1, n) for _ in range(30)])
+        want = [next((k for k, (x, y) in enumerate(zip(spell(i), spell(j))) if x != y), min(len(spell(i)), len(spell(j)))) if j >= 0 else 0 for i, j in zip(a, b)]
+        assert decontam.common_prefix(a, b, levels).tolist() == want
+
+
+def test_a_passage_of_many_items_many_times(spark):
+    """As many rows are made as places match, not places times items."""
+    passage = data.words(30, 60)
+    bench = spark.createDataFrame([(i, f"{passage} tail{i}") for i in range(3000)], "item_id long, text string")
+    df = spark.createDataFrame([(0, " ".join([passage] * 800)), (1, passage + " tail7"), (2, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: r["decontamination"] for r in decontam.annotated(df, bench).collect()}
+    assert [got[i]["n_items"] for i in range(3)] == [3000, 3000, 0] and got[1]["longest"] == 31 and got[1]["longest_item"] == "7"
+    assert got[0]["n_hit"] == 24000 and got[0]["longest"] == 30
 
 
 def test_longest_match_and_cleaning(spark):
