@@ -27,16 +27,54 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.DOTALL)
 
 
+def header(role: Column) -> Column:
+    """What stands before a turn's text; the role's line ends are escaped too."""
+    return F.concat(F.lit(START), F.replace(escaped(role), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+
+
 def piece(role: Column, text: Column) -> Column:
-    """One turn in the template; the role's line ends are escaped too."""
-    name = F.replace(escaped(role), F.lit("\n"), F.lit("\\n"))
-    return F.concat(F.lit(START), name, F.lit("\n"), escaped(text), F.lit(END + "\n"))
+    """One turn in the template."""
+    return F.concat(header(role), escaped(text), F.lit(END + "\n"))
+
+
+class Parser:
+    """Reads turns back from a conversation's text, which may come in parts cut anywhere.
 
+    turn(role, text) is called for each turn. Only marks end a turn, so texts may
+    hold what they like as long as it is escaped; text that the template can't
+    have written raises.
+    """
 
-def read_piece(formatted: str) -> tuple[str, str]:
-    """The role and text of a turn as piece() wrote it."""
-    role, _, text = formatted[len(START) : -len(END) - 1].partition("\n")
-    return unescaped(role), unescaped(text)
+    def __init__(self, turn):
+        self.turn, self.rest, self.role, self.parts = turn, "", None, []
+
+    def feed(self, more: str) -> None:
+        self.rest += more
+        while True:
+            if self.role is None:
+                if not self.rest.startswith(START[: len(self.rest)]):
+                    raise ValueError("a turn must begin with its mark")
+                name, found, after = self.rest[len(START) :].partition("\n")
+                if not found:
+                    return
+                self.role, self.rest = unescaped(name), after
+            at = self.rest.find("<|")
+            if at < 0 or not self.rest.startswith((END + "\n")[: len(self.rest) - at], at):
+                if at >= 0:
+                    raise ValueError("a control string stands in a text")
+                # an escape or the beginning of a mark may be cut
+                keep = len(self.rest) - (self.rest.endswith("<") or (len(self.rest) - len(self.rest.rstrip("\\"))) % 2)
+                self.parts.append(unescaped(self.rest[:keep]))
+                self.rest = self.rest[keep:]
+                return
+            if len(self.rest) - at < len(END) + 1:
+                return
+            self.turn(self.role, "".join([*self.parts, unescaped(self.rest[:at])]))
+            self.rest, self.role, self.parts = self.rest[at + len(END) + 1 :], None, []
+
+    def close(self) -> None:
+        if self.rest or self.role is not None:
+            raise ValueError("the last turn has no end")
 
 
 def branches(nodes: DataFrame, best: int = 1) -> DataFrame:
@@ -77,54 +115,88 @@ def branches(nodes: DataFrame, best: int = 1) -> DataFrame:
     return path
 
 
-def format_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
-    """Each chosen path as one conversation, a row for each turn.
+def format_paths(nodes: DataFrame, best: int = 1, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Each chosen path as one conversation, in parts.
 
-    nodes: tree, node, parent, score, role, text. Returns tree, rank, depth,
-    role and piece; a conversation's text is its pieces joined by depth. A turn
-    a row keeps memory bounded however long a conversation is.
+    nodes: tree, node, parent, score, role, text. Returns tree, rank, depth, role,
+    piece, and the loss mask: loss_from and loss_to, the code points of piece (end
+    exclusive) that are learned, null where none is. A conversation's text is its
+    pieces joined by depth; a part for each turn keeps memory bounded however long
+    a conversation is. conversations() joins them.
     """
     path = branches(nodes.select("tree", "node", "parent", "score"), best)
-    return path.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "rank", "depth", piece(F.col("role"), F.col("text")).alias("piece"))
+    told = path.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    before = F.length(header(F.col("role"))).cast("long")
+    mask = F.col("role").isin(*learn)
+    return told.select("tree", "rank", "depth", "role", piece(F.col("role"), F.col("text")).alias("piece"), F.when(mask, before).alias("loss_from"), F.when(mask, before + F.length(escaped(F.col("text")))).alias("loss_to"))
+
+
+def conversations(formatted: DataFrame) -> DataFrame:
+    """(tree, rank, text, mask): whole conversations, each with its learned spans (code points, end exclusive) as an array.
+
+    A conversation must fit a row; digests() reads longer ones from their parts.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("depth", "piece", "loss_from", "loss_to")))
+    rows = formatted.groupBy("tree", "rank").agg(parts.alias("parts"))
+    zero = F.lit(0).cast("long")
+    ends = F.aggregate("parts", F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x["piece"]))))
+    spans = F.transform("parts", lambda x, i: F.struct((F.get("ends", i) + x["loss_from"]).alias("from"), (F.get("ends", i) + x["loss_to"]).alias("to")))
+    return rows.withColumn("ends", ends).select("tree", "rank", F.array_join(F.transform("parts", lambda x: x["piece"]), "").alias("text"), F.filter(spans, lambda m: m["from"].isNotNull()).alias("mask"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What is read back from formatted conversations, in one ordered pass.
 
-    A conversation's rows are sorted into one task, which hashes them as they
-    come: a turn at a time is in memory.
+    A conversation's parts are sorted into one task, which joins them as they
+    come: turns are found by parsing the marks of the running text, the learned
+    text by its mask, and both are unescaped. A turn at a time is in memory.
     """
 
     def read(batches):
         now = None
         for batch in batches:
             rows = []
-            for tree, rank, formatted_piece in zip(batch["tree"], batch["rank"], batch["piece"]):
-                if now is None or now["id"] != (tree, rank):
+            for tree, rank, text, a, b in zip(*(batch[c] for c in ("tree", "rank", "piece", "loss_from", "loss_to"))):
+                if now is None or now.id != (tree, rank):
                     if now:
-                        rows.append(closed(now))
-                    now = {"id": (tree, rank), "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_n": 0, "chars": 0}
-                role, text = read_piece(formatted_piece)
-                now["n"] += 1
-                now["chars"] += len(formatted_piece)
-                now["turns"].update(f"{role}\n{text}\n".encode())
-                if role == "assistant":
-                    now["loss"].update(text.encode())
-                    now["loss_n"] += len(text)
+                        rows.append(now.closed())
+                    now = Reading((tree, rank))
+                now.add(text, a, b)
             yield frame(rows)
         if now:
-            yield frame([closed(now)])
-
-    def closed(x):
-        return (*x["id"], x["n"], x["turns"].hexdigest(), x["loss_n"], x["loss"].hexdigest(), x["chars"])
+            yield frame([now.closed()])
 
     def frame(rows):
         return pd.DataFrame(rows, columns=["tree", "rank", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    ordered = formatted.select("tree", "rank", "depth", "piece").repartition("tree", "rank").sortWithinPartitions("tree", "rank", "depth")
+    ordered = formatted.select("tree", "rank", "depth", "piece", "loss_from", "loss_to").repartition("tree", "rank").sortWithinPartitions("tree", "rank", "depth")
     return ordered.mapInPandas(read, "tree string, rank int, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+class Reading:
+    """Counts and digests of one conversation that is read part by part."""
+
+    def __init__(self, id):
+        self.id, self.n, self.chars, self.loss_n = id, 0, 0, 0
+        self.turns, self.loss, self.parser = hashlib.sha256(), hashlib.sha256(), Parser(self.turn)
+
+    def turn(self, role: str, text: str) -> None:
+        self.n += 1
+        self.turns.update(f"{role}\n{text}\n".encode())
+
+    def add(self, text: str, a, b) -> None:
+        self.chars += len(text)
+        self.parser.feed(text)
+        if a == a and a is not None:
+            learned = unescaped(text[int(a) : int(b)])
+            self.loss.update(learned.encode())
+            self.loss_n += len(learned)
+
+    def closed(self) -> tuple:
+        self.parser.close()
+        return (*self.id, self.n, self.turns.hexdigest(), self.loss_n, self.loss.hexdigest(), self.chars)
+
+
 def as_chains(conversations: DataFrame) -> DataFrame:
     """Conversations by turn as trees with one branch; repeated turns follow each other by role and text.
 
