@@ -8,10 +8,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
-#: An index of more rules than this is joined by a shuffle instead of a broadcast.
-BROADCAST_RULES = 100_000
+#: An index of more rules than this is joined on tokens; a smaller one is part of the expression, so that no URL is shuffled.
+PLAIN_RULES = 1_000
 
 
 class Rule(NamedTuple):
@@ -51,10 +51,10 @@ PATTERNS = (
     pattern("pill", r"://[^/?#]*\b(?:cheap|buy|discount)[-_.]pill\b", ("pill",)),
     pattern("bets", r"://[^/?#]*\b(?:free|best|live)[-_.]bets?\b", ("bets",)),
     pattern("bet", r"://[^/?#]*\b(?:free|best|live)[-_.]bet\b", ("bet",)),
-    pattern("adult", r"://[^/?#]*\b(?:xxx|porn|adult)\b", ()),
+    *(pattern("adult", rf"://[^/?#]*\b{x}\b", (x,)) for x in ("xxx", "porn", "adult")),
     pattern("replica", r"\breplica[-_.](?:watch|watches|bags)\b", ("replica",)),
     *(pattern("replica", rf"\b{x}\b", (x,)) for x in ("replicawatch", "replicawatches", "replicabags")),
-    pattern("loan", r"\b(?:payday|quick|instant)[-_.]loans?\b", ()),
+    *(pattern("loan", rf"\b{x}[-_.]loans?\b", (x,)) for x in ("payday", "quick", "instant")),
     pattern("download", r"\b(?:crack|keygen|warez)\b.*\bdownload\b", ("download",)),
 )
 
@@ -64,48 +64,65 @@ def tokens(url):
     return F.array_distinct(F.concat(F.array(F.lit("")), F.split(ascii_lower(url), "[^a-z0-9]+")))
 
 
+#: Of a rule in the index.
+RULE = "struct<rule_no: int, name: string, kind: string, regex: string, rule_verdict: string, weight: int>"
+
+
+def _index(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(token, rules): each rule under that one of its literals which is rarest among the tokens of all URLs.
+
+    A rule without literals stands under "", which every URL has.
+    """
+    table = rows.sparkSession.createDataFrame([(i, *r[:3], list(r.literals) or [""], r.verdict, r.weight) for i, r in enumerate(rules)], "rule_no int, name string, kind string, regex string, literals array<string>, rule_verdict string, weight int")
+    literals = table.select("rule_no", F.explode("literals").alias("token"))
+    asked = literals.select("token").distinct()
+    seen = rows.select(F.explode(tokens(F.col("url"))).alias("token")).groupBy("token").agg(F.count("*").alias("df")).join(asked, "token", "left_semi")
+    rarest = literals.join(seen, "token", "left").groupBy("rule_no").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+    return table.join(rarest, "rule_no").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rule_no", "name", "kind", "regex", "rule_verdict", "weight"))).alias("rules"))
+
+
+def _fits(rule, url, place):
+    return F.rlike(F.when(rule["kind"] == "place", place).otherwise(url), rule["regex"])
+
+
 def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = PLACES + PATTERNS) -> DataFrame:
     """Each page's host, path, deciding rule and verdict.
 
     Each rule stands in the index under that one of its literals which is rarest
-    among the URLs' tokens (counted over all rows; a rule without literals under
-    "", which every URL has). A URL's tokens fetch candidate rules, and only
-    those run their regular expression. The place rule of the largest weight
-    decides; else a fitting pattern does, block before allow; else allow.
+    among the URLs' tokens (counted over all rows). A URL's tokens fetch candidate
+    rules, and only those run their regular expression. The place rule of the
+    largest weight decides; else a fitting pattern does, block before allow; else
+    allow. An index of up to PLAIN_RULES rules is a map in the expression and no
+    URL is shuffled; the tokens of URLs are joined with a larger one.
 
     Null URLs and URLs without "://" have empty host and path and fit no place
     rule. Repeated rows are returned as often as they come. Only key and URL are
-    read and shuffled.
+    read.
     """
-    spark = pages.sparkSession
-    table = spark.createDataFrame([(i, *r[:3], list(r.literals) or [""], r.verdict, r.weight) for i, r in enumerate(rules)], "rule_no int, name string, kind string, regex string, literals array<string>, rule_verdict string, weight int")
-    small = (lambda df: F.broadcast(df)) if len(rules) <= BROADCAST_RULES else (lambda df: df)
-    text = F.coalesce(F.col(url), F.lit(""))
-    rows = pages.select(F.col(key).alias("key"), text.alias("url"))
-    literals = table.select("rule_no", F.explode("literals").alias("token"))
-    seen = rows.select(F.explode(tokens(F.col("url"))).alias("token")).join(small(literals.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    rarest = literals.join(seen, "token", "left").groupBy("rule_no").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
-    index = table.join(rarest, "rule_no").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rule_no", "name", "kind", "regex", "rule_verdict", "weight"))).alias("rules"))
-    parsed = rows.select("key", "url", ascii_lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("host"), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("path"))
-    found = parsed.select("*", F.posexplode(tokens(F.col("url"))).alias("pos", "token")).join(small(index), "token", "left")
-    # outer, so that the first token counts its row whether or not it fetches rules
-    candidates = found.select("key", "url", "host", "path", "pos", F.posexplode_outer("rules").alias("nth", "rule"))
-    subject = F.when(F.col("rule.kind") == "place", F.concat("host", "path")).otherwise(ascii_lower(F.col("url")))
-    fits = F.col("rule").isNotNull() & F.rlike(subject, F.col("rule.regex"))
-    best = candidates.withColumn("fits", fits).groupBy("key", "url", "host", "path").agg(
-        F.count_if((F.col("pos") == 0) & (F.coalesce("nth", F.lit(0)) == 0)).alias("copies"),
-        F.max(F.when(F.col("fits") & (F.col("rule.kind") == "place"), F.struct("rule.weight", "rule.name", "rule.rule_verdict"))).alias("place"),
-        F.max(F.when(F.col("fits") & (F.col("rule.kind") == "pattern"), F.struct((F.col("rule.rule_verdict") == "block").alias("block"), "rule.name", "rule.rule_verdict"))).alias("pattern"),
-        F.count_if(F.col("rule").isNotNull()).alias("tried"),
-    )
-    out = best.select(
+    rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"))
+    index = _index(rows, rules)
+    parsed = rows.select("key", ascii_lower(F.col("url")).alias("low"), "url", ascii_lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("host"), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("path"))
+    if len(rules) <= PLAIN_RULES:
+        found = index.collect()
+        fetch = F.create_map(*(c for r in found for c in (F.lit(r["token"]), F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in x.asDict().items())) for x in r["rules"])))))
+        none = F.array().cast(f"array<{RULE}>")
+        candidates = F.flatten(F.transform(tokens(F.col("url")), lambda t: F.coalesce(F.try_element_at(fetch.cast(f"map<string, array<{RULE}>>"), t), none))) if found else none
+        judged = parsed.withColumn("tried", candidates)
+    else:
+        # rows get a number, as keys and URLs may repeat; URLs of which no token is in the index need no join
+        numbered = written(parsed.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+        met = numbered.select("row", F.explode(tokens(F.col("url"))).alias("token")).join(index, "token").groupBy("row").agg(F.flatten(F.collect_list("rules")).alias("tried"))
+        judged = numbered.join(met, "row", "left")
+    place = F.concat("host", "path")
+    fitting = lambda kind: F.filter("fitting", lambda r: r["kind"] == kind)
+    judged = judged.withColumn("fitting", F.filter("tried", lambda r: _fits(r, F.col("low"), place)))
+    best = judged.withColumn("place", F.array_max(F.transform(fitting("place"), lambda r: F.struct(r["weight"], r["name"], r["rule_verdict"])))).withColumn("pattern", F.array_max(F.transform(fitting("pattern"), lambda r: F.struct((r["rule_verdict"] == "block").alias("block"), r["name"], r["rule_verdict"]))))
+    return best.select(
         F.col("key").alias(key),
         "host",
         "path",
         F.col("place.name").alias("rule"),
         F.coalesce("place.rule_verdict", "pattern.rule_verdict", F.lit("allow")).alias("verdict"),
         F.when(F.col("place").isNull(), F.col("pattern.name")).alias("pattern"),
-        (F.col("tried") / F.col("copies")).cast("long").alias("rules_tried"),
-        "copies",
+        F.coalesce(F.size("tried"), F.lit(0)).cast("long").alias("rules_tried"),
     )
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
