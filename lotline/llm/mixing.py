@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import forget, word_count, written
 
 #: Bits of the hash that one histogram resolves, and the number of nested histograms.
 BITS, LEVELS = 12, 3
@@ -22,8 +22,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     Sources in code point order (null last) take the weights in turn. The level
     L with sum(least(most * size, L * weight)) = total is found among the
     sources ordered by most * size / weight: it is the largest quotient of what
-    is left by the weight that is left. One row a source, so the windows are
-    small.
+    is left by the weight that is left. The windows see one row a source in one
+    task, which is fit for up to some millions of sources.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     by_cap = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,11 +64,14 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
         was = at.select(F.col("source").alias("s"), "budget", "base")
         bins = bins.join(was, F.col("source").eqNullSafe(F.col("s"))).where(F.col("base") + F.col("to") > F.col("budget"))
         first = bins.groupBy("source").agg(F.min(F.struct("b", "base", "to", "words", "budget")).alias("x"))
-        at = written(first.select("source", "x.budget", (F.col("x.base") + F.col("x.to") - F.col("x.words")).alias("base"), F.col("x.b").alias("bucket"), F.col("x.words").alias("words")), "mix-edges")
+        was, at = at, written(first.select("source", "x.budget", (F.col("x.base") + F.col("x.to") - F.col("x.words")).alias("base"), F.col("x.b").alias("bucket"), F.col("x.words").alias("words")), "mix-edges")
+        if level:
+            forget(was)
     fits = (F.col("budget") - F.col("base")) * 2 >= F.col("words")
     limit = at.select(F.col("source").alias("s"), (F.col("bucket") - F.when(fits, 0).otherwise(1)).alias("limit"))
-    per = written(per.join(limit, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("src"), "source_size", "target", "whole", F.coalesce("limit", F.lit(-1).cast("long")).alias("limit")), "mix-limits")
-    return per
+    out = written(per.join(limit, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("src"), "source_size", "target", "whole", F.coalesce("limit", F.lit(-1).cast("long")).alias("limit")), "mix-limits")
+    forget(per, at)
+    return out
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -88,8 +91,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, copies: str = "copies") -> DataFrame:
-    """The documents that the mix takes, with all columns and how many times each is taken."""
-    per = plan(_sized(docs, key, text, source), weights, most)
-    limits = per.select(*(F.col(c).alias(f"__{c}") for c in ("src", "whole", "limit")))
-    taken = docs.join(limits, docs[source].eqNullSafe(F.col("__src"))).withColumn("__copies", F.col("__whole") + (spread(docs[key]) <= F.col("__limit")).cast("long"))
-    return taken.where("__copies > 0").select(*(docs[c] for c in docs.columns), F.col("__copies").alias(copies))
+    """The documents that the mix takes, with all columns and how many times each is taken, in a column named by copies.
+
+    All columns stay, whatever their names; copies must not be one of them.
+    """
+    if copies in docs.columns:
+        raise ValueError(f"{copies} is a column of the documents")
+    sized = _sized(docs, key, text, source)
+    per = plan(sized, weights, most)
+    forget(sized)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    of = lambda name: F.col(f"c{docs.columns.index(name)}")
+    taken = rows.join(per.select("src", "whole", "limit"), of(source).eqNullSafe(F.col("src"))).withColumn("times", F.col("whole") + (spread(of(key)) <= F.col("limit")).cast("long"))
+    return taken.where("times > 0").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("times").alias(copies))

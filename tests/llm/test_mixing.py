@@ -1,3 +1,5 @@
+import pytest
+
 from lotline.llm import mixing
 
 from . import data
@@ -44,5 +46,9 @@ def test_awkward_rows(spark):
     assert mixing.mix(df).count() == len(rows)
     kept = mixing.mixed(df)
     assert kept.columns == [*df.columns, "copies"]
+    odd = mixing.mixed(df.withColumnRenamed("key", "limit").withColumnRenamed("row", "times"), copies="taken")
+    assert odd.columns == [*df.columns[:-2], "limit", "times", "taken"] and odd.count() == kept.count()
+    with pytest.raises(ValueError):
+        mixing.mixed(df, copies="key")
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
     assert [r["copies"] for r in mixing.mix(df.where("text is null")).collect()] == [0, 0]
