@@ -8,11 +8,11 @@ import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import shared_dir, written
+from .common import forget, maybe_among, shared_dir, written
 
 #: Bytes after which a writer begins another file, and bytes of files that one reading task takes.
 FILE_BYTES = PART_BYTES = 64 << 20
@@ -20,8 +20,8 @@ FILE_BYTES = PART_BYTES = 64 << 20
 FIELDS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest"}
 READ = ", ".join(f"{c} string" for c in FIELDS) + ", content_length long, headers map<string, string>, payload binary, file string, offset long"
 ARROW = pa.schema([*((c, pa.string()) for c in FIELDS), ("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
-#: What a reader takes from a file at once.
-CHUNK = 1 << 16
+#: What a reader takes from a file at once: after a jump, and at most where it reads on.
+CHUNK, AHEAD = 1 << 16, 4 << 20
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 2000
 
 
@@ -59,14 +59,51 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if "application/http" in fields.get("Content-Type", "") else block
 
 
+class Ahead:
+    """A stream whose small reads are served from a block that was read ahead; blocks double while reading goes on and begin at CHUNK after a jump."""
+
+    def __init__(self, stream):
+        self.stream, self.end, self.at, self.begin, self.block, self.size = stream, stream.size(), 0, 0, b"", CHUNK
+        self.fetched = 0
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, n: int) -> bytes:
+        n = max(min(n, self.end - self.at), 0)
+        if not self.begin <= self.at <= self.at + n <= self.begin + len(self.block):
+            on = self.begin <= self.at <= self.begin + len(self.block)
+            self.size = min(2 * self.size, AHEAD) if on and self.block else CHUNK
+            kept = self.block[self.at - self.begin :] if on else b""
+            self.stream.seek(self.at + len(kept))
+            self.block, self.begin = kept + self.stream.read(max(n - len(kept), self.size)), self.at
+            self.fetched += len(self.block) - len(kept)
+        out = self.block[self.at - self.begin : self.at - self.begin + n]
+        self.at += len(out)
+        return out
+
+
+def _length(fields: dict[str, str], found: int) -> int:
+    """The length a header tells, or what was found where it tells none."""
+    told = fields.get("Content-Length", "")
+    return int(told) if told.isdecimal() else found
+
+
 def records(stream, compressed: bool, wanted, decode: bool):
     """(offset, fields, payload or None) of the records that wanted(fields) takes.
 
     Headers come first: of a compressed record only its first bytes are
     decompressed, and an unwanted or unneeded block is skipped by seeking (by
     decompressing without keeping it where a member doesn't tell its length).
+    A record that ends before its length is told with the field WARC-Truncated;
+    one without a length that is a number goes to the end of its member, in a
+    plain file to the end of the file.
     """
-    offset, end = 0, stream.size()
+    stream = Ahead(stream)
+    offset, end = 0, stream.end
     while offset < end:
         stream.seek(offset)
         raw = stream.read(CHUNK)
@@ -89,7 +126,10 @@ def records(stream, compressed: bool, wanted, decode: bool):
                 rest = b"".join(kept)
                 read = stream.tell() - offset - len(unpack.unused_data)
             if take:
-                yield offset, fields, payload_of(fields, rest[: int(fields.get("Content-Length", 0))]) if decode else None
+                size = _length(fields, len(rest))
+                if decode and len(rest) < size:
+                    fields["WARC-Truncated"] = "length"
+                yield offset, fields, payload_of(fields, rest[:size]) if decode else None
             offset += told or read
         else:
             while b"\r\n\r\n" not in raw and (more := stream.read(CHUNK)):
@@ -99,9 +139,12 @@ def records(stream, compressed: bool, wanted, decode: bool):
             if not found:
                 return
             fields = fields_of(head)
-            start, size = offset + skip + len(head) + 4, int(fields.get("Content-Length", 0))
+            start = offset + skip + len(head) + 4
+            size = _length(fields, end - start)
             if wanted(fields):
                 block = b""
+                if start + size > end:
+                    fields["WARC-Truncated"] = "length"
                 if decode:
                     stream.seek(start)
                     block = stream.read(size)
@@ -132,7 +175,9 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         system, root = _fs(self.path)
-        found = sorted((x.path, x.size) for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith((".warc", ".warc.gz")) and x.size)
+        one = system.get_file_info(root)
+        every = [one] if one.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
+        found = sorted((x.path, x.size) for x in every if x.path.endswith((".warc", ".warc.gz")) and x.size)
         parts, paths, size = [], [], 0
         for path, n in found:
             if paths and size + n > PART_BYTES:
@@ -155,7 +200,7 @@ class WarcReader(DataSourceReader):
         for path in partition.paths:
             with system.open_input_file(path) as stream:
                 for offset, fields, payload in records(stream, path.endswith(".gz"), wanted, self.decode):
-                    rows.append({c: fields.get(h) for c, h in FIELDS.items()} | {"content_length": int(fields.get("Content-Length", 0)), "headers": list(fields.items()), "payload": payload, "file": path, "offset": offset})
+                    rows.append({c: fields.get(h) for c, h in FIELDS.items()} | {"content_length": _length(fields, 0), "headers": list(fields.items()), "payload": payload, "file": path, "offset": offset})
                     size += len(payload or b"") + 500
                     if size > BATCH_BYTES or len(rows) >= BATCH_ROWS:
                         yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
@@ -252,10 +297,16 @@ def archived(pages: DataFrame, path: str, key: str = "page_id", url: str = "url"
     register(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("body"))
     rows = rows.withColumn("sha1", F.sha1("body"))
-    first = written(rows.groupBy("sha1").agg(F.min("key").alias("first"), F.count("*").alias("n")), "warc-first")
+    # of payloads that come once nothing is joined, and bodies are shuffled only where a page may be a revisit
+    narrow = written(rows.select("key", "sha1", (F.length("body") >= least).alias("large")), "warc-pages")
+    first = narrow.where("large").groupBy("sha1").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha1", "first")
+    again = written(narrow.where("large").join(first, "sha1").where(~F.col("key").eqNullSafe(F.col("first"))).select(F.col("key").alias("k"), F.col("sha1").alias("s"), "first").distinct(), "warc-revisits")
+    forget(narrow)
+    asked = maybe_among(rows, F.col("sha1"), again.select("s").distinct())
+    met = asked.where("__hit").join(again, (F.col("sha1") == F.col("s")) & F.col("key").eqNullSafe(F.col("k")), "left")
+    columns = ["key", "url", "sha1", "body"]
+    told = asked.where("not __hit").select(*columns, F.lit(None).cast(dict(again.dtypes)["first"]).alias("first")).unionByName(met.select(*columns, "first")).withColumn("again", F.col("first").isNotNull())
     named = lambda k: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("/", F.coalesce(k.cast("string"), F.lit("")), "sha1")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
-    again = (F.length("body") >= least) & (F.col("key") != F.col("first")) | F.col("key").isNull() & F.col("first").isNotNull() & (F.length("body") >= least)
-    told = rows.join(first, "sha1").withColumn("again", F.coalesce(again, F.lit(False)))
     headers = F.map_filter(
         F.create_map(F.lit("X-Page-Id"), F.col("key").cast("string"), F.lit("X-Payload-Bytes"), F.length("body").cast("string"), F.lit("X-Refers-To-Page-Id"), F.when(F.col("again"), F.col("first").cast("string"))),
         lambda k, v: v.isNotNull(),
@@ -270,19 +321,31 @@ def archived(pages: DataFrame, path: str, key: str = "page_id", url: str = "url"
         headers.alias("headers"),
         F.when(~F.col("again"), F.col("body")).alias("payload"),
     ).write.format("warc").mode("append").save(path)
+    forget(again)
+
+
+def base32(hexadecimal: Column) -> Column:
+    """Upper-case base32 of hexadecimal digits, five of which are four letters."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    part = lambda i, k: F.substring(letters, (F.shiftright(F.conv(F.substring(hexadecimal, 5 * i + 1, F.lit(5)), 16, 10).cast("long"), 15 - 5 * k) % 32).cast("int") + 1, F.lit(1))
+    fives = F.sequence(F.lit(0), F.floor(F.length(hexadecimal) / 5).cast("int") - 1)
+    return F.array_join(F.transform(fives, lambda i: F.concat(*(part(i, k) for k in range(4)))), "")
 
 
 def digest(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes pages to an archive in the shared folder and tells what reading it back gives.
 
-    Responses are read with their payloads, revisits by their headers alone.
+    Responses are read with their payloads, of which length and SHA-1 are taken
+    anew; revisits are read by their headers alone and take both from the response
+    that they refer to.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     archived(pages, path, least=least)
     read = lambda payload: spark.read.format("warc").option("payload", payload).load(path)
     page = F.col("headers")["X-Page-Id"].cast("long").alias("page_id")
-    bare = F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest")
-    full = read("true").where("warc_type = 'response'").select(page, F.length("payload").cast("long").alias("payload_bytes"), bare, F.col("warc_type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    bare_rows = read("false").where("warc_type = 'revisit'").select(page, F.col("headers")["X-Payload-Bytes"].cast("long").alias("payload_bytes"), bare, F.col("warc_type").alias("record_type"), F.col("headers")["X-Refers-To-Page-Id"].cast("long").alias("refers_to"))
-    return full.unionByName(bare_rows)
+    full = written(read("true").where("warc_type = 'response'").select("record_id", page, F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest")), "warc-responses")
+    known = full.groupBy(F.col("record_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    again = read("false").where("warc_type = 'revisit'").select("refers_to", page, F.col("headers")["X-Refers-To-Page-Id"].cast("long").alias("first"))
+    revisits = again.join(known, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("first").alias("refers_to"))
+    return full.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)

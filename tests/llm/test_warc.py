@@ -54,3 +54,45 @@ def test_plain_and_foreign_files():
         only = [p for _, f, p in warc.records(stream, squeezed, lambda f: f["WARC-Type"] == "response", True)]
         assert only == [b"hello"]
     assert gzip.GzipFile(fileobj=io.BytesIO(warc.member(b"x" * 999))).read() == b"x" * 999
+
+
+def test_reading_ahead_and_broken_records():
+    made = [warc.record({"WARC-Type": "response", "Content-Type": "text/plain"}, b"b%d" % i) for i in range(5000)]
+    for stream, squeezed in ((b"".join(made), False), (b"".join(map(warc.member, made)), True)):
+        source = pa.BufferReader(stream)
+        ahead = warc.Ahead(source)
+        assert ahead.read(10) == stream[:10] and ahead.fetched >= 10
+        assert [p for _, _, p in warc.records(source, squeezed, lambda f: True, True)] == [b"b%d" % i for i in range(5000)]
+    short = pa.BufferReader(made[0] + made[1][:-6])
+    found = [(f.get("WARC-Truncated"), p) for _, f, p in warc.records(short, False, lambda f: True, True)]
+    assert found == [(None, b"b0"), ("length", b"")]
+    odd = made[0].replace(b"Content-Length: 2", b"Content-Length: ?")
+    assert [p for _, _, p in warc.records(pa.BufferReader(gzip.compress(odd)), True, lambda f: True, True)] == [b"b0\r\n\r\n"]
+
+
+def test_one_file_is_a_path(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"".join(warc.record({"WARC-Type": t, "Content-Type": "text/plain"}, b"x") for t in ("response", "metadata")))
+    warc.register(spark)
+    assert spark.read.format("warc").load(f"file://{tmp_path}/a.warc").count() == 2
+
+
+def test_small_records_are_fetched_about_once():
+    data = b"".join(warc.member(warc.record({"WARC-Type": "revisit", "Content-Type": "text/plain"}, b"")) for _ in range(20000))
+
+    class Counting:
+        def __init__(self):
+            self.inner, self.n = pa.BufferReader(data), 0
+
+        def size(self):
+            return self.inner.size()
+
+        def seek(self, at):
+            self.inner.seek(at)
+
+        def read(self, n):
+            out = self.inner.read(n)
+            self.n += len(out)
+            return out
+
+    stream = Counting()
+    assert sum(1 for _ in warc.records(stream, True, lambda f: True, False)) == 20000 and stream.n <= 1.1 * len(data)
