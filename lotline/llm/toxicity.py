@@ -42,11 +42,25 @@ _BLANK_MARKS = "".join(c for c in _MARKS if c not in SIGNS)
 _BETWEEN = re.compile(r"[\s.,\-_*~'`^/\\:;#%&=\"]+")
 
 
+class _Folded(dict):
+    """What each character becomes, found when first met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = "".join(ALIKE.get(c, c) for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        return out
+
+
+_FOLDED = _Folded()
+
+
 def fold(text: str) -> str:
     """Lower case without accents, with look-alike letters as Latin ones."""
-    if text.isascii():
-        return text.lower()
-    return "".join(ALIKE.get(c, c) for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    return text.lower() if text.isascii() else text.lower().translate(_FOLDED)
+
+
+def letters(token: str) -> list[str]:
+    """The stretches of letters in a token."""
+    return [token] if token.isascii() and token.isalpha() else _LETTERS.findall(token)
 
 
 def _classes() -> dict[str, str]:
@@ -73,9 +87,17 @@ class Model:
     """A back-off character model: log P(letter | letters before) from counts of n-grams and of their contexts."""
 
     def __init__(self, counts: dict[str, int], context: dict[str, int]):
-        self.counts, self.context = counts, context
+        self.counts, self.context, self.known = counts, context, {}
 
     def __call__(self, before: str, letter: str) -> float:
+        out = self.known.get(before + letter)
+        if out is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[before + letter] = out = self.found(before, letter)
+        return out
+
+    def found(self, before: str, letter: str) -> float:
         p, weight = 0.0, 1.0
         for k in range(len(before) + 1):
             total = self.context.get(before[k:], 0)
@@ -142,10 +164,16 @@ class Reader:
         self.model, self.known = model, {}
 
     def typical(self, word: str) -> bool:
-        return any(word[:n] in self.stems for n in self.lengths)
+        for n in self.lengths:
+            if word[:n] in self.stems:
+                return True
+        return False
 
     def token(self, token: str) -> tuple[tuple[int, ...], bool]:
         """The features of a token as it stands and restored, and whether it begins with a typical stem."""
+        word = token if token.isalpha() else token[:-1]
+        if word.isascii() and word.isalpha() and _PLAIN.match(token) and not _DOUBLE.search(word):
+            return (self.index[word],) if word in self.index else (), self.typical(word)
         parts = _LETTERS.findall(token)
         found = {self.index[w] for w in parts if w in self.index}
         typical = any(map(self.typical, parts))
@@ -286,7 +314,7 @@ def grams(docs: DataFrame, text: str, words: list[str]) -> Model:
                 words.update((x or "").lower().split())
             out: dict[str, int] = {}
             for token, n in words.items():
-                for w in _LETTERS.findall(fold(token)):
+                for w in letters(fold(token)):
                     w = pad + w + STOP
                     for i in range(len(w) - ORDER):
                         g = w[i : i + ORDER + 1]
