@@ -10,7 +10,7 @@ from ..operators import linear as M
 from ..operators import logistic, ordered, smooth, subspace
 from ..operators.gram import gram
 from .registry import query, table
-from .statistics import scored_rows
+from .statistics import _SCORED, scored_rows
 
 _SUMS = "SELECT count(*) AS n, sum(y) AS sy, sum(a) AS sa, sum(b) AS sb, sum(y * y) AS yy, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS by_ FROM (SELECT l_extendedprice / 1000 AS y, l_quantity AS a, l_discount AS b FROM lineitem)"
 _CENTRED = f"SELECT n, sy / n AS my, sa / n AS ma, sb / n AS mb, yy - sy * sy / n AS yy, aa - sa * sa / n AS aa, bb - sb * sb / n AS bb, ab - sa * sb / n AS ab, ay - sa * sy / n AS ay, by_ - sb * sy / n AS by_ FROM ({_SUMS})"
@@ -104,26 +104,33 @@ def logistic_tests(spark, sf):
     return spark.createDataFrame([(float(g2), float(p), float(s), float(q))], "g2 double, p double, score double, score_p double")
 
 
-@query()
+@query("""WITH d AS (SELECT CAST(l_returnflag = 'R' AS DOUBLE) AS y, l_quantity AS a, l_discount AS z FROM lineitem), s AS (SELECT avg(y) AS my, avg(a) AS ma, avg(z) AS mz, covar_pop(y, a) / var_pop(a) AS by_, covar_pop(z, a) / var_pop(a) AS bz FROM d),
+r AS (SELECT y, greatest(1e-11, least(1 - 1e-11, my + by_ * (a - ma))) AS mu, z - mz - bz * (a - ma) AS r FROM d, s), q AS (SELECT abs(sum(r * (y - mu))) / sqrt(sum(r * r * mu * (1 - mu))) AS t, max(abs(r) * greatest(mu, 1 - mu)) / sqrt(sum(r * r * mu * (1 - mu))) AS m FROM r)
+SELECT round(t, 6) AS t, round(least(1, 2 * exp(t / m - (t / m + 1 / (m * m)) * ln(1 + m * t))), 6) AS p FROM q""")
 def bennett_test(spark, sf):
     d = table(spark, sf, "lineitem")
     cols = {"y": (F.col("l_returnflag") == "R").cast("double"), "a": F.col("l_quantity"), "z": F.col("l_discount")}
     t, p = M.bennett(d, gram(d, cols), "y", ["a"], "z", cols)
-    return spark.createDataFrame([(t, p)], "t double, p double")
+    return spark.createDataFrame([(round(t, 6), round(p, 6))], "t double, p double")
+
+
+def _signal():
+    """A response that quantity and discount tell something of, and the columns."""
+    return {"y": F.col("l_extendedprice") / 1000 + F.col("l_quantity") + 100 * F.col("l_discount"), "q": F.col("l_quantity"), "d": F.col("l_discount"), "t": F.col("l_tax")}
 
 
 @query()
 def stepwise_terms(spark, sf):
     d = table(spark, sf, "lineitem")
-    cols = {"y": F.col("l_extendedprice"), "q": F.col("l_quantity"), "d": F.col("l_discount"), "t": F.col("l_tax"), "qd": F.col("l_quantity") * F.col("l_discount")}
-    g = gram(d, cols)
-    return spark.createDataFrame([(i, x) for i, x in enumerate(M.stepwise(g, "y", ["q", "d", "t", "qd"]))], "place int, term string")
+    cols = _signal() | {"qd": F.col("l_quantity") * F.col("l_discount")}
+    steps = M.stepwise(gram(d, cols), "y", ["q", "d", "t", "qd"], add=3)
+    return spark.createDataFrame([(i, s.term, float(s.f), s.passed) for i, s in enumerate(steps)], "place int, term string, f double, passed boolean")
 
 
 @query()
 def rated_candidates(spark, sf):
     d = table(spark, sf, "lineitem")
-    cols = {"y": F.col("l_extendedprice"), "q": F.col("l_quantity"), "d": F.col("l_discount"), "t": F.col("l_tax")}
+    cols = _signal()
     return spark.createDataFrame([(c, float(s)) for c, s in M.rate(gram(d, cols), "y", [], ["q", "d", "t"])], "term string, gain double")
 
 
@@ -135,15 +142,22 @@ def sandwich_errors(spark, sf):
     return spark.createDataFrame([(t, float(x), float(y), float(z)) for t, x, y, z in zip(["1", "a", "b"], e, w, b)], "term string, ols double, white double, block double")
 
 
-@query()
+_PAV = f"""WITH g AS (SELECT p AS x, count(*) AS n, sum(y) AS total FROM {_SCORED} GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY x) AS i FROM g), c AS (SELECT *, sum(n) OVER (ORDER BY i) AS cn, sum(total) OVER (ORDER BY i) AS ct FROM o),
+m AS (SELECT a.i AS a, b.i AS b, min((b.ct - a.ct + a.total) / CAST(b.cn - a.cn + a.n AS DOUBLE)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS low FROM c a JOIN c b ON a.i <= b.i), f AS (SELECT b AS i, round(max(low), 9) AS mean FROM m GROUP BY 1)"""
+
+
+def _pooled(spark, sf):
+    return ordered.pooled(scored_rows(spark, sf).groupBy(F.col("p").alias("x")).agg(F.count("*").alias("n"), F.sum("y").alias("total")))
+
+
+@query(f"{_PAV} SELECT round(max(x), 9) AS boundary, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(total) AS DOUBLE) AS total, mean FROM f JOIN o USING (i) GROUP BY mean")
 def pav_cells(spark, sf):
-    s = scored_rows(spark, sf).groupBy(F.round("p", 2).alias("x")).agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("total"))
-    return ordered.pooled(s)
+    return _pooled(spark, sf).select(F.round("boundary", 9).alias("boundary"), "n", "total", F.round("mean", 9).alias("mean"))
 
 
-@query()
+@query(f"{_PAV} SELECT doc_id, mean AS calibrated FROM {_SCORED} s JOIN o ON s.p = o.x JOIN f USING (i)")
 def calibrated_scores(spark, sf):
-    return ordered.calibrated(scored_rows(spark, sf), "p", pav_cells(spark, sf)).select("doc_id", "calibrated")
+    return ordered.calibrated(scored_rows(spark, sf), "p", _pooled(spark, sf)).select("doc_id", F.round("calibrated", 9).alias("calibrated"))
 
 
 @query()
@@ -160,7 +174,7 @@ def biweight_fit(spark, sf):
     return s.select("doc_id", f.predict(basis).alias("fit"))
 
 
-def _vectors(spark, sf, k=8):
+def _vectors(spark, sf, k=64):
     e = table(spark, sf, "embeddings")
     return e.select("vec_id", *(F.get("embedding", i).cast("double").alias(f"v{i}") for i in range(k))), {f"v{i}": F.col(f"v{i}") for i in range(k)}
 
@@ -181,12 +195,12 @@ def pca_scores(spark, sf):
 @query()
 def kernel_components(spark, sf):
     df, cols = _vectors(spark, sf)
-    return subspace.kernel_components(df, "vec_id", list(cols), 3, rows=200)
+    return subspace.kernel_components(df, "vec_id", list(cols), 3)
 
 
 @query()
 def randomized_svd(spark, sf):
-    df, cols = _vectors(spark, sf, 32)
+    df, cols = _vectors(spark, sf)
     s, _ = subspace.randomized_svd(df, cols, 5)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(s)], "place int, singular double")
 

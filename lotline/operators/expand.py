@@ -32,11 +32,14 @@ def rare_recoded(df: DataFrame, field: str, least: int, others: str = "OTHERS")
     return df.join(rare, field, "left").withColumn(field, F.when(F.col("__rare"), others).otherwise(F.col(field))).drop("__rare")
 
 
-def levels(df: DataFrame, field: str) -> list[str]:
-    """Categories by n(N - n), largest first, ties by name."""
+def levels(df: DataFrame, field: str, most: int = 10_000) -> list[str]:
+    """Categories by n(N - n), largest first, ties by name; raises where there are more than most, as each becomes a column."""
     rows = category_counts(df.where(F.col(field).isNotNull()), field)
     total = F.sum("n").over(Window.partitionBy())
-    return [r[0] for r in rows.withColumn("__s", F.col("n") * (total - F.col("n"))).orderBy(F.desc("__s"), field).collect()]
+    found = [r[0] for r in rows.withColumn("__s", F.col("n") * (total - F.col("n"))).orderBy(F.desc("__s"), field).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{field} has more than {most} levels")
+    return found
 
 
 def dummies(field: str, values: list[str], name=lambda f, v: f"{f}_{v}") -> list[Column]:
@@ -80,14 +83,21 @@ def word_counts(docs: DataFrame, text: str, least: int) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("freq")).where(F.col("freq") > least)
 
 
-def bag_of_words(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    """A row a document with the count of each keyword, without a shuffle; columns carry their stream."""
-    tokens = F.split(F.lower(F.col(text)), r"[^a-z]+")
-    return docs.select(key, *(_count(tokens, word) for word in words))
+def bag_of_words(docs: DataFrame, key: str, text: str, words: list[str], *more: Column) -> DataFrame:
+    """A row a document with the count of each keyword, and more columns, without a shuffle; counts carry their stream.
 
+    Keywords are of the letters a-z. A text is split once and kept down to its
+    keywords, which are then counted.
+    """
+    one = "|".join(sorted(words))
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"(?<![a-z])(?:{one})(?![a-z])"), F.lit(0))
+    bag = docs.select(key, found.alias("__found"), *more)
+    counts = [F.size(F.filter("__found", _equals(w))).alias(w, metadata={"stream": "BAG"}) for w in words]
+    return bag.select(key, *counts, *(c for c in bag.columns if c not in (key, "__found")))
 
-def _count(tokens: Column, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == word)).alias(word, metadata={"stream": "BAG"})
+
+def _equals(word: str):
+    return lambda t: t == word
 
 
 def last_word_is(text: Column, word: str) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many columns the sums are plain aggregates; more go through matrix products of batches.
+#: Up to so many columns the sums are plain aggregates; more go through matrix products of batches. Both leave out rows with a null.
 PLAIN = 12
 
 
@@ -36,10 +36,18 @@ class Gram:
 
 
 def products(df: DataFrame, columns: dict[str, Column], weight: Column | None = None, by: Column | None = None) -> DataFrame:
-    """(by, i, j, s) for i <= j: sums of products, combined in each task before a shuffle of a row a pair."""
+    """(by, i, j, s) for i <= j: sums of products, combined in each task before a shuffle of a row a pair.
+
+    A row with a null in any column, its weight or its group is left out of all
+    sums, however many columns there are. Where the table comes in fewer pieces
+    than the cluster has cores, its rows (before the columns are computed) are
+    dealt out first.
+    """
     cols = [F.lit(1.0).alias("c0"), *(c.cast("double").alias(f"c{i}") for i, c in enumerate(columns.values(), 1))]
     k = len(cols)
-    base = df.select((by if by is not None else F.lit(0)).cast("int").alias("by"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"), *cols)
+    if k > PLAIN + 1 and df._jdf.rdd().getNumPartitions() < (cores := df.sparkSession.sparkContext.defaultParallelism):
+        df = df.repartition(cores)
+    base = df.select((by if by is not None else F.lit(0)).cast("int").alias("by"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"), *cols).dropna()
     if k <= PLAIN + 1:
         sums = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias("s")) for i in range(k) for j in range(i, k)]
         return base.groupBy("by").agg(F.array(*sums).alias("x")).select("by", F.inline("x"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of which all pairs are made at most.
+PAIR_ROWS = 20_000
+
 
 def lookup(tokens: DataFrame, dictionary: DataFrame, token: str, vector: str, unknown: list[float], missing: str = "NA") -> DataFrame:
     """Each token's vector; the unknown one where the dictionary lacks it, null where the token is missing."""
@@ -29,7 +32,9 @@ def zip_rows(a: DataFrame, b: DataFrame, row: str) -> DataFrame:
 
 
 def upper_pairs(df: DataFrame, key: str, columns: list[str], diagonal: bool = True) -> DataFrame:
-    """Pairs i <= j of a small table of features (a broadcast, so its size must be checked by the caller)."""
+    """Pairs i <= j of a table of features: all pairs are the result, so the table must be small; raises over PAIR_ROWS rows, and so may be broadcast."""
+    if df.limit(PAIR_ROWS + 1).count() > PAIR_ROWS:
+        raise ValueError(f"more than {PAIR_ROWS} rows have too many pairs")
     a = df.select(F.col(key).alias("i"), *(F.col(c).alias(f"{c}_i") for c in columns))
     b = df.select(F.col(key).alias("j"), *(F.col(c).alias(f"{c}_j") for c in columns))
     return a.join(F.broadcast(b), F.col("i") <= F.col("j") if diagonal else F.col("i") < F.col("j"))

@@ -237,21 +237,41 @@ def rate(g: Gram, y: str, xs: list[str], candidates: list[str], method: str = "g
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
-def stepwise(g: Gram, y: str, candidates: list[str], forced: list[str] = (), most: int = 25) -> list[str]:
-    """Forward by the hard threshold F = 2 ln(p - forced), stopping when none passes; then backward by the same."""
-    xs = list(forced)
+@dataclass
+class Step:
+    """A predictor as it was added: its F then, the threshold, and whether it reached that."""
+
+    term: str
+    f: float
+    limit: float
+    passed: bool
+
+
+def stepwise(g: Gram, y: str, candidates: list[str], forced: list[str] = (), add: int = 25) -> list[Step]:
+    """Adds so many predictors, the one of largest F each time, whether or not it reaches the hard threshold F = 2 ln(p - forced); steps() tells which did.
+
+    Fewer are added only where all others are singular. dropped() goes back.
+    """
+    xs, out = list(forced), []
     limit = 2 * math.log(max(2, len(candidates) - len(forced)))
-    while len(xs) - len(forced) < most:
+    while len(out) < add:
         tests = [(partial_f(g, y, xs, [c]), c) for c in candidates if c not in xs]
-        best = max(((t.f, c) for t, c in tests if not t.singular), default=(0.0, None))
-        if best[0] < limit:
+        f, best = max(((t.f, c) for t, c in tests if not t.singular), default=(0.0, None))
+        if best is None:
             break
-        xs.append(best[1])
+        xs.append(best)
+        out.append(Step(best, f, limit, f > limit))
+    return out
+
+
+def dropped(g: Gram, y: str, xs: list[str], forced: list[str] = (), limit: float = 0.0) -> list[str]:
+    """xs without those whose F is under a limit, the least first, each tested with the others that are left."""
+    xs = list(xs)
     while True:
-        weak = min(((partial_f(g, y, [k for k in xs if k != x], [x]).f, x) for x in xs if x not in forced), default=(math.inf, None))
-        if weak[0] >= limit:
+        f, weak = min(((partial_f(g, y, [k for k in xs if k != x], [x]).f, x) for x in xs if x not in forced), default=(math.inf, None))
+        if f >= limit:
             return xs
-        xs.remove(weak[1])
+        xs.remove(weak)
 
 
 def mdl(n: float, k: int, rss: float, regression_ss: float) -> float:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..storage import forget, written
+
+#: Cells that are pooled at once, first in their range and then together.
+RANGE_CELLS = 100_000
 
 
 def lag_first(x: str, order: list[str], by: list[str], lag: int = 1, block: int = 1) -> Column:
@@ -34,12 +42,18 @@ def ordering(x: str, by: list[str], descending: bool = False, tie: str | None =
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
-    """Numbers from 0 in a global order, without gathering the rows: ranges are sorted, counted, and offset."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    inner = Window.partitionBy("__part").orderBy(*order)
+    """Numbers from 0 in a global order, without gathering the rows.
+
+    Ranges are sorted and written with each row's range and place in it, both
+    from one run, so how Spark deals the ranges can't differ between the counting
+    and the numbering. The ranges, one row each, are then counted and offset.
+    """
+    at = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(at, 33).alias("__part"), at.bitwiseAND((1 << 33) - 1).alias("__in"))
+    ranged = written(placed, "row-numbers")
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return ranged.withColumn("__in", F.row_number().over(inner)).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__in") - 1).drop("__part", "__in", "__before")
+    return ranged.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
 
 
 def block_sums(df: DataFrame, row: str, block: int, terms: dict[str, Column]) -> DataFrame:
@@ -54,38 +68,80 @@ def stacked(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min_by(value, order).alias("opening"), F.transform(F.array_sort(F.collect_list(s)), lambda x: x[value]).alias("values"))
 
 
+def _pav(x: np.ndarray, n: np.ndarray, total: np.ndarray) -> list[tuple[float, float, float]]:
+    """Blocks (boundary, n, total) of cells in order of x."""
+    out: list[tuple[float, float, float]] = []
+    for b, k, t in zip(x.tolist(), n.tolist(), total.tolist()):
+        while out and out[-1][2] * k >= t * out[-1][1]:
+            _, k0, t0 = out.pop()
+            k, t = k + k0, t + t0
+        out.append((b, k, t))
+    return out
+
+
 def pooled(cells: DataFrame, x: str = "x", n: str = "n", total: str = "total") -> DataFrame:
     """Isotonic blocks of cells (x, n, total), pool adjacent violators: boundary (largest x), n, total and mean.
 
-    Cells are first merged by x in Spark; the rows after that (distinct scores)
-    are pooled in order in one pass. Round scores if there are very many.
+    Cells are first merged by x, then pooled in ranges of x side by side. Blocks
+    of a range are blocks or parts of blocks of the whole, so pooling the blocks
+    of neighbouring ranges again, fewer ranges each round, gives the same result.
     """
-    merged = cells.groupBy(x).agg(F.sum(n).alias("n"), F.sum(total).alias("total")).withColumn("one", F.lit(1))
-
-    def pav(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[float]] = []
-        for b, k, t in pdf.sort_values(x)[[x, "n", "total"]].itertuples(index=False):
-            out.append([b, k, t])
-            while len(out) > 1 and out[-2][2] * out[-1][1] >= out[-1][2] * out[-2][1]:
-                last = out.pop()
-                out[-1] = [last[0], out[-1][1] + last[1], out[-1][2] + last[2]]
-        return pd.DataFrame([(b, k, t, t / k) for b, k, t in out], columns=["boundary", "n", "total", "mean"])
-
-    return merged.groupBy("one").applyInPandas(pav, "boundary double, n double, total double, mean double")
+    merged = cells.groupBy(F.col(x).cast("double").alias("boundary")).agg(F.sum(n).cast("double").alias("n"), F.sum(total).cast("double").alias("total"))
+    now = written(merged, "pool")
+
+    def pav(batches):
+        parts = list(batches)
+        held = [np.concatenate([np.zeros(0), *(b.column(i).to_numpy(zero_copy_only=False) for b in parts)]) for i in range(3)]
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*_pav(*held))], names=["boundary", "n", "total"])
+
+    ranges = max(1, -(-now.count() // RANGE_CELLS))
+    while True:
+        dealt = now.repartitionByRange(ranges, "boundary") if ranges > 1 else now.coalesce(1)
+        new = written(dealt.sortWithinPartitions("boundary").mapInArrow(pav, "boundary double, n double, total double"), "pool")
+        forget(now)
+        now = new
+        if ranges == 1:
+            return now.withColumn("mean", F.col("total") / F.col("n"))
+        ranges //= 4
 
 
 def calibrated(scores: DataFrame, score: str, cells: DataFrame) -> DataFrame:
-    """Adds the mean of the first cell whose boundary is at least the score (the last cell beyond all).
+    """Adds the mean of the first cell whose boundary is at least the score (the last cell beyond all); null for a null score.
 
-    The cells are few after pooling and are held as one sorted array.
+    The cells left by pooling go to the tasks as two sorted arrays, which each row
+    looks up by binary search.
     """
-    table = cells.agg(F.array_sort(F.collect_list(F.struct("boundary", "mean"))).alias("cells"))
-    hit = F.get(F.filter("cells", lambda c: c["boundary"] >= F.col(score)), F.lit(0))
-    return scores.join(F.broadcast(table), F.lit(True)).withColumn("calibrated", F.coalesce(hit["mean"], F.element_at("cells", -1)["mean"])).drop("cells")
+    rows = cells.orderBy("boundary").select("boundary", "mean").toPandas()
+    edges, means = rows["boundary"].to_numpy(float), rows["mean"].to_numpy(float)
+
+    @F.pandas_udf("double")
+    def look_up(s: pd.Series) -> pd.Series:
+        if not len(edges):
+            return pd.Series([None] * len(s), dtype=float)
+        found = pd.Series(means[np.minimum(np.searchsorted(edges, s.to_numpy(float)), len(edges) - 1)])
+        return found.where(s.notna())
+
+    return scores.withColumn("calibrated", look_up(F.col(score)))
 
 
 def smoothed(x: str, order: str, by: str, df: DataFrame, keep: float = 0.9) -> DataFrame:
-    """Exponential smoothing of each series: s = keep * s + (1 - keep) * x, from the first value."""
-    w = Window.partitionBy(by).orderBy(order)
-    series = F.collect_list(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("smoothed", F.aggregate(F.slice(series, 2, F.greatest(F.size(series) - 1, F.lit(0))), F.get(series, 0), lambda s, v: keep * s + (1 - keep) * v))
+    """Exponential smoothing of each series: s = keep * s + (1 - keep) * x, from the first value; a null repeats the last s.
+
+    Rows are sorted within partitions and pass through with one number carried
+    on, so a series may be of any length.
+    """
+
+    def run(batches):
+        now, s = None, None
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(by).to_pylist(), batch.column(x).to_pylist()):
+                if (k,) != now:
+                    now, s = (k,), None
+                if v is not None:
+                    s = float(v) if s is None else keep * s + (1 - keep) * v
+                out.append(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "smoothed"])
+
+    return df.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, StructType([*df.schema.fields]).add("smoothed", "double"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sample import spread
+
 
 def pivot(df: DataFrame, row: str, key: str, value: str, order: str, keys: list | None = None) -> DataFrame:
     """Long to wide: one column a key, the value that is last in order; missing ones null."""
@@ -56,7 +60,12 @@ def repeat_cyclic(df: DataFrame, row: str, times: list[int]) -> DataFrame:
     return repeat(df, F.get(F.array(*map(F.lit, times)), F.pmod(F.col(row), F.lit(len(times))).cast("int")))
 
 
-def correlated(df: DataFrame, y: str, r: float, seed: int, name: str = "x") -> DataFrame:
-    """A column with a stated correlation to y: y plus noise of the fitting size."""
+def correlated(df: DataFrame, y: str, r: float, key: str, seed: int = 0, name: str = "x") -> DataFrame:
+    """A column with a stated correlation to y: y plus normal noise of the fitting size.
+
+    The noise is made from two even numbers of each row's whole-number key, so it
+    doesn't depend on partitions.
+    """
     sd = df.agg(F.stddev_samp(y)).first()[0] or 0.0
-    return df.withColumn(name, F.col(y) + sd * ((1 - r * r) / (r * r)) ** 0.5 * F.randn(seed))
+    u, v = ((spread(F.pmod(F.col(key) * k, F.lit(2**30)), seed) + 0.5) / 2.0**32 for k in (1, 40503))
+    return df.withColumn(name, F.col(y) + sd * ((1 - r * r) / (r * r)) ** 0.5 * F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v))

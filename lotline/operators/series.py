@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +15,15 @@ FILTERS = {
     "haar": (0.7071067811865476, 0.7071067811865476),
     "daub2": (0.48296291314453416, 0.8365163037378079, 0.2241438680420134, -0.12940952255126037),
 }
+#: Coefficients of the filters by name.
+LENGTHS = {"haar": 2, "daub2": 4, "daub6": 8, "daub10": 12, "daub18": 18}
 
 
 def low_pass(name: str) -> np.ndarray:
-    """The filter of a name: haar, or daubN of 2N coefficients by spectral factorisation."""
+    """The filter of a name in LENGTHS, by spectral factorisation where its values aren't given."""
     if name in FILTERS:
         return np.array(FILTERS[name])
-    n = int(name.removeprefix("daub"))
+    n = LENGTHS[name] // 2
     q = np.polynomial.polynomial.Polynomial([math.comb(n - 1 + k, k) for k in range(n)])
     roots = []
     for y in q.roots():
@@ -114,21 +117,71 @@ def kalman(x: np.ndarray, q: float = 1.0, r: float = 1.0, f: float = 1.0, h: flo
     return out
 
 
+def carried(df: DataFrame, by: str, order: str, value: str, start, step, schema: str) -> DataFrame:
+    """(by, place, columns of step) for each row of each series in order, by one pass over sorted rows.
+
+    step(state, value) -> (state, columns) is called with what the series' row
+    before left, so a series may be of any length: only a state is held.
+    """
+    kind = dict(df.dtypes)[by]
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def run(batches):
+        now, state, place = None, None, 0
+        for batch in batches:
+            rows = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (k,) != now:
+                    now, state, place = (k,), start, 0
+                state, out = step(state, v)
+                rows.append((place, *out))
+                place += 1
+            cols = list(zip(*rows)) or [()] * (1 + len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:])], names=[by, "place", *names])
+
+    return df.select(by, order, value).repartition(by).sortWithinPartitions(by, order).select(by, value).mapInArrow(run, f"`{by}` {kind}, place long, {schema}")
+
+
+def kalman_step(q: float, r: float, f: float = 1.0, h: float = 1.0):
+    """One step of the filter of one level: predict with f and q, update with h and r; a null value is only predicted."""
+
+    def step(state, y):
+        s, p = f * state[0], f * state[1] * f + q
+        if y is None:
+            return (s, p), (s, p, None)
+        z, v = y - h * s, h * p * h + r
+        k = p * h / v
+        s, p = s + k * z, (1 - k * h) * p
+        return (s, p), (s, p, z)
+
+    return step
+
+
 def kalman_level(df: DataFrame, by: str, order: str, value: str, q: float = 1.0, r: float = 1.0) -> DataFrame:
-    return per_series(df, by, order, [value], lambda x: dict(zip(("state", "variance", "innovation"), kalman(x[:, 0], q, r).T)) | {"place": np.arange(len(x))}, "state double, variance double, innovation double, place int")
+    return carried(df, by, order, value, (0.0, 1e6), kalman_step(q, r), "state double, variance double, innovation double")
 
 
 def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Warped squared distance: a diagonal move costs it in full, the others half; along the edges halves add up."""
-    d = (a[:, None] - b[None, :]) ** 2
-    n, m = d.shape
-    out = np.empty((n, m))
-    out[0] = d[0, 0] / 2 + np.concatenate([[d[0, 0] / 2], np.cumsum(d[0, 1:]) / 2 + d[0, 0] / 2])
-    out[:, 0] = out[0, 0] + np.concatenate([[0], np.cumsum(d[1:, 0]) / 2])
-    for i in range(1, n):
-        for j in range(1, m):
-            out[i, j] = min(out[i - 1, j - 1] + d[i, j], out[i - 1, j] + d[i, j] / 2, out[i, j - 1] + d[i, j] / 2)
-    return float(out[-1, -1])
+    """Warped squared distance: a diagonal move costs it in full, the others half; along the edges halves add up.
+
+    Worked diagonal by diagonal, so three diagonals are held.
+    """
+    n, m = len(a), len(b)
+    prev, prev2 = np.zeros(0), np.zeros(0)
+    lo1 = lo2 = 0
+    for s in range(n + m - 1):
+        lo, hi = max(0, s - m + 1), min(n - 1, s)
+        i = np.arange(lo, hi + 1)
+        j = s - i
+        d = (a[i] - b[j]) ** 2
+        if s == 0:
+            now = d.copy()
+        else:
+            get = lambda arr, start, k: np.where((k >= start) & (k < start + len(arr)), arr[np.clip(k - start, 0, max(len(arr) - 1, 0))] if len(arr) else np.inf, np.inf)
+            up, left = get(prev, lo1, i - 1), get(prev, lo1, i)
+            now = np.minimum(np.minimum(np.where(i > 0, up, np.inf), np.where(j > 0, left, np.inf)) + d / 2, np.where((i > 0) & (j > 0), get(prev2, lo2, i - 1), np.inf) + d)
+        prev2, lo2, prev, lo1 = prev, lo1, now, lo
+    return float(prev[-1])
 
 
 def dtw_distances(pairs: DataFrame, a: str, b: str, name: str = "distance") -> DataFrame:
@@ -152,16 +205,31 @@ def ar_fit(df: DataFrame, by: list[str], order: str, value: str, p: int = 1, cen
 
 
 def ar_least_squares(df: DataFrame, by: str, order: str, value: str, p: int, most: int = 30) -> DataFrame:
-    """AR(p) coefficients of each series by least squares; orders over most give -7.7."""
-
-    def f(x):
-        x = x[:, 0] - x[:, 0].mean()
-        if p > most or len(x) <= 2 * p:
-            return {"lag": np.arange(1, p + 1), "phi": np.full(p, -7.7)}
-        m = np.column_stack([x[p - k : len(x) - k] for k in range(1, p + 1)])
-        return {"lag": np.arange(1, p + 1), "phi": np.linalg.lstsq(m, x[p:], rcond=None)[0]}
+    """(by, lag, phi): AR(p) coefficients of each series by least squares about its mean; orders over most, and series of up to 2p values, give -7.7.
+
+    Products of lags are summed by series in Spark; p equations a series are then
+    solved, many series a batch.
+    """
+    w, own = Window.partitionBy(by).orderBy(order), Window.partitionBy(by)
+    lags = F.explode(F.sequence(F.lit(1), F.lit(p))).alias("lag")
+    if p > most:
+        return df.select(by).distinct().select(by, lags, F.lit(-7.7).alias("phi"))
+    rows = df.select(by, order, (F.col(value) - F.avg(value).over(own)).alias("l0"))
+    rows = rows.select(by, *["l0"], *(F.lag("l0", k).over(w).alias(f"l{k}") for k in range(1, p + 1)))
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    sums = rows.groupBy(by).agg(F.count("*").alias("n"), F.array(*(F.coalesce(F.sum(F.when(F.col(f"l{p}").isNotNull(), F.col(f"l{i}") * F.col(f"l{j}"))), F.lit(0.0)) for i, j in pairs)).alias("s"))
+
+    @F.pandas_udf("array<double>")
+    def solve(n: pd.Series, s: pd.Series) -> pd.Series:
+        out = []
+        for count, x in zip(n, s):
+            m = np.zeros((p + 1, p + 1))
+            for (i, j), v in zip(pairs, x):
+                m[i, j] = m[j, i] = v
+            out.append(np.linalg.lstsq(m[1:, 1:], m[1:, 0], rcond=None)[0].tolist() if count > 2 * p else [-7.7] * p)
+        return pd.Series(out)
 
-    return per_series(df, by, order, [value], f, "lag int, phi double")
+    return sums.select(by, F.posexplode(solve("n", "s")).alias("at", "phi")).select(by, (F.col("at") + 1).alias("lag"), "phi")
 
 
 def yule_walker(autocovariance: np.ndarray) -> np.ndarray:
@@ -171,34 +239,14 @@ def yule_walker(autocovariance: np.ndarray) -> np.ndarray:
     return np.linalg.solve(r, autocovariance[1:])
 
 
-def ar_series(spark, n: int, phi: list[float], seed: int = 0, series: int = 1) -> DataFrame:
-    """Generated autoregressions, one a group."""
-    rows = spark.range(series).withColumnRenamed("id", "series")
-
-    def run(pdf):
-        out = []
-        for s in pdf["series"]:
-            e = np.random.default_rng([seed, int(s)]).standard_normal(n + 100)
-            x = np.zeros(n + 100)
-            for t in range(len(phi), len(x)):
-                x[t] = e[t] + sum(c * x[t - 1 - k] for k, c in enumerate(phi))
-            out.append(pd.DataFrame({"series": s, "t": np.arange(n), "x": x[100:]}))
-        return pd.concat(out)
-
-    return rows.groupBy("series").applyInPandas(run, "series long, t long, x double")
-
-
 def moving_total_ratio(df: DataFrame, by: str, order: str, value: str, width: int) -> DataFrame:
-    """2 * sum of squared circular moving totals over n * sum of squared differences, of each series."""
-
-    def f(x):
-        x = x[:, 0]
-        c = np.concatenate([[0], np.cumsum(np.concatenate([x, x[: width - 1]]))])
-        totals = c[width:] - c[:-width]
-        d = (np.diff(x) ** 2).sum()
-        return {"ratio": [2 * (totals**2).sum() / (len(x) * d) if d else None]}
-
-    return per_series(df, by, order, [value], f, "ratio double")
+    """2 * sum of squared circular moving totals over n * sum of squared differences, of each series, as grouped sums."""
+    w, own = Window.partitionBy(by).orderBy(order), Window.partitionBy(by)
+    rows = df.select(by, F.col(value).alias("x"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(own).alias("n"), (F.col(value) - F.lag(value).over(w)).alias("d"))
+    first = rows.groupBy(by).agg(F.max("n").alias("n"), F.sum(F.col("d") * F.col("d")).alias("d2"))
+    totals = rows.select(by, "x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.pmod(F.col("i") - k, F.col("n")))).alias("at")).groupBy(by, "at").agg(F.sum("x").alias("t"))
+    squares = totals.groupBy(by).agg(F.sum(F.col("t") * F.col("t")).alias("t2"))
+    return squares.join(first, by).select(by, F.try_divide(2 * F.col("t2"), F.col("n") * F.col("d2")).alias("ratio"))
 
 
 def lempel_ziv(symbols) -> int:

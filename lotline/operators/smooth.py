@@ -3,23 +3,43 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import bisect
 
-#: Knots of a spline at most; x is rounded to so many parts of its range before that.
-KNOTS = 200
-PARTS = 1000
+#: Knots of a spline at most, at quantiles of x; x that agree to TIE are one.
+KNOTS, TIE = 200, 1e-3
 
 
 def collapsed(df: DataFrame, x: str, y: str, w: str | None = None) -> np.ndarray:
-    """Rows (x, mean y, weight) of x rounded to PARTS parts of its range; at most PARTS + 1 rows reach the driver."""
-    low, high = df.agg(F.min(x).cast("double"), F.max(x).cast("double")).first()
-    step = ((high or 0) - (low or 0)) / PARTS or 1.0
-    weight = F.col(w) if w else F.lit(1.0)
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.round((F.col(x) - low) / step).alias("k")).agg((F.sum(weight * F.col(y)) / F.sum(weight)).alias("y"), F.sum(weight).alias("w"))
-    return np.array(sorted((low + r["k"] * step, r["y"], r["w"]) for r in rows.collect()))
+    """Rows (mean x, mean y, weight) of the stretches between quantiles of x, KNOTS of them at most.
+
+    Up to KNOTS distinct values (that differ by TIE) are each a row. Quantiles
+    follow the rows, so values far out don't thin out the others.
+    """
+    weight = F.col(w).cast("double") if w else F.lit(1.0)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select((F.round(F.col(x) / TIE) * TIE).alias("x"), F.col(y).cast("double").alias("y"), weight.alias("w"))
+    few = rows.select("x").distinct().limit(KNOTS + 1).collect()
+    if len(few) <= KNOTS:
+        edges = np.array(sorted(r["x"] for r in few))
+    else:
+        edges = np.unique(rows.agg(F.percentile_approx("x", F.array(*(F.lit(i / KNOTS) for i in range(1, KNOTS + 1))), 100_000)).first()[0])
+
+    def sums(batches):
+        total = np.zeros((len(edges), 3))
+        for batch in batches:
+            u, v, k = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            at = np.minimum(np.searchsorted(edges, u), len(edges) - 1)
+            for i, c in enumerate((k * u, k * v, k)):
+                total[:, i] += np.bincount(at, c, len(edges))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(edges))), *(pa.array(c) for c in total.T)], names=["at", "x", "y", "w"])
+
+    if not len(edges):
+        return np.zeros((0, 3))
+    out = rows.mapInArrow(sums, "at long, x double, y double, w double").groupBy("at").agg(*(F.sum(c).alias(c) for c in "xyw")).where("w > 0").collect()
+    return np.array(sorted((r["x"] / r["w"], r["y"] / r["w"], r["w"]) for r in out))
 
 
 class Spline:
@@ -27,9 +47,6 @@ class Spline:
 
     def __init__(self, points: np.ndarray, df: float):
         x, y, w = points.T
-        if len(x) > KNOTS:
-            edge = np.unique(np.linspace(0, len(x), KNOTS + 1).astype(int))
-            x, y, w = np.array([(np.average(x[a:b], weights=w[a:b]), np.average(y[a:b], weights=w[a:b]), w[a:b].sum()) for a, b in zip(edge, edge[1:])]).T
         h = np.diff(x)
         n = len(x)
         q = np.zeros((n, max(n - 2, 0)))

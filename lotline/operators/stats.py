@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cost ratios at which errors are told.
-COST_RATIOS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.25, 1 / 3, 0.5, 2 / 3, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 10.0, 20.0, 50.0, 100.0)
+COST_RATIOS = (1 / 199, 1 / 99, 1 / 49, 1 / 19, 1 / 9, 1 / 6, 1 / 4, 1 / 3, 1 / 2, 1.0, 2.0, 3.0, 4.0, 6.0, 9.0, 19.0, 49.0, 99.0, 199.0)
 
 
 def total(x: Column) -> Column:
@@ -104,6 +104,16 @@ def auc_trapezoid(curve: DataFrame) -> DataFrame:
     return step.agg(F.sum((F.col("x") - F.col("x0")) * (F.col("y") + F.col("y0")) / 2).alias("auc"))
 
 
+def error_area(curve: DataFrame) -> DataFrame:
+    """Area under the points of a cost curve in order of rho, both errors divided by the number of all rows, from (0, 0) to (1, 1)."""
+    n = F.col("n0") + F.col("n1")
+    points = curve.select("rho", (F.col("type1") / n).alias("x"), (1 - F.col("type2") / n).alias("y"))
+    before = F.struct(F.lag("x", 1, 0.0).over(Window.partitionBy().orderBy("rho")).alias("x"), F.lag("y", 1, 0.0).over(Window.partitionBy().orderBy("rho")).alias("y"))
+    step = points.withColumn("was", before)
+    sums = step.agg(F.sum((F.col("x") - F.col("was.x")) * (F.col("y") + F.col("was.y")) / 2).alias("s"), F.max_by(F.struct("x", "y"), "rho").alias("last"))
+    return sums.select((F.col("s") + (1 - F.col("last.x")) * (1 + F.col("last.y")) / 2).alias("area"))
+
+
 def loglik_sse(df: DataFrame, y: Column, p: Column, edge: float = 1e-10) -> DataFrame:
     q = F.greatest(F.lit(edge), F.least(F.lit(1 - edge), p))
     return df.agg(F.count("*").alias("n"), F.sum(F.when(y == 1, F.ln(q)).otherwise(F.ln(1 - q))).alias("loglik"), F.sum((y - p) * (y - p)).alias("sse"))

@@ -42,8 +42,9 @@ def kernel_components(df: DataFrame, key: str, names: list[str], k: int, kernel:
     """Components of a kernel matrix against a stated number of sampled rows, for all rows.
 
     The sample (rows * columns numbers) goes to the tasks; each batch becomes a
-    block of the kernel matrix. A radial scale is doubled until the mean kernel
-    values spread by half again.
+    block of the kernel matrix. A radial scale begins at 1 and is doubled, at most
+    five times, while the range of the kernel's eigenvalues is under one and a
+    half times their middle.
     """
     sample = exact_sample(df.select(key, *names), key, rows).toPandas()[names].to_numpy(float)
     mean, sd = sample.mean(0), np.where(sample.std(0) > 0, sample.std(0), 1.0)
@@ -55,11 +56,11 @@ def kernel_components(df: DataFrame, key: str, names: list[str], k: int, kernel:
         d = np.maximum((x * x).sum(1)[:, None] + (s * s).sum(1)[None] - 2 * x @ s.T, 0)
         return np.sqrt(d) if kernel == "l2" else np.exp(-d / scale)
 
-    scale = float(np.median(((s[:, None, :50] - s[None, :, :50]) ** 2).sum(2))) or 1.0
+    scale = 1.0
     if kernel == "radial":
-        for _ in range(20):
-            means = block(s, scale).mean(0)
-            if means.max() / max(means.min(), 1e-300) < 1e3:
+        for _ in range(5):
+            values = np.linalg.eigvalsh(block(s, scale))
+            if values.max() - values.min() >= 1.5 * (values.max() + values.min()) / 2:
                 break
             scale *= 2
     m = block(s, scale)

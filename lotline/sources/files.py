@@ -11,6 +11,8 @@ from ..functions.text import attributes, clean_name, distinct_names
 from ..operators.ordered import row_numbers
 
 MISSING = "NA"
+#: Lines of a declaration, and names of variables, that the driver takes at most.
+MOST_LINES = 1_000_000
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -82,9 +84,17 @@ def selector(df: DataFrame) -> DataFrame:
     return df.withColumn("is_est", F.lower(F.trim(c)) == "in") if seen == {"in", "out"} else df
 
 
+def declared(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a file of declarations, whole, in order; raises over MOST_LINES, as each line becomes a column."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value").limit(MOST_LINES + 1).collect()
+    if len(lines) > MOST_LINES:
+        raise ValueError(f"{path} has more than {MOST_LINES} lines")
+    return [r["value"] for r in sorted(lines)]
+
+
 def c45_names(spark: SparkSession, path: str) -> tuple[str, dict[str, list[str] | None]]:
     """(response, fields): levels of each field, None if continuous. The declaration is small and read whole."""
-    text = [r[0] for r in spark.read.text(path).limit(10_000).collect()]
+    text = declared(spark, path)
     lines = [s for s in (t.partition("|")[0].strip().rstrip(".") for t in text) if s]
     fields = {}
     for line in lines[1:]:
@@ -102,7 +112,7 @@ def c45_table(spark: SparkSession, names: str, data: str) -> DataFrame:
 
 def rows_with_names(spark: SparkSession, data: str, names: str) -> DataFrame:
     """Rows of numbers whose column names are in another file."""
-    columns = " ".join(r[0] for r in spark.read.text(names).limit(10_000).collect()).split()
+    columns = " ".join(declared(spark, names)).split()
     cells = F.split(F.trim("value"), r"\s+")
     return spark.read.text(data).select(*(F.get(cells, i).try_cast("double").alias(c) for i, c in enumerate(columns)))
 

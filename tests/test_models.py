@@ -76,7 +76,7 @@ def test_duplicated_rows_validate_alike(data):
 def test_selection(data):
     df, cols, *_ = data
     g = gram(df, cols)
-    assert set(linear.stepwise(g, "y", ["x3", "x1", "x0", "x4"])) >= {"x0", "x1"}
+    assert {s.term for s in linear.stepwise(g, "y", ["x3", "x1", "x0", "x4"], add=3)} >= {"x0", "x1"}
     assert [c for c, _ in linear.rate(g, "y", [], ["x3", "x1", "x0"])][0] == "x0"
     a = g.of(["x0", "x1", "y"], ["x0", "x1", "y"])
     s = linear.sweep(linear.sweep(a, 0), 1)
@@ -137,7 +137,7 @@ def test_subspace(data):
 
 def test_series(spark):
     x = np.random.default_rng(1).standard_normal(32)
-    for name in ("haar", "daub2", "daub6", "daub10"):
+    for name in ("haar", "daub2", "daub6", "daub10", "daub18"):
         lo = series.low_pass(name)
         assert math.isclose(lo.sum(), math.sqrt(2), rel_tol=1e-6) and math.isclose(lo @ lo, 1, rel_tol=1e-6)
         assert np.allclose(series.inverse_dwt(series.dwt(x, name), name), x, atol=1e-6)
@@ -148,6 +148,12 @@ def test_series(spark):
     assert series.lempel_ziv("aababcabcd") == 4
     states, _ = series.poisson_path(np.array([1.0] * 20 + [30.0] * 20), np.array([1.0, 30.0]), 0.95)
     assert states.tolist() == [0] * 20 + [1] * 20
-    got = series.ar_least_squares(series.ar_series(spark, 3000, [0.6], 3), "series", "t", "x", 1).first()
-    assert abs(got["phi"] - 0.6) < 0.06
+    e, y = np.random.default_rng(3).standard_normal(3000), np.zeros(3000)
+    for t in range(2, 3000):
+        y[t] = 0.6 * y[t - 1] - 0.3 * y[t - 2] + e[t]
+    df = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(y)] + [("b", t, 1.0) for t in range(3)], "series string, t int, x double")
+    got = {(r["series"], r["lag"]): r["phi"] for r in series.ar_least_squares(df, "series", "t", "x", 2).collect()}
+    c = y - y.mean()
+    want = np.linalg.lstsq(np.column_stack([c[1:-1], c[:-2]]), c[2:], rcond=None)[0]
+    assert np.allclose([got["a", 1], got["a", 2]], want) and got["b", 1] == got["b", 2] == -7.7
     assert np.allclose(series.yule_walker(np.array([1.0, 0.5])), [0.5])
