@@ -16,12 +16,13 @@ def small_auction(spark, sf, rounds: int = 40) -> A.Auction:
     base = base_features(df, ["l_quantity", "l_discount", "l_tax", "l_linenumber", "returned", "open"])
     model = A.Model(df, F.log("l_extendedprice"), F.col("l_orderkey") % 4 != 0)
     wealth = A.shares(1.0)
-    names: set[str] = set()
+    names = model.in_model
     auction = A.Auction(model, [])
     auction.experts += [
         A.Expert("main", wealth["main"], A.bounded_universal_bid, S.cyclic("main", base, names)),
         A.Expert("powers", wealth["interaction"] / 2, A.finite_bid, S.polynomials("powers", base, names, 3)),
         A.Expert("products", wealth["interaction"] / 2, A.universal_bid, S.interactions("products", base), "scavenger"),
+        A.Expert("calibration", A.CALIBRATION_BID * 10, A.fixed_bid(A.CALIBRATION_BID), S.calibrations("calibration", model.fitted_powers), "calibrate"),
     ]
     return auction.run(rounds)
 

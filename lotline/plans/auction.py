@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ..functions.scalar import centered_power, hard_limits
 from ..functions.special import slow_universal_pdf, universal_pdf
 from ..operators.gram import Gram, grams
 from ..operators.linear import Fit, FTest, fit, partial_f, sse_from
-from .features import Feature, interaction
+from .features import Feature, fit_powers, interaction
 from .streams import Stream, product_with
 
+#: Fixed value: what a calibrating expert bids.
+CALIBRATION_BID = 5e-6
 #: What a win pays, taxes on bids and wins, and bids of forced features.
 PAYOFF, BID_TAX, PAYOFF_TAX, FORCED = 0.05, 0.05, 0.40, 1.1
 #: Candidates that one pass over the rows measures.
@@ -54,6 +58,11 @@ def fixed_bid(amount: float) -> Callable[[float, int, History], float]:
     return lambda alpha, left, h: amount if left else 0.0
 
 
+def after_acceptance_bid(amount: float) -> Callable[[float, int, History], float]:
+    """A fit bidder: the amount once after each acceptance that it is told of, else nothing."""
+    return lambda alpha, left, h: amount if left and h.last_won else 0.0
+
+
 @dataclass
 class Expert:
     name: str
@@ -65,26 +74,37 @@ class Expert:
     history: History = field(default_factory=History)
 
     def bid(self) -> float:
-        if self.finished():
+        if self.idle():
             return 0.0
         return min(self.bidder(self.alpha, self.stream.remaining(), self.history), self.alpha / (1 + self.alpha))
 
-    def finished(self) -> bool:
+    def idle(self) -> bool:
+        """Whether it can offer nothing now."""
         return self.alpha < 1e-10 or self.stream.peek() is None
 
+    def finished(self) -> bool:
+        """Whether it can never offer anything again: a growing stream that is empty for now may."""
+        return self.alpha < 1e-10 or self.stream.peek() is None and not self.stream.grows
+
 
 class Model:
-    """A least-squares model on estimation rows whose cross-products are measured BATCH candidates at a time."""
+    """A least-squares model on estimation rows whose cross-products are measured BATCH candidates at a time.
+
+    A pass measures the products of all terms and of the candidates that may be
+    offered next, so most rounds need no pass. in_model holds the names of the
+    terms, for streams that leave them out.
+    """
 
     def __init__(self, df: DataFrame, y: Column, is_est: Column | None = None, weight: Column | None = None):
         self.df, self.y, self.is_est, self.weight = df, y, is_est, weight
         self.terms: list[Feature] = []
+        self.in_model: set[str] = set()
         self.known: dict[str, Feature] = {}
         self.passes = 0
         self.measure([])
 
     def measure(self, candidates: list[Feature]) -> None:
-        """One pass over the rows for the response, the terms and the candidates."""
+        """One pass over the rows for the response, the terms and the candidates that aren't known yet."""
         self.known = {f.name: f for f in [*self.terms, *candidates]}
         columns = {"__y": self.y, **{n: f.column for n, f in self.known.items()}}
         parts = grams(self.df, columns, self.weight, self.is_est.cast("int") if self.is_est is not None else None)
@@ -99,11 +119,21 @@ class Model:
     def fit(self) -> Fit:
         return fit(self.est, "__y", self.names)
 
+    def fitted_powers(self, binary: bool = False) -> tuple[int, list[Feature]]:
+        """The number of terms, and centred powers of the fit as it is now, for calibrating."""
+        f = self.fit()
+        made = fit_powers(f.predict({t.name: t.column for t in self.terms}), len(f.xs), binary)
+        told = saved(self)
+        for p, feature in enumerate(made, 2):
+            feature.attrs.update({"of": told, "power": p, "binary": binary})
+        return len(f.xs), made
+
     def test(self, features: list[Feature]) -> FTest:
         return partial_f(self.est, "__y", self.names, [f.name for f in features])
 
     def add(self, features: list[Feature]) -> None:
         self.terms += features
+        self.in_model |= {f.name for f in features}
 
     def cvss(self) -> float:
         return sse_from(self.val, self.fit()) if self.val is not None else 0.0
@@ -140,8 +170,11 @@ class Auction:
             e.alpha += tax / len(scavengers)
         bundle = winner.stream.pop()
         if any(f.name not in self.model.known for f in bundle):
-            ahead = [f for _, e in bids for f in (e.stream.peek() or [])][: BATCH - len(bundle)]
-            self.model.measure([*bundle, *ahead])
+            # what may be offered next is measured in the same pass, each expert's first bundles before any's later ones
+            queues = [e.stream.ahead(BATCH) for _, e in bids]
+            later = [f for turn in itertools.zip_longest(*queues, fillvalue=[]) for b in turn for f in b]
+            ahead = list({f.name: f for f in later if f.name not in self.model.in_model}.values())
+            self.model.measure([*bundle, *ahead[: max(0, BATCH - len(bundle))]])
         t = self.model.test([f for f in bundle if f.name not in self.model.names] or bundle)
         accept = not t.singular and t.p < bid - tax
         winner.history.note(accept)
@@ -165,7 +198,7 @@ class Auction:
         if winner.role == "calibrate":
             return
         for f in bundle:
-            others = [g for g in self.model.terms if g.name != f.name]
+            others = [g for g in self.model.terms if g.name != f.name and "of" not in g.attrs]
             if others:
                 self.experts.append(Expert(f"Cross[{f.name} x model]", PAYOFF * PAYOFF_TAX / len(bundle), finite_bid, product_with(f"Cross[{f.name}]", f, others), "scavenger", True))
 
@@ -199,11 +232,15 @@ def saved(model: Model) -> list[dict]:
 
 
 def restored(terms: list[dict], base: dict[str, Feature]) -> Column:
-    """The fit of saved terms over a table's base features."""
+    """The fit of saved terms over a table's base features; powers of an earlier fit are made from its terms."""
     from pyspark.sql import functions as F
 
     out = F.lit(0.0)
     for t in terms:
+        if "of" in t["attrs"]:
+            earlier, binary = restored(t["attrs"]["of"], base), t["attrs"]["binary"]
+            out = out + t["beta"] * centered_power(hard_limits(earlier) if binary else earlier, t["attrs"]["power"], 0.5 if binary else 0.0)
+            continue
         f = None
         for name, k in t["powers"]:
             for _ in range(k):

@@ -13,17 +13,31 @@ from .features import Feature, interaction, is_derived, lagged, power_of, relate
 class Stream:
     """Bundles from a generator, with one looked ahead; remaining() tells how many are left."""
 
-    def __init__(self, name: str, bundles: Iterator[list[Feature]], remaining: Callable[[], int]):
-        self.name, self._bundles, self.remaining, self._next = name, bundles, remaining, None
+    def __init__(self, name: str, bundles: Iterator[list[Feature]], remaining: Callable[[], int], wanted: Callable[[list[Feature]], bool] = lambda b: True, grows: bool = False):
+        """wanted: whether a bundle that was looked ahead is still to be offered; grows: a stream that is empty may have more later."""
+        self.name, self._bundles, self._left, self._wanted, self.grows = name, bundles, remaining, wanted, grows
+        self._queue: deque[list[Feature]] = deque()
+
+    def remaining(self) -> int:
+        return self._left() + max(0, len(self._queue) - 1)
+
+    def _fill(self, n: int) -> None:
+        self._queue = deque(b for b in self._queue if self._wanted(b))
+        while len(self._queue) < n and (b := next(self._bundles, None)) is not None:
+            if self._wanted(b):
+                self._queue.append(b)
+
+    def ahead(self, n: int) -> list[list[Feature]]:
+        """Up to n bundles that come next, left in the stream."""
+        self._fill(n)
+        return list(self._queue)[:n]
 
     def peek(self) -> list[Feature] | None:
-        if self._next is None:
-            self._next = next(self._bundles, None)
-        return self._next
+        self._fill(1)
+        return self._queue[0] if self._queue else None
 
-    def pop(self) -> list[Feature]:
-        out, self._next = self.peek(), None
-        return out
+    def pop(self) -> list[Feature] | None:
+        return self._queue.popleft() if self.peek() is not None else None
 
 
 def counted(name: str, bundles: list[list[Feature]]) -> Stream:
@@ -43,10 +57,11 @@ def cyclic(name: str, features: list[Feature], in_model: set[str], cycles: int =
     def go():
         for _ in range(cycles):
             for f in ring:
-                if f.name not in in_model:
-                    yield [f]
+                yield [f]
 
-    return Stream(name, go(), lambda: max(1, sum(f.name not in in_model for f in ring)))
+    stream = Stream(name, go(), lambda: 0, lambda b: b[0].name not in in_model)
+    stream.remaining = lambda: max(1, sum(f.name not in in_model for f in ring))
+    return stream
 
 
 def queue(name: str, features: list[Feature], priority: Callable[[Feature], float]) -> Stream:
@@ -73,7 +88,7 @@ def growing(name: str, source: list[Feature], transform: Callable[[Feature], lis
             if bundle := transform(source[i]):
                 yield bundle
 
-    return Stream(name, go(), lambda: max(0, len(source) - place[0]))
+    return Stream(name, go(), lambda: max(0, len(source) - place[0]), grows=True)
 
 
 def lags(name: str, f: Feature, most: int, order: list[str], by: list[str], block: int = 1, cycles: int = 1) -> Stream:
@@ -85,8 +100,49 @@ def bundles(name: str, features: list[Feature], size: int) -> Stream:
 
 
 def polynomials(name: str, features: list[Feature], in_model: set[str], degree: int) -> Stream:
-    """For each feature its powers as one bundle, the feature itself unless it is in the model."""
-    return counted(name, [[*([f] if f.name not in in_model else []), *(power_of(f, p) for p in range(2, degree + 1))] for f in features if not is_derived(f)])
+    """For each feature its powers as one bundle, the feature itself unless it is in the model by then."""
+    left = deque(f for f in features if not is_derived(f))
+
+    def go():
+        while left:
+            f = left.popleft()
+            yield [*([f] if f.name not in in_model else []), *(power_of(f, p) for p in range(2, degree + 1))]
+
+    return Stream(name, go(), lambda: len(left) + 1)
+
+
+def models(name: str, terms: list[Feature]) -> Stream:
+    """The terms of a model one at a time, also those that it gains while the stream is read."""
+    return growing(name, terms)
+
+
+def neighborhoods(name: str, features: list[Feature], neighbor: Callable[[Feature], Feature]) -> Stream:
+    """For each feature that isn't derived the feature of the row that an index names."""
+    return counted(name, [[neighbor(f)] for f in features if not is_derived(f)])
+
+
+def cross_by_prefix(name: str, features: list[Feature], a: str, b: str) -> Stream:
+    """Products of the features whose stream begins with one prefix and those of another."""
+    of = lambda p: [f for f in features if str(f.attrs.get("stream", "")).startswith(p)]
+    return cross_product(name, of(a), of(b))
+
+
+def calibrations(name: str, fitted: Callable[[], tuple[int, list[Feature]]]) -> Stream:
+    """Powers of the model's fit, a bundle for each number of terms it has had; fitted() tells that number and the powers now."""
+    seen = {0}
+
+    def go():
+        while True:
+            q, bundle = fitted()
+            if q in seen:
+                yield None
+                continue
+            seen.add(q)
+            yield bundle
+
+    stream = Stream(name, go(), lambda: 0, grows=True)
+    stream.remaining = lambda: int(fitted()[0] not in seen or stream.peek() is not None)
+    return stream
 
 
 def interactions(name: str, features: list[Feature], squares: bool = True, skip=lambda a, b: same_parent_levels(a, b)) -> Stream:
@@ -118,7 +174,7 @@ def cross_product(name: str, a: list[Feature], b: list[Feature], skip=related) -
             done.add((pair[0].name, pair[1].name))
             yield [interaction(*pair)]
 
-    return Stream(name, go(), lambda: sum(1 for _ in fresh()))
+    return Stream(name, go(), lambda: sum(1 for _ in fresh()), grows=True)
 
 
 def product_with(name: str, f: Feature, others: list[Feature]) -> Stream:

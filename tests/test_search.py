@@ -82,3 +82,40 @@ def test_forced_and_singular(data):
     auction.force([base[5], X.unary("twice", lambda c: 2 * c, base[5])])
     assert model.names == ["x5"] and [r["singular"] for r in auction.log] == [False, True]
     assert not auction.round()
+
+
+def test_calibration_finds_curvature_and_is_saved(spark, data):
+    """A response that is curved in the fit is straightened by powers of the fit, which a saved model keeps."""
+    df, base = data
+    curved = df.withColumn("y", F.col("x0") * 2 + F.col("x0") * F.col("x0") * 3)
+    model = A.Model(curved, F.col("y"))
+    auction = A.Auction(model, [A.Expert("main", 0.6, A.bounded_universal_bid, S.cyclic("main", base, model.in_model)), A.Expert("cal", 1e-4, A.fixed_bid(A.CALIBRATION_BID), S.calibrations("cal", model.fitted_powers), "calibrate")])
+    auction.run(12)
+    assert any(n.startswith("Y_hat_") for n in model.names) and len(set(model.names)) == len(model.names)
+    fitted = A.restored(json.loads(json.dumps(A.saved(model))), {f.name: f for f in base})
+    rss = curved.agg(F.sum((F.col("y") - fitted) ** 2)).first()[0]
+    assert abs(rss - model.fit().rss) < 1e-6 * max(rss, 1)
+
+
+def test_more_streams(data):
+    _, base = data
+    tagged = [X.Feature(f.name, f.column, {"stream": "AA" if i < 2 else "AB"}, f.powers) for i, f in enumerate(base[:4])]
+    names = lambda s: [b[0].name for b in iter(s.pop, None)]
+    assert sorted(names(S.cross_by_prefix("x", tagged, "AA", "AB"))) == ["x0*x2", "x0*x3", "x1*x2", "x1*x3"]
+    terms = base[:2]
+    s = S.models("m", terms)
+    assert names(s) == ["x0", "x1"]
+    terms.append(base[4])
+    assert s.peek()[0].name == "x4" and not A.Expert("e", 1.0, A.finite_bid, s).finished()
+    seen: set[str] = set()
+    c = S.cyclic("c", base, seen)
+    assert len(c.ahead(3)) == 3
+    seen |= {"x0", "x1"}
+    assert c.pop()[0].name == "x2" and c.remaining() == 4
+    near = S.neighborhoods("n", base[:2], lambda f: X.Feature(f"{f.name}[near]", f.column))
+    assert names(near) == ["x0[near]", "x1[near]"]
+    h = A.History()
+    bid = A.after_acceptance_bid(0.01)
+    assert bid(1.0, 3, h) == 0.0
+    h.note(True)
+    assert bid(1.0, 3, h) == 0.01
