@@ -2,53 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Only where the session names none and has no other machines (a local test) a
-    temporary folder is used; on a cluster that would lose rows, so it raises.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if not getattr(spark, "_lotline_dir", None):
-        spark._lotline_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return spark._lotline_dir
-
+from ..storage import forget, shared_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read from there.
+__all__ = ["ascii_lower", "components", "forget", "maybe_among", "shared_dir", "word_count", "written"]
 
-    This cuts lineage: later steps re-read files instead of recomputing, and
-    survive lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lotline_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes the files of written() tables that nothing reads any more."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._lotline_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Bits for each key in a filter, and its most bits.
@@ -84,11 +46,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def pandas_safe(value) -> object:
-    """A Python value for null, NaN or NA."""
-    return None if value is None or value != value else value
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", rows_a_task: int = 500_000) -> DataFrame:
     """Connected components: (node, root) with the least node of each component.
 
