@@ -14,7 +14,7 @@ from .common import forget, written
 #: Words whose counts the tasks hold; the others' counts are joined.
 HOT = 200_000
 #: Words of the recurrent model (the end among them), its classes of words, its units.
-WORDS, CLASSES, UNITS = 2048, 48, 16
+WORDS, CLASSES, UNITS = 2048, 24, 12
 #: Words in a segment; words that a gradient goes back; segments learned from at once, at first and at most.
 SEGMENT, BACK, FIRST, BATCH = 128, 32, 16, 256
 #: Times that the trainers' models are averaged (each segment is learned from in one of them), their learning rate, the training words to a trainer, and the models that one task averages.
@@ -186,10 +186,19 @@ def train(p: dict, shape: Shape, segments, rate: float) -> tuple[dict, int]:
             grad, h, n = _window(p, shape, before[a : a + BACK, :live], told[a : a + BACK, :live], h[:live])
             t, seen = t + 1, seen + n
             for k in p:
-                g = np.clip(grad[k] / n, -1, 1)
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                p[k] += (rate / (1 + t / 2000)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
+                g = grad[k]
+                g /= n
+                np.clip(g, -1, 1, out=g)
+                m[k] *= 0.9
+                m[k] += 0.1 * g
+                g *= g
+                v[k] *= 0.99
+                v[k] += 0.01 * g
+                root = np.sqrt(v[k] / (1 - 0.99**t))
+                root += 1e-6
+                np.divide(m[k], root, out=root)
+                root *= rate / (1 + t / 2000) / (1 - 0.9**t)
+                p[k] += root
     return p, seen
 
 
