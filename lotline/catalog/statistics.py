@@ -49,7 +49,7 @@ _WIDE = [f"{a} * {k}" for k in range(1, 5) for a in ("l_discount", "l_tax", "(l_
 
 @query("SELECT i, j, round(sum(a[i + 1] * a[j + 1]) + 3e-5, 3) AS s FROM (SELECT [1e0, " + ", ".join(_WIDE) + "] AS a FROM lineitem), range(21) x(i), range(21) y(j) WHERE i <= j GROUP BY i, j")
 def gram_wide(spark, sf):
-    """More columns than plain sums are made for."""
+    """More columns than plain sums are made for. The sums are short decimals that may lie on a tie, so a little is added before they are rounded, in the SQL too."""
     return products(table(spark, sf, "lineitem"), {c: F.expr(c) for c in _WIDE}).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round(F.col("s") + 3e-5, 3).alias("s"))
 
 

@@ -248,7 +248,7 @@ class Step:
 
 
 def stepwise(g: Gram, y: str, candidates: list[str], forced: list[str] = (), add: int = 25) -> list[Step]:
-    """Adds so many predictors, the one of largest F each time, whether or not it reaches the hard threshold F = 2 ln(p - forced); steps() tells which did.
+    """Adds so many predictors, the one of largest F each time, whether or not it reaches the hard threshold F = 2 ln(p - forced); each step tells whether it did.
 
     Fewer are added only where all others are singular. dropped() goes back.
     """
