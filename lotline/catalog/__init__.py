@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import models, ordering, scalars, search, shaping, statistics
+from . import ingest, models, ordering, scalars, search, shaping, statistics
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "models", "ordering", "scalars", "search", "shaping", "statistics"]
+__all__ = ["QUERIES", "SQL", "ingest", "models", "ordering", "scalars", "search", "shaping", "statistics"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,12 @@ MOST_LINES = 1_000_000
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(number, value): the lines of files with their numbers from 0, in the order of files and offsets."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), "value")
-    return row_numbers(lines, ["id"], "number").drop("id")
+    """(number, value): the lines of files with their numbers from 0, in the order of file names and offsets.
+
+    Spark reads large files first, so the order comes from each line's file and split.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+    return row_numbers(spark.read.text(path).select(place.alias("at"), "value"), ["at"], "number").drop("at")
 
 
 def column_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -124,6 +129,35 @@ def sparse_rows(spark: SparkSession, path: str, base: int = 1) -> DataFrame:
     return rows.select("line", "label", (F.split_part("c", F.lit(":"), F.lit(1)).cast("int") - base).alias("index"), F.split_part("c", F.lit(":"), F.lit(2)).cast("double").alias("value"))
 
 
+def indicator_rows(spark: SparkSession, path: str, base: int = 1) -> DataFrame:
+    """(line, index, value) of rows that list the indexes of their ones; an empty line has no cells."""
+    cells = F.filter(F.split(F.trim("value"), r"\s+"), lambda c: c != "")
+    return numbered_lines(spark, path).select(F.col("number").alias("line"), F.explode(F.transform(cells, lambda c: c.cast("int") - base)).alias("index"), F.lit(1.0).alias("value"))
+
+
+def positional_rows(spark: SparkSession, path: str, ones: int) -> DataFrame:
+    """(line, y, values) of rows of numbers whose label is their place: 1 for the first ones lines, then 0."""
+    values = F.transform(F.split(F.trim("value"), r"\s+"), lambda c: c.try_cast("double"))
+    return numbered_lines(spark, path).select(F.col("number").alias("line"), (F.col("number") < ones).cast("int").alias("y"), values.alias("values"))
+
+
+def binary_matrix(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """A file of rows of little-endian 4-byte floats as (row, names...); splits are read side by side.
+
+    A last row that is cut short raises.
+    """
+    size = 4 * len(names)
+    records = spark.createDataFrame(spark.sparkContext.binaryRecords(path, size).map(lambda r: (bytearray(r),)), "cells binary")
+
+    def floats(batches):
+        for batch in batches:
+            cells = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f4").reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(float)) for c in cells.T)], names=["id", *names])
+
+    rows = records.select(F.monotonically_increasing_id().alias("id"), "cells").mapInArrow(floats, ", ".join(["id long", *(f"`{n}` double" for n in names)]))
+    return row_numbers(rows, ["id"]).drop("id")
+
+
 def binary_label(y: Column) -> Column:
     """Labels of -1 and 1 (or any sign) as 0 and 1."""
     return F.when(y > 0, 1).otherwise(0)

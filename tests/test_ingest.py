@@ -1,5 +1,6 @@
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,32 @@ def test_csv_and_c45(spark, folder):
     assert [tuple(r) for r in files.fixed_width(spark, written(folder, "f.txt", "abcdef\n"), [(1, 2), (4, 6)]).collect()] == [("ab", "def")]
 
 
+def test_lines_of_several_files_keep_their_order(spark, folder):
+    sizes = (3, 5000, 40, 900)
+    for i, n in enumerate(sizes):
+        written(folder, f"part-{i}.txt", "".join(f"{i} {j}\n" for j in range(n)))
+    want = [f"{i} {j}" for i, n in enumerate(sizes) for j in range(n)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.numbered_lines(spark, f"{folder}/*.txt").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["value"] for r in sorted(rows, key=lambda r: r["number"])] == want
+    assert sorted(r["number"] for r in rows) == list(range(len(want)))
+
+
+def test_rows_without_values_and_binary_rows(spark, folder):
+    cells = files.indicator_rows(spark, written(folder, "i.txt", "2 5\n\n1\n")).orderBy("line", "index").collect()
+    assert [tuple(r) for r in cells] == [(0, 1, 1.0), (0, 4, 1.0), (2, 0, 1.0)]
+    rows = files.positional_rows(spark, written(folder, "p.txt", "1 2\n3 x\n5 6\n"), 2).orderBy("line").collect()
+    assert [(r["y"], r["values"]) for r in rows] == [(1, [1.0, 2.0]), (1, [3.0, None]), (0, [5.0, 6.0])]
+    matrix = np.arange(3000, dtype="<f4").reshape(-1, 3) / 8
+    with open(f"{folder}/m.bin", "wb") as f:
+        f.write(matrix.tobytes())
+    got = files.binary_matrix(spark, f"file://{folder}/m.bin", ["a", "b", "c"]).orderBy("row").collect()
+    assert [tuple(r[c] for c in "abc") for r in got] == [tuple(map(float, r)) for r in matrix] and [r["row"] for r in got] == list(range(1000))
+
+
 def test_writers(spark, folder):
     df = spark.createDataFrame([(0, 1.5, "a"), (1, None, "b.c")], "row long, x double, s string")
     files.write_columns(df, "row", f"{folder}/cols")
