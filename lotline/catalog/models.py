@@ -134,6 +134,32 @@ def rated_candidates(spark, sf):
     return spark.createDataFrame([(c, float(s)) for c, s in M.rate(gram(d, cols), "y", [], ["q", "d", "t"])], "term string, gain double")
 
 
+_RATERS = " UNION ALL ".join(f"""SELECT '{c}' AS term, rcp / ss AS b, ss, sqrt(rss / n / ss) AS plain, sqrt(ws) / ss AS white
+FROM (SELECT count(*) AS n, sum(e * z) AS rcp, sum(z * z) AS ss, sum(e * e) AS rss, sum(e * e * z * z) AS ws FROM (SELECT l_extendedprice / 1000 - avg(l_extendedprice / 1000) OVER () AS e, {x} - avg({x}) OVER () AS z FROM lineitem))""" for c, x in (("a", "l_quantity"), ("b", "l_discount"), ("t", "l_tax")))
+_BOUND = "greatest(0, abs(b) - 1.959963984540054 * {0})"
+
+
+@query(f"SELECT term, round(pow({_BOUND.format('plain')}, 2) * ss, 3) AS plain, round(pow({_BOUND.format('white')}, 2) * ss, 3) AS white FROM ({_RATERS})")
+def rater_bounds(spark, sf):
+    df, cols = _line(spark, sf)
+    cols["t"] = F.col("l_tax")
+    g, terms = gram(df, cols), ["a", "b", "t"]
+    plain = dict(M.rate(g, "y", [], terms, "stepwise"))
+    white = dict(M.rate(g, "y", [], terms, "stepwise", weighted=M.weighted_squares(df, g, "y", [], terms, cols)))
+    return spark.createDataFrame([(t, round(plain.get(t, 0.0), 3), round(white.get(t, 0.0), 3)) for t in terms], "term string, plain double, white double")
+
+
+_SE = f"SELECT *, (yy - b1 * ay - b2 * by_) / (n - 3) AS s2, aa * bb - ab * ab AS det FROM ({_OLS})"
+
+
+@query(f"""SELECT term, round(b, 5) AS estimate, round(se, 7) AS error, round(b / se, 4) AS t FROM (SELECT 'Intercept' AS term, my - b1 * ma - b2 * mb AS b, sqrt(s2 * (1.0 / n + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / det)) AS se FROM ({_SE})
+UNION ALL SELECT 'a', b1, sqrt(s2 * bb / det) FROM ({_SE}) UNION ALL SELECT 'b', b2, sqrt(s2 * aa / det) FROM ({_SE}))""")
+def model_report(spark, sf):
+    df, cols = _line(spark, sf)
+    rows = M.coefficients(M.fit(gram(df, cols), "y", ["a", "b"]))
+    return spark.createDataFrame([(n, round(b, 5), round(e, 7), round(t, 4)) for n, b, e, t, _ in rows], "term string, estimate double, error double, t double")
+
+
 @query()
 def sandwich_errors(spark, sf):
     df, cols = _line(spark, sf)

@@ -63,6 +63,15 @@ def attribute_parse(spark, sf):
     return a.select("event_id", F.col("a")["role"].alias("role"), F.col("a")["parent"].alias("parent"), T.attribute_text(F.col("a")).alias("text"), T.number(F.get_json_object("props", "$.k")).alias("k"))
 
 
+@query("""SELECT o_orderkey, CAST(o_orderkey % 16 AS INT) AS digit, o_orderkey % 5 = 0 AS nan, [10, 20, 30][(o_custkey % 3) + 1] AS element, round(o_totalprice / 50) * 50 AS rounded,
+o_orderpriority || ', x' AS field, o_orderstatus AS bare, round(sqrt(abs(o_totalprice - 100000)), 6) AS composed, round(tan(pi() * ((o_custkey % 9 + 0.5) / 10 - 0.5)), 6) AS quantile, (o_custkey % 7) * 4 + o_orderkey % 4 AS quarter FROM orders""")
+def values_of_text(spark, sf):
+    price, key, customer = F.col("o_totalprice"), F.col("o_orderkey"), F.col("o_custkey")
+    fields = T.csv_fields(F.concat(F.lit('"'), "o_orderpriority", F.lit(', x", '), F.concat(F.lit('"'), "o_orderstatus", F.lit('"'))))
+    quarter = F.concat_ws(".", customer % 7 + 1992, key % 4 + 1)
+    return table(spark, sf, "orders").select("o_orderkey", T.hex_value(F.substring(F.hex("o_orderkey"), -1, 1)).alias("digit"), S.is_nan(F.when(key % 5 == 0, float("nan")).otherwise(price)).alias("nan"), F.get(F.array(*map(F.lit, (10, 20, 30))), (customer % 3).cast("int")).alias("element"), T.round_to_scale(price, 50000.0).alias("rounded"), S.element(fields, 0).alias("field"), S.element(fields, 1).alias("bare"), F.round(S.compose(F.sqrt, F.abs)(price - 100000), 6).alias("composed"), F.round(S.cauchy_quantile((customer % 9 + 0.5) / 10), 6).alias("quantile"), T.quarter_of_text(quarter).cast("long").alias("quarter"))
+
+
 @query("""SELECT o_orderkey, (year(o_orderdate) - 1992) * 4 + quarter(o_orderdate) - 1 AS q, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""")
 def quarter_number(spark, sf):
     d = F.col("o_orderdate")

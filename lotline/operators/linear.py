@@ -158,6 +158,14 @@ def shrinkage(f: float) -> float:
     return 1 / (1 + lam)
 
 
+def coefficients(f: Fit, errors: np.ndarray | None = None) -> list[tuple[str, float, float, float, float]]:
+    """A report of a fit: (term, estimate, standard error, t, p) for the constant and each predictor."""
+    from ..functions.special import t_pvalue
+
+    e = f.errors() if errors is None else errors
+    return [(n, float(b), float(s), float(b / s), float(t_pvalue(b / s, f.df))) for n, b, s in zip(["Intercept", *f.xs], f.beta, e)]
+
+
 def sandwich_errors(df: DataFrame, fitted: Fit, columns: dict[str, Column], block: Column | None = None) -> np.ndarray:
     """Standard errors from summed outer products of e * x by row or block."""
     e = columns[fitted.y] - fitted.predict(columns)
@@ -217,11 +225,44 @@ def two_part_gain(n: float, df: float, ss: float, drss: float, index_bits: float
     return n * r - (index_bits + signed_cauchy_code(z) + (q + 1) * r)
 
 
-def rate(g: Gram, y: str, xs: list[str], candidates: list[str], method: str = "gain", p: float = 0.05) -> list[tuple[str, float]]:
-    """Candidates that are worth adding, best first, from cross-products alone."""
+def residual_products(g: Gram, y: str, xs: list[str], z: str) -> tuple[float, float]:
+    """Of the residuals of y and z on xs: the sum of their products, and z's sum of squares."""
+    s, _ = centred(g, [*xs, y, z])
+    k = len(xs)
+    left = s[k:, k:] - (s[k:, :k] @ np.linalg.solve(s[:k, :k], s[:k, k:]) if k else 0)
+    return float(left[0, 1]), float(left[1, 1])
+
+
+def weighted_squares(df: DataFrame, g: Gram, y: str, xs: list[str], candidates: list[str], columns: dict[str, Column], binomial: bool = False) -> dict[str, float]:
+    """Sums of squares of each candidate's residual, weighted by the variance of y at each row, in one pass.
+
+    The variance is the squared residual of y, or with binomial p (1 - p) of the fit.
+    """
+    fitted = fit(g, y, xs).predict(columns)
+    if binomial:
+        p = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), fitted))
+        v = p * (1 - p)
+    else:
+        v = (columns[y] - fitted) * (columns[y] - fitted)
+    able = [c for c in candidates if c in independent(g, [*xs, c])]
+    if not able:
+        return {}
+    z = df.select(v.alias("v"), *(residual_of(g, c, xs, columns).alias(f"z{i}") for i, c in enumerate(able)))
+    row = z.agg(*(F.sum(F.col("v") * F.col(f"z{i}") * F.col(f"z{i}")) for i in range(len(able)))).first()
+    return dict(zip(able, row))
+
+
+def rate(g: Gram, y: str, xs: list[str], candidates: list[str], method: str = "gain", p: float = 0.05, weighted: dict[str, float] | None = None) -> list[tuple[str, float]]:
+    """Candidates that are worth adding, best first: by bits saved ("gain"), or "stepwise" by a bound on their coefficient.
+
+    The bound is |b| less the normal quantile of p times b's error, and the score
+    the sum of squares that the bound explains. Errors assume equal variances,
+    or take those that weighted_squares() found.
+    """
     from ..functions.special import normal_quantile
 
     base, out = fit(g, y, xs), []
+    sigma2 = base.rss / g.n
     for i, c in enumerate(candidates):
         t = partial_f(g, y, xs, [c])
         if t.singular or t.f <= 0:
@@ -231,7 +272,9 @@ def rate(g: Gram, y: str, xs: list[str], candidates: list[str], method: str = "g
         if method == "gain":
             score = two_part_gain(g.n, new.df, base.rss, drss, math.log2(len(candidates)), len(xs))
         else:
-            score = drss - normal_quantile(1 - p / 2) ** 2 * new.rss / new.df
+            cp, ss = residual_products(g, y, xs, c)
+            bound = abs(cp / ss) - normal_quantile(1 - p / 2) * math.sqrt(sigma2 * ss if weighted is None else weighted[c]) / ss
+            score = bound * bound * ss if bound > 0 else 0.0
         if score > 0:
             out.append((c, score))
     return sorted(out, key=lambda x: (-x[1], x[0]))

@@ -22,6 +22,23 @@ def data(spark):
     return df, cols, x, y, b
 
 
+def test_raters(data):
+    df, cols, x, y, b = data
+    g, terms = gram(df, cols), ["x1", "x2", "x3", "x4"]
+    m, _, e = lstsq(x[:, :1], y)
+    z = x[:, 1:] - m @ np.linalg.lstsq(m, x[:, 1:], rcond=None)[0]
+    ss, beta = (z**2).sum(0), z.T @ e / (z**2).sum(0)
+    for weighted, error in ((None, np.sqrt((e**2).mean() / ss)), (linear.weighted_squares(df, g, "y", ["x0"], terms, cols), np.sqrt((e**2) @ z**2) / ss)):
+        bound = np.abs(beta) - special.normal_quantile(0.975) * error
+        want = {t: v**2 * s for t, v, s in zip(terms, bound, ss) if v > 0}
+        got = linear.rate(g, "y", ["x0"], terms, "stepwise", weighted=weighted)
+        assert dict(got) == pytest.approx(want) and got[0][0] == "x1"
+    p = np.clip(m @ np.linalg.lstsq(m, y, rcond=None)[0], 1e-11, 1 - 1e-11)
+    assert linear.weighted_squares(df, g, "y", ["x0"], terms, cols, True) == pytest.approx(dict(zip(terms, (p * (1 - p)) @ z**2)))
+    report = linear.coefficients(linear.fit(g, "y", ["x0"]))
+    assert [r[0] for r in report] == ["Intercept", "x0"] and report[1][4] < 1e-9
+
+
 def lstsq(x, y):
     m = np.column_stack([np.ones(len(y)), x])
     beta = np.linalg.lstsq(m, y, rcond=None)[0]
