@@ -103,3 +103,54 @@ FROM d LEFT JOIN items i ON d.r = i.r LEFT JOIN marks m ON d.r = m.r
 """
 
 SQL |= {"op6_jaccard": OP6, "op7_warc": OP7, "op9_decontamination": OP9}
+
+OP12 = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+bits AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 16 ELSE 0 END AS mask FROM w),
+m AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM bits LEFT JOIN labels USING (doc_id) GROUP BY part, mask),
+f(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bs FROM f a JOIN f b ON b.l <> a.l JOIN f c ON c.l NOT IN (a.l, b.l)
+  JOIN f d ON d.l NOT IN (a.l, b.l, c.l) JOIN f e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+s AS (SELECT filter_order, step, bs[step] AS b, CAST(coalesce(list_sum(bs[1:step - 1]), 0) AS BIGINT) AS before FROM p, unnest([1, 2, 3, 4, 5]) t(step)),
+r AS (
+  SELECT part, filter_order, step, b, coalesce(sum(n) FILTER (mask & (before | b) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & b > 0 AND mask & before = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & b > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = b), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & b > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & b > 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
+FROM r
+"""
+
+_NEAR = """d{k} AS MATERIALIZED (
+  SELECT r, min(d * 8 + c) % 8 AS c, min(d) AS d FROM (
+    SELECT v.r, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.p[i] - c.p[i]) * (v.p[i] - c.p[i]))) AS d FROM v, c{k} c) GROUP BY r)"""
+_MEANS = """c{n} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.p, o.p) AS p FROM c{k} o LEFT JOIN (
+    SELECT c, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY i) AS p FROM (
+      SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT d.c, unnest(range(1, 65)) AS i, unnest(v.p) AS x FROM v JOIN d{k} d USING (r)) GROUP BY c, i) GROUP BY c) m USING (c))"""
+
+OP13 = (
+    """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, p FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, p FROM v ORDER BY h LIMIT 8)),
+"""
+    + ",\n".join(x for k in range(10) for x in (_NEAR.format(k=k), _MEANS.format(k=k, n=k + 1)))
+    + ",\n"
+    + _NEAR.format(k=10)
+    + """
+SELECT vec_id, CAST(d.c AS INTEGER) AS cluster, CAST(d.d AS BIGINT) AS distance, CAST(sum(d.d) OVER (PARTITION BY d.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.p, ',')) AS centroid_sha256
+FROM v JOIN d10 d USING (r) JOIN c10 c ON c.c = d.c
+"""
+)
+
+SQL |= {"op12_filter_audit": OP12, "op13_kd_cluster": OP13}
