@@ -153,4 +153,21 @@ FROM v JOIN d10 d USING (r) JOIN c10 c ON c.c = d.c
 """
 )
 
+OP11 = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i:i + 399]) AS h FROM d, unnest(range(1, octet_length(b) - 398)) t(i)),
+hits AS MATERIALIZED (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+begun AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM hits)),
+spans AS MATERIALIZED (SELECT r, min(i) AS a, max(i) + 399 AS z FROM begun GROUP BY r, g),
+pieces AS (
+  SELECT r, a, CAST(coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS BIGINT) + 1 AS f, a - 1 AS u FROM spans
+  UNION ALL SELECT r, octet_length(b) + 1, z + 1, octet_length(b) FROM d JOIN (SELECT r, max(z) AS z FROM spans GROUP BY r) USING (r)),
+kept AS (SELECT r, unhex(string_agg(CASE WHEN u >= f THEN hex(b[f:u]) ELSE '' END, '' ORDER BY p.a)) AS k FROM pieces p JOIN d USING (r) GROUP BY r),
+told AS (SELECT r, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(k, b)) AS kept_sha256
+FROM d LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
+SQL |= {"op11_suffix_dedup": OP11}
+
 SQL |= {"op12_filter_audit": OP12, "op13_kd_cluster": OP13}

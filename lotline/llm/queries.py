@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, filter_audit, gru_lm, jaccard, kd_cluster, media, mixing, pii, toxicity, url_filter, warc
+from . import chat, decontam, filter_audit, gru_lm, jaccard, kd_cluster, media, mixing, pii, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.expr("try_cast(tree as long)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.annotated(table(spark, sf_dir, "documents").select("doc_id", "text"), result="r")
+    return found.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,4 +78,4 @@ def op13_kd_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_cluster.clusters(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_media, op3_url_filter, op4_mixing, op5_language_model, op6_jaccard, op7_warc, op8_toxicity, op9_decontamination, op10_chat, op12_filter_audit, op13_kd_cluster)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_media, op3_url_filter, op4_mixing, op5_language_model, op6_jaccard, op7_warc, op8_toxicity, op9_decontamination, op10_chat, op11_suffix_dedup, op12_filter_audit, op13_kd_cluster)}
