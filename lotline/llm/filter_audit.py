@@ -32,19 +32,19 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Texts are read once; what is shuffled of a document is a digest of its text,
     its id and its mask. The least id of a text is a minimum that is combined
-    before its shuffle, and the join with it is a plain one, whose hot keys Spark
-    can split.
+    before its shuffle and written, so that both sides of the join are plain
+    exchanges, whose hot keys Spark can split.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     bits = sum((F.when(c, 1 << LETTERS.index(x)).otherwise(0) for x, c in failures(text).items()), F.lit(0))
     slim = written(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("same"), bits.alias("mask")), "audit")
-    first = slim.groupBy("same").agg(F.min("doc_id").alias("first"))
+    first = written(slim.groupBy("same").agg(F.min("doc_id").alias("first")), "audit-first")
     marks = labels.groupBy("doc_id").agg(*(F.max(F.coalesce((F.col(c) == 1).cast("int"), F.lit(0))).alias(c) for c in ("quality", "toxic")))
     full = slim.join(first, "same").join(marks, "doc_id", "left")
     repeat = F.coalesce((F.col("first") < F.col("doc_id")).cast("int"), F.lit(0)) * (1 << LETTERS.index("E"))
     n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     out = written(full.groupBy("part", (F.col("mask") + repeat).alias("mask")).agg(F.count("*").alias("n"), n("quality").alias("good"), n("toxic").alias("toxic")), "audit-masks")
-    forget(slim)
+    forget(slim, first)
     return out
 
 
