@@ -80,6 +80,8 @@ class Cut:
         self.left = self.width - 1
         #: the first phrase begins within 2 * width - 2 bytes; what follows must end before width + gram bytes from the end
         self.inner = length - 4 * self.width + 4 - self.gram
+        #: all passages of a phrase hold the bytes from left before it to right behind
+        self.right = length - 2 * self.width + 2
 
     def begins(self, text: np.ndarray, starts: np.ndarray, sums: Sums) -> np.ndarray:
         """Where phrases begin in concatenated texts, with all starts of texts and the end of the last."""
@@ -117,14 +119,15 @@ def suffixes(letter: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarr
 
 
 class Shard:
-    """The phrases of some documents (begins: where they begin, and the end), their names, and the merged form: order, common.
+    """The phrases of some documents (begins: where they begin, and the end), their names and the order of their suffixes.
 
-    documents: the first phrase of each, and the number of phrases. The
-    Burrows-Wheeler transform is what precedes the suffixes in their order,
-    names[order - 1]; left() follows it.
+    documents: the first phrase of each, and the number of phrases. order and
+    common: the suffixes in order, and how many phrases each shares with the one
+    before; the Burrows-Wheeler transform is what precedes them, names[order - 1].
+    cores: for each anchor the name of the bytes that all its passages hold.
     """
 
-    COLUMNS = {"documents": np.int32, "begins": np.int32, "names": np.uint64, "order": np.int32, "common": np.int16}
+    COLUMNS = {"documents": np.int32, "begins": np.int32, "names": np.uint64, "order": np.int32, "common": np.int16, "cores": np.uint64}
 
     def __init__(self, cut: Cut, **columns):
         self.cut = cut
@@ -142,20 +145,23 @@ class Shard:
         begins = cut.begins(text, starts, sums)
         names = sums.of(begins[:-1], begins[1:])
         documents = np.searchsorted(begins, np.append(starts, len(text)))
-        shard = cls(cut, documents=documents, begins=begins, names=names, order=None, common=None)
+        shard = cls(cut, documents=documents, begins=begins, names=names, order=None, common=None, cores=np.zeros_like(names))
         last = documents[shard.document + 1]
         at = shard.anchors()
         depth = max((shard.outer(at)[1] - shard.outer(at)[0]).max(initial=1), (shard.reach(at) - at).max(initial=1))
         shard.order, shard.common = suffixes(names, last - np.arange(len(names)), int(depth))
         shard.common = np.minimum(shard.common, np.iinfo(np.int16).max)
+        shard.cores[at] = sums.of(begins[at] - cut.left, begins[at] + cut.right)
         return shard
 
     def stored(self) -> list[bytes]:
-        return [getattr(self, n).astype(t).tobytes() for n, t in self.COLUMNS.items()]
+        return [(np.diff(self.begins, prepend=0) if n == "begins" else getattr(self, n)).astype(t).tobytes() for n, t in self.COLUMNS.items()]
 
     @classmethod
     def read(cls, cut: Cut, parts: list[bytes]) -> Shard:
-        return cls(cut, **{n: (x := np.frombuffer(p, dtype=t)) if t is np.uint64 else np.frombuffer(p, dtype=t).astype(np.int64) for (n, t), p in zip(cls.COLUMNS.items(), parts)})
+        columns = {n: np.frombuffer(p, dtype=t) for (n, t), p in zip(cls.COLUMNS.items(), parts)}
+        columns |= {n: columns[n].astype(np.int64) for n in ("documents", "order", "common")} | {"begins": np.cumsum(columns["begins"], dtype=np.int64)}
+        return cls(cut, **columns)
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first and the last start of those passages whose first phrase, `left` bytes in or later, is at."""
@@ -214,53 +220,51 @@ def _shards(cut: Cut):
     return run
 
 
-def _stored(cut: Cut, batches) -> Iterator[tuple]:
+def _stored(cut: Cut, batches) -> Iterator[tuple[int, Shard]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.column("shard")[i].as_py(), Shard.read(cut, [batch.column(n)[i].as_py() for n in Shard.COLUMNS]), batch.column("alive")[i] if "alive" in batch.schema.names else None
+            yield batch.column("shard")[i].as_py(), Shard.read(cut, [batch.column(n)[i].as_py() for n in Shard.COLUMNS])
 
 
 def _interleave(cut: Cut):
-    """mapInArrow: shards to (shard, block, n): how many suffixes of a shard a block has."""
+    """mapInArrow: shards to (block, n): how many suffixes of a shard a block has."""
 
     def run(batches):
-        for name, shard, _ in _stored(cut, batches):
+        for _, shard in _stored(cut, batches):
             _, number, block = shard.blocks()
             first = np.flatnonzero(np.diff(number, prepend=-1))
-            n = np.diff(np.append(first, len(number)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), name)), pa.array(block[first]), pa.array(n)], names=["shard", "block", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(np.diff(np.append(first, len(number))))], names=["block", "n"])
 
     return run
 
 
-PLACES = "block long, around long, document long, low long, n int"
+PLACES = "block long, core long, around long, document long, low long, n int"
 
 
 def _refined(cut: Cut):
-    """mapInArrow: shards and the blocks of theirs that are left, to the anchors in those: PLACES.
+    """mapInArrow: shards to their anchors in the order of suffixes: PLACES.
 
-    around names the outer run of phrases, and which of its bytes begin
-    passages; anchors that share it share all of those passages.
+    core names the bytes that all passages of the anchor hold, around the outer
+    run of phrases and which of its bytes begin passages: anchors that share it
+    share all of those passages.
     """
 
     def run(batches):
-        for name, shard, alive in _stored(cut, batches):
+        for name, shard in _stored(cut, batches):
             at, _, block = shard.blocks()
-            keep = np.isin(block, np.asarray(alive.values))
-            at, block = at[keep], block[keep]
             low, high = shard.windows(at)
             begin, end = shard.outer(at)
             around = shard.sums.of(begin, end) + _spread((low - shard.begins[begin]).astype(np.uint64) * np.uint64(1 << 32) + (high - low).astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block), pa.array(around.view(np.int64)), pa.array(name * SHARD_DOCS + shard.document[at]), pa.array(low - shard.begin[at]), pa.array(high - low + 1, type=pa.int32())],
-                names=["block", "around", "document", "low", "n"],
+                [pa.array(block), pa.array(shard.cores[at].view(np.int64)), pa.array(around.view(np.int64)), pa.array(name * SHARD_DOCS + shard.document[at]), pa.array(low - shard.begin[at]), pa.array(high - low + 1, type=pa.int32())],
+                names=["block", "core", "around", "document", "low", "n"],
             )
 
     return run
 
 
 def _passages(cut: Cut):
-    """mapInArrow: texts with anchors to (block, passage, document, low, copies), a row for each passage of those."""
+    """mapInArrow: texts with anchors to (core, passage, document, low, copies), a row for each passage of those."""
 
     def run(batches):
         for batch in batches:
@@ -269,12 +273,12 @@ def _passages(cut: Cut):
                 text = np.frombuffer(body.as_buffer(), dtype=np.uint8)
                 sums = bytes_sums(text)
                 asked = asked.values
-                block, document, low, n, copies = (asked.field(x).to_numpy() for x in ("block", "document", "low", "n", "copies"))
+                core, document, low, n, copies = (asked.field(x).to_numpy() for x in ("core", "document", "low", "n", "copies"))
                 which = np.repeat(np.arange(len(n)), n)
                 at = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                out.append((block[which], sums.of(at, at + cut.length).view(np.int64), document[which], at, copies[which]))
+                out.append((core[which], sums.of(at, at + cut.length).view(np.int64), document[which], at, copies[which]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["block", "passage", "document", "low", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["core", "passage", "document", "low", "copies"])
 
     return run
 
@@ -307,19 +311,20 @@ def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple
     1. Texts are cut into phrases by their content. Each shard, a bounded number
        of bytes of one task, sorts the suffixes of its phrases: its transform.
     2. The transforms are merged without sorting suffixes again. The interleave
-       holds, for each block (suffixes that share a prefix), how many each shard
-       has, and is refined: blocks of one suffix drop out, the others go on
-       with a longer prefix. The first prefix is the inner run, phrases that any
-       two equal passages share; the second reaches over all passages of a
-       phrase, to the left along the transform and to the right. Where that block
-       has two suffixes, all those passages are repeated. Blocks are added up
-       by name, so it doesn't matter how many suffixes one has.
-    3. At the edges of a repeated stretch, an inner run occurs in several outer
-       ones. There the passages themselves are compared, a row for each start,
-       one suffix for each outer run. So edges are exact to the byte.
+       tells, for each block (suffixes that share a prefix), how many each shard
+       has, and is refined. The first prefix is the inner run, phrases that any
+       two equal passages share; blocks of one suffix drop out, by a filter of
+       bounded size, which may let some through. The others are split by their
+       core, to the left along the transform and to the right, and then by the
+       outer run that reaches over all passages of a phrase. Where that one
+       occurs twice, all those passages are repeated. Blocks are added up by
+       name, so it doesn't matter how many suffixes one has.
+    3. At the edges of a repeated stretch, a core occurs in several outer runs.
+       There the passages themselves are compared, a row for each start, one
+       suffix for each outer run. So edges are exact to the byte.
 
     Names are digests of 64 bits of phrases that are named likewise; passages
-    are compared by block and digest together.
+    are compared by core and digest together.
     """
     cut = Cut(length)
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
@@ -331,25 +336,23 @@ def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple
 
     # the interleave after the inner run
     parts = shards.drop("digests")
-    blocks = written(parts.mapInArrow(_interleave(cut), "shard long, block long, n long"), "bwt-blocks")
-    several = written(blocks.groupBy("block").agg(F.sum("n").alias("n")).where("n > 1").select("block"), "bwt-several")
-    left = maybe_among(blocks, F.col("block"), several).where("__hit").join(several, "block").groupBy("shard").agg(F.collect_list("block").alias("alive"))
-    places = written(parts.join(left, "shard").mapInArrow(_refined(cut), PLACES), "bwt-places")
-    forget(blocks, several, shards)
-
-    # after the outer one
-    outer = written(places.groupBy("block", "around").agg(F.count("*").alias("copies"), F.min(F.struct("document", "low", "n")).alias("one")), "bwt-outer")
-    edges = written(outer.groupBy("block").agg(F.count("*").alias("runs"), F.min("copies").alias("least")).where("runs > 1 and least = 1").select("block"), "bwt-edges")
-    whole = written(outer.where("copies > 1").select("block", "around"), "bwt-whole")
-    covered = places.join(whole, ["block", "around"]).select("document", "low", "n")
+    several = written(parts.mapInArrow(_interleave(cut), "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).where("n > 1").select("block"), "bwt-several")
+    places = written(maybe_among(parts.mapInArrow(_refined(cut), PLACES), F.col("block"), several).where("__hit").select("core", "around", "document", "low", "n"), "bwt-places")
+    forget(several, shards)
+
+    # after the core and the outer run
+    outer = written(places.groupBy("core", "around").agg(F.count("*").alias("copies"), F.min(F.struct("document", "low", "n")).alias("one")), "bwt-outer")
+    edges = written(outer.groupBy("core").agg(F.count("*").alias("runs"), F.min("copies").alias("least")).where("runs > 1 and least = 1").select("core"), "bwt-edges")
+    whole = written(outer.where("copies > 1").select("core", "around"), "bwt-whole")
+    covered = places.join(whole, ["core", "around"]).select("document", "low", "n")
 
     # at the edges, passage by passage
-    asked = outer.join(edges, "block").select("block", "one.*", F.least("copies", F.lit(2)).cast("int").alias("copies"))
-    asked = written(asked.join(names, "document").groupBy("digest").agg(F.collect_list(F.struct("block", "document", "low", "n", "copies")).alias("asked")), "bwt-asked")
+    asked = maybe_among(outer, F.col("core"), edges).where("__hit").join(edges, "core").select("core", "one.*", F.least("copies", F.lit(2)).cast("int").alias("copies"))
+    asked = written(asked.join(names, "document").groupBy("digest").agg(F.collect_list(F.struct("core", "document", "low", "n", "copies")).alias("asked")), "bwt-asked")
     texts = maybe_among(own, F.col("digest"), asked.select("digest")).where("__hit").groupBy("digest").agg(F.first("body").alias("body"))
-    passages = written(texts.join(asked, "digest").mapInArrow(_passages(cut), "block long, passage long, document long, low long, copies int"), "bwt-passages")
-    shared = written(passages.groupBy("block", "passage").agg(F.sum("copies").alias("n")).where("n > 1").select("block", "passage"), "bwt-shared")
-    found = covered.unionByName(passages.where("copies = 1").join(shared, ["block", "passage"]).select("document", "low", F.lit(1).alias("n")))
+    passages = written(texts.join(asked, "digest").mapInArrow(_passages(cut), "core long, passage long, document long, low long, copies int"), "bwt-passages")
+    shared = written(passages.groupBy("core", "passage").agg(F.sum("copies").alias("n")).where("n > 1").select("core", "passage"), "bwt-shared")
+    found = covered.unionByName(passages.where("copies = 1").join(shared, ["core", "passage"]).select("document", "low", F.lit(1).alias("n")))
 
     # texts of several rows are repeated whole
     only = held.where("rows = 1").select("document", "digest")
