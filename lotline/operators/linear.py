@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import f_pvalue
-from .gram import Gram, gram, grams
+from .gram import Factor, Gram, factor, gram, grams
 
 #: A predictor whose residual keeps less than this share of its sum of squares is singular.
 SINGULAR = 1e-5
@@ -57,39 +57,73 @@ class Fit:
         return sum((float(b) * columns[x] for x, b in zip(self.xs, self.beta[1:])), F.lit(float(self.beta[0])))
 
 
-def centred(g: Gram, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-products about the means, and the means."""
-    mean = g.of(names, ["1"])[:, 0] / g.n
-    return g.of(names, names) - g.n * np.outer(mean, mean), mean
-
-
 def independent(g: Gram, xs: list[str]) -> list[str]:
-    """xs without those that the ones before (nearly) determine, by sweeping scaled cross-products."""
+    """xs without those that the ones before (nearly) determine, by sweeping correlations."""
     kept: list[str] = []
-    s, _ = centred(g, xs)
+    s, _ = g.centred(xs)
+    d = np.diag(s)
+    able = np.isfinite(d) & (d > 0)
+    scale = np.sqrt(np.where(able, d, 1.0))
+    rest = s / np.outer(scale, scale)
     for i, x in enumerate(xs):
-        at = [xs.index(k) for k in kept]
-        own = s[i, i]
-        rest = own - (s[i, at] @ np.linalg.solve(s[np.ix_(at, at)], s[at, i]) if at else 0)
-        if math.isfinite(own) and own > 0 and rest / own >= SINGULAR:
+        if able[i] and rest[i, i] >= SINGULAR:
             kept.append(x)
+            rest = rest - np.outer(rest[:, i], rest[i]) / rest[i, i]
     return kept
 
 
+class Singular(ValueError):
+    """A predictor is constant, or (nearly) determined by others."""
+
+
+def _told(y: str, xs: list[str], mean: np.ndarray, slope: np.ndarray, rss: float, tss: float, n: float, c: np.ndarray) -> Fit:
+    m = mean[1:]
+    beta = np.concatenate([[mean[0] - slope @ m], slope])
+    inverse = np.block([[np.array([[1 / n + m @ c @ m]]), -(m @ c)[None, :]], [-(c @ m)[:, None], c]])
+    return Fit(y, list(xs), beta, float(rss), float(tss), n, inverse)
+
+
 def fit(g: Gram, y: str, xs: list[str]) -> Fit:
-    """Solved about the means in standard units, which keeps the condition number that of the correlations."""
-    names = [y, *xs]
-    s, mean = centred(g, names)
+    """Solved about the means in standard units, which keeps the condition number that of the correlations.
+
+    Raises Singular where independent() would leave a predictor out.
+    """
+    if not g.n:
+        raise Singular("there are no rows")
+    if len(able := independent(g, xs)) < len(xs):
+        raise Singular(f"{[x for x in xs if x not in able]} can't be told from the other predictors")
+    s, mean = g.centred([y, *xs])
     scale = np.sqrt(np.where(np.diag(s) > 0, np.diag(s), 1.0))
     r = s / np.outer(scale, scale)
-    b = np.linalg.solve(r[1:, 1:], r[1:, 0]) if xs else np.zeros(0)
-    slope = b * scale[0] / scale[1:]
-    beta = np.concatenate([[mean[0] - slope @ mean[1:]], slope])
-    rss = max(0.0, s[0, 0] - slope @ s[1:, 0])
-    c = np.linalg.inv(s[1:, 1:]) if xs else np.zeros((0, 0))
-    m = mean[1:]
-    inverse = np.block([[np.array([[1 / g.n + m @ c @ m]]), -(m @ c)[None, :]], [-(c @ m)[:, None], c]])
-    return Fit(y, list(xs), beta, float(rss), float(s[0, 0]), g.n, inverse)
+    inverse = np.linalg.inv(r[1:, 1:])
+    b = np.linalg.solve(r[1:, 1:], r[1:, 0])
+    rss = max(0.0, r[0, 0] - b @ r[1:, 0]) * scale[0] ** 2
+    return _told(y, xs, mean, b * scale[0] / scale[1:], rss, s[0, 0], g.n, inverse / np.outer(scale[1:], scale[1:]))
+
+
+def fit_rows(df: DataFrame, y: str, xs: list[str], columns: dict[str, Column], weight: Column | None = None) -> Fit:
+    """The same in full precision, from a tree of triangular factors instead of cross-products.
+
+    Predictors may come as near to each other as the digits of a double allow;
+    beyond that, or where one is constant, Singular is raised.
+    """
+    return fit_factor(factor(df, {x: columns[x] for x in [*xs, y]}, weight), y, xs)
+
+
+def fit_factor(t: Factor, y: str, xs: list[str]) -> Fit:
+    if not t.n:
+        raise Singular("there are no rows")
+    r = t.of([*xs, y])
+    k = len(xs)
+    size = np.sqrt((r**2).sum(axis=0))
+    limit = np.finfo(float).eps * max(k, 1) * 100
+    if bad := [x for i, x in enumerate(xs) if not abs(r[i, i]) > limit * size[i]]:
+        raise Singular(f"{bad} can't be told from the other predictors")
+    scaled = r[:k, :k] / size[:k]
+    slope = np.linalg.solve(scaled, r[:k, k]) / size[:k]
+    inverse = np.linalg.inv(scaled) / size[:k, None]
+    at = [t.names.index(n) for n in [y, *xs]]
+    return _told(y, xs, t.mean[at], slope, (r[k:, k] ** 2).sum(), size[k] ** 2, t.n, inverse @ inverse.T)
 
 
 @dataclass
@@ -187,9 +221,9 @@ def validated(df: DataFrame, y: str, xs: list[str], columns: dict[str, Column],
 
 def sse_from(g: Gram, f: Fit) -> float:
     """Squared errors of a fit over the rows of another Gram."""
-    names = [f.y, "1", *f.xs]
+    about, mean = g.centred([f.y, "1", *f.xs])
     c = np.concatenate([[1.0], -f.beta])
-    return float(c @ g.of(names, names) @ c)
+    return float(c @ about @ c + g.n * (c @ mean) ** 2)
 
 
 def cross_validated(df: DataFrame, y: str, xs: list[str], columns: dict[str, Column], fold: Column) -> list[dict]:
@@ -227,7 +261,7 @@ def two_part_gain(n: float, df: float, ss: float, drss: float, index_bits: float
 
 def residual_products(g: Gram, y: str, xs: list[str], z: str) -> tuple[float, float]:
     """Of the residuals of y and z on xs: the sum of their products, and z's sum of squares."""
-    s, _ = centred(g, [*xs, y, z])
+    s, _ = g.centred([*xs, y, z])
     k = len(xs)
     left = s[k:, k:] - (s[k:, :k] @ np.linalg.solve(s[:k, :k], s[:k, k:]) if k else 0)
     return float(left[0, 1]), float(left[1, 1])

@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .gram import gram
-from .linear import centred
+from .gram import factor, gram
 from .sample import exact_sample
 
 
@@ -18,7 +17,7 @@ def pca(df: DataFrame, columns: dict[str, Column], k: int = 0, standardize: bool
     """Loadings on centred (and scaled) columns; k = 0 keeps singular values over the square root of a third of the mean."""
     names = list(columns)
     g = gram(df, columns)
-    s, mean = centred(g, names)
+    s, mean = g.centred(names)
     scale = np.sqrt(np.diag(s) / (g.n - 1)) if standardize else np.ones(len(names))
     scale = np.where(scale > 0, scale, 1.0)
     values, vectors = np.linalg.eigh(s / np.outer(scale, scale) / (g.n - 1))
@@ -84,15 +83,19 @@ def kernel_components(df: DataFrame, key: str, names: list[str], k: int, kernel:
 
 
 def randomized_svd(df: DataFrame, columns: dict[str, Column], k: int, power: int = 2, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(singular values, right vectors) by a random projection of X'X and power iterations with re-orthogonalisation."""
+    """(singular values, right vectors) by a random projection of the columns' triangular factor and power iterations.
+
+    The factor comes from a tree over the rows and has the table's singular
+    values without squaring them, so small ones keep their digits.
+    """
     names = list(columns)
-    m = gram(df, columns).of(names, names)
-    q = np.linalg.qr(m @ np.random.default_rng(seed).standard_normal((len(names), min(len(names), k + 5))))[0]
+    t = factor(df, columns)
+    r = np.linalg.qr(np.vstack([t.r, math.sqrt(t.n) * t.mean]), mode="r")
+    q = np.linalg.qr(r @ np.random.default_rng(seed).standard_normal((len(names), min(len(names), k + 5))))[0]
     for _ in range(power):
-        q = np.linalg.qr(m @ q)[0]
-    values, vectors = np.linalg.eigh(q.T @ m @ q)
-    order = np.argsort(-values)[:k]
-    return np.sqrt(np.maximum(values[order], 0)), q @ vectors[:, order]
+        q = np.linalg.qr(r @ np.linalg.qr(r.T @ q)[0])[0]
+    _, values, vectors = np.linalg.svd(q.T @ r, full_matrices=False)
+    return values[:k], vectors[:k].T
 
 
 def varimax(loadings: np.ndarray, rounds: int = 100) -> np.ndarray:

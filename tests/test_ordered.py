@@ -22,15 +22,40 @@ def test_row_numbers_under_adaptive_execution(spark, size):
             spark.conf.set(k, v)
 
 
-def test_pooling_in_ranges(spark, monkeypatch):
-    r = np.random.default_rng(3)
-    rows = [(float(x), 1.0, float(r.random() < x / 500)) for x in r.integers(0, 500, 3000)]
-    cells = spark.createDataFrame(rows, "x double, n double, total double")
-    whole = sorted(map(tuple, ordered.pooled(cells).collect()))
-    monkeypatch.setattr(ordered, "RANGE_CELLS", 20)
-    assert sorted(map(tuple, ordered.pooled(cells).collect())) == whole and len(whole) > 5
-    means = [m for *_, m in whole]
-    assert means == sorted(means)
+def isotonic(rows):
+    """One stack over all cells."""
+    merged: dict[float, list[float]] = {}
+    for x, n, t in rows:
+        a = merged.setdefault(x, [0.0, 0.0])
+        a[0] += n
+        a[1] += t
+    out = []
+    for x, (n, t) in sorted(merged.items()):
+        while out and out[-1][2] * n >= t * out[-1][1]:
+            _, n0, t0 = out.pop()
+            n, t = n + n0, t + t0
+        out.append((x, n, t))
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 3, 8, 9])
+@pytest.mark.parametrize("kind", ["noisy", "rising", "falling"])
+def test_pooling_in_ranges(spark, monkeypatch, ranges, kind):
+    """Any number of ranges gives what one stack gives; rising cells stay as they are, falling ones are one block."""
+    if kind != "noisy" and ranges != 3:
+        pytest.skip("covered by the noisy cells")
+    r = np.random.default_rng(ranges)
+    cells = [(float(x), 1.0, {"noisy": float(r.random() < (x % 100) / 150 + x / 900), "rising": float(x), "falling": -float(x)}[kind]) for x in r.permutation(400)]
+    cells += [(float(x), 2.0, 1.0) for x in range(0, 400, 40)] if kind == "noisy" else []
+    distinct = len({c[0] for c in cells})
+    monkeypatch.setattr(ordered, "RANGE_CELLS", -(-distinct // ranges))
+    df = spark.createDataFrame([*cells, (None, 1.0, 1.0)], "x double, n double, total double")
+    got = sorted((row["boundary"], row["n"], row["total"]) for row in ordered.pooled(df).collect())
+    assert got == isotonic(cells) and len(got) == {"rising": 400, "falling": 1}.get(kind, len(got))
+
+
+def test_no_cells(spark):
+    assert ordered.pooled(spark.createDataFrame([], "x double, n double, total double")).count() == 0
 
 
 def test_smoothing_and_calibration(spark):
