@@ -31,6 +31,10 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 ALIKE = dict(zip("аеорсухіјѕкмнтвαοερντικ", "aeopcyxijskmhtbaoepvtik"))
 #: Characters of a piece of a word with blanks in it, at most.
 PIECE = 2
+#: Places where a word with blanks in it may have begun that are looked at, the nearest ones.
+STARTS = 3
+#: Tokens whose features are remembered: so many, none longer than so many characters.
+REMEMBERED, SHORT = 500_000, 40
 #: Log-probabilities of the channel: a letter as it is, by a sign, written more than once, a mark left out.
 KEPT, SIGNED, REPEATED, DROPPED = log(0.9), log(0.04), log(0.03), log(0.03)
 
@@ -218,17 +222,28 @@ class Reader:
         return restore(form, self.model) if stem or not begun.isdisjoint(self.skeletons) else ""
 
     def spaced(self, pieces: list[str]) -> dict[tuple[int, int], str]:
-        """The words behind stretches (from, to) of short pieces with blanks between; each stretch that may be a word is tried."""
+        """The words behind stretches (from, to) of short pieces with blanks between, in one pass.
+
+        For each beginning of a skeleton that is open, the last STARTS places where
+        it may have begun are kept: an earlier one tells a longer run of the same
+        letter, which reads alike. A complete skeleton is decoded when it comes to
+        be and while its last letter is repeated as often; what goes on without
+        end ("a a a ...") is not decoded again and again.
+        """
         pieces = [fold(x) for x in pieces]
         found: dict[tuple[int, int], str] = {}
-        for i in range(len(pieces) - 1):
-            begun, _ = self.after({""}, pieces[i])
-            for j in range(i + 1, len(pieces)):
-                begun, _ = self.after(begun, pieces[j])
-                if not begun - {""}:
-                    break
-                if not begun.isdisjoint(self.skeletons) and (word := restore("".join(pieces[i : j + 1]), self.model)) in self.index:
-                    found[i, j + 1] = word
+        live: dict[str, list[tuple[int, int]]] = {}
+        for j, piece in enumerate(pieces):
+            new: dict[str, list[tuple[int, int]]] = {}
+            for state, starts in [("", [(j, 0)]), *live.items()]:
+                for s in self.after({state}, piece)[0]:
+                    if s:
+                        new.setdefault(s, []).extend((i, still + 1 if s == state else 0) for i, still in starts)
+            live = {s: sorted(set(x), reverse=True)[:STARTS] for s, x in new.items()}
+            for s in live.keys() & self.skeletons:
+                for i, still in live[s]:
+                    if i < j and still < STARTS and (word := restore("".join(pieces[i : j + 1]), self.model)) in self.index:
+                        found[i, j + 1] = word
         return found
 
     @staticmethod
@@ -260,14 +275,16 @@ class Reader:
     def __call__(self, text: str | None) -> list[int]:
         found: set[int] = set()
         low, known = (text or "").lower(), self.known
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         total = typical = 0
         tokens = low.split()
         for t, n in Counter(tokens).items():
             hit = known.get(t)
             if hit is None:
-                known[t] = hit = self.token(t)
+                hit = self.token(t)
+                if len(t) <= SHORT:
+                    known[t] = hit
             if hit[0]:
                 found.update(hit[0])
             typical += n * hit[1]

@@ -133,3 +133,43 @@ def test_look_up_is_as_wide_as_the_lattice():
     r = reader(["bad", "hello", "evil"])
     assert [r(x) for x in ("6ad", "b|a|d", "b!a!d", "[b]a{d}", "b>a?d", "he££o", "evi!", "ba d", "b a d", "b\na\n\nd", "b  a   d")] == [[0]] * 5 + [[1], [2]] + [[0]] * 4
     assert r("a d b calm ba") == [] and r("no evi or hel") == []
+
+
+def all_stretches(r, pieces):
+    """Every stretch of pieces tried from every start, as long as any beginning is open."""
+    pieces, found = [toxicity.fold(x) for x in pieces], set()
+    for i in range(len(pieces) - 1):
+        begun, _ = r.after({""}, pieces[i])
+        for j in range(i + 1, len(pieces)):
+            begun, _ = r.after(begun, pieces[j])
+            if not begun - {""}:
+                break
+            if not begun.isdisjoint(r.skeletons) and (word := toxicity.restore("".join(pieces[i : j + 1]), r.model)) in r.index:
+                found.add(word)
+    return found
+
+
+def test_spaced_words_are_those_of_all_stretches():
+    r = reader(["bad", "ball", "oops", "idiot", "add", "as", "ass", "gab"])
+    rand = random.Random(8)
+    for _ in range(400):
+        pieces = []
+        for _ in range(rand.randint(1, 4)):
+            w = rand.choice(["bad", "ball", "oops", "idiot", "add", "ass", "xyz", "boa", "sa"])
+            for c in w:
+                pieces += [rand.choice([c, c, c, {"a": "4", "o": "0", "s": "$", "i": "1"}.get(c, c)])] * rand.choice((1, 1, 1, 1, 2, 4))
+                pieces += [rand.choice("-*.")] * (rand.random() < 0.15)
+        pieces = [p + (rand.choice("ab") if rand.random() < 0.1 else "") for p in pieces]
+        assert set(r.spaced(pieces).values()) == all_stretches(r, pieces), pieces
+
+
+@pytest.mark.parametrize("text", ["a " * 20_000, "a - " * 20_000, "a b " * 20_000, "a s s " * 10_000, "? " * 30_000, "a " + "? " * 30_000 + "s s", "a1" * 100_000, "4 " * 20_000, "b 4 ll " * 9_000])
+def test_long_texts_of_short_pieces(text):
+    """The time grows with the length: tens of thousands of words take seconds."""
+    import time
+
+    r = reader(["ass", "ball", "abba", "add"], ["abas"])
+    r("warm up")
+    began = time.process_time()
+    r(text)
+    assert time.process_time() - began < 10
