@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import forget, written
 
-#: Words whose counts the tasks hold; the others' counts are joined.
-HOT = 200_000
+#: Words whose counts the tasks hold, none with more bytes than HOT_BYTES; the others' counts are joined.
+HOT, HOT_BYTES = 200_000, 64
 #: Words of the recurrent model (the end among them), its classes of words, its units.
-WORDS, CLASSES, UNITS = 2048, 24, 12
+WORDS, CLASSES, UNITS = 2048, 48, 16
 #: Words in a segment; words that a gradient goes back; segments learned from at once, at first and at most.
 SEGMENT, BACK, FIRST, BATCH = 128, 32, 16, 256
 #: Times that the trainers' models are averaged (each segment is learned from in one of them), their learning rate, the training words to a trainer, and the models that one task averages.
@@ -25,9 +25,14 @@ SIDE, WINDOW, HELD_WORDS = 512, 64, 3_000_000
 END = b""
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased, then the end."""
-    return [*(text or "").encode().lower().split(), END]
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8 with A-Z lower-cased, then the end."""
+    return [*(text or b"").lower().split(), END]
+
+
+def plain(text: str):
+    """The text column as bytes."""
+    return F.col(f"`{text}`").cast("binary")
 
 
 class Shape:
@@ -247,16 +252,16 @@ def counted(docs: DataFrame, text: str) -> DataFrame:
     def told(sums):
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["token", "n"])
 
-    return written(docs.select(text).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
+    return written(docs.select(plain(text)).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
 
 
 def _hot(counts: DataFrame) -> tuple[pa.Array, np.ndarray, DataFrame]:
-    """The most frequent tokens, at most HOT, with their counts: those from the least count on that so few tokens reach (else the end alone); and the others' counts."""
+    """The most frequent tokens, at most HOT and none of more than HOT_BYTES, with their counts: those from the least count on that so few tokens reach (else the end alone); and the others' counts."""
     by_count = written(counts.groupBy("n").agg(F.count("*").alias("types")), "lm-spread")
     reach = by_count.withColumn("reach", F.sum("types").over(Window.orderBy(F.desc("n")))).where(F.col("reach") <= HOT)
     least = reach.agg(F.min("n")).first()[0]
     forget(by_count)
-    is_hot = F.col("token") == F.lit(END) if least is None else F.col("n") >= least
+    is_hot = F.col("token") == F.lit(END) if least is None else (F.col("n") >= least) & (F.octet_length("token") <= HOT_BYTES)
     rows = counts.where(is_hot).orderBy(F.desc("n"), "token").toArrow()
     return rows["token"].combine_chunks(), rows["n"].to_numpy(), counts.where(~is_hot)
 
@@ -268,16 +273,16 @@ def segments(docs: DataFrame, key: str, text: str, shape: Shape) -> DataFrame:
     def cut(batches):
         number, other = shared.value.words, shared.value.size
         for batch in batches:
-            rows, keys = [], []
-            for x, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seq = [number.get(w, other) for w in tokens(x)]
-                for i in range(0, len(seq), SEGMENT):
-                    rows.append(seq[i : i + SEGMENT])
-                    keys.append(told + i // SEGMENT)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.list_(pa.int16()))], names=["told", "seq"])
+            flat = [np.fromiter((number.get(w, other) for w in tokens(x)), np.int16) for x in batch.column(0).to_pylist()]
+            size = np.array([len(x) for x in flat])
+            pieces = -(-size // SEGMENT)
+            piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            ends = np.repeat(np.cumsum(size) - size, pieces) + np.minimum((piece + 1) * SEGMENT, np.repeat(size, pieces))
+            rows = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int16), *flat])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(1).to_numpy(), pieces) + piece), rows], names=["told", "seq"])
 
     # the key is part of it, so that copies of a text are dealt to several trainers
-    return written(docs.select(text, F.pmod(F.xxhash64(key, text), F.lit(1 << 40)).alias("told")).mapInArrow(cut, "told long, seq array<smallint>"), "lm-segments")
+    return written(docs.select(plain(text), F.pmod(F.xxhash64(f"`{key}`", f"`{text}`"), F.lit(1 << 40)).alias("told")).mapInArrow(cut, "told long, seq array<smallint>"), "lm-segments")
 
 
 def learned(docs: DataFrame, key: str, text: str, top: list[tuple[bytes, int]], total: int, types: int) -> tuple[Shape, dict]:
@@ -299,22 +304,17 @@ def learned(docs: DataFrame, key: str, text: str, top: list[tuple[bytes, int]],
 
         def fit(batches, now=now, rate=STEP / (r + 1)):
             def rows():
-                held: list = []
-                size = FIRST
+                held, size = np.zeros((0, SEGMENT), dtype=np.int64), FIRST
                 for batch in batches:
-                    for s in batch.column("seq").to_pylist():
-                        held.append(s)
-                        if len(held) == size:
-                            yield filled(held)
-                            held, size = [], min(size + 4, BATCH)
-                if held:
-                    yield filled(held)
-
-            def filled(held):
-                out = np.full((len(held), SEGMENT), -1, dtype=np.int64)
-                for i, s in enumerate(held):
-                    out[i, : len(s)] = s
-                return out
+                    seq = batch.column("seq")
+                    new = np.full((len(seq), SEGMENT), -1, dtype=np.int64)
+                    new[np.arange(SEGMENT) < seq.value_lengths().to_numpy()[:, None]] = seq.flatten().to_numpy()
+                    held = np.concatenate([held, new])
+                    while len(held) >= size:
+                        yield held[:size]
+                        held, size = held[size:], min(size + 4, BATCH)
+                if len(held):
+                    yield held
 
             q, seen = train(now.value, shared.value, rows(), rate)
             flat = np.concatenate([q[k].ravel() for k in sorted(q)])
@@ -410,7 +410,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
         pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([k for r in rare for k in r.values()], pa.int64())], ["token", "k"])
         return pa.RecordBatch.from_arrays([batch.column(0).slice(0, n), batch.column(2).slice(0, n), *(pa.array(c, k) for c, k in zip(cols, kinds)), pa.ListArray.from_arrays(size, pairs), pa.array(lm)], names=["key", "held_out", "n_tokens", "known", "base", "inside", "n_rest", "rare", "lm"])
 
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
+    source = docs.select(F.col(key).alias("key"), plain(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
     kind = source.schema["key"].dataType.simpleString()
     first = source.mapInArrow(run, f"key {kind}, held_out boolean, n_tokens long, known long, base double, inside double, n_rest long, rare array<struct<token: binary, k: long>>, lm double")
     rows = written(first.withColumn("row", F.monotonically_increasing_id()), "lm-first")
