@@ -22,7 +22,7 @@ def small_auction(spark, sf, rounds: int = 40) -> A.Auction:
         A.Expert("main", wealth["main"], A.bounded_universal_bid, S.cyclic("main", base, names)),
         A.Expert("powers", wealth["interaction"] / 2, A.finite_bid, S.polynomials("powers", base, names, 3)),
         A.Expert("products", wealth["interaction"] / 2, A.universal_bid, S.interactions("products", base), "scavenger"),
-        A.Expert("calibration", A.CALIBRATION_BID * 10, A.fixed_bid(A.CALIBRATION_BID), S.calibrations("calibration", model.fitted_powers), "calibrate"),
+        A.Expert("calibration", A.CALIBRATION_WEALTH, A.fit_bid(A.CALIBRATION_BID), S.calibrations("calibration", model.fitted_powers), "calibrate"),
     ]
     return auction.run(rounds)
 

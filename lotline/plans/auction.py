@@ -7,16 +7,18 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.scalar import centered_power, hard_limits
 from ..functions.special import slow_universal_pdf, universal_pdf
 from ..operators.gram import Gram, grams
-from ..operators.linear import Fit, FTest, fit, partial_f, sse_from
+from ..operators.linear import Fit, FTest, fit, fit_rows, partial_f, sse_from
+from ..operators.smooth import Spline, smoothing_spline
 from .features import Feature, fit_powers, interaction
 from .streams import Stream, product_with
 
-#: Fixed value: what a calibrating expert bids.
-CALIBRATION_BID = 5e-6
+#: What a calibrating expert bids, and its wealth.
+CALIBRATION_BID, CALIBRATION_WEALTH = 5e-6, 100.0
 #: What a win pays, taxes on bids and wins, and bids of forced features.
 PAYOFF, BID_TAX, PAYOFF_TAX, FORCED = 0.05, 0.05, 0.40, 1.1
 #: Candidates that one pass over the rows measures.
@@ -31,6 +33,9 @@ class History:
     wins: int = 0
     since: int = 0
     last_won: bool = False
+    #: whether the last round of all added a feature, and whether it was this expert's
+    round_added: bool = False
+    round_own: bool = False
 
     def note(self, won: bool) -> None:
         self.bids, self.wins = self.bids + 1, self.wins + won
@@ -63,6 +68,11 @@ def after_acceptance_bid(amount: float) -> Callable[[float, int, History], float
     return lambda alpha, left, h: amount if left and h.last_won else 0.0
 
 
+def fit_bid(amount: float) -> Callable[[float, int, History], float]:
+    """A calibrating expert's: the amount if the last round added another expert's feature, else nothing."""
+    return lambda alpha, left, h: amount if left and h.round_added and not h.round_own else 0.0
+
+
 @dataclass
 class Expert:
     name: str
@@ -111,6 +121,10 @@ class Model:
         self.est: Gram = parts.get(1 if self.is_est is not None else 0)
         self.val: Gram | None = parts.get(0) if self.is_est is not None else None
         self.passes += 1
+        # a row left out for one candidate would be left out of the tests of all that share its pass
+        nulls = sorted({n for g in parts.values() for n, k in g.nulls.items() if k})
+        if nulls:
+            raise ValueError(f"{nulls} have nulls; fill them and add indicators first")
 
     @property
     def names(self) -> list[str]:
@@ -128,6 +142,16 @@ class Model:
             feature.attrs.update({"of": told, "power": p, "binary": binary})
         return len(f.xs), made
 
+    def fitted_spline(self, degrees: float = 5, binary: bool = False) -> tuple[int, list[Feature]]:
+        """The number of terms, and a spline of the residuals on the fit as it is now, found on the estimation rows."""
+        f = self.fit()
+        fitted = f.predict({t.name: t.column for t in self.terms})
+        fitted = hard_limits(fitted) if binary else fitted
+        rows = self.df if self.is_est is None else self.df.where(self.is_est)
+        spline = smoothing_spline(rows.select(fitted.alias("x"), (self.y - fitted).alias("y"), (F.lit(1.0) if self.weight is None else self.weight).alias("w")), "x", "y", degrees, "w")
+        told = {"stream": "CALIBRATION", "of": saved(self), "spline": spline.stored(), "binary": binary}
+        return len(f.xs), [Feature(f"Y_hat_spline_{len(f.xs)}", spline.column(fitted), told)]
+
     def test(self, features: list[Feature]) -> FTest:
         return partial_f(self.est, "__y", self.names, [f.name for f in features])
 
@@ -178,6 +202,8 @@ class Auction:
         t = self.model.test([f for f in bundle if f.name not in self.model.names] or bundle)
         accept = not t.singular and t.p < bid - tax
         winner.history.note(accept)
+        for e in self.experts:
+            e.history.round_added, e.history.round_own = accept, e is winner
         if accept:
             self.model.add([f for f in bundle if f.name not in self.model.names])
             self._reward(winner, bundle)
@@ -233,12 +259,13 @@ def saved(model: Model) -> list[dict]:
 
 def restored(terms: list[dict], base: dict[str, Feature]) -> Column:
     """The fit of saved terms over a table's base features; powers of an earlier fit are made from its terms."""
-    from pyspark.sql import functions as F
-
     out = F.lit(0.0)
     for t in terms:
         if "of" in t["attrs"]:
             earlier, binary = restored(t["attrs"]["of"], base), t["attrs"]["binary"]
+            if "spline" in t["attrs"]:
+                out = out + t["beta"] * Spline.restored(t["attrs"]["spline"]).column(hard_limits(earlier) if binary else earlier)
+                continue
             out = out + t["beta"] * centered_power(hard_limits(earlier) if binary else earlier, t["attrs"]["power"], 0.5 if binary else 0.0)
             continue
         f = None
@@ -247,3 +274,15 @@ def restored(terms: list[dict], base: dict[str, Feature]) -> Column:
                 f = base[name] if f is None else interaction(f, base[name])
         out = out + (t["beta"] if f is None else t["beta"] * f.column)
     return out
+
+
+def refitted(df: DataFrame, y: Column, terms: list[dict], base: dict[str, Feature], weight: Column | None = None) -> Fit:
+    """A saved model's terms fitted anew to the rows of a table, in full precision; calibrating terms stay as they were."""
+    columns = {t["term"]: restored([{**t, "beta": 1.0}], base) for t in terms if t["term"] != "Intercept"}
+    return fit_rows(df, "__y", list(columns), columns | {"__y": y}, weight)
+
+
+def reweighted(terms: list[dict], f: Fit) -> list[dict]:
+    """Saved terms with the coefficients of a refit."""
+    beta = dict(zip(["Intercept", *f.xs], f.beta))
+    return [{**t, "beta": float(beta[t["term"]])} for t in terms]

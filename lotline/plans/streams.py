@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -127,54 +128,89 @@ def cross_by_prefix(name: str, features: list[Feature], a: str, b: str) -> Strea
     return cross_product(name, of(a), of(b))
 
 
-def calibrations(name: str, fitted: Callable[[], tuple[int, list[Feature]]]) -> Stream:
-    """Powers of the model's fit, a bundle for each number of terms it has had; fitted() tells that number and the powers now."""
-    seen = {0}
+def calibrations(name: str, fitted: Callable[[], tuple[int, list[Feature]]], q: Callable[[], int] | None = None, gap: int = 1) -> Stream:
+    """Calibrating features of the model's fit, for numbers of terms that are gap or more beyond the last that was offered; fitted() tells the number of terms and the features now.
+
+    q tells that number alone, where fitted() has to go over the rows.
+    """
+    last = [0]
+    terms = q or (lambda: fitted()[0])
 
     def go():
         while True:
-            q, bundle = fitted()
-            if q in seen:
+            if terms() < last[0] + gap:
                 yield None
                 continue
-            seen.add(q)
+            last[0], bundle = fitted()
             yield bundle
 
     stream = Stream(name, go(), lambda: 0, grows=True)
-    stream.remaining = lambda: int(fitted()[0] not in seen or stream.peek() is not None)
+    stream.remaining = lambda: int(terms() >= last[0] + gap or stream.peek() is not None)
     return stream
 
 
-def interactions(name: str, features: list[Feature], squares: bool = True, skip=lambda a, b: same_parent_levels(a, b)) -> Stream:
-    """Products of pairs i <= j, without constants, squares of 0/1 features and skipped pairs."""
+def pair_count(p: int, squares: bool = True) -> int:
+    return p * (p + 1) // 2 if squares else p * (p - 1) // 2
+
+
+def pair_at(k: int, p: int, squares: bool = True) -> tuple[int, int]:
+    """The k-th of the pairs i <= j of p (i < j without squares), row by row, without listing them."""
+    n = p if squares else p - 1
+    # rows from the end hold 1, 2, ... pairs: so many of them are wholly at or behind place k
+    behind = (math.isqrt(8 * (n * (n + 1) // 2 - 1 - k) + 1) - 1) // 2
+    i = n - 1 - behind
+    before = i * n - i * (i - 1) // 2
+    return i, k - before + i + (0 if squares else 1)
+
+
+def interactions(name: str, features: list[Feature], squares: bool = True, skip=lambda a, b: same_parent_levels(a, b), start: int = 0) -> Stream:
+    """Products of pairs i <= j, without constants, squares of 0/1 features and skipped pairs.
+
+    A pair is made from its number when its turn comes. remaining() is the
+    number of pairs that are left, those that will be skipped among them; start
+    goes on after so many pairs.
+    """
     ok = [f for f in features if not f.constant]
-    pairs = [(a, b) for i, a in enumerate(ok) for b in ok[i if squares else i + 1 :] if not (a is b and a.dummy) and not (a is not b and skip(a, b))]
-    left = deque(pairs)
+    total, at = pair_count(len(ok), squares), [start]
 
     def go():
-        while left:
-            yield [interaction(*left.popleft())]
+        while at[0] < total:
+            a, b = (ok[i] for i in pair_at(at[0], len(ok), squares))
+            at[0] += 1
+            if not (a is b and a.dummy) and not (a is not b and skip(a, b)):
+                yield [interaction(a, b)]
 
-    return Stream(name, go(), lambda: len(left) + 1)
+    return Stream(name, go(), lambda: total - at[0] + 1)
 
 
 def cross_product(name: str, a: list[Feature], b: list[Feature], skip=related) -> Stream:
-    """Products of two lists, either of which may grow; each pair once."""
-    done: set[tuple[str, str]] = set()
+    """Products of two lists, either of which may grow; each pair once.
 
-    def fresh():
-        return ((x, y) for x in a for y in b if (x.name, y.name) not in done and x.name != y.name and not skip(x, y))
+    For each feature of a there is a cursor into b; all pairs before it have been
+    offered or skipped. remaining() is the number of pairs behind the cursors.
+    """
+    cursor: list[int] = []
+    used, slow, wide = [0], [0], [0]
 
     def go():
         while True:
-            pair = next(fresh(), None)
-            if pair is None:
+            cursor.extend([0] * (len(a) - len(cursor)))
+            if len(b) > wide[0]:  # rows that were done have more now
+                wide[0], slow[0] = len(b), 0
+            while slow[0] < len(a) and cursor[slow[0]] >= len(b):
+                slow[0] += 1
+            if slow[0] >= len(a):
                 yield None
                 continue
-            done.add((pair[0].name, pair[1].name))
-            yield [interaction(*pair)]
+            x, y = a[slow[0]], b[cursor[slow[0]]]
+            cursor[slow[0]] += 1
+            used[0] += 1
+            if x.name != y.name and not skip(x, y):
+                yield [interaction(x, y)]
 
-    return Stream(name, go(), lambda: sum(1 for _ in fresh()), grows=True)
+    stream = Stream(name, go(), lambda: 0, grows=True)
+    stream.remaining = lambda: len(a) * len(b) - used[0] + len(stream._queue)
+    return stream
 
 
 def product_with(name: str, f: Feature, others: list[Feature]) -> Stream:
