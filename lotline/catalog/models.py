@@ -88,11 +88,32 @@ def _labelled(spark, sf):
     return d, (F.col("quality") == 1).cast("double"), {"chars": F.col("n_chars") / 10000, "toxic": F.col("toxic").cast("double")}
 
 
-@query()
+def _newton(steps: int) -> str:
+    """Newton steps of a logistic regression on a and b, written out."""
+    out = """WITH d AS MATERIALIZED (SELECT CAST(quality = 1 AS DOUBLE) AS y, n_chars / 10000 AS a, CAST(toxic AS DOUBLE) AS b FROM documents JOIN labels USING (doc_id)), t0 AS (SELECT 0e0 AS b0, 0e0 AS b1, 0e0 AS b2)"""
+    for k in range(steps):
+        out += f""", s{k} AS MATERIALIZED (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(w) AS c, sum(w * a) AS e, sum(w * b) AS f, sum(w * a * a) AS g, sum(w * a * b) AS h, sum(w * b * b) AS i, sum(r) AS u, sum(r * a) AS v, sum(r * b) AS z FROM (SELECT *, p * (1 - p) AS w, y - p AS r FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * a + b2 * b))) AS p FROM d, t{k}))),
+q{k} AS (SELECT *, g * i - h * h AS ca, f * h - e * i AS cb, e * h - f * g AS cc, c * i - f * f AS cd, e * f - c * h AS ce, c * g - e * e AS cf, c * (g * i - h * h) - e * (e * i - f * h) + f * (e * h - f * g) AS det FROM s{k}),
+t{k + 1} AS MATERIALIZED (SELECT b0 + (ca * u + cb * v + cc * z) / det AS b0, b1 + (cb * u + cd * v + ce * z) / det AS b1, b2 + (cc * u + ce * v + cf * z) / det AS b2 FROM q{k})"""
+    k = steps - 1
+    return out + f" SELECT '1' AS term, round(b0, 5) AS beta, round(sqrt(ca / det), 5) AS se FROM q{k} UNION ALL SELECT 'chars', round(b1, 4), round(sqrt(cd / det), 4) FROM q{k} UNION ALL SELECT 'toxic', round(b2, 5), round(sqrt(cf / det), 5) FROM q{k}"
+
+
+@query(_newton(14))
 def logistic_irls(spark, sf):
     d, y, cols = _labelled(spark, sf)
     m = logistic.irls(d, y, cols)
-    return spark.createDataFrame([(t, float(b), float(s)) for t, b, s in zip(["1", *cols], m["beta"], m["errors"])], "term string, beta double, se double")
+    return spark.createDataFrame([(t, round(float(b), 4 if t == "chars" else 5), round(float(s), 4 if t == "chars" else 5)) for t, b, s in zip(["1", *cols], m["beta"], m["errors"])], "term string, beta double, se double")
+
+
+@query()
+def logistic_screens(spark, sf):
+    """What screens, bounds and the likelihood say of four candidates."""
+    d, y, cols = _labelled(spark, sf)
+    more = cols | {"long": (F.col("n_chars") > 3000).cast("double"), "tenth": (F.col("doc_id") % 10).cast("double")}
+    model = logistic.Screened(d, y)
+    model.consider(more, 0.05)
+    return spark.createDataFrame(model.log, "term string, stage string, statistic double, p double, kept boolean")
 
 
 @query()
@@ -119,12 +140,27 @@ def _signal():
     return {"y": F.col("l_extendedprice") / 1000 + F.col("l_quantity") + 100 * F.col("l_discount"), "q": F.col("l_quantity"), "d": F.col("l_discount"), "t": F.col("l_tax")}
 
 
-@query()
+_CROSS = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, sum((v[{i + 1}] - m[{i + 1}]) * (v[{j + 1}] - m[{j + 1}])) AS v FROM d, a" for i in range(5) for j in range(5))
+
+
+def _sweeps(steps: int) -> str:
+    """Greedy choice by F and sweeping, written out step by step."""
+    out = f"""WITH d AS (SELECT [l_extendedprice / 1000 + l_quantity + 100 * l_discount, l_quantity, l_discount, l_tax, l_quantity * l_discount] AS v FROM lineitem),
+a AS (SELECT count(*) AS n, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4]), avg(v[5])] AS m FROM d), x0 AS MATERIALIZED ({_CROSS})"""
+    for k in range(steps):
+        taken = "".join(f" AND i NOT IN (SELECT i FROM b{t})" for t in range(k))
+        out += f""", b{k} AS MATERIALIZED (SELECT i, f FROM (SELECT p.i, p.v * p.v / d.v / ((y.v - p.v * p.v / d.v) / (n - {k + 2})) AS f FROM x{k} p JOIN x{k} d ON d.i = p.i AND d.j = p.i JOIN x{k} y ON y.i = 0 AND y.j = 0, a WHERE p.j = 0 AND p.i > 0{taken.replace(" i NOT", " p.i NOT")}) ORDER BY f DESC LIMIT 1),
+x{k + 1} AS MATERIALIZED (SELECT m.i, m.j, CASE WHEN m.i = b.i AND m.j = b.i THEN -1 / d.v WHEN m.i = b.i OR m.j = b.i THEN m.v / d.v ELSE m.v - r.v * c.v / d.v END AS v
+  FROM x{k} m, b{k} b JOIN x{k} d ON d.i = b.i AND d.j = b.i JOIN x{k} r ON r.i = b.i JOIN x{k} c ON c.j = b.i WHERE r.j = m.j AND c.i = m.i)"""
+    return out + " " + " UNION ALL ".join(f"SELECT {k} AS place, (['q', 'd', 't', 'qd'])[i] AS term, round(f, 2) AS f, f > 2 * ln(4) AS passed FROM b{k}" for k in range(steps))
+
+
+@query(_sweeps(3))
 def stepwise_terms(spark, sf):
     d = table(spark, sf, "lineitem")
     cols = _signal() | {"qd": F.col("l_quantity") * F.col("l_discount")}
     steps = M.stepwise(gram(d, cols), "y", ["q", "d", "t", "qd"], add=3)
-    return spark.createDataFrame([(i, s.term, float(s.f), s.passed) for i, s in enumerate(steps)], "place int, term string, f double, passed boolean")
+    return spark.createDataFrame([(i, s.term, round(float(s.f), 2), s.passed) for i, s in enumerate(steps)], "place int, term string, f double, passed boolean")
 
 
 @query()
@@ -134,6 +170,20 @@ def rated_candidates(spark, sf):
     return spark.createDataFrame([(c, float(s)) for c, s in M.rate(gram(d, cols), "y", [], ["q", "d", "t"])], "term string, gain double")
 
 
+_FAR = "SELECT l_linenumber + l_discount + 1e9 AS x, 2 * l_linenumber + l_quantity / 50 + 1e9 AS y, l_tax * 1e-6 + 1e3 AS z FROM lineitem"
+
+
+@query(f"""WITH d AS (SELECT x - 1e9 AS x, y - 1e9 AS y, (z - 1e3) * 1e6 AS z FROM ({_FAR})), s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, covar_pop(x, z) AS xz, var_pop(x) AS xx, var_pop(z) AS zz, var_pop(y) AS yy FROM d),
+b AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM s)
+SELECT CAST(n AS DOUBLE) AS n, round(b1, 5) AS slope_x, round(b2, 3) AS slope_z, round((b1 * xy + b2 * zy) / yy, 6) AS r2 FROM b""")
+def far_columns_fit(spark, sf):
+    """A fit of columns that lie far from zero, by a tree of triangular factors."""
+    df = table(spark, sf, "lineitem")
+    cols = {"x": F.col("l_linenumber") + F.col("l_discount") + 1e9, "y": 2 * F.col("l_linenumber") + F.col("l_quantity") / 50 + 1e9, "z": F.col("l_tax") * 1e-6 + 1e3}
+    f = M.fit_rows(df, "y", ["x", "z"], cols)
+    return spark.createDataFrame([(float(f.n), round(float(f.beta[1]), 5), round(float(f.beta[2]) / 1e6, 3), round(f.r2, 6))], "n double, slope_x double, slope_z double, r2 double")
+
+
 _RATERS = " UNION ALL ".join(f"""SELECT '{c}' AS term, rcp / ss AS b, ss, sqrt(rss / n / ss) AS plain, sqrt(ws) / ss AS white
 FROM (SELECT count(*) AS n, sum(e * z) AS rcp, sum(z * z) AS ss, sum(e * e) AS rss, sum(e * e * z * z) AS ws FROM (SELECT l_extendedprice / 1000 - avg(l_extendedprice / 1000) OVER () AS e, {x} - avg({x}) OVER () AS z FROM lineitem))""" for c, x in (("a", "l_quantity"), ("b", "l_discount"), ("t", "l_tax")))
 _BOUND = "greatest(0, abs(b) - 1.959963984540054 * {0})"
@@ -160,12 +210,17 @@ def model_report(spark, sf):
     return spark.createDataFrame([(n, round(b, 5), round(e, 7), round(t, 4)) for n, b, e, t, _ in rows], "term string, estimate double, error double, t double")
 
 
-@query()
+_INV = f"""f AS ({_SE}), e AS (SELECT l_orderkey, l_quantity - ma AS a, l_discount - mb AS b, (l_extendedprice / 1000 - my) - b1 * (l_quantity - ma) - b2 * (l_discount - mb) AS e FROM lineitem, f),
+u AS (SELECT e * (bb * a - ab * b) / det AS u1, e * (aa * b - ab * a) / det AS u2, floor(l_orderkey / 10) AS block, l_orderkey FROM e, f)"""
+
+
+@query(f"""WITH {_INV}, w AS (SELECT sum(u1 * u1) AS w1, sum(u2 * u2) AS w2 FROM u), k AS (SELECT sum(s1 * s1) AS k1, sum(s2 * s2) AS k2 FROM (SELECT sum(u1) AS s1, sum(u2) AS s2 FROM u GROUP BY block))
+SELECT 'a' AS term, round(sqrt(s2 * bb / det), 8) AS ols, round(sqrt(w1), 8) AS white, round(sqrt(k1), 8) AS block FROM f, w, k UNION ALL SELECT 'b', round(sqrt(s2 * aa / det), 5), round(sqrt(w2), 5), round(sqrt(k2), 5) FROM f, w, k""")
 def sandwich_errors(spark, sf):
     df, cols = _line(spark, sf)
     f = M.fit(gram(df, cols), "y", ["a", "b"])
     e, w, b = f.errors(), M.sandwich_errors(df, f, cols), M.sandwich_errors(df, f, cols, F.floor(F.col("l_orderkey") / 10))
-    return spark.createDataFrame([(t, float(x), float(y), float(z)) for t, x, y, z in zip(["1", "a", "b"], e, w, b)], "term string, ols double, white double, block double")
+    return spark.createDataFrame([(t, *(round(float(x[i]), d) for x in (e, w, b))) for i, t, d in ((1, "a", 8), (2, "b", 5))], "term string, ols double, white double, block double")
 
 
 _PAV = f"""WITH g AS (SELECT p AS x, count(*) AS n, sum(y) AS total FROM {_SCORED} GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY x) AS i FROM g), c AS (SELECT *, sum(n) OVER (ORDER BY i) AS cn, sum(total) OVER (ORDER BY i) AS ct FROM o),

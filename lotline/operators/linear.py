@@ -327,18 +327,15 @@ class Step:
 def stepwise(g: Gram, y: str, candidates: list[str], forced: list[str] = (), add: int = 25) -> list[Step]:
     """Adds so many predictors, the one of largest F each time, whether or not it reaches the hard threshold F = 2 ln(p - forced); each step tells whether it did.
 
-    Fewer are added only where all others are singular. dropped() goes back.
+    Fewer are added only where all others are singular. The cross-products are
+    swept once a step; dropped() goes back.
     """
-    xs, out = list(forced), []
-    limit = 2 * math.log(max(2, len(candidates) - len(forced)))
-    while len(out) < add:
-        tests = [(partial_f(g, y, xs, [c]), c) for c in candidates if c not in xs]
-        f, best = max(((t.f, c) for t, c in tests if not t.singular), default=(0.0, None))
-        if best is None:
-            break
-        xs.append(best)
-        out.append(Step(best, f, limit, f > limit))
-    return out
+    from .sweeps import Swept
+
+    s = Swept(g, y, [*forced, *(c for c in candidates if c not in forced)])
+    for x in forced:
+        s.add(x)
+    return s.expand(add, len(forced))
 
 
 def dropped(g: Gram, y: str, xs: list[str], forced: list[str] = (), limit: float = 0.0) -> list[str]:
@@ -351,6 +348,21 @@ def dropped(g: Gram, y: str, xs: list[str], forced: list[str] = (), limit: float
         xs.remove(weak)
 
 
+def add_if_useful(df: DataFrame, g: Gram, y: str, xs: list[str], new: list[str], columns: dict[str, Column], p: float, protection: int = 1, block: Column | None = None) -> tuple[bool, FTest]:
+    """Whether new predictors are worth adding at a level p, and the last test made.
+
+    Protection 0 takes the F test as it is. Above that, F need only reach 2 p, and
+    White's F, for unequal variances or blocks of rows, has to reach p.
+    """
+    t = partial_f(g, y, xs, new)
+    if t.singular or not protection:
+        return not t.singular and t.p <= p, t
+    if t.p > 2 * p:
+        return False, t
+    t = white_f(df, g, y, xs, new, columns, block)
+    return not t.singular and t.p <= p, t
+
+
 def mdl(n: float, k: int, rss: float, regression_ss: float) -> float:
     s2 = rss / (n - k)
     return (n - k) * math.log(s2) + k * math.log(regression_ss) + (n - k - 1) * math.log(n / (n - k)) - (k + 1) * math.log(k)
