@@ -116,17 +116,71 @@ def kalman_level(spark, sf):
     return k.select("user_id", "place", *(F.round(c, 5).alias(c) for c in ("state", "variance", "innovation")))
 
 
-@query()
+def _daub2(levels: int) -> str:
+    """Levels of the wavelet of four taps, written out; each value adds to two coefficients of each kind."""
+    out = """WITH s AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS k FROM events),
+z AS (SELECT user_id, CAST(pow(2, ceil(log2(any_value(k)))) AS BIGINT) AS n FROM s GROUP BY user_id),
+f(t, lo, hi) AS (VALUES (0, 0.48296291314453416e0, -0.12940952255126037e0), (1, 0.8365163037378079e0, -0.2241438680420134e0), (2, 0.2241438680420134e0, 0.8365163037378079e0), (3, -0.12940952255126037e0, -0.48296291314453416e0)),
+v0 AS MATERIALIZED (SELECT z.user_id, n, r.i, coalesce(x, 0) AS x FROM z JOIN range(1000000) r(i) ON r.i < n LEFT JOIN s ON s.user_id = z.user_id AND s.i = r.i)"""
+    for k in range(levels):
+        out += f""", v{k + 1} AS MATERIALIZED (SELECT user_id, n // 2 AS n, (((i - t) // 2) % (n // 2) + n // 2) % (n // 2) AS i, sum(x * lo) AS x, sum(x * hi) AS d FROM (SELECT * FROM v{k}, f WHERE n > 1 AND (i + t) % 2 = 0) GROUP BY ALL)"""
+    parts = ["SELECT user_id, 0 AS level, i, x AS c FROM v0 WHERE n = 1"]
+    for k in range(levels):
+        parts += [f"SELECT user_id, {k}, i, d FROM v{k + 1}", f"SELECT user_id, {k + 1}, i, x FROM v{k + 1} WHERE n = 1"]
+    return out + f" SELECT user_id, CAST(level AS INTEGER) AS level, CAST(i AS INTEGER) AS place, round(c, 6) + 0.0 AS coefficient FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(_daub2(14))
 def wavelet_coefficients(spark, sf):
-    return L.wavelet(table(spark, sf, "events"), "user_id", "event_id", "value", "daub2")
+    return L.wavelet(table(spark, sf, "events"), "user_id", "event_id", "value", "daub2").withColumn("coefficient", F.round("coefficient", 6) + 0.0)
+
+
+def _codes() -> str:
+    bits = lambda c: f"(CASE WHEN {c} = 0 THEN 1e0 ELSE 3 + 2 * floor(log2(abs({c})) + 1e-9) END)"
+    data = lambda d: f"0.721347521e0 * ({d}) * ({d})"
+    return f"""WITH b AS (SELECT event_id, user_id, (value - 50) / 5 AS z FROM events),
+c AS (SELECT *, floor(z) + CASE WHEN z - floor(z) > 0.5 THEN 1 ELSE 0 END AS r, abs(z) AS a, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY abs(z) DESC, event_id) AS place FROM b),
+o AS (SELECT *, abs(r) - i AS ka, abs(r) - i + CASE WHEN r = 0 THEN 1 ELSE 0 END AS ke, CASE WHEN place = n THEN 0 ELSE -ln(place / CAST(n AS DOUBLE)) / 0.693147e0 END AS one, CASE WHEN place = n THEN 10 ELSE -ln(1 - place / CAST(n AS DOUBLE)) / 0.693147e0 END AS zero FROM c, range(3) t(i)),
+q AS (SELECT *, {bits('ka')} + {data('ka - a')} AS qa, {bits('ke')} - 1 + {data('ke - a')} + CASE WHEN ke = 0 THEN zero ELSE one END AS qe FROM o),
+m AS (SELECT event_id, user_id, any_value(z) AS z, any_value(r) AS r, any_value(n) AS n, arg_min(ka, (qa, i)) * sign(any_value(z)) AS ka, min(qa) AS qa, arg_min(ke, (qe, i)) * CASE WHEN any_value(z) > 0 THEN 1 ELSE -1 END AS ke FROM q GROUP BY event_id, user_id),
+p AS (SELECT *, {data('z')} AS nil, floor(1 + 0.5 * ln(greatest(n - 1, 1)) / 0.693147e0) + {data('r - z')} AS qb, qa + 2 + floor(ln(greatest(n - 1, 1)) / 0.693147e0) AS qr FROM m)
+SELECT event_id, CAST(CASE WHEN r = 0 THEN 0 ELSE ka END AS BIGINT) AS aic, round(CASE WHEN r = 0 THEN 1 + nil ELSE qa END, 6) AS aic_bits, CAST(CASE WHEN r <> 0 AND qb < nil THEN r ELSE 0 END AS BIGINT) AS bic, round(1 + CASE WHEN r <> 0 AND qb < nil THEN qb ELSE nil END, 6) AS bic_bits,
+  CAST(CASE WHEN r <> 0 AND qr < nil THEN ka ELSE 0 END AS BIGINT) AS ric, round(CASE WHEN r <> 0 AND qr < nil THEN qr ELSE nil END, 6) AS ric_bits, CAST(ke AS BIGINT) AS ebic FROM p"""
+
+
+@query(_codes())
+def coefficient_codes(spark, sf):
+    """Values in units of 5 as integers at the penalties of four criteria."""
+    e = table(spark, sf, "events").withColumn("z", (F.col("value") - 50) / 5)
+    out = None
+    for m in ("aic", "bic", "ric", "ebic"):
+        c = L.coded(e, "user_id", "event_id", "z", m).select("event_id", F.col("code").alias(m), *([F.round("bits", 6).alias(f"{m}_bits")] if m != "ebic" else []))
+        out = c if out is None else out.join(c, "event_id")
+    return out
+
+
+@query()
+def kept_blocks(spark, sf):
+    e = table(spark, sf, "events").withColumn("z", F.col("value") - 50)
+    return L.block_kept(e, "user_id", "event_id", "z", 10.0)
+
+
+def _halves(spark, sf):
+    half = F.floor(F.size("values") / 2).cast("int")
+    v = W.stacked(table(spark, sf, "events"), "user_id", "event_id", "value").where("size(values) > 1")
+    return v.select("user_id", F.slice("values", 1, half).alias("a"), F.slice("values", half + 1, F.size("values") - half).alias("b"))
+
+
+@query()
+def dtw_map(spark, sf):
+    """Where each place of a user's first values lies in the later ones, with limited slopes."""
+    return L.warp_map(_halves(spark, sf), "a", "b", limited=True)
 
 
 @query()
 def dtw_distance(spark, sf):
     """Warped distances between the two halves of each user's values."""
-    half = F.floor(F.size("values") / 2).cast("int")
-    v = W.stacked(table(spark, sf, "events"), "user_id", "event_id", "value").where("size(values) > 1").select("user_id", F.slice("values", 1, half).alias("a"), F.slice("values", half + 1, F.size("values") - half).alias("b"))
-    return L.dtw_distances(v, "a", "b").select("user_id", "distance")
+    return L.dtw_distances(_halves(spark, sf), "a", "b").select("user_id", "distance")
 
 
 @query()
@@ -141,12 +195,33 @@ def moving_total_ratio(spark, sf):
     return L.moving_total_ratio(table(spark, sf, "events"), "user_id", "event_id", "value", 4).select("user_id", F.round("ratio", 6).alias("ratio"))
 
 
-@query()
+_HIDDEN = """p AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, floor(value / 10) AS x FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {_HIDDEN},
+f AS (SELECT user_id, i, n, x * ln(2) - 2 AS b0, x * ln(8) - 8 AS b1, 0 AS k0, 0 AS k1 FROM p WHERE i = 0
+UNION ALL SELECT p.user_id, p.i, p.n, greatest(b0 + ln(0.9), b1 + ln(0.1)) + x * ln(2) - 2, greatest(b0 + ln(0.1), b1 + ln(0.9)) + x * ln(8) - 8, CASE WHEN b0 + ln(0.9) >= b1 + ln(0.1) THEN 0 ELSE 1 END, CASE WHEN b0 + ln(0.1) >= b1 + ln(0.9) THEN 0 ELSE 1 END FROM f JOIN p ON p.user_id = f.user_id AND p.i = f.i + 1),
+g AS (SELECT user_id, i, CASE WHEN b0 >= b1 THEN 0 ELSE 1 END AS s, k0, k1 FROM f WHERE i = n - 1
+UNION ALL SELECT f.user_id, f.i, CASE WHEN g.s = 0 THEN g.k0 ELSE g.k1 END, f.k0, f.k1 FROM g JOIN f ON f.user_id = g.user_id AND f.i = g.i - 1)
+SELECT user_id, CAST(i AS INTEGER) AS place, CAST(s AS INTEGER) AS state FROM g""")
 def poisson_states(spark, sf):
     e = table(spark, sf, "events").withColumn("k", F.floor(F.col("value") / 10))
     return L.poisson_states(e, "user_id", "event_id", "k", [2.0, 8.0])
 
 
+@query(f"""WITH RECURSIVE {_HIDDEN}, q AS MATERIALIZED (SELECT user_id, i, n, x, exp(x * ln(2) - 2) AS e0, exp(x * ln(8) - 8) AS e1 FROM p),
+f AS (SELECT user_id, i, n, e0 / (e0 + e1) AS a0 FROM q WHERE i = 0
+UNION ALL SELECT q.user_id, q.i, q.n, e0 * (0.1 + 0.8 * a0) / (e0 * (0.1 + 0.8 * a0) + e1 * (0.9 - 0.8 * a0)) FROM f JOIN q ON q.user_id = f.user_id AND q.i = f.i + 1),
+g AS (SELECT user_id, i, a0 AS g0, 0e0 AS moved FROM f WHERE i = n - 1
+UNION ALL SELECT f.user_id, f.i, a0 * (0.9 * g0 / (0.1 + 0.8 * a0) + 0.1 * (1 - g0) / (0.9 - 0.8 * a0)), a0 * 0.1 * (1 - g0) / (0.9 - 0.8 * a0) + (1 - a0) * 0.1 * g0 / (0.1 + 0.8 * a0) FROM g JOIN f ON f.user_id = g.user_id AND f.i = g.i - 1)
+SELECT user_id, i AS place, round(g0, 6) AS low, round(moved, 6) AS moved FROM g""")
+def state_posteriors(spark, sf):
+    """The probability of the low state given a user's whole series, and that the next value is in the other one."""
+    e = table(spark, sf, "events").withColumn("k", F.floor(F.col("value") / 10))
+    p = L.poisson_posteriors(e, "user_id", "event_id", "k", [2.0, 8.0])
+    return p.select("user_id", "place", F.round(F.get("posterior", 0), 6).alias("low"), F.round("moved", 6).alias("moved"))
+
+
 @query("""WITH p AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT user_id, f AS frequency, round(sum(x * cos(2 * pi() * f * i / n)), 4) + 0.0 AS real, round(-sum(x * sin(2 * pi() * f * i / n)), 4) + 0.0 AS imaginary FROM p JOIN range(0, 100000) r(f) ON f <= n // 2 GROUP BY 1, 2""")
 def spectrum(spark, sf):
