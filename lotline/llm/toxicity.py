@@ -165,7 +165,7 @@ class Reader:
         self.width = len(words) + len(SHARES) + len(NUMBERS)
         self.skeletons, self.starts = {skeleton(w) for w in words}, {skeleton(w) for w in stems}
         self.begun = {x[:n] for x in self.skeletons | self.starts for n in range(len(x) + 1)}
-        self.model, self.known = model, {}
+        self.model, self.known, self.moved = model, {}, {}
 
     def typical(self, word: str) -> bool:
         for n in self.lengths:
@@ -216,6 +216,15 @@ class Reader:
             begun = now
         return begun, stem
 
+    def moves(self, state: str, piece: str) -> tuple[str, ...]:
+        """The beginnings that one may be at after a piece, remembered."""
+        out = self.moved.get((state, piece))
+        if out is None:
+            if len(self.moved) > REMEMBERED:
+                self.moved.clear()
+            self.moved[state, piece] = out = tuple(s for s in self.after({state}, piece)[0] if s)
+        return out
+
     def known_as(self, form: str) -> str:
         """The word behind a form if some path of its lattice is a word or begins with a stem; else none."""
         begun, stem = self.after({""}, form)
@@ -230,15 +239,16 @@ class Reader:
         be and while its last letter is repeated as often; what goes on without
         end ("a a a ...") is not decoded again and again.
         """
-        pieces = [fold(x) for x in pieces]
         found: dict[tuple[int, int], str] = {}
+        if len(pieces) == 2 and not (self.moves("", fold(pieces[0]))):
+            return found
+        pieces = [fold(x) for x in pieces]
         live: dict[str, list[tuple[int, int]]] = {}
         for j, piece in enumerate(pieces):
             new: dict[str, list[tuple[int, int]]] = {}
             for state, starts in [("", [(j, 0)]), *live.items()]:
-                for s in self.after({state}, piece)[0]:
-                    if s:
-                        new.setdefault(s, []).extend((i, still + 1 if s == state else 0) for i, still in starts)
+                for s in self.moves(state, piece):
+                    new.setdefault(s, []).extend((i, still + 1 if s == state else 0) for i, still in starts)
             live = {s: sorted(set(x), reverse=True)[:STARTS] for s, x in new.items()}
             for s in live.keys() & self.skeletons:
                 for i, still in live[s]:
