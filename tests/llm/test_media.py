@@ -45,10 +45,23 @@ def test_all_queries_that_match(spark):
     song = r.integers(0, 24, 60)
     rows = [(0, wav(song)), (1, wav(song[20:])), (2, wav(song[20:])), (3, wav(r.integers(0, 24, 60))), (10, wav(np.concatenate([r.integers(0, 24, 10), song])))]
     got = media.aligned(media.fingerprints(spark.createDataFrame(rows, "id long, media binary")), lambda k: k % 10 == 0).collect()
-    links = {(x["key"], x["query_id"]): x["offset"] for x in got}
-    assert len(got) == len(links)
-    assert links == {(0, 10): -20, (10, 0): 20, (1, 0): -40, (1, 10): -60, (2, 0): -40, (2, 10): -60, (3, None): None}
-    assert {(x["key"], x["n_links"]) for x in got} == {(0, 1), (10, 1), (1, 2), (2, 2), (3, 0)}
+    told = {(x["key"], x["query_id"]): x["offset"] for x in got}
+    assert len(got) == len(told)
+    # 2 is equal to 1, which stands for both
+    assert told == {(0, 10): -20, (10, 0): 20, (1, 0): -40, (1, 10): -60, (2, None): None, (3, None): None}
+    assert {(x["key"], x["class_id"], x["n_links"], x["query_class"]) for x in got} == {(0, 0, 1, 0), (10, 10, 1, 10), (1, 1, 2, None), (2, 1, 2, None), (3, 3, 0, None)}
+
+
+def test_queries_among_equal_recordings(spark):
+    """A class is named by its least key, but told as a query by its least query; many equal recordings cost a row each."""
+    r = np.random.default_rng(5)
+    song = r.integers(0, 24, 60)
+    rows = [(k, wav(song)) for k in (5, 100, 200, 7)] + [(300 + i, wav(song[10:])) for i in range(1, 30)] + [(8, wav(r.integers(0, 24, 60)))]
+    got = media.aligned(media.fingerprints(spark.createDataFrame(rows, "id long, media binary").repartition(3)), lambda k: k % 100 == 0).collect()
+    assert len(got) == len(rows)
+    assert {(x["class_id"], x["query_class"], x["n_links"]) for x in got if x["key"] in (5, 7, 100, 200)} == {(5, 100, 0)}
+    assert {(x["class_id"], x["n_links"]) for x in got if x["key"] > 300} == {(301, 1)}
+    assert [(x["key"], x["query_id"], x["offset"]) for x in got if x["query_id"] is not None] == [(301, 100, -20)]
 
 
 def noisy(raw, level, seed):
