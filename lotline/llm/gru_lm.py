@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ SEGMENT, BACK, FIRST, BATCH = 128, 32, 16, 256
 #: Times that the trainers' models are averaged (each segment is learned from in one of them), their learning rate, the training words to a trainer, and the models that one task averages.
 ROUNDS, STEP, PER_TRAINER, MEAN = 2, 0.01, 30_000_000, 64
 #: Documents and words that are scored side by side.
-SIDE, WINDOW, HELD_WORDS = 512, 64, 3_000_000
+SIDE, WINDOW, HELD_WORDS = 2048, 64, 4_000_000
 
 END = b""
 
@@ -35,6 +36,14 @@ def plain(text: str):
     return F.col(f"`{text}`").cast("binary")
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (strings), as tokens() tells them but without the ends, and the text that each is of."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, of = lists.flatten(), pc.list_parent_indices(lists)
+    real = pc.not_equal(words, "")
+    return words.filter(real).cast(pa.binary()), of.filter(real).to_numpy()
+
+
 class Shape:
     """The model's words (the first of counts, by falling count) in classes: frequent words in small classes, and a last class for all others."""
 
@@ -240,19 +249,12 @@ def counted(docs: DataFrame, text: str) -> DataFrame:
     """(token, n) over all words and ends of docs, written. Tasks count before the shuffle."""
 
     def count(batches):
-        sums: Counter = Counter()
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                sums.update(tokens(x))
-            if len(sums) > 1_000_000:
-                yield told(sums)
-                sums = Counter()
-        yield told(sums)
-
-    def told(sums):
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["token", "n"])
+            found = pc.value_counts(split(batch.column(0))[0])
+            token, n = found.field("values"), found.field("counts")
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([token, pa.array([END], pa.binary())]), pa.concat_arrays([n, pa.array([batch.num_rows], pa.int64())])], names=["token", "n"])
 
-    return written(docs.select(plain(text)).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
+    return written(docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
 
 
 def _hot(counts: DataFrame) -> tuple[pa.Array, np.ndarray, DataFrame]:
@@ -371,46 +373,44 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     shared = docs.sparkSession.sparkContext.broadcast((shape, p, words, often))
 
     def run(batches):
-        shape, p, words, often = shared.value
-        number = {w: i for i, w in enumerate(words.to_pylist())}
-        size = len(number)
+        shape, _, words, often = shared.value
+        size = len(words)
         logs = np.append(np.log10(often.astype(float) + 1), 0.0)
+        # the model's word of each hot token, then of all others, then of the end
         model = np.full(size + 1, shape.size)
-        for w, i in shape.words.items():
-            if w in number:
-                model[number[w]] = i
+        at = pc.index_in(pa.array(list(shape.words), pa.binary()), value_set=words).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(at.astype(float))
+        model[at[known].astype(int)] = np.array(list(shape.words.values()))[known]
+        end = words.index(END).as_py()
         inside = np.where(model == shape.size, logs, 0.0)
-        slots = {w: i for w, i in shape.words.items() if w not in number}  # the end, where no row was trained on
         for batch in batches:
-            todo, rows = [], []
-            held_words = 0
-            for x in batch.column(1).to_pylist():
-                seen = tokens(x)
-                at = np.array([number.get(w, size) for w in seen], dtype=np.int64)
-                rare = Counter(seen[i] for i in np.flatnonzero(at == size).tolist())
+            tokens, of = split(batch.column(1))
+            length = np.bincount(of, minlength=batch.num_rows) + 1
+            edge = np.append(0, np.cumsum(length))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(edge, edge[i] + HELD_WORDS, "right")) - 1)
+                first = edge[i] - i
+                mine = tokens.slice(first, edge[j] - j - first)
+                at = np.full(edge[j] - edge[i], end if end >= 0 else size)
+                word = np.ones(len(at), dtype=bool)
+                word[edge[i + 1 : j + 1] - edge[i] - 1] = False
+                found = pc.index_in(mine, value_set=words)
+                at[word] = found.fill_null(size).to_numpy()
                 seq = model[at]
-                if slots:
-                    seq[-1] = slots.get(END, seq[-1])
-                n_rest = int((seq == shape.size).sum())
-                rows.append((len(seen), int((at < size).sum()), logs[at].sum(), inside[at].sum(), n_rest, rare))
-                todo.append(seq)
-                held_words += len(seq)
-                if held_words > HELD_WORDS:
-                    yield closed(batch, rows, todo, len(todo))
-                    batch, rows, todo, held_words = batch.slice(len(todo)), [], [], 0
-            if todo:
-                yield closed(batch, rows, todo, len(todo))
-
-    def closed(batch, rows, todo, n):
-        shape, p, *_ = shared.value
-        lm = score(p, shape, todo) / np.log(10)
-        *cols, rare = zip(*rows)
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        size = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
-        pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([k for r in rare for k in r.values()], pa.int64())], ["token", "k"])
-        return pa.RecordBatch.from_arrays([batch.column(0).slice(0, n), batch.column(2).slice(0, n), *(pa.array(c, k) for c, k in zip(cols, kinds)), pa.ListArray.from_arrays(size, pairs), pa.array(lm)], names=["key", "held_out", "n_tokens", "known", "base", "inside", "n_rest", "rare", "lm"])
-
-    source = docs.select(F.col(key).alias("key"), plain(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
+                if end < 0:  # no row was trained on
+                    seq[~word] = shape.words[END]
+                starts = edge[i:j] - edge[i]
+                total = lambda x: np.add.reduceat(x, starts)
+                lm = score(shared.value[1], shape, np.split(seq, starts[1:])) / np.log(10)
+                rare = Counter(zip((of[first : first + len(mine)][found.is_null().to_numpy(zero_copy_only=False)] - i).tolist(), mine.filter(found.is_null()).to_pylist()))
+                pairs = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64())], ["token", "k"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount([d for d, _ in rare], minlength=j - i))), pa.int32()), pairs)
+                columns = [length[i:j], total((at < size).astype(np.int64)), total(logs[at]), total(inside[at]), total((seq == shape.size).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *map(pa.array, columns), lists, pa.array(lm)], names=["key", "held_out", "n_tokens", "known", "base", "inside", "n_rest", "rare", "lm"])
+                i = j
+
+    source = docs.select(F.col(key).alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
     kind = source.schema["key"].dataType.simpleString()
     first = source.mapInArrow(run, f"key {kind}, held_out boolean, n_tokens long, known long, base double, inside double, n_rest long, rare array<struct<token: binary, k: long>>, lm double")
     rows = written(first.withColumn("row", F.monotonically_increasing_id()), "lm-first")

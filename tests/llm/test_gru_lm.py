@@ -139,3 +139,12 @@ def test_counts_where_no_class_of_counts_is_hot(spark, monkeypatch):
     for i, n_tokens, n_known, base in brute(rows)[1]:
         assert (got[i]["n_tokens"], got[i]["n_known"]) == (n_tokens, n_known) and isclose(got[i]["base_score"], base, rel_tol=1e-9)
         assert np.isfinite(got[i]["score"]) and got[i]["score"] < 0
+
+
+def test_words_are_those_of_plain_splitting():
+    texts = ["a B\x0bc\x1cd", " \t x  y\u00a0z\r\n", "", None, "\u0130\u00c9 E\u2003f", "one", "  ", "Q" * 1000 + " q"]
+    words, of = gru_lm.split(gru_lm.pa.array(texts))
+    got = [[] for _ in texts]
+    for w, i in zip(words.to_pylist(), of.tolist()):
+        got[i].append(w)
+    assert [[*g, b""] for g in got] == [gru_lm.tokens(t and t.encode()) for t in texts]
