@@ -163,11 +163,15 @@ def stepwise_terms(spark, sf):
     return spark.createDataFrame([(i, s.term, round(float(s.f), 2), s.passed) for i, s in enumerate(steps)], "place int, term string, f double, passed boolean")
 
 
-@query()
+_FITS = " UNION ALL ".join(f"SELECT '{c}' AS term, count(*) AS n, pow(corr({x}, l_extendedprice / 1000 + l_quantity + 100 * l_discount), 2) AS c2 FROM lineitem" for c, x in (("q", "l_quantity"), ("d", "l_discount"), ("t", "l_tax")))
+
+
+@query(f"""SELECT term, round((n - 1) * r - log2(3) - CASE WHEN k > 0 THEN 1 ELSE 0 END - log2((1 + k * k) * 1.07667), 3) AS gain FROM (SELECT term, n, -ln(1 - c2) / (2 * ln(2)) AS r, round_even(sqrt((n - 2) * c2 / (1 - c2)), 0) AS k FROM ({_FITS}))
+WHERE (n - 1) * r - log2(3) - CASE WHEN k > 0 THEN 1 ELSE 0 END - log2((1 + k * k) * 1.07667) > 0""")
 def rated_candidates(spark, sf):
     d = table(spark, sf, "lineitem")
     cols = _signal()
-    return spark.createDataFrame([(c, float(s)) for c, s in M.rate(gram(d, cols), "y", [], ["q", "d", "t"])], "term string, gain double")
+    return spark.createDataFrame([(c, round(float(s), 3)) for c, s in M.rate(gram(d, cols), "y", [], ["q", "d", "t"])], "term string, gain double")
 
 
 _FAR = "SELECT l_linenumber + l_discount + 1e9 AS x, 2 * l_linenumber + l_quantity / 50 + 1e9 AS y, l_tax * 1e-6 + 1e3 AS z FROM lineitem"
@@ -247,12 +251,18 @@ def spline_fit(spark, sf):
     return e.select("event_id", smooth.smoothing_spline(e, "event_id", "value", 5).column(F.col("event_id").cast("double")).alias("fit"))
 
 
-@query()
+_BASIS = "b AS (SELECT doc_id, y, CASE WHEN abs(z) < 1 THEN pow(1 - z * z, 2) ELSE 0 END AS k0, z FROM (SELECT doc_id, CAST(y AS DOUBLE) AS y, (p - 0.5) * 2 AS z FROM " + _SCORED + "))"
+
+
+@query(f"""WITH {_BASIS}, r AS (SELECT doc_id, y, k0 AS p, k0 * z AS q, k0 * z * z AS r FROM b), m AS (SELECT avg(y) AS my, avg(p) AS mp, avg(q) AS mq, avg(r) AS mr FROM r),
+s AS (SELECT sum((p - mp) * (p - mp)) AS a, sum((p - mp) * (q - mq)) AS b, sum((p - mp) * (r - mr)) AS c, sum((q - mq) * (q - mq)) AS d, sum((q - mq) * (r - mr)) AS e, sum((r - mr) * (r - mr)) AS f, sum((p - mp) * (y - my)) AS u, sum((q - mq) * (y - my)) AS v, sum((r - mr) * (y - my)) AS w FROM r, m),
+x AS (SELECT (u * (d * f - e * e) - v * (b * f - c * e) + w * (b * e - c * d)) / det AS b1, (-u * (b * f - c * e) + v * (a * f - c * c) - w * (a * e - b * c)) / det AS b2, (u * (b * e - c * d) - v * (a * e - b * c) + w * (a * d - b * b)) / det AS b3 FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s))
+SELECT doc_id, round(my + b1 * (p - mp) + b2 * (q - mq) + b3 * (r - mr), 6) AS fit FROM r, m, x""")
 def biweight_fit(spark, sf):
     s = scored_rows(spark, sf)
     basis = {f"b{i}": c for i, c in enumerate(smooth.biweight_basis((F.col("p") - 0.5) * 2, 3)[1:])}
     f = M.fit(gram(s, {"y": F.col("y").cast("double"), **basis}), "y", list(basis))
-    return s.select("doc_id", f.predict(basis).alias("fit"))
+    return s.select("doc_id", F.round(f.predict(basis), 6).alias("fit"))
 
 
 def _vectors(spark, sf, k=64):
@@ -279,6 +289,15 @@ def kernel_components(spark, sf):
     return subspace.kernel_components(df, "vec_id", list(cols), 3)
 
 
+@query()
+def kernel_gaps(spark, sf):
+    """Eigenvalues of the kernel of all vectors' first components, and which of them stand apart."""
+    df, cols = _vectors(spark, sf, 8)
+    values, _, _ = subspace.kernel_sketch(df, "vec_id", list(cols), 12, "quadratic")
+    gaps = set(subspace.eigen_gaps(values, 0.95, 1e-3))
+    return spark.createDataFrame([(i, float(v), i in gaps) for i, v in enumerate(values)], "place int, value double, apart boolean")
+
+
 @query()
 def randomized_svd(spark, sf):
     df, cols = _vectors(spark, sf)

@@ -159,10 +159,14 @@ def coefficient_codes(spark, sf):
     return out
 
 
-@query()
+@query("""WITH b AS (SELECT event_id, user_id, (value - 50) / 10 AS z FROM events),
+c AS (SELECT *, floor(z) + CASE WHEN z - floor(z) > 0.5 THEN 1 ELSE 0 END AS r, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY abs(z) DESC, event_id)),
+d AS (SELECT *, sum(CASE WHEN r = 0 THEN 1e0 ELSE 3 + 2 * floor(log2(abs(r)) + 1e-9) END + 0.721347521e0 * ((z - r) * (z - r) - z * z)) OVER (PARTITION BY user_id ORDER BY k) + CASE WHEN k = n THEN 0 ELSE -k * log2(k / CAST(n AS DOUBLE)) - (n - k) * log2(1 - k / CAST(n AS DOUBLE)) END AS bits FROM c),
+e AS (SELECT user_id, CASE WHEN min(bits) < 0 THEN arg_min(k, bits) ELSE 0 END AS keep FROM d GROUP BY user_id)
+SELECT d.user_id, event_id, CASE WHEN k <= keep THEN r * 10 ELSE 0 END + 0e0 AS kept FROM d JOIN e USING (user_id)""")
 def kept_blocks(spark, sf):
     e = table(spark, sf, "events").withColumn("z", F.col("value") - 50)
-    return L.block_kept(e, "user_id", "event_id", "z", 10.0)
+    return L.block_kept(e, "user_id", "event_id", "z", 10.0).withColumn("kept", F.col("kept") + 0.0)
 
 
 def _halves(spark, sf):
@@ -177,15 +181,28 @@ def dtw_map(spark, sf):
     return L.warp_map(_halves(spark, sf), "a", "b", limited=True)
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY user_id HAVING count(*) > 1),
+s AS MATERIALIZED (SELECT user_id, v[1:len(v) // 2] AS a, v[len(v) // 2 + 1:] AS b FROM h),
+w AS (SELECT user_id, 1 AS x, list_transform(range(1, len(b) + 1), lambda j: pow(a[1] - b[1], 2) + coalesce(list_sum(list_transform(range(2, j + 1), lambda k: pow(a[1] - b[k], 2) / 2)), 0)) AS c FROM s
+UNION ALL SELECT user_id, x, list_transform(range(1, len(t) + 1), lambda j: u[j] + list_min(t[1:j])) FROM (
+  SELECT user_id, x, u, list_transform(range(1, len(d) + 1), lambda j: least(CASE WHEN j > 1 THEN c[j - 1] + d[j] ELSE c[j] + d[j] / 2 END, c[j] + d[j] / 2) - u[j]) AS t FROM (
+    SELECT user_id, x, c, d, list_transform(range(1, len(d) + 1), lambda j: list_sum(d[1:j]) / 2) AS u FROM (
+      SELECT w.user_id, x + 1 AS x, c, list_transform(b, lambda y: pow(a[x + 1] - y, 2)) AS d FROM w JOIN s ON s.user_id = w.user_id WHERE x < len(a)))))
+SELECT w.user_id, round(c[len(b)], 6) AS distance FROM w JOIN s ON s.user_id = w.user_id AND x = len(a)""")
 def dtw_distance(spark, sf):
     """Warped distances between the two halves of each user's values."""
-    return L.dtw_distances(_halves(spark, sf), "a", "b").select("user_id", "distance")
+    return L.dtw_distances(_halves(spark, sf), "a", "b").select("user_id", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query("""WITH l AS (SELECT user_id, event_id, value - avg(value) OVER (PARTITION BY user_id) AS y FROM events),
+g AS (SELECT user_id, y, lag(y, 1) OVER w AS p, lag(y, 2) OVER w AS q, lag(y, 3) OVER w AS r FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT user_id, sum(p * p) AS a, sum(p * q) AS b, sum(p * r) AS c, sum(q * q) AS d, sum(q * r) AS e, sum(r * r) AS f, sum(p * y) AS u, sum(q * y) AS v, sum(r * y) AS w FROM g WHERE r IS NOT NULL GROUP BY user_id),
+m AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s),
+k AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+o AS (SELECT k.user_id, n, [(u * (d * f - e * e) - v * (b * f - c * e) + w * (b * e - c * d)) / det, (-u * (b * f - c * e) + v * (a * f - c * c) - w * (a * e - b * c)) / det, (u * (b * e - c * d) - v * (a * e - b * c) + w * (a * d - b * b)) / det] AS phi FROM k LEFT JOIN m USING (user_id))
+SELECT user_id, CAST(i AS INTEGER) AS lag, round(CASE WHEN n > 6 THEN phi[i] ELSE -7.7 END, 6) AS phi FROM o, unnest([1, 2, 3]) t(i)""")
 def ar_least_squares(spark, sf):
-    return L.ar_least_squares(table(spark, sf, "events"), "user_id", "event_id", "value", 3)
+    return L.ar_least_squares(table(spark, sf, "events"), "user_id", "event_id", "value", 3).select("user_id", "lag", F.round("phi", 6).alias("phi"))
 
 
 @query("""WITH p AS (SELECT user_id, value AS x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, value - lag(value) OVER w AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +83,97 @@ def kernel_components(df: DataFrame, key: str, names: list[str], k: int, kernel:
     return df.select(key, *names).mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"k{i} double" for i in range(basis.shape[1])))
 
 
+#: Rows that a whole kernel matrix may be sketched over, and rows whose kernel values are held at once.
+KERNEL_ROWS, KERNEL_BLOCK = 20_000, 256
+
+
+def kernel(name: str):
+    """Values of a kernel between rows (lines of two arrays): linear, quadratic, l2 or radial; with weights, radial distances are weighted by column."""
+
+    def distance(x, s, w):
+        return np.maximum((x * x * w).sum(1)[:, None] + (s * s * w).sum(1)[None] - 2 * (x * w) @ s.T, 0)
+
+    return {
+        "linear": lambda x, s, w=1.0: x @ s.T,
+        "quadratic": lambda x, s, w=1.0: (x @ s.T + 2) ** 2,
+        "l2": lambda x, s, w=1.0: np.sqrt(distance(x, s, w)),
+        "radial": lambda x, s, w=1.0: np.exp(-distance(x, s, w)),
+    }[name]
+
+
+def kernel_sketch(df: DataFrame, key: str, names: list[str], k: int, name: str = "radial", weights: np.ndarray | None = None, power: int = 4, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list]:
+    """(values, vectors, keys): the k eigenvalues of largest size of the kernel matrix of all rows, without that matrix.
+
+    A block of random vectors is multiplied by the matrix a few times: each task
+    makes KERNEL_BLOCK lines of it at a time, multiplies them and drops them. Rows
+    (standardized, KERNEL_ROWS at most, else an error) and the block of vectors go
+    to the tasks. Rows with nulls are left out; the work is the square of the rows.
+    """
+    held = df.select(key, *names).dropna().orderBy(key, *names).limit(KERNEL_ROWS + 1).toPandas()
+    if len(held) > KERNEL_ROWS:
+        raise ValueError(f"a kernel matrix of more than {KERNEL_ROWS} rows isn't sketched")
+    x = held[names].to_numpy(float)
+    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1.0) if len(x) else x
+    w, sc = np.ones(len(names)) if weights is None else np.asarray(weights, float), df.sparkSession.sparkContext
+    rows, blocks = sc.broadcast(x), -(-len(x) // KERNEL_BLOCK)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        shared = sc.broadcast(v)
+
+        def run(batches):
+            f = kernel(name)
+            for batch in batches:
+                for b in batch.column(0).to_pylist():
+                    mine = f(rows.value[b * KERNEL_BLOCK : (b + 1) * KERNEL_BLOCK], rows.value, w) @ shared.value
+                    yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([mine.tobytes()], pa.binary())], names=["b", "v"])
+
+        parts = df.sparkSession.range(0, blocks, 1, min(blocks, 4 * sc.defaultParallelism)).mapInArrow(run, "b long, v binary").collect()
+        shared.destroy()
+        return np.concatenate([np.frombuffer(r["v"]).reshape(-1, v.shape[1]) for r in sorted(parts, key=lambda r: r["b"])])
+
+    if not len(x):
+        return np.zeros(0), np.zeros((0, 0)), []
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(x), min(len(x), k + 8))))[0]
+    for _ in range(power):
+        q = np.linalg.qr(times(q))[0]
+    m = q.T @ times(q)
+    rows.destroy()
+    values, vectors = np.linalg.eigh((m + m.T) / 2)
+    order = np.argsort(-np.abs(values))[:k]
+    return values[order], q @ vectors[:, order], held[key].tolist()
+
+
+def eigen_gaps(values: np.ndarray, spread: float, smallest: float) -> list[int]:
+    """Places of eigenvalues (falling) that stand apart: under a share of the one before, with the next under that share of it, while over a share of the largest."""
+    out, last = [], 2 * values[0] if len(values) else 0.0
+    for i, now in enumerate(values):
+        if now <= smallest * values[0]:
+            break
+        after = values[i + 1] if i + 1 < len(values) else 0.0
+        if now / last < spread and after / now < spread:
+            out.append(i)
+        last = now
+    return out
+
+
+def random_combinations(columns: dict[str, Column], count: int, share: float = 0.2, pairs: bool = False, power: int = 1, rows: int | None = None, seed: int = 0) -> dict[str, Column]:
+    """Sums of a random share of the columns (or of products of pairs of them) with random signs, raised to a power, as expressions.
+
+    With pairs the share is at most 2 rows / columns^2. A draw without any column is left out.
+    """
+    r, names = np.random.default_rng(seed), list(columns)
+    if pairs and rows is not None:
+        share = min(share, 2 * rows / len(names) ** 2)
+    parts = [columns[a] * columns[b] for i, a in enumerate(names) for b in names[i:]] if pairs else [columns[a] for a in names]
+    out = {}
+    for k in range(count):
+        chosen, sign = r.random(len(parts)) < share, r.random(len(parts)) < 0.5
+        terms = [p if s else -p for p, c, s in zip(parts, chosen, sign) if c]
+        if terms:
+            out[f"random{k}"] = F.pow(sum(terms[1:], terms[0]), F.lit(power)) if power > 1 else sum(terms[1:], terms[0])
+    return out
+
+
 def randomized_svd(df: DataFrame, columns: dict[str, Column], k: int, power: int = 2, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(singular values, right vectors) by a random projection of the columns' triangular factor and power iterations.
 
