@@ -129,3 +129,15 @@ def array_reduce(spark, sf):
     a = table(spark, sf, "events").groupBy("user_id", part).agg(F.sort_array(F.collect_list("value")).alias("v"))
     r = a.select("user_id", A.reduce_array(lambda x, y: F.greatest(x, y), F.col("v")).alias("m"), A.reduce_array(lambda x, y: x + y, F.col("v")).alias("s"), F.size("v").cast("long").alias("n"))
     return r.groupBy("user_id").agg(F.max("m").alias("reduced_max"), F.round(F.sum("s"), 4).alias("reduced_sum"), F.sum("n").alias("n"))
+
+
+@query("SELECT l_linenumber, l_returnflag, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_linenumber), 6) AS percent FROM lineitem GROUP BY l_linenumber, l_returnflag")
+def item_choices(spark, sf):
+    return A.item_choices(table(spark, sf, "lineitem"), "l_linenumber", "l_returnflag").withColumn("percent", F.round("percent", 6))
+
+
+@query("SELECT word, freq FROM (SELECT word, count(*) AS freq FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) WHERE word <> '' GROUP BY word HAVING count(*) > 5) ORDER BY freq DESC, word LIMIT 200")
+def frequent_keywords(spark, sf):
+    from ..operators.expand import keywords
+
+    return keywords(table(spark, sf, "documents"), "text", 5, 200)

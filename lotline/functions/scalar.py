@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +98,27 @@ def normal_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
 
+def _of_numbers(function, x: Column) -> Column:
+    """A function of one number over a column, batch by batch; null at null."""
+
+    @F.pandas_udf("double")
+    def values(s: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or v != v else function(v) for v in s.tolist()], dtype="float64")
+
+    return values(x)
+
+
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution function."""
+    return _of_numbers(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), x)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Where the distribution function is p; null outside (0, 1)."""
+    inverse = NormalDist().inv_cdf
+    return _of_numbers(lambda v: inverse(v) if 0 < v < 1 else None, p)
+
+
 def cauchy_pdf(x: Column) -> Column:
     return 1 / (math.pi * (1 + x * x))
 

@@ -83,6 +83,12 @@ def word_counts(docs: DataFrame, text: str, least: int) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("freq")).where(F.col("freq") > least)
 
 
+def keywords(docs: DataFrame, text: str, least: int, most: int | None = None) -> DataFrame:
+    """word_counts() by falling frequency, then by word; the first most of them."""
+    ordered = word_counts(docs, text, least).orderBy(F.desc("freq"), "word")
+    return ordered if most is None else ordered.limit(most)
+
+
 def bag_of_words(docs: DataFrame, key: str, text: str, words: list[str], *more: Column) -> DataFrame:
     """A row a document with the count of each keyword, and more columns, without a shuffle; counts carry their stream.
 

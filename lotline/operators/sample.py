@@ -55,3 +55,11 @@ def bernoulli(df: DataFrame, p: float, seed: int, name: str = "drawn") -> DataFr
 def pick_lines(lines: DataFrame, numbers: DataFrame, number: str = "number") -> DataFrame:
     """Lines (number, text) whose number is asked for."""
     return lines.join(numbers.select(number).distinct(), number, "left_semi")
+
+
+def proportional_sample(df: DataFrame, key: str, share: float, seed: int = 1) -> DataFrame:
+    """A share of the rows, to the nearest row, drawn without replacement by the key's hash; the ranges of hashes stay spread over tasks."""
+    from .ordered import row_numbers
+
+    placed = row_numbers(df.withColumn("__hash", spread(F.col(key), seed)), ["__hash", key], "__place")
+    return placed.where(F.col("__place") < round(share * df.count())).drop("__hash", "__place")

@@ -64,9 +64,16 @@ def mands(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Least, largest, average, distinct values, scale and whether constant or 0/1, for all columns in one pass each way."""
-    plain = df.agg(F.array(*(F.struct(F.lit(c).alias("name"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("largest"), F.avg(c).alias("average"), F.count_distinct(c).alias("n_unique")) for c in columns)).alias("x")).select(F.inline("x"))
-    return plain.select("*", ((F.col("largest") - F.col("least")) / 6).alias("scale"), (F.col("n_unique") == 1).alias("is_constant"), ((F.col("n_unique") == 2) & (F.col("least") == 0) & (F.col("largest") == 1)).alias("is_dummy"))
+    """Least, largest, average, distinct values, scale and whether constant or 0/1, for all columns in one pass.
+
+    Cells are counted by column and value before the shuffle, so what is shuffled
+    are the distinct values of each task, not the rows once a column.
+    """
+    cells = df.select(F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("at", "x"))
+    values = cells.groupBy("at", "x").agg(F.count("*").alias("k"))
+    plain = values.groupBy("at").agg(F.min("x").alias("least"), F.max("x").alias("largest"), F.try_divide(F.sum(F.col("x") * F.col("k")), F.sum(F.when(F.col("x").isNotNull(), F.col("k")))).alias("average"), F.count("x").alias("n_unique"))
+    named = plain.select(F.get(F.array(*map(F.lit, columns)), F.col("at")).alias("name"), "least", "largest", "average", "n_unique")
+    return named.select("*", ((F.col("largest") - F.col("least")) / 6).alias("scale"), (F.col("n_unique") == 1).alias("is_constant"), ((F.col("n_unique") == 2) & (F.col("least") == 0) & (F.col("largest") == 1)).alias("is_dummy"))
 
 
 def without_constants(df: DataFrame) -> DataFrame:
@@ -138,6 +145,12 @@ def item_summary(answers: DataFrame, person: str, item: str, right: str) -> Data
     return answers.join(totals, person).groupBy(item).agg(F.count("*").alias("n"), (100 * F.avg(right)).alias("percent"), F.corr(right, "total").alias("item_total"))
 
 
+def item_choices(answers: DataFrame, item: str, choice: str) -> DataFrame:
+    """(item, choice, n, percent): how often each choice of an item was made; a missing one counts as a choice."""
+    n = answers.groupBy(item, choice).agg(F.count("*").alias("n"))
+    return n.withColumn("percent", 100 * F.col("n") / F.sum("n").over(Window.partitionBy(item)))
+
+
 def pair_distance_scale(df: DataFrame, vector: str, key: str, rows: int = 500) -> DataFrame:
     """Mean euclidean distance over all ordered pairs (of a row with itself too) of a stated number of sampled rows."""
     from .sample import exact_sample
