@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,16 +117,23 @@ class Model:
 
     def measure(self, candidates: list[Feature]) -> None:
         """One pass over the rows for the response, the terms and the candidates that aren't known yet."""
-        self.known = {f.name: f for f in [*self.terms, *candidates]}
-        columns = {"__y": self.y, **{n: f.column for n, f in self.known.items()}}
-        parts = grams(self.df, columns, self.weight, self.is_est.cast("int") if self.is_est is not None else None)
-        self.est: Gram = parts.get(1 if self.is_est is not None else 0)
-        self.val: Gram | None = parts.get(0) if self.is_est is not None else None
-        self.passes += 1
+        self.use(*self.passed({f.name: f for f in [*self.terms, *candidates]}))
+
+    def passed(self, known: dict[str, Feature]) -> tuple[dict[str, Feature], dict[int, Gram]]:
+        """What a pass over the rows tells of the response and some features."""
+        columns = {"__y": self.y, **{n: f.column for n, f in known.items()}}
+        return known, grams(self.df, columns, self.weight, self.is_est.cast("int") if self.is_est is not None else None)
+
+    def use(self, known: dict[str, Feature], parts: dict[int, Gram]) -> None:
+        """Takes over what a pass told."""
         # a row left out for one candidate would be left out of the tests of all that share its pass
         nulls = sorted({n for g in parts.values() for n, k in g.nulls.items() if k})
         if nulls:
             raise ValueError(f"{nulls} have nulls; fill them and add indicators first")
+        self.known = known
+        self.est: Gram = parts.get(1 if self.is_est is not None else 0)
+        self.val: Gram | None = parts.get(0) if self.is_est is not None else None
+        self.passes += 1
 
     @property
     def names(self) -> list[str]:
@@ -163,11 +172,64 @@ class Model:
         return sse_from(self.val, self.fit()) if self.val is not None else 0.0
 
 
+class Ahead:
+    """The pass after next, made in a thread under a job group of its own while rounds use the last one."""
+
+    def __init__(self, model: Model):
+        self.model, self.sc = model, model.df.sparkSession.sparkContext
+        self.group, self.names, self.thread, self.told = "", frozenset(), None, None
+        self.used = 0
+
+    def begin(self, features: dict[str, Feature]) -> None:
+        """Starts a pass over features, unless one is under way."""
+        if self.thread is not None:
+            return
+        self.group, self.names, self.told = f"ahead-{uuid.uuid4().hex}", frozenset(features), None
+
+        def work(group=self.group) -> None:
+            self.sc.setJobGroup(group, "features of the next rounds", True)
+            self.sc.setLocalProperty("spark.scheduler.pool", "ahead")
+            try:
+                self.told = self.model.passed(features)
+            except Exception:  # cancelled, or it will fail again where its result is needed
+                self.told = None
+
+        self.thread = InheritableThread(target=work)
+        self.thread.start()
+
+    def take(self, needed: set[str]) -> bool:
+        """Uses the pass if it tells all that is needed; one that doesn't is stale, and cancelled."""
+        if self.thread is None:
+            return False
+        if not needed <= self.names:
+            self.stop()
+            return False
+        self.thread.join()
+        told, self.thread = self.told, None
+        if told is None:
+            return False
+        self.model.use(*told)
+        self.used += 1
+        return True
+
+    def stop(self) -> None:
+        if self.thread is not None:
+            self.sc.cancelJobGroup(self.group)
+            self.thread.join()
+            self.thread = None
+
+
 class Auction:
-    """Experts in turn win the right to have their feature tested; wins pay, losses cost what was bid."""
+    """Experts in turn win the right to have their feature tested; wins pay, losses cost what was bid.
 
-    def __init__(self, model: Model, experts: list[Expert]):
+    threaded: the pass that later rounds need is made while rounds go on with what
+    the last one told. It covers what is known and not yet offered as well, so
+    every round decides as it would without it.
+    """
+
+    def __init__(self, model: Model, experts: list[Expert], threaded: bool = False):
         self.model, self.experts = model, experts
+        self.ahead = Ahead(model) if threaded else None
         self.rejected: list[Feature] = []
         self.log: list[dict] = []
         self.recovered = 0.0
@@ -198,7 +260,10 @@ class Auction:
             queues = [e.stream.ahead(BATCH) for _, e in bids]
             later = [f for turn in itertools.zip_longest(*queues, fillvalue=[]) for b in turn for f in b]
             ahead = list({f.name: f for f in later if f.name not in self.model.in_model}.values())
-            self.model.measure([*bundle, *ahead[: max(0, BATCH - len(bundle))]])
+            if self.ahead is None or not self.ahead.take({*self.model.names, *(f.name for f in bundle)}):
+                self.model.measure([*bundle, *ahead[: max(0, BATCH - len(bundle))]])
+            if self.ahead is not None:
+                self._begin_next()
         t = self.model.test([f for f in bundle if f.name not in self.model.names] or bundle)
         accept = not t.singular and t.p < bid - tax
         winner.history.note(accept)
@@ -218,6 +283,14 @@ class Auction:
             self.experts.remove(e)
         return True
 
+    def _begin_next(self) -> None:
+        """Starts the next pass: terms, what is known and may still be offered, and as much again of streams that don't depend on the model."""
+        queues = [e.stream.ahead(2 * BATCH) for e in self.experts if not e.stream.grows]
+        later = [f for turn in itertools.zip_longest(*queues, fillvalue=[]) for b in turn for f in b]
+        new = list({f.name: f for f in later if f.name not in self.model.known}.values())
+        if new:
+            self.ahead.begin({f.name: f for f in [*self.model.terms, *self.model.known.values(), *new[:BATCH]]})
+
     def _reward(self, winner: Expert, bundle: list[Feature]) -> None:
         """Pays the winner and spends the tax on experts for products of the new features with the model's."""
         winner.alpha += PAYOFF * (1 - PAYOFF_TAX)
@@ -240,6 +313,8 @@ class Auction:
                 break
             if before and self.log[-1]["cvss"] > 1.1 * before:
                 break
+        if self.ahead is not None:
+            self.ahead.stop()
         return self
 
     def progress(self, spark: SparkSession) -> DataFrame:

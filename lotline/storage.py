@@ -36,12 +36,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lotline_path = path
+    _held(spark).add(path)
     return out
 
 
+def _held(spark: SparkSession) -> set[str]:
+    """The tables that this session has written and not forgotten."""
+    if not hasattr(spark.sparkContext, "_lotline_held"):
+        spark.sparkContext._lotline_held = set()
+    return spark.sparkContext._lotline_held
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes the files of written() tables that nothing reads any more."""
     for df in tables:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df._lotline_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _held(df.sparkSession).discard(df._lotline_path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables that this session has written and that are still there; results that were not yet read or saved are lost. Returns how many."""
+    held = _held(spark)
+    for name in held:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    n = len(held)
+    held.clear()
+    return n

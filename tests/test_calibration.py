@@ -123,3 +123,32 @@ def test_candidates_with_nulls_are_refused(curved):
     model = A.Model(holes, F.col("y"))
     with pytest.raises(ValueError, match="x2"):
         model.measure(base)
+
+
+def test_threaded_passes_give_the_same_log(spark):
+    """Many candidates, so that several passes are needed: rounds decide alike, and most passes were begun before they were needed."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((400, 14))
+    y = x[:, 0] + 2 * x[:, 3] * x[:, 5] + 0.2 * r.standard_normal(400)
+    df = spark.createDataFrame([(i, float(y[i]), *map(float, x[i])) for i in range(400)], "id long, y double, " + ", ".join(f"x{j} double" for j in range(14))).cache()
+    base = X.base_features(df, [f"x{j}" for j in range(14)])
+
+    def search(threaded):
+        model = A.Model(df, F.col("y"))
+        experts = [A.Expert("main", 0.4, A.bounded_universal_bid, S.cyclic("main", base, model.in_model)), A.Expert("products", 0.6, A.finite_bid, S.interactions("products", base)), A.Expert("cal", A.CALIBRATION_WEALTH, A.fit_bid(A.CALIBRATION_BID), S.calibrations("cal", model.fitted_powers), "calibrate")]
+        return A.Auction(model, experts, threaded).run(110)
+
+    plain, ahead = search(False), search(True)
+    assert [(r["expert"], r["feature"], r["accepted"]) for r in plain.log] == [(r["expert"], r["feature"], r["accepted"]) for r in ahead.log] and len(plain.log) > 60
+    assert np.allclose([r["p"] for r in plain.log], [r["p"] for r in ahead.log], atol=1e-9) and "x3*x5" in plain.model.names
+    assert ahead.ahead.used > 0 and ahead.ahead.thread is None
+
+
+def test_tables_are_cleared(spark):
+    from lotline import storage
+
+    a, b = storage.written(spark.range(5), "kept"), storage.written(spark.range(6), "gone")
+    storage.forget(b)
+    assert a.count() == 5 and storage.clear(spark) >= 1 and storage.clear(spark) == 0
+    with pytest.raises(Exception):
+        a.count()
