@@ -25,7 +25,7 @@ EXTRA = 0.05
 #: Longest list whose pairs are counted.
 LIST = 24
 #: Shingles that one task searches at once; larger groups are searched in pairs of blocks.
-GROUP_SHINGLES = 3_000_000
+GROUP_SHINGLES = 1_500_000
 #: Leading documents that each document is compared with before the search, and DivideSkip's weight of a probe.
 LEADERS, MU = 12, 0.01
 #: Entries of short lists from which on they are merged by a sort instead of a heap.

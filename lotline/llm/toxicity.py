@@ -35,6 +35,8 @@ PIECE = 2
 STARTS = 3
 #: Tokens whose features are remembered: so many, none longer than so many characters.
 REMEMBERED, SHORT = 500_000, 40
+#: What most tokens tell, held once.
+NOTHING = ((), False)
 #: Log-probabilities of the channel: a letter as it is, by a sign, written more than once, a mark left out.
 KEPT, SIGNED, REPEATED, DROPPED = log(0.9), log(0.04), log(0.03), log(0.03)
 
@@ -294,7 +296,7 @@ class Reader:
             if hit is None:
                 hit = self.token(t)
                 if len(t) <= SHORT:
-                    known[t] = hit
+                    known[t] = hit if hit != NOTHING else NOTHING
             if hit[0]:
                 found.update(hit[0])
             typical += n * hit[1]
