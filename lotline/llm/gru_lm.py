@@ -20,8 +20,8 @@ WORDS, CLASSES, UNITS = 2048, 48, 16
 SEGMENT, BACK, FIRST, BATCH = 128, 32, 16, 256
 #: Times that the trainers' models are averaged (each segment is learned from in one of them), their learning rate, the training words to a trainer, and the models that one task averages.
 ROUNDS, STEP, PER_TRAINER, MEAN = 2, 0.01, 30_000_000, 64
-#: Documents and words that are scored side by side.
-SIDE, WINDOW, HELD_WORDS = 2048, 64, 4_000_000
+#: Documents and words that are scored side by side, and bytes of text that are split at once.
+SIDE, WINDOW, HELD_BYTES = 2048, 64, 16 << 20
 
 END = b""
 
@@ -384,29 +384,29 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
         end = words.index(END).as_py()
         inside = np.where(model == shape.size, logs, 0.0)
         for batch in batches:
-            tokens, of = split(batch.column(1))
-            length = np.bincount(of, minlength=batch.num_rows) + 1
-            edge = np.append(0, np.cumsum(length))
+            edge = np.append(0, np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(), dtype=np.int64))
             i = 0
             while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(edge, edge[i] + HELD_WORDS, "right")) - 1)
-                first = edge[i] - i
-                mine = tokens.slice(first, edge[j] - j - first)
-                at = np.full(edge[j] - edge[i], end if end >= 0 else size)
-                word = np.ones(len(at), dtype=bool)
-                word[edge[i + 1 : j + 1] - edge[i] - 1] = False
-                found = pc.index_in(mine, value_set=words)
+                j = min(max(i + 1, int(np.searchsorted(edge, edge[i] + HELD_BYTES, "right")) - 1), batch.num_rows)
+                tokens, of = split(batch.column(1).slice(i, j - i))
+                length = np.bincount(of, minlength=j - i) + 1
+                starts = np.cumsum(length) - length
+                word = np.ones(length.sum(), dtype=bool)
+                word[starts + length - 1] = False
+                at = np.full(len(word), end if end >= 0 else size)
+                found = pc.index_in(tokens, value_set=words)
                 at[word] = found.fill_null(size).to_numpy()
                 seq = model[at]
                 if end < 0:  # no row was trained on
                     seq[~word] = shape.words[END]
-                starts = edge[i:j] - edge[i]
                 total = lambda x: np.add.reduceat(x, starts)
-                lm = score(shared.value[1], shape, np.split(seq, starts[1:])) / np.log(10)
-                rare = Counter(zip((of[first : first + len(mine)][found.is_null().to_numpy(zero_copy_only=False)] - i).tolist(), mine.filter(found.is_null()).to_pylist()))
+                columns = [length, total((at < size).astype(np.int64)), total(logs[at]), total(inside[at]), total((seq == shape.size).astype(np.int64))]
+                lost = found.is_null()
+                rare = Counter(zip(of[lost.to_numpy(zero_copy_only=False)].tolist(), tokens.filter(lost).to_pylist()))
                 pairs = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64())], ["token", "k"])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount([d for d, _ in rare], minlength=j - i))), pa.int32()), pairs)
-                columns = [length[i:j], total((at < size).astype(np.int64)), total(logs[at]), total(inside[at]), total((seq == shape.size).astype(np.int64))]
+                del tokens, of, found, lost, rare, at, word
+                lm = score(shared.value[1], shape, np.split(seq, starts[1:])) / np.log(10)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *map(pa.array, columns), lists, pa.array(lm)], names=["key", "held_out", "n_tokens", "known", "base", "inside", "n_rest", "rare", "lm"])
                 i = j
 
