@@ -31,11 +31,6 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def plain(text: str):
-    """The text column as bytes."""
-    return F.col(f"`{text}`").cast("binary")
-
-
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts (strings), as tokens() tells them but without the ends, and the text that each is of."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
@@ -273,18 +268,22 @@ def segments(docs: DataFrame, key: str, text: str, shape: Shape) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(shape)
 
     def cut(batches):
-        number, other = shared.value.words, shared.value.size
+        words, other = pa.array(list(shared.value.words), pa.binary()), shared.value.size
         for batch in batches:
-            flat = [np.fromiter((number.get(w, other) for w in tokens(x)), np.int16) for x in batch.column(0).to_pylist()]
-            size = np.array([len(x) for x in flat])
+            tokens, of = split(batch.column(0))
+            size = np.bincount(of, minlength=batch.num_rows) + 1
+            flat = np.full(size.sum(), shared.value.words[END], dtype=np.int16)
+            inner = np.ones(len(flat), dtype=bool)
+            inner[np.cumsum(size) - 1] = False
+            flat[inner] = pc.index_in(tokens, value_set=words).fill_null(other).to_numpy()
             pieces = -(-size // SEGMENT)
             piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             ends = np.repeat(np.cumsum(size) - size, pieces) + np.minimum((piece + 1) * SEGMENT, np.repeat(size, pieces))
-            rows = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int16), *flat])))
+            rows = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(1).to_numpy(), pieces) + piece), rows], names=["told", "seq"])
 
     # the key is part of it, so that copies of a text are dealt to several trainers
-    return written(docs.select(plain(text), F.pmod(F.xxhash64(f"`{key}`", f"`{text}`"), F.lit(1 << 40)).alias("told")).mapInArrow(cut, "told long, seq array<smallint>"), "lm-segments")
+    return written(docs.select(F.col(f"`{text}`").cast("string"), F.pmod(F.xxhash64(f"`{key}`", f"`{text}`"), F.lit(1 << 40)).alias("told")).mapInArrow(cut, "told long, seq array<smallint>"), "lm-segments")
 
 
 def learned(docs: DataFrame, key: str, text: str, top: list[tuple[bytes, int]], total: int, types: int) -> tuple[Shape, dict]:
