@@ -22,6 +22,8 @@ PERCENT = 80
 COMMON = 0.0005
 #: Share of its shingles, beside the first, that a set's prefix has beyond what a meeting needs: as many must be shared.
 EXTRA = 0.05
+#: Sets that have so many lowest shingles (common ones left out) in common stand as one in lists.
+ALIKE = 4
 #: Longest list whose pairs are counted.
 LIST = 24
 #: Shingles that one task searches at once; larger groups are searched in pairs of blocks.
@@ -141,12 +143,15 @@ def _common(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, key: str, text: str, common) -> DataFrame:
-    """A row a document: row, key, text's hash, n, set's hash and the prefix of its set, rarest order first; written."""
+    """A row a document: row, key, text's hash, n, set's hash, the name of those alike and the prefix of its set, rarest order first; written.
+
+    Equal sets are alike, and so are those whose ALIKE lowest shingles are equal, as most near copies' are.
+    """
 
     def run(batches):
         shingle, often = Shingler(), common.value
         for batch in batches:
-            n, high, low, prefixes, salted = [], [], [], [], []
+            n, high, low, alike, prefixes, salted = [], [], [], [], [], []
             for s in shingle(batch.column(3).to_pylist()):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
@@ -157,30 +162,38 @@ def _signed(docs: DataFrame, key: str, text: str, common) -> DataFrame:
                 low.append(int.from_bytes(digest[8:], "little", signed=True))
                 prefixes.append(order)
                 salted.append(min(int((~is_common).sum()), len(order)))
+                lowest = hashlib.blake2b(order[:ALIKE].tobytes(), digest_size=8).digest() if salted[-1] >= ALIKE else digest[8:]
+                alike.append(int.from_bytes(lowest, "little", signed=True))
             size = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists, pa.array(salted, pa.int64())], names=["row", "key", "told", "n", "high", "low", "prefix", "rare"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(alike, pa.int64()), lists, pa.array(salted, pa.int64())], names=["row", "key", "told", "n", "high", "low", "alike", "prefix", "rare"])
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("told"), F.col(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    return written(source.mapInArrow(run, f"row long, key {kind}, told long, n long, high long, low long, prefix array<long>, rare long"), "jaccard-sets")
+    return written(source.mapInArrow(run, f"row long, key {kind}, told long, n long, high long, low long, alike long, prefix array<long>, rare long"), "jaccard-sets")
 
 
 def _loose(signed: DataFrame) -> DataFrame:
-    """Edges (a, b) such that rows of linked sets are connected.
-
-    Linked sets share required() shingles of their prefixes. The pairs of each
-    list of at most LIST rows are counted. A longer list, or that of a common
-    shingle, only tells how many such each row has: a pair must share in short
-    lists what is required less those (the T - L of DivideSkip). Only rows whose
-    long lists alone could do are tied, to the first row of each such list.
+    """Edges (a, b) between names of alike sets such that linked sets are connected.
+
+    Linked sets share required() shingles of their prefixes. Those that are alike
+    stand as one, with all shingles of their prefixes and the least requirement
+    in each list, so they share what any two of their sets do, and copies make
+    no pairs. The pairs of each list of at most LIST names are counted. A longer
+    list, or that of a common shingle, only tells how many such each name has: a
+    pair must share in short lists what is required less those (the T - L of
+    DivideSkip). Only names whose long lists alone could do are tied, to the
+    first of each such list.
     """
-    p = signed.select("row", F.posexplode("prefix").alias("at", "shingle"), "rare", (1 + F.floor(F.lit(EXTRA) * F.col("n"))).cast("int").alias("need"))
+    p = signed.select("alike", F.posexplode("prefix").alias("at", "shingle"), "rare", (1 + F.floor(F.lit(EXTRA) * F.col("n"))).cast("int").alias("need"))
 
     def count(batches):
         held = [np.zeros(0, np.int64)] * 3
 
         def told(shingle, row, need):
+            if len(shingle):
+                one = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (row[1:] != row[:-1])))
+                shingle, row, need = shingle[one], row[one], np.minimum.reduceat(need, one)
             edge = np.append(np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])), len(shingle)) if len(shingle) else np.zeros(1, np.int64)
             size = np.diff(edge)
             a, b, n = [], [], []
@@ -202,21 +215,21 @@ def _loose(signed: DataFrame) -> DataFrame:
             held = [x[cut:] for x in new]
         yield told(*held)
 
-    short = p.where(F.col("at") < F.col("rare")).select("shingle", "row", F.col("need").cast("long"))
-    counted = written(short.repartition("shingle").sortWithinPartitions("shingle", "row").mapInArrow(count, "a long, b long, need int, long boolean"), "jaccard-counted")
-    common = p.where(F.col("at") >= F.col("rare")).select("row", "shingle", "need")
-    long = counted.where("long").select(F.col("a").alias("row"), F.col("b").alias("shingle"), "need").unionByName(common)
-    heavy = written(long.groupBy("row").agg(F.count("*").alias("lists"), F.min("need").alias("need")), "jaccard-heavy")
+    short = p.where(F.col("at") < F.col("rare")).select("shingle", "alike", F.col("need").cast("long"))
+    counted = written(short.repartition("shingle").sortWithinPartitions("shingle", "alike").mapInArrow(count, "a long, b long, need int, long boolean"), "jaccard-counted")
+    common = p.where(F.col("at") >= F.col("rare")).groupBy("alike", "shingle").agg(F.min("need").alias("need"))
+    long = counted.where("long").select(F.col("a").alias("alike"), F.col("b").alias("shingle"), "need").unionByName(common)
+    heavy = written(long.groupBy("alike").agg(F.count("*").alias("lists"), F.min("need").alias("need")), "jaccard-heavy")
     pairs = written(counted.where("not long").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")), "jaccard-pairs")
-    of = lambda end: heavy.select(F.col("row").alias(end), F.col("lists").alias(f"of_{end}"))
+    of = lambda end: heavy.select(F.col("alike").alias(end), F.col("lists").alias(f"of_{end}"))
     fewer = F.least(F.coalesce("of_a", F.lit(0)), F.coalesce("of_b", F.lit(0)))
     kept = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("shared") >= F.col("need") - fewer).select("a", "b")
     # sizes of linked sets differ by a fifth at most, so the larger requirement by little more
-    able = written(heavy.where(F.col("lists") >= 0.79 * F.col("need") - 1).select("row"), "jaccard-able")
-    tied = written(long.join(able, "row").select("row", "shingle"), "jaccard-tied")
+    able = written(heavy.where(F.col("lists") >= 0.79 * F.col("need") - 1).select("alike"), "jaccard-able")
+    tied = written(long.join(able, "alike").select("alike", "shingle"), "jaccard-tied")
     forget(counted, able)
-    first = written(tied.groupBy("shingle").agg(F.min("row").alias("b")), "jaccard-first")
-    out = written(kept.unionByName(tied.join(first, "shingle").where("row <> b").select(F.col("row").alias("a"), "b")), "jaccard-loose")
+    first = written(tied.groupBy("shingle").agg(F.min("alike").alias("b")), "jaccard-first")
+    out = written(kept.unionByName(tied.join(first, "shingle").where("alike <> b").select(F.col("alike").alias("a"), "b")), "jaccard-loose")
     forget(heavy, pairs, tied, first)
     return out
 
@@ -346,7 +359,7 @@ def _links(docs: DataFrame, text: str, key: str, members: DataFrame) -> DataFram
     A group within GROUP_SHINGLES is one task's work. A larger one is split in
     parts by hash, and each pair of parts is searched by itself.
     """
-    some = maybe_among(docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")), F.col("t"), members.select("told")).where("__hit")
+    some = maybe_among(docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")), F.xxhash64("k", "t"), members.select(F.xxhash64("key", "told").alias("kt"))).where("__hit")
     sets = some.join(members.hint("merge"), F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("told"))).select("root", "row", "parts", "text")
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
@@ -387,11 +400,11 @@ def _placed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     tied = _loose(signed)
     loose = components(tied)
     forget(tied)
-    facts = written(signed.select("row", "key", "told", "n", "high", "low"), "jaccard-facts")
+    facts = written(signed.select("row", "key", "told", "n", "high", "low", "alike"), "jaccard-facts")
     forget(signed)
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "told", "row")).alias("first")
-    classes = written(facts.where("n > 0").groupBy("high", "low", "n").agg(first, F.min("key").alias("least")), "jaccard-classes")
-    able = classes.join(loose, F.col("first.row") == F.col("node")).select("first.row", "first.key", "first.told", "n", "root")
+    classes = written(facts.where("n > 0").groupBy("high", "low", "n").agg(first, F.min("key").alias("least"), F.min("alike").alias("alike")), "jaccard-classes")
+    able = classes.join(loose, F.col("alike") == F.col("node"), "left").select("first.row", "first.key", "first.told", "n", F.coalesce("root", "alike").alias("root"))
     size = able.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
     members = written(able.join(size, "root").select("row", "key", "told", "root", F.ceil(F.col("shingles") / GROUP_SHINGLES).cast("int").alias("parts")), "jaccard-members")
     edges = written(_links(docs, text, key, members), "jaccard-links")

@@ -87,6 +87,26 @@ def test_common_passages_and_large_groups(spark, monkeypatch):
     check(spark, spark.createDataFrame(rows, data.KIND), rows)
 
 
+def test_copies_make_no_pairs(spark, monkeypatch):
+    counted, real = [], jaccard.written
+
+    def told(df, name):
+        out = real(df, name)
+        if name == "jaccard-counted":
+            counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", told)
+    texts = [data.words(80 + 5 * i, 100 + i) for i in range(30)]
+    for changed in (False, True):
+        rows = [(i + 100 * k, t + f" end{k}" * changed, "en", "s", 0, 0, "", 0) for k in range(7) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, data.KIND)
+        check(spark, df, rows)
+        entries = sum(jaccard.prefix_size(len(data.shingles(r[1]))) for r in rows)
+        assert counted.pop() < 0.2 * entries
+        assert {r["doc_id"] for r in jaccard.deduplicated(df).select("doc_id").collect()} == set(range(30))
+
+
 def test_filter_keeps_all_keys(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     kept = {r["k"] for r in maybe_among(df, F.col("k"), df.where("k % 7 = 0").withColumnRenamed("k", "told")).where("__hit").collect()}
