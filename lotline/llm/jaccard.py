@@ -440,9 +440,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """The documents with one of each group: that with the least key, null keys last; documents without words all stay.
 
     What goes is told by key and text. Rows whose key and text are surely not
-    among those pass as they are; only the others are shuffled, to a join that
-    drops them. Of rows equal in both, one stays where their group's document is
-    one of them. All columns stay, whatever their names.
+    among those pass as they are, and rows that are surely not among what stays
+    are dropped; only the others are shuffled, to a join that tells. Of rows
+    equal in both, one stays where their group's document is one of them. All
+    columns stay, whatever their names.
     """
     facts, placed = _placed(docs, key, text)
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.row", "first.key", "first.told")
@@ -450,12 +451,15 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     gone = facts.where("n > 0").join(kept.select("row"), "row", "left_anti").select("key", "told").distinct()
     stays = kept.select(F.col("key").alias("k"), F.col("told").alias("t"), F.lit(True).alias("one"))
     odd = written(gone.join(stays, F.col("key").eqNullSafe(F.col("k")) & (F.col("told") == F.col("t")), "left").select(F.col("key").alias("odd_key"), F.col("told").alias("odd_told"), F.coalesce("one", F.lit(False)).alias("one")), "jaccard-odd")
+    staying = kept.select("key", "told").unionByName(facts.where("n = 0").select("key", "told"))
+    staying = written(staying.select(F.xxhash64("key", "told").alias("name")), "jaccard-staying")
     forget(facts, placed, kept)
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
     of = lambda name: F.col(f"c{docs.columns.index(name)}")
-    told = maybe_among(rows.withColumn("told", F.xxhash64(of(text))), F.col("told"), odd.select("odd_told").distinct())
+    name = F.xxhash64(of(key), "told")
+    told = maybe_among(rows.withColumn("told", F.xxhash64(of(text))), name, odd.select(F.xxhash64("odd_key", "odd_told").alias("name")))
     same = of(key).eqNullSafe(F.col("odd_key")) & (F.col("told") == F.col("odd_told"))
-    met = told.where("__hit").join(odd, same, "left")
+    met = maybe_among(told.where("__hit").drop("__hit"), name, staying).where("__hit").join(odd, same, "left")
     nth = F.row_number().over(Window.partitionBy("odd_key", "odd_told").orderBy("odd_told"))
     one = met.where("one").withColumn("nth", nth).where("nth = 1")
     columns = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]

@@ -107,6 +107,15 @@ def test_copies_make_no_pairs(spark, monkeypatch):
         assert {r["doc_id"] for r in jaccard.deduplicated(df).select("doc_id").collect()} == set(range(30))
 
 
+def test_dropped_copies_are_not_shuffled(spark, monkeypatch):
+    filtered, real = [], jaccard.maybe_among
+    monkeypatch.setattr(jaccard, "maybe_among", lambda *a: filtered.append(real(*a)) or filtered[-1])
+    rows = [(i + 100 * k, data.words(80, 100 + i) if i else "", "en", "s", 0, 0, "", 0) for k in range(7) for i in range(10)]
+    kept = jaccard.deduplicated(spark.createDataFrame(rows, data.KIND))
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {*range(10), *range(0, 700, 100)}
+    assert filtered[-1].where("__hit").count() < 10
+
+
 def test_filter_keeps_all_keys(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     kept = {r["k"] for r in maybe_among(df, F.col("k"), df.where("k % 7 = 0").withColumnRenamed("k", "told")).where("__hit").collect()}
