@@ -6,7 +6,8 @@ import hashlib
 import heapq
 from bisect import bisect_left
 from collections import Counter
-from math import log2
+from functools import reduce
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,12 @@ EXTRA = 0.05
 ALIKE = 4
 #: Longest list whose pairs are counted.
 LIST = 24
+#: Pairs that are counted at once: so many a shingle of all documents, or PAIRS where that is more. Names, lists or documents in one piece of a batch.
+PAIR_SHARE, PAIRS, PIECE = 1 / 16, 4_000_000, 1024
 #: Shingles that one task searches at once; larger groups are searched in pairs of blocks.
 GROUP_SHINGLES = 1_500_000
+#: Groups are searched in rounds; the sets of one have this share of all documents' shingles, at most about it.
+ROUND = 0.5
 #: Leading documents that each document is compared with before the search, and DivideSkip's weight of a probe.
 LEADERS, MU = 12, 0.01
 #: Entries of short lists from which on they are merged by a sort instead of a heap.
@@ -127,9 +132,10 @@ def _common(docs: DataFrame, text: str) -> np.ndarray:
     def local(batches):
         shingle = Shingler()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            # prefixes take the lowest hashes: what is common above them plays no part
-            sets = [s[: 2 * prefix_size(len(s))] for s in shingle(texts)]
+            texts, sets = batch.column(0), []
+            for at in range(0, len(texts), PIECE):
+                # prefixes take the lowest hashes: what is common above them plays no part
+                sets += [s[: 2 * prefix_size(len(s))].copy() for s in shingle(texts.slice(at, PIECE).to_pylist())]
             keys, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64),) * 2
             often = n >= max(2, int(COMMON * len(texts)))
             yield pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(n[often])], names=["shingle", "n"])
@@ -150,7 +156,7 @@ def _signed(docs: DataFrame, key: str, text: str, common) -> DataFrame:
 
     def run(batches):
         shingle, often = Shingler(), common.value
-        for batch in batches:
+        for batch in (whole.slice(at, PIECE) for whole in batches for at in range(0, whole.num_rows, PIECE)):
             n, high, low, alike, prefixes, salted = [], [], [], [], [], []
             for s in shingle(batch.column(3).to_pylist()):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -173,39 +179,62 @@ def _signed(docs: DataFrame, key: str, text: str, common) -> DataFrame:
     return written(source.mapInArrow(run, f"row long, key {kind}, told long, n long, high long, low long, alike long, prefix array<long>, rare long"), "jaccard-sets")
 
 
+def _pairs(counted: DataFrame, turn: int, turns: int) -> DataFrame:
+    """(a, b, need) for each pair of each short list whose sizes can link; those of one turn, as a names it."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE):
+                names, low, high = (batch.column(k).slice(at, PIECE) for k in range(3))
+                size = np.diff(names.offsets.to_numpy())
+                names, low, high = (c.flatten().to_numpy() for c in (names, low, high))
+                left = np.repeat(np.cumsum(size), size) - np.arange(len(names)) - 1
+                left[(names.view(np.uint64) >> np.uint64(20)) % np.uint64(turns) != turn] = 0
+                i = np.repeat(np.arange(len(names)), left)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+                able = (PERCENT * low[i] <= 100 * high[j]) & (PERCENT * low[j] <= 100 * high[i])
+                i, j = i[able], j[able]
+                need = 1 + (EXTRA * np.minimum(low[i], low[j])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j]), pa.array(need)], names=["a", "b", "need"])
+
+    return counted.where("not long").select("names", "low", "high").mapInArrow(run, "a long, b long, need int")
+
+
 def _loose(signed: DataFrame) -> DataFrame:
     """Edges (a, b) between names of alike sets such that linked sets are connected.
 
     Linked sets share required() shingles of their prefixes. Those that are alike
-    stand as one, with all shingles of their prefixes and the least requirement
-    in each list, so they share what any two of their sets do, and copies make
-    no pairs. The pairs of each list of at most LIST names are counted. A longer
-    list, or that of a common shingle, only tells how many such each name has: a
-    pair must share in short lists what is required less those (the T - L of
-    DivideSkip). Only names whose long lists alone could do are tied, to the
+    stand as one, with all shingles of their prefixes and their least and largest
+    size in each list, so they share what any two of their sets do, and copies
+    make no pairs. The pairs of each list of at most LIST names are counted, save
+    those whose sizes are too far from each other to link: lists are written, and
+    their pairs made and added up in turns, so that disk grows with the lists. A
+    longer list, or that of a common shingle, only tells how many such each name
+    has: a pair must share in short lists what is required less those (the T - L
+    of DivideSkip). Only names whose long lists alone could do are tied, to the
     first of each such list.
     """
-    p = signed.select("alike", F.posexplode("prefix").alias("at", "shingle"), "rare", (1 + F.floor(F.lit(EXTRA) * F.col("n"))).cast("int").alias("need"))
+    need = lambda n: (1 + F.floor(F.lit(EXTRA) * F.col(n))).cast("int")
+    p = signed.select("alike", F.posexplode("prefix").alias("at", "shingle"), "rare", "n")
 
-    def count(batches):
+    def listed(batches):
         held = [np.zeros(0, np.int64)] * 3
 
-        def told(shingle, row, need):
-            if len(shingle):
-                one = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (row[1:] != row[:-1])))
-                shingle, row, need = shingle[one], row[one], np.minimum.reduceat(need, one)
-            edge = np.append(np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])), len(shingle)) if len(shingle) else np.zeros(1, np.int64)
-            size = np.diff(edge)
-            a, b, n = [], [], []
-            for k in range(2, LIST + 1):
-                at = edge[:-1][size == k][:, None] + np.arange(k)
-                i, j = np.triu_indices(k, 1)
-                a.append(row[at[:, i]].ravel())
-                b.append(row[at[:, j]].ravel())
-                n.append(np.minimum(need[at[:, i]], need[at[:, j]]).ravel())
-            long = np.repeat(size > LIST, size)
-            kind = np.repeat([False, True], [sum(map(len, a)), int(long.sum())])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, row[long]])), pa.array(np.concatenate([*b, shingle[long]])), pa.array(np.concatenate([*n, need[long]]).astype(np.int32)), pa.array(kind)], names=["a", "b", "need", "long"])
+        def told(shingle, name, n):
+            one = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (name[1:] != name[:-1])))[: len(shingle)]
+            low, high = (f.reduceat(n, one) if len(n) else n for f in (np.minimum, np.maximum))
+            shingle, name = shingle[one], name[one]
+            start = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))[: len(shingle)]
+            size = np.diff(np.append(start, len(shingle)))
+            many = np.repeat(size > 1, size)
+            shingle, name, low, high = (x[many] for x in (shingle, name, low, high))
+            size = size[size > 1]
+            # a long list goes in pieces
+            pieces = -(-size // PIECE)
+            first = np.cumsum(pieces) - pieces
+            cut = np.repeat(np.cumsum(size) - size, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+            arrays = [pa.ListArray.from_arrays(pa.array(np.append(cut, len(name)).astype(np.int32)), pa.array(x)) for x in (name, low, high)]
+            return pa.RecordBatch.from_arrays([pa.array(shingle[cut]), *arrays, pa.array(np.repeat(size > LIST, pieces))], names=["shingle", "names", "low", "high", "long"])
 
         for batch in batches:
             new = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
@@ -215,22 +244,30 @@ def _loose(signed: DataFrame) -> DataFrame:
             held = [x[cut:] for x in new]
         yield told(*held)
 
-    short = p.where(F.col("at") < F.col("rare")).select("shingle", "alike", F.col("need").cast("long"))
-    counted = written(short.repartition("shingle").sortWithinPartitions("shingle", "alike").mapInArrow(count, "a long, b long, need int, long boolean"), "jaccard-counted")
-    common = p.where(F.col("at") >= F.col("rare")).groupBy("alike", "shingle").agg(F.min("need").alias("need"))
-    long = counted.where("long").select(F.col("a").alias("alike"), F.col("b").alias("shingle"), "need").unionByName(common)
+    short = p.where(F.col("at") < F.col("rare")).select("shingle", "alike", "n")
+    counted = written(short.repartition("shingle").sortWithinPartitions("shingle", "alike").mapInArrow(listed, "shingle long, names array<long>, low array<long>, high array<long>, long boolean"), "jaccard-counted")
+    common = p.where(F.col("at") >= F.col("rare")).groupBy("alike", "shingle").agg(F.min(need("n")).alias("need"))
+    long = counted.where("long").select("shingle", F.explode(F.arrays_zip("names", "low")).alias("one")).select(F.col("one.names").alias("alike"), "shingle", need("one.low").alias("need")).unionByName(common)
     heavy = written(long.groupBy("alike").agg(F.count("*").alias("lists"), F.min("need").alias("need")), "jaccard-heavy")
-    pairs = written(counted.where("not long").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")), "jaccard-pairs")
     of = lambda end: heavy.select(F.col("alike").alias(end), F.col("lists").alias(f"of_{end}"))
     fewer = F.least(F.coalesce("of_a", F.lit(0)), F.coalesce("of_b", F.lit(0)))
-    kept = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("shared") >= F.col("need") - fewer).select("a", "b")
+    made = counted.where("not long").agg(F.sum(F.size("names") * (F.size("names") - 1) / 2)).first()[0] or 0
+    turns = max(1, ceil(made / max(PAIRS, PAIR_SHARE * (signed.agg(F.sum("n")).first()[0] or 0))))
+    kept = []
+    for turn in range(turns):
+        pairs = written(_pairs(counted, turn, turns).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")), "jaccard-pairs")
+        kept.append(written(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("shared") >= F.col("need") - fewer).select("a", "b"), "jaccard-kept-pairs"))
+        forget(pairs)
     # sizes of linked sets differ by a fifth at most, so the larger requirement by little more
     able = written(heavy.where(F.col("lists") >= 0.79 * F.col("need") - 1).select("alike"), "jaccard-able")
     tied = written(long.join(able, "alike").select("alike", "shingle"), "jaccard-tied")
-    forget(counted, able)
+    forget(counted, heavy, able)
     first = written(tied.groupBy("shingle").agg(F.min("alike").alias("b")), "jaccard-first")
-    out = written(kept.unionByName(tied.join(first, "shingle").where("alike <> b").select(F.col("alike").alias("a"), "b")), "jaccard-loose")
-    forget(heavy, pairs, tied, first)
+    out = tied.join(first, "shingle").where("alike <> b").select(F.col("alike").alias("a"), "b")
+    for pairs in kept:
+        out = out.unionByName(pairs)
+    out = written(out, "jaccard-loose")
+    forget(tied, first, *kept)
     return out
 
 
@@ -353,17 +390,19 @@ def search(sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[
     return links
 
 
-def _links(docs: DataFrame, text: str, key: str, members: DataFrame) -> DataFrame:
-    """Edges (a, b) between rows that link, from the members (row, key, told, root, parts) of loose groups.
+def _links(docs: DataFrame, text: str, key: str, members: DataFrame, shingles: int) -> list[DataFrame]:
+    """Written edges (a, b) between rows that link, from the members (row, key, told, n, root, parts) of loose groups.
 
     A group within GROUP_SHINGLES is one task's work. A larger one is split in
-    parts by hash, and each pair of parts is searched by itself.
+    parts by hash, and each pair of parts is searched by itself. As that takes a
+    text as often as its group has parts, groups and pairs of parts are searched
+    in as many rounds as keep what is shuffled at once near ROUND of all texts,
+    which have so many shingles.
     """
-    some = maybe_among(docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")), F.xxhash64("k", "t"), members.select(F.xxhash64("key", "told").alias("kt"))).where("__hit")
-    sets = some.join(members.hint("merge"), F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("told"))).select("root", "row", "parts", "text")
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    dealt = sets.withColumn("part", part).withColumn("pair", F.explode(pairs)).select("root", "pair.i", "pair.j", "row", "part", "text")
+    dealt_out = members.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
+    rounds = max(1, ceil(dealt_out / max(GROUP_SHINGLES, ROUND * shingles)))
 
     def run(batches):
         shingle, now, rows = Shingler(), None, {}
@@ -385,8 +424,16 @@ def _links(docs: DataFrame, text: str, key: str, members: DataFrame) -> DataFram
         if now:
             yield closed()
 
-    grouped = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "row")
-    return grouped.mapInArrow(run, "a long, b long")
+    out = []
+    for turn in range(rounds):
+        of_turn = lambda c: F.pmod(F.xxhash64("root", c["i"], c["j"]), F.lit(rounds)) == turn  # noqa: E731, B023
+        chosen = members.withColumn("part", part).withColumn("pairs", F.filter(pairs, of_turn)).where(F.size("pairs") > 0)
+        some = maybe_among(docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")), F.xxhash64("k", "t"), chosen.select(F.xxhash64("key", "told").alias("kt"))).where("__hit")
+        sets = some.join(chosen.hint("merge"), F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("told"))).select("root", "row", "part", "pairs", "text")
+        dealt = sets.withColumn("pair", F.explode("pairs")).select("root", "pair.i", "pair.j", "row", "part", "text")
+        grouped = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "row")
+        out.append(written(grouped.mapInArrow(run, "a long, b long"), "jaccard-links"))
+    return out
 
 
 def _placed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -406,11 +453,11 @@ def _placed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     classes = written(facts.where("n > 0").groupBy("high", "low", "n").agg(first, F.min("key").alias("least"), F.min("alike").alias("alike")), "jaccard-classes")
     able = classes.join(loose, F.col("alike") == F.col("node"), "left").select("first.row", "first.key", "first.told", "n", F.coalesce("root", "alike").alias("root"))
     size = able.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
-    members = written(able.join(size, "root").select("row", "key", "told", "root", F.ceil(F.col("shingles") / GROUP_SHINGLES).cast("int").alias("parts")), "jaccard-members")
-    edges = written(_links(docs, text, key, members), "jaccard-links")
-    links = components(edges)
+    members = written(able.join(size, "root").select("row", "key", "told", "n", "root", F.ceil(F.col("shingles") / GROUP_SHINGLES).cast("int").alias("parts")), "jaccard-members")
+    edges = _links(docs, text, key, members, facts.agg(F.sum("n")).first()[0] or 0)
+    links = components(reduce(DataFrame.unionByName, edges))
     placed = written(classes.join(links, F.col("first.row") == F.col("node"), "left").select("high", "low", "n", "first", "least", F.coalesce("root", "first.row").alias("root")), "jaccard-placed")
-    forget(loose, classes, members, edges, links)
+    forget(loose, classes, members, *edges, links)
     return facts, placed
 
 

@@ -107,6 +107,55 @@ def test_copies_make_no_pairs(spark, monkeypatch):
         assert {r["doc_id"] for r in jaccard.deduplicated(df).select("doc_id").collect()} == set(range(30))
 
 
+def _tables(monkeypatch):
+    """Names and rows of the tables that are written from now on."""
+    seen, real = [], jaccard.written
+
+    def told(df, name):
+        out = real(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "written", told)
+    return seen
+
+
+def test_near_copies_make_pairs_in_turns(spark, monkeypatch):
+    """Lists are written, not their pairs, and what is made of them at once is bounded."""
+    monkeypatch.setattr(jaccard, "ALIKE", 10**9)
+    monkeypatch.setattr(jaccard, "PAIRS", 6000)
+    seen = _tables(monkeypatch)
+    texts = [data.words(150 + 5 * i, 100 + i) for i in range(12)]
+    rows = [(i + 100 * k, t + f" end{k}", "en", "s", 0, 0, "", 0) for k in range(12) for i, t in enumerate(texts)]
+    check(spark, spark.createDataFrame(rows, data.KIND), rows)
+    entries = sum(jaccard.prefix_size(len(data.shingles(r[1]))) for r in rows)
+    assert dict(seen)["jaccard-counted"] < entries / 8
+    assert 3 < sum(name == "jaccard-pairs" for name, _ in seen) and sum(n for name, n in seen if name == "jaccard-pairs") < 12 * 100
+
+
+def test_sizes_too_far_apart_make_no_pairs(spark, monkeypatch):
+    """A passage in texts of sizes that can't link doesn't tie them into one group."""
+    seen = _tables(monkeypatch)
+    passage = data.words(30, 77)
+    rows = [(i, passage + " " + data.words(20 * 2**i, 50 + i), "en", "s", 0, 0, "", 0) for i in range(7)]
+    check(spark, spark.createDataFrame(rows, data.KIND), rows)
+    assert dict(seen)["jaccard-pairs"] == dict(seen)["jaccard-members"] == 0
+
+
+def test_blocks_of_a_large_group_are_searched_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 600)
+    seen = _tables(monkeypatch)
+    r, base = random.Random(9), data.words(90, 78).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"w{r.randrange(999)}"
+        rows.append((i, " ".join(w), "en", "s", 0, 0, "", 0))
+    check(spark, spark.createDataFrame(rows, data.KIND), rows)
+    assert sum(name == "jaccard-links" for name, _ in seen) > 2
+
+
 def test_dropped_copies_are_not_shuffled(spark, monkeypatch):
     filtered, real = [], jaccard.maybe_among
     monkeypatch.setattr(jaccard, "maybe_among", lambda *a: filtered.append(real(*a)) or filtered[-1])
