@@ -293,7 +293,7 @@ def kernel_components(spark, sf):
 def kernel_gaps(spark, sf):
     """Eigenvalues of the kernel of all vectors' first components, and which of them stand apart."""
     df, cols = _vectors(spark, sf, 8)
-    values, _, _ = subspace.kernel_sketch(df, "vec_id", list(cols), 12, "quadratic")
+    values = subspace.kernel_values(df, "vec_id", list(cols), 12, "quadratic")
     gaps = set(subspace.eigen_gaps(values, 0.95, 1e-3))
     return spark.createDataFrame([(i, float(v), i in gaps) for i, v in enumerate(values)], "place int, value double, apart boolean")
 

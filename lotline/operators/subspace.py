@@ -143,6 +143,37 @@ def kernel_sketch(df: DataFrame, key: str, names: list[str], k: int, name: str =
     return values[order], q @ vectors[:, order], held[key].tolist()
 
 
+def kernel_values(df: DataFrame, key: str, names: list[str], k: int, name: str = "quadratic") -> np.ndarray:
+    """The k eigenvalues of largest size of the linear or quadratic kernel matrix of all rows, in two passes over them.
+
+    Both kernels are products of features (for d columns d, or all products of
+    two and all columns, (d + 1)(d + 2) / 2 with the constant), so the matrix of
+    all rows has the squared singular values of the features' triangular factor,
+    and zeros. Rows with nulls are left out; nothing grows with the rows.
+    """
+    if name not in ("linear", "quadratic"):
+        raise ValueError(f"the {name} kernel has no finite features")
+    rows = df.select(key, *names).dropna()
+    g = gram(rows, {n: F.col(f"`{n}`") for n in names})
+    if not g.n:
+        return np.zeros(0)
+    s, mean = g.centred(names)
+    sd = np.sqrt(np.maximum(np.diag(s), 0) / g.n)
+    sd = np.where(sd > 1e-14 * np.abs(mean), sd, 1.0)
+    rows = rows.select(*(((F.col(f"`{n}`") - float(m)) / float(d)).alias(f"z{i}") for i, (n, m, d) in enumerate(zip(names, mean, sd))))
+    z = [F.col(f"z{i}") for i in range(len(names))]
+    columns = {f"f{i}": c for i, c in enumerate(z)}
+    if name == "quadratic":
+        pairs = [z[i] * z[j] * (1.0 if i == j else math.sqrt(2)) for i in range(len(z)) for j in range(i, len(z))]
+        columns = {f"f{i}": c for i, c in enumerate([c * 2.0 for c in z] + pairs)}
+    t = factor(rows, columns)
+    r = np.vstack([t.r, math.sqrt(t.n) * t.mean])
+    if name == "quadratic":
+        r = np.hstack([r, np.append(np.zeros(len(t.r)), 2 * math.sqrt(t.n))[:, None]])
+    values = np.linalg.svd(r, compute_uv=False) ** 2
+    return np.append(values, np.zeros(k))[: min(k, round(t.n))]
+
+
 def eigen_gaps(values: np.ndarray, spread: float, smallest: float) -> list[int]:
     """Places of eigenvalues (falling) that stand apart: under a share of the one before, with the next under that share of it, while over a share of the largest."""
     out, last = [], 2 * values[0] if len(values) else 0.0

@@ -30,6 +30,21 @@ def test_bounds(spark, monkeypatch):
         subspace.kernel_sketch(df, "id", ["a"], 3)
 
 
+@pytest.mark.parametrize("name", ["linear", "quadratic"])
+def test_values_of_a_kernel_matrix_over_any_number_of_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(subspace, "KERNEL_ROWS", 20)
+    r = np.random.default_rng(3)
+    x = np.column_stack([r.standard_normal((600, 3)) * [1, 20, 3] + [0, 5, 1000], np.full(600, 0.1)])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(9999, None, 1.0, 1.0, 1.0), (None, 7.0, 1.0, 1.0, 1.0)], "id long, a double, b double, c double, d double").repartition(3)
+    z = (x - x.mean(0)) / np.append(x.std(0)[:3], 1.0)
+    want = np.sort(np.linalg.eigvalsh(subspace.kernel(name)(z, z)))[::-1][:12]
+    assert np.allclose(subspace.kernel_values(df, "id", list("abcd"), 12, name), want, rtol=1e-9, atol=1e-6)
+    assert subspace.kernel_values(df.limit(0), "id", ["a"], 3, name).tolist() == []
+    assert len(subspace.kernel_values(df.where("id < 2"), "id", ["a"], 3, name)) == 2
+    with pytest.raises(ValueError):
+        subspace.kernel_values(df, "id", ["a"], 3, "radial")
+
+
 def test_gaps_between_eigenvalues():
     assert subspace.eigen_gaps(np.array([10.0, 5.0, 4.9, 2.0, 1.0, 1e-6]), 0.9, 1e-4) == [0, 3, 4]
     assert subspace.eigen_gaps(np.array([4.0]), 0.9, 0.1) == [0] and subspace.eigen_gaps(np.array([]), 0.9, 0.1) == []
