@@ -76,7 +76,7 @@ def zip_rows(spark, sf):
 @query("""SELECT a.vec_id AS i, b.vec_id AS j, round(pow(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) + 2, 2), 4) AS kernel FROM embeddings a JOIN embeddings b ON a.vec_id <= b.vec_id WHERE a.label = 1 AND b.label = 1""")
 def distance_quadratic(spark, sf):
     e = table(spark, sf, "embeddings").where("label = 1")
-    k = J.quadratic_kernel(J.upper_pairs(e, "vec_id", ["embedding"]), "embedding_i", "embedding_j")
+    k = J.quadratic_pairs(e, "vec_id", "embedding")
     return k.select("i", "j", F.round("kernel", 4).alias("kernel"))
 
 

@@ -1,9 +1,11 @@
 import math
+from collections import Counter
 from statistics import NormalDist
 
+import pytest
 
 from lotline.functions import scalar
-from lotline.operators import expand, sample, stats
+from lotline.operators import expand, joins, sample, stats
 
 
 def test_normal_columns(spark):
@@ -38,3 +40,24 @@ def test_choices_and_keywords(spark):
     docs = spark.createDataFrame([("b a, a c",), ("c",)], "text string")
     assert [tuple(r) for r in expand.keywords(docs, "text", 0).collect()] == [("a", 2), ("c", 2), ("b", 1)]
     assert [r["word"] for r in expand.keywords(docs, "text", 0, 1).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("part", [7, 4096])
+def test_all_pairs_of_any_number_of_rows(spark, monkeypatch, part):
+    monkeypatch.setattr(joins, "PAIR_ROWS", part)
+    monkeypatch.setattr(joins, "PAIR_STEP", 16)
+    rows = [(i - 20, [math.sin(i * k) for k in range(5)]) for i in range(60)]
+    rows += [(3, [1.0] * 5), (3, [2.0] * 5), (None, [1.0] * 5), (90, None), (91, [1.0, None, 2.0, 0.0, 1.0]), (92, [1.0]), (93, []), (94, []), (95, [math.inf] + [0.0] * 4)]
+
+    def kernel(x, y):
+        if x is None or y is None or len(x) != len(y) or None in x or None in y:
+            return "null"
+        total = 0.0
+        for u, v in zip(x, y):
+            total += u * v
+        return str((total + 2) * (total + 2))
+
+    want = Counter((i, j, kernel(x, y)) for i, x in rows for j, y in rows if i is not None and j is not None and i <= j)
+    found = joins.quadratic_pairs(spark.createDataFrame(rows, "id long, x array<double>").repartition(3), "id", "x").collect()
+    assert Counter((r["i"], r["j"], "null" if r["kernel"] is None else str(r["kernel"])) for r in found) == want
+    assert joins.quadratic_pairs(spark.createDataFrame([], "id long, x array<double>"), "id", "x").collect() == []
